@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sondage.llm import byte_bpe, decontaminate, near_dedup, quality
-from sondage.llm.common import table
+from sondage.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality, sharding, token_counts, token_files, tool_calls, url_filter
+from sondage.llm.common import Staging, table
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+SCHEMAS = {"reply": {"properties": {"turn": "integer", "prompt": "string"}, "required": ["turn", "prompt"]}}
+#: Byte limit of a shard.
+SHARD_BYTES = 1 << 20
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +31,33 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encoded(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_byte_bpe)}
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tool_calls.linked(*tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"), "reply"), SCHEMAS)
+    return rows.select("conv_id", "turn", "topo_rank", "cyclic", "result_turn", F.sha2("content", 256).alias("content_sha256"), F.sha2("canonical", 256).alias("canonical_sha256"), F.size("errors").cast("long").alias("n_errors"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_BYTES)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), [url_filter.Rule.parse(*x) for x in RULES]).drop("p_blocked")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Staging(spark, 'ids').root}/files"
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.digests(token_files.read(spark, folder))
+
+
+_ALL = (op1_quality_rules, op2_tool_calls, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_byte_bpe, op6_line_dedup, op7_token_counts, op8_sharding, op9_url_filter, op10_token_files)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
