@@ -5,10 +5,11 @@ exact check decide. The work goes in two passes:
 
 1. Each bucket proposes a star: its smallest id with each other member. Each item has only its nearest star
    verified at first, so that a group of n near copies costs n exact checks. Components follow from these links.
-2. What one component holds needs no more checks. The other stars whose ends lie in different components are
-   verified, and so is each pair inside a mixed bucket that passes the signature comparison. Buckets are
-   compared in blocks of ``BLOCK`` members; each pair of blocks is a row group of its own, so that a large bucket
-   is spread over many tasks. Only pairs that pass leave the comparison.
+2. What one component holds needs no more checks. The other pairs from buckets of two whose ends lie in different
+   components are verified, and so is each pair of different components inside a mixed bucket that passes the
+   signature comparison. Buckets are compared in blocks of ``BLOCK`` members; each pair of blocks is a row group of its
+   own, so that a large bucket is spread over many tasks. Only pairs that pass leave the comparison, or only
+   links if the caller brings its own (``across``).
 
 After both passes every pair that shares a key and passes the signature comparison is either verified or inside
 one component. There is no cap on buckets, partners or candidates.
@@ -79,67 +80,82 @@ def with_distance(pairs: DataFrame, signatures: DataFrame, distance: Distance, d
     return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, d int")
 
 
-def _block_pairs(rows: DataFrame, distance: Distance, dtype: type, most: int) -> DataFrame:
-    """(a, b) of different components within the buckets of ``rows`` (key, n, id, component, sig)."""
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """The members of buckets, (key, n, id, ...), once for each pair of blocks (i, j) that their own block is in.
+
+    A bucket of up to ``BLOCK`` members is one block.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
-
-    def pairs(x: pa.Table, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        x = x.slice(lo, hi - lo)
-        ids, group, own = (x.column(c).to_numpy() for c in ("id", "component", "own"))
-        sig = matrix(x.column("sig").combine_chunks(), dtype)
-        i, j = x.column("i")[0].as_py(), x.column("j")[0].as_py()
-        left, right = (np.flatnonzero(own == k) for k in (i, j))
-        found = []
-        for at in left:  # a row of the block at a time: memory stays at one block
-            others = right[right > at] if i == j else right
-            others = others[group[others] != group[at]]
-            others = others[distance(sig[at], sig[others]) <= most] if len(others) else others
-            found.append((np.full(len(others), ids[at]), ids[others]))
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-        return np.minimum(a, b), np.maximum(a, b)
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *(c for c in rows.columns if c not in ("key", "n", "own", "other")))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def each_block_pair(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``work`` on all rows of each (key, i, j). A task holds one such group at a time, besides a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def ends(x: pa.Table) -> np.ndarray:
+        def cuts(x: pa.Table) -> list[int]:
             key, i, j = (x.column(c).to_numpy() for c in ("key", "i", "j"))
-            return np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            return (np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
 
-        def out(x: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-            got = [pairs(x, lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1]
-            if got:
-                a, b = (np.concatenate(z) for z in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def out(x: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+            for lo, hi in zip(at, at[1:], strict=False):
+                if hi - lo > 1 and (got := work(x.slice(lo, hi - lo).combine_chunks())) is not None and got.num_rows:
+                    yield got
 
         for batch in batches:
             held.append(batch)
             x = pa.Table.from_batches(held)
-            cuts = ends(x)
-            if len(cuts):
-                yield from out(x, [0, *cuts.tolist()])
-                held = x.slice(int(cuts[-1])).combine_chunks().to_batches()
-        if held:
-            x = pa.Table.from_batches(held)
-            if x.num_rows:
-                yield from out(x, [0, *ends(x).tolist(), x.num_rows])
+            if at := cuts(x):
+                yield from out(x, [0, *at])
+                held = x.slice(at[-1]).combine_chunks().to_batches()
+        if held and (x := pa.Table.from_batches(held)).num_rows:
+            yield from out(x, [0, *cuts(x), x.num_rows])
+
+    return rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def near_in_block(x: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows near it) of different components; of two blocks, only pairs across. Memory stays at one row against a block."""
+    group, own = (x.column(c).to_numpy() for c in ("component", "own"))
+    i, j = x.column("i")[0].as_py(), x.column("j")[0].as_py()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for at in left.tolist():
+        others = right[right > at] if i == j else right
+        others = others[group[others] != group[at]]
+        if len(others) and len(others := others[near(at, others)]):
+            yield at, others
+
+
+def near_pairs(rows: DataFrame, distance: Distance, dtype: type, most: int) -> DataFrame:
+    """(a, b) of different components within the buckets of ``rows`` (key, n, id, component, sig)."""
+
+    def work(x: pa.Table) -> pa.RecordBatch | None:
+        sig, ids = matrix(x.column("sig").combine_chunks(), dtype), x.column("id").to_numpy()
+        found = [(np.full(len(o), ids[at]), ids[o]) for at, o in near_in_block(x, lambda at, o: distance(sig[at], sig[o]) <= most)]
+        if not found:
+            return None
+        a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    dealt = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return each_block_pair(in_blocks(rows), work, "a long, b long").distinct()
 
 
-def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type, most: int, verify: Callable[[DataFrame], DataFrame], stage: Staging) -> tuple[DataFrame, DataFrame]:
+def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type, most: int, verify: Callable[[DataFrame], DataFrame], stage: Staging, across: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(components, verified links) of the items.
 
-    keys: (key, id), each once. signatures: (id, sig). verify: from (a, b) those that are links. Items without a
-    link are in no row of the components.
+    keys: (key, id), each once. signatures: (id, sig). verify: from (a, b) those that are links. across: the links
+    inside mixed buckets (key, n, id, component); by default the near pairs, verified. Items without a link are in no row
+    of the components.
     """
     buckets = stage.put(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi"), "buckets")
     large = buckets.where("n > 2").select("key", "lo", "n")
     members = stage.put(keys.join(F.broadcast(large) if large.count() <= BROADCAST_IDS // 2 else large, "key"), "members")
-    star = buckets.where("n = 2").select("lo", "hi").union(members.where("id <> lo").select("lo", "id")).toDF("a", "b").distinct()
-    star = stage.put(with_distance(star, signatures, distance, dtype, most), "star")
+    two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(True).alias("two"))
+    star = two.union(members.where("id <> lo").select("lo", "id", F.lit(False))).groupBy("a", "b").agg(F.bool_or("two").alias("two"))
+    star = stage.put(with_distance(star, signatures, distance, dtype, most).join(star, ["a", "b"]), "star")
     first = star.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = stage.put(verify(first).distinct(), "links")
     found = connected_components(links, stage)
@@ -147,11 +163,15 @@ def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(found.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
-    apart = labelled(labelled(star.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    # What only a bucket of two proposes; other stars are pairs of a mixed bucket.
+    apart = labelled(labelled(star.where("two").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     labels = stage.put(labelled(members.select("key", "n", "id"), "id", "component"), "labels")
     mixed = labels.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rows = labels.join(mixed, "key").join(signatures, "id")
-    more = stage.put(apart.union(_block_pairs(rows, distance, dtype, most)).distinct(), "more")
-    more = stage.put(verify(more.join(first, ["a", "b"], "left_anti")).distinct(), "links")
-    links = links.union(more)
+    rows = labels.join(mixed, "key")
+    if across:
+        more = verify(apart.join(first, ["a", "b"], "left_anti")).union(across(rows))
+    else:
+        inside = near_pairs(rows.join(signatures, "id"), distance, dtype, most)
+        more = verify(stage.put(apart.union(inside).distinct().join(first, ["a", "b"], "left_anti"), "more"))
+    links = links.union(stage.put(more.distinct(), "links"))
     return connected_components(links, stage), links

@@ -11,6 +11,9 @@ leave one position out: 60 keys a document, and no pair within the threshold is
 differ in 15 positions on average (23 or fewer for 99 in 100); those further apart still meet when a chunk has
 few errors by chance, so that one in 150,000 pairs at exactly 0.75 shares no key. Pairs over 30 apart are not verified.
 
+Inside buckets of several components, pairs are compared by long signatures of 240 positions; only links leave these
+comparisons, so a large group of texts just below the threshold costs comparisons, not rows.
+
 Equal sets are collapsed beforehand, so copies cost no comparison.
 
 Defined cases: null or blank text has an empty set; rows that share a doc_id are one document; a null doc_id has
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.common import Staging, keep_ids
-from sondage.llm.linking import link, matrix
+from sondage.llm.linking import each_block_pair, in_blocks, link, matrix, near_in_block
 from sondage.llm.words import mix, shingle_sets
 
 CHUNKS, WIDTH = 12, 5
@@ -37,10 +40,14 @@ POSITIONS = CHUNKS * WIDTH
 GUARANTEED = 2 * CHUNKS - 1
 #: Pairs of signatures beyond here are not verified.
 FARTHEST = 30
+#: Positions that long signatures have besides, and the distance of long signatures beyond which pairs aren't verified: 4.5 standard deviations from the mean at 0.75.
+MORE, FARTHEST_LONG = 180, 90
 
 _random = np.random.default_rng(20240607)
 _FLIP = _random.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 _TIMES = _random.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP_MORE = _random.integers(0, 2**63, MORE, dtype=np.uint64)
+_TIMES_MORE = _random.integers(0, 2**63, MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY = _random.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 
 
@@ -92,36 +99,109 @@ def _keys(signatures: DataFrame) -> DataFrame:
     return signatures.mapInArrow(spread, "key long, id long")
 
 
-def _verifier(docs: DataFrame, stage: Staging, percent: int):
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+def long_signature(hashes: np.ndarray) -> np.ndarray:
+    """The signature's bytes, then the low 8 bits of ``MORE`` further MinHash values."""
+    least = np.full(MORE, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        np.minimum(least, ((part[None, :] ^ _FLIP_MORE[:, None]) * _TIMES_MORE[:, None]).min(axis=1), out=least)
+    return np.concatenate((signature(hashes).view(np.uint8), (mix(least) & np.uint64(0xFF)).astype(np.uint8)))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            held = [hashes.tobytes() for hashes, _ in shingle_sets(x.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(held, pa.binary())], ["id", "held"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            right = []
-            for i in range(x.num_rows):
-                a, b = (np.frombuffer(x.column(c)[i].as_buffer(), np.uint64) for c in ("ha", "hb"))
-                least, most = sorted((len(a), len(b)))
-                if 100 * least >= percent * most:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        right.append(i)
-            yield x.select(["a", "b"]).take(pa.array(right, pa.int64()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stage.put(pairs.select("a", "b"), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        held = stage.put(keep_ids(texts, ids, "id").mapInArrow(sets, "id long, held binary"), "sets")
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(few) < percent * len(many):
+        return False
+    where = np.searchsorted(many, few)
+    where[where == len(many)] = 0
+    both = int((many[where] == few).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class _Exact:
+    """Checks on full sets, which are worked out anew from the texts of the documents in question."""
+
+    def __init__(self, docs: DataFrame, stage: Staging, percent: int) -> None:
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+        self.stage, self.percent = stage, percent
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, held, long) of the documents: the set and the long signature."""
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                found = [hashes for hashes, _ in shingle_sets(x.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([x.column("id"), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([long_signature(h).tobytes() for h in found], pa.binary())], ["id", "held", "long"])
+
+        return self.stage.put(keep_ids(self.texts, ids, "id").mapInArrow(sets, "id long, held binary, long binary"), "sets")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        percent = self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                held = [[np.frombuffer(v.as_buffer(), np.uint64) for v in x.column(c)] for c in ("ha", "hb")]
+                right = [i for i, (a, b) in enumerate(zip(*held, strict=True)) if alike(a, b, percent)]
+                yield x.select(["a", "b"]).take(pa.array(right, pa.int64()))
+
+        pairs = self.stage.put(pairs.select("a", "b"), "pairs")
+        held = self.sets(pairs.select("a").union(pairs.select("b")).toDF("id").distinct())
         left, right = (held.select(F.col("id").alias(c), F.col("held").alias(f"h{c}")) for c in "ab")
-        links = stage.put(pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "verified")
-        stage.drop(held)
+        links = self.stage.put(pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "verified")
+        self.stage.drop(held)
         return links
 
-    return verify
+    def across(self, rows: DataFrame) -> DataFrame:
+        """The links of different components inside mixed buckets.
+
+        First the members with a near partner are found by long signatures, then their sets are compared. A pair is
+        compared in the first bucket that it shares only. What gets linked in a block needs no more links there.
+        """
+        percent = self.percent
+        rows = self.stage.put(rows, "mixed")
+        held = self.sets(rows.select("id").distinct())
+
+        def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+            sig = matrix(x.column("long").combine_chunks(), np.uint8)
+            short, more = np.ascontiguousarray(sig[:, : 2 * POSITIONS]).view("<u2"), sig[:, 2 * POSITIONS :]
+            which = int(np.flatnonzero(signature_keys(short[:1])[0].view(np.int64) == x.column("key")[0].as_py())[0])
+            chunk, gone = divmod(which, WIDTH)
+
+            def near(at: int, others: np.ndarray) -> np.ndarray:
+                same = short[others] == short[at]
+                found = (~same).sum(axis=1) + (more[others] != more[at]).sum(axis=1) <= FARTHEST_LONG
+                errors = WIDTH - same[:, : (chunk + 1) * WIDTH].reshape(len(others), chunk + 1, WIDTH).sum(axis=2)
+                # No earlier chunk shares a key. In this one, a pair without errors belongs to the first position.
+                return found & (errors[:, :chunk] > 1).all(axis=1) & ((errors[:, chunk] == 1) | (gone == 0))
+
+            return near_in_block(x, near)
+
+        def candidates(x: pa.Table) -> pa.RecordBatch | None:
+            wanted = np.zeros(x.num_rows, bool)
+            for at, others in nearby(x):
+                wanted[at] = True
+                wanted[others] = True
+            return x.select(["key", "i", "j", "own", "id", "component", "long"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else None
+
+        def links(x: pa.Table) -> pa.RecordBatch | None:
+            ids, sets = x.column("id").to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in x.column("held")]
+            names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
+            root = np.arange(len(names))
+            found = []
+            for at, others in nearby(x):
+                for other in others.tolist():
+                    if root[group[at]] != root[group[other]] and alike(sets[at], sets[other], percent):
+                        root[root == root[group[other]]] = root[group[at]]
+                        found.append((ids[at], ids[other]))
+            if not found:
+                return None
+            a, b = np.array(found).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        spread = in_blocks(rows.join(held.select("id", "long"), "id"))
+        found = self.stage.put(each_block_pair(spread, candidates, "key long, i int, j int, own int, id long, component long, long binary"), "near")
+        return each_block_pair(found.join(held.select("id", "held"), "id"), links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -133,7 +213,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = stage.put(features(docs), "features")
     texts = stage.put(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")), "texts")
     signatures = texts.select("id", "sig")
-    components, _ = link(_keys(signatures), signatures, distance, "<u2", FARTHEST, _verifier(docs, stage, percent), stage)
+    exact = _Exact(docs, stage, percent)
+    components, _ = link(_keys(signatures), signatures, distance, "<u2", FARTHEST, exact.verify, stage, exact.across)
     # A doc_id whose rows hold different texts connects them, as its rows are one document.
     own = texts.select("digest", "id").join(components, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     rows = rows.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
