@@ -85,6 +85,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
     for at in np.flatnonzero(kinds == ESCAPE):  # an escaped id may look like an escape itself
         if not skip[at] and at + 1 < len(words):
             skip[at + 1] = True
+    kinds[skip] = ESCAPE
     counts = np.array([1] + [c for c, _ in SELECTORS])[kinds]
     counts[skip] = 0
     ends = np.cumsum(counts)

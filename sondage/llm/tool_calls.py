@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from sondage.llm.common import Staging
 
 STRETCH = 256
+_NOWHERE = 2**62
 _TYPES = {
     "string": lambda x: isinstance(x, str),
     "integer": lambda x: isinstance(x, int) and not isinstance(x, bool) or isinstance(x, float) and x.is_integer(),
@@ -117,7 +118,9 @@ def _places(calls: DataFrame, stage: Staging) -> DataFrame:
         after = links.join(moving.select("conv_id", F.col("call_id").alias("needs"), F.col("place").alias("p"), F.col("step").alias("s")), ["conv_id", "needs"])
         after = after.join(changed.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi").groupBy("conv_id", "call_id").agg(F.max(F.struct("p", (F.col("s") + 1).alias("s"))).alias("m"))
         moved = moving.join(after, ["conv_id", "call_id"]).where(F.col("step") <= F.col("size")).where(F.col("m") > F.struct(F.col("place").alias("p"), F.col("step").alias("s")))
-        moved = stage.put(moved.select("conv_id", "call_id", "turn", F.col("m.p").alias("place"), F.col("m.s").alias("step"), "size"), "moved")
+        # More steps than calls: on a cycle. What depends on such a call goes with it.
+        place = F.when(F.col("m.s") > F.col("size"), _NOWHERE).otherwise(F.col("m.p"))
+        moved = stage.put(moved.select("conv_id", "call_id", "turn", place.alias("place"), F.col("m.s").alias("step"), "size"), "moved")
         if moved.isEmpty():
             break
         moving = stage.put(moving.join(moved, ["conv_id", "call_id"], "left_anti").unionByName(moved), "moving")
@@ -145,7 +148,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     checked = calls.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", "turn", "name", "arguments").mapInArrow(validate, "conv_id long, call_id string, turn long, name string, canonical string, errors array<string>")
     places = _places(calls.select("conv_id", "call_id", "turn", "depends_on"), stage)
     rows = checked.join(places, ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left").select("*", "r.*").drop("r")
-    rows = stage.put(rows.withColumn("cyclic", F.col("place").isNull()).withColumn("stretch", F.floor(F.coalesce("place", F.lit(2**62)) / STRETCH)), "rows")
+    rows = stage.put(rows.withColumn("cyclic", F.col("place").isNull()).withColumn("stretch", F.floor(F.coalesce("place", F.lit(_NOWHERE)) / STRETCH)), "rows")
     counts = rows.groupBy("conv_id", "stretch").agg(F.count("*").alias("n"))
     before = counts.select("conv_id", "stretch", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("stretch")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("conv_id", "stretch").orderBy(F.col("place").asc_nulls_last(), "step", "turn", "call_id"))
