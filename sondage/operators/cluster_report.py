@@ -94,7 +94,7 @@ def metrics(rows: DataFrame) -> dict[str, float | None]:
     np.fill_diagonal(ratio, -np.inf)
     values = silhouette(rows)
     score = values.agg(F.avg("silhouette")).first()[0]
-    return {"silhouette": round(score, 4), "calinski_harabasz": round(ch, 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
+    return {"silhouette": round(score, 4), "calinski_harabasz": round(float(ch), 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
 
 
 def silhouette(rows: DataFrame, most: int = SILHOUETTE_ROWS) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sondage.plans import anonymising, cleaning, clusters, profiling, questionnaires, streams  # noqa: F401
+from sondage.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
