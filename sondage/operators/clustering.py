@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, SEED = 2000, 42
+STARTS = 4
 #: Rows that the bandwidth of mean-shift is estimated on.
 BANDWIDTH_ROWS = 500
 LINKAGES = ("ward", "complete", "average", "single")
@@ -58,7 +59,9 @@ def kmeans(rows: DataFrame, k: int, seed: int = SEED) -> tuple[DataFrame, float]
     """Rows with ``cluster``, and the sum of squared distances."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    model = KMeans(k=k, seed=seed, maxIter=50, predictionCol="cluster").fit(rows)
+    # The best of a few starts, as a single one may end in a poor optimum.
+    models = [KMeans(k=k, seed=seed + i, maxIter=50, predictionCol="cluster").fit(rows) for i in range(STARTS)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(rows), float(model.summary.trainingCost)
 
 
@@ -68,7 +71,8 @@ def gaussian_mixture(rows: DataFrame, k: int, covariance: str = "full", seed: in
         raise ValueError(f"covariance must be one of {COVARIANCES}")
     if k == 1 or covariance != "full":
         return _mixture(rows, k, covariance, seed)
-    model = GaussianMixture(k=k, seed=seed, maxIter=100, predictionCol="cluster").fit(rows)
+    models = [GaussianMixture(k=k, seed=seed + i, maxIter=100, predictionCol="cluster").fit(rows) for i in range(STARTS)]
+    model = max(models, key=lambda m: m.summary.logLikelihood)
     return model.transform(rows).drop("probability"), float(model.summary.logLikelihood)
 
 
@@ -77,7 +81,8 @@ def _mixture(rows: DataFrame, k: int, covariance: str, seed: int, rounds: int =
     x = rows.select(vector_to_array("features").alias("x"))
     d = len(x.first().x)
     if k > 1:
-        means = np.array([c for c in KMeans(k=k, seed=seed, maxIter=20).fit(rows).clusterCenters()])
+        models = [KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(STARTS)]
+        means = np.array(min(models, key=lambda m: m.summary.trainingCost).clusterCenters())
     else:
         means = sample(rows, 1, seed)
     weights, covs = np.full(k, 1 / k), np.stack([np.eye(d)] * k)

@@ -50,8 +50,7 @@ def field_types(df: DataFrame) -> dict[str, str]:
     exprs = []
     for i, c in enumerate(names):
         text = answer(c)
-        json_keys = F.json_object_keys(F.when(text.rlike(r"^\s*\{.*\}\s*$"), text))
-        has_range = F.exists(F.coalesce(json_keys, F.array().cast("array<string>")), lambda k: F.lower(k).isin("min", "max", "mid"))
+        has_range = F.arrays_overlap(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), F.array(F.lit("min"), F.lit("max"), F.lit("mid")))
         exprs += [
             F.count(text).alias(f"n{i}"),
             F.avg(F.contains(text, F.lit(SEPARATOR)).cast("int")).alias(f"multi{i}"),
@@ -138,7 +137,7 @@ def json_range(df: DataFrame, column: str, keep: list[str] | None = None) -> Dat
     safe = F.size(F.array_distinct(F.transform(F.map_keys(parsed), lambda k: F.lower(F.trim(k))))) == F.size(F.map_keys(parsed))
     out = {}
     for part, aliases in ALIASES.items():
-        loose = F.nullif(F.regexp_extract(text, rf"(?i)[{{\s,\"']?\b(?:{'|'.join(aliases)})\b[\"']?\s*[:=]\s*[\"']?([^,}}\"']+)", 1), F.lit(""))
+        loose = F.nullif(F.regexp_extract(text, rf"(?i)[{{\s,\"']?\b(?:{'|'.join(aliases)})\b[\"']?\s*[:=]\s*[\"']?([^,;}}\"']+)", 1), F.lit(""))
         strict = F.coalesce(*(F.when(safe, F.try_element_at(pairs, F.lit(a))) for a in aliases))
         out[f"{column}_{part}"] = F.trim(F.coalesce(strict, loose))
     rows = df.select(*(keep or df.columns), *(v.alias(k) for k, v in out.items()))
