@@ -57,6 +57,57 @@ def slices(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse powers): ``(sums[b] - sums[a]) * inverse[a]`` is a hash of ``raw[a:b]`` that doesn't depend on its place."""
+    power, inverse = _powers_to(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+    return sums, inverse
+
+
+class Numbers:
+    """Numbers of 64-bit hashes in order of insertion: an open hash table whose look-ups are array operations."""
+
+    def __init__(self, bits: int = 12) -> None:
+        self.count, self.mask = 0, np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not inserted; 0 is no hash."""
+        at = (hashes & self.mask).astype(np.int64)
+        held = self.keys[at]
+        out = np.where(held == hashes, self.values[at], -1)
+        left = np.flatnonzero((held != hashes) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & int(self.mask)
+            held = self.keys[at[left]]
+            same = held == hashes[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (held != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Inserts distinct hashes that aren't there yet."""
+        while 2 * (self.count + len(hashes)) > len(self.keys):
+            keys, values = self.keys, self.values
+            self.keys, self.values = np.zeros(2 * len(keys), np.uint64), np.zeros(2 * len(keys), np.int32)
+            self.mask = np.uint64(len(self.keys) - 1)
+            self._put(keys[keys != 0], values[keys != 0])
+        self._put(hashes, np.arange(self.count, self.count + len(hashes), dtype=np.int32))
+        self.count += len(hashes)
+
+    def _put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        at = (hashes & self.mask).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = hashes[free]  # of several for one place, one stays
+            won = self.keys[at[left]] == hashes[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & int(self.mask)
+
+
 class Words:
     """All words of a slice: ``hash`` by word, and text ``i`` has words ``at[i]`` to ``at[i + 1]``."""
 
@@ -69,11 +120,16 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         ends = np.cumsum([len(x) + 1 for x in texts])
         self.at = np.concatenate(([0], np.searchsorted(self.start, ends)))
-        power, inverse = _powers_to(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[: len(self.raw)], out=sums[1:])
+        sums, inverse = prefix_sums(self.raw)
         self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64) * _STEPS[1])
 
+    def joined_hash(self, first: np.ndarray, count: np.ndarray, seed: np.uint64) -> np.ndarray:
+        """The hash of the words ``first[i]`` to ``first[i] + count[i]``, in order."""
+        power, inverse = _powers_to(len(self.hash) + 1)
+        sums = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(mix(self.hash ^ seed) * power[: len(self.hash)], out=sums[1:])
+        return mix((sums[first + count] - sums[first]) * inverse[first] + count.astype(np.uint64) * _STEPS[2])
+
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, at): the hash of the five words from each word on, where the text has so many; a shorter text's words are one shingle.
 
