@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line is what ``\\n`` separates. Its normal form is lower case with every run of characters that are neither
-letters nor digits as one space; lines with an empty normal form are never duplicates. Equal normal forms are collapsed
-first. The SimHash of a normal form has 192 bits over its words, in six blocks of 32 bits: two hashes at most 5
-bits apart agree, by pigeonhole, in a block, and blocks are so long that few other lines share one. Pairs that share a
-block and lie at most 48 bits apart are verified: their Levenshtein distance may be 10 in 100 of the longer one's length.
+A line is what ``\\n`` separates. Its normal form has A-Z lower-cased and every run of ASCII characters that are neither letters
+nor digits as one space; lines with an empty normal form are never duplicates. Equal normal forms are collapsed first. The SimHash
+of a normal form has 160 bits over its words of four bytes or more (over all if there are none), in five blocks of 32 bits: two hashes at most 4 bits apart agree, by pigeonhole, in a
+block, and blocks are so long that few other lines share one. Pairs that share a block and lie at most 20 bits apart are verified:
+their Levenshtein distance may be 10 in 100 of the longer one's bytes.
 Of each connected group the first occurrence by (doc_id, line number) stays; all other lines of the group are removed.
 
 Defined cases: null text stays null and has no lines; rows that share doc_id and text are one document; a null doc_id
@@ -14,8 +14,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,38 +22,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids
-from sondage.llm.linking import link, matrix
+from sondage.llm.linking import link, links_across, matrix, near_in_block
 from sondage.llm.words import Words, mix, slices
 
-BLOCKS, LANES = 6, 3
-BITS = 64 * LANES
+BLOCKS = 5
+BITS = 32 * BLOCKS
+#: Shorter words, most of which are common ones, would make hashes of unrelated lines alike.
+FEATURE_BYTES = 4
 #: Pairs of hashes beyond here are not verified.
-FARTHEST = 48
+FARTHEST = 20
 
-_LANE = np.random.default_rng(20240608).integers(0, 2**63, LANES, dtype=np.uint64)
-_OTHER = re.compile(r"[\W_]+")
+_LANE = np.random.default_rng(20240608).integers(0, 2**63, (BITS + 63) // 64 + 1, dtype=np.uint64)
+#: Each byte's bits as the eight bytes of an integer, so that one addition counts eight bits.
+_BITS_AS_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
+_NORMAL = bytes(c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _NO_ID = -(2**63)
 
 
 def normal(line: str) -> str:
-    return _OTHER.sub(" ", line.lower()).strip()
+    return b" ".join(line.encode().translate(_NORMAL).split()).decode()
+
+
+class Lines:
+    """The lines with a normal form of a slice of texts: text and line number, 128-bit hash, SimHash."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        words = Words([t.translate(_NORMAL) for t in texts])
+        ends = np.flatnonzero(words.raw == 10)
+        line = np.searchsorted(ends, words.start)
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        count = np.diff(first, append=len(line))
+        lines = [t.count(b"\n") + 1 for t in texts]
+        owner = np.repeat(np.arange(len(texts)), lines)
+        before = np.cumsum([0, *lines[:-1]])
+        self.text = owner[line[first]]
+        self.pos = line[first] - before[self.text]
+        self.digest = np.stack([words.joined_hash(first, count, lane) for lane in _LANE[:2]], axis=1)
+        # Features: the longer words, or all words of a line that has no longer one.
+        long = words.end - words.start >= FEATURE_BYTES
+        counted = long | ~np.repeat(np.logical_or.reduceat(long, first) if len(first) else long, count)
+        count = np.add.reduceat(counted, first, dtype=np.int64) if len(first) else count
+        self.sig = _simhash(words.hash[counted], np.cumsum(count) - count, count)
+
+
+def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit blocks, of the words ``first[i]`` to ``first[i] + count[i]``."""
+    if not len(first):
+        return np.empty((0, BLOCKS), "<u4")
+    raw = np.concatenate([mix(hashes ^ lane).view(np.uint8).reshape(-1, 8) for lane in _LANE[1:]], axis=1)
+    # A byte counts up to 255 words: longer lines are added up in parts.
+    parts = -(-count // 255)
+    last = np.cumsum(parts)
+    start = np.repeat(first, parts) + 255 * (np.arange(last[-1]) - np.repeat(last - parts, parts))
+    out = np.empty((len(first), BITS), bool)
+    for k in range(BITS // 8):
+        ones = np.add.reduceat(_BITS_AS_BYTES[raw[:, k]], start).view(np.uint8).reshape(-1, 8)
+        if len(start) > len(first):
+            ones = np.add.reduceat(ones, last - parts, axis=0, dtype=np.int64)
+        out[:, 8 * k : 8 * k + 8] = 2 * ones.astype(np.int64) > count[:, None]
+    return np.packbits(out, axis=1).view("<u4")
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
-    """One row of six 32-bit blocks for each line; each line has a word."""
-    out = []
-    for _, held in slices(lines):
-        words = Words(held)
-        bits = np.unpackbits((mix(words.hash[:, None] ^ _LANE)).view(np.uint8), axis=1)
-        ones = np.add.reduceat(bits, words.at[:-1], axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > np.diff(words.at)[:, None], axis=1))
-    return np.concatenate(out).view("<u4") if out else np.empty((0, BLOCKS), "<u4")
+    """One row of 32-bit blocks for each line; each has a normal form."""
+    return np.concatenate([Lines(held).sig for _, held in slices(lines)]) if lines else np.empty((0, BLOCKS), "<u4")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
+def edit_distance(a: bytes, b: bytes, most: int) -> int:
+    """The Levenshtein distance, or more than ``most`` where it is more. Columns of the table are bits of an integer."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    head = n if same.all() else int(same.argmin())
+    n -= head
+    same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
+    tail = n if same.all() else int(same.argmin())
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[int, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score, left = full, 0, len(a), len(b)
+    for c in b:
+        eq = at.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | ~(diagonal | up) & full, up & diagonal
+        score += bool(more & top) - bool(less & top)
+        left -= 1
+        if score - left > most:
+            return most + 1
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | ~(diagonal | more) & full, more & diagonal
+    return score
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """(doc, mark, text): a document is told by its id and a hash of its text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
@@ -66,63 +136,89 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                row, pos, held = [], [], []
-                for i, text in enumerate(part.column("text")):
-                    for k, line in enumerate((text.as_py() or "").split("\n")):
-                        if form := normal(line):
-                            row.append(i)
-                            pos.append(k)
-                            held.append(form.encode())
-                sig = simhashes(held)
-                digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in held), np.int64).reshape(-1, 2)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(take), part.column("mark").take(take), pa.array(pos, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc", "mark", "pos", "id", "check", "sig"])
-
-    return _documents(docs).mapInArrow(lines, "doc long, mark long, pos int, id long, check long, sig binary")
+            for at, held in slices(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")):
+                found = Lines(held)
+                take = pa.array(at + found.text)
+                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCKS), len(take), [None, pa.py_buffer(found.sig.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("mark").take(take), pa.array(found.pos.astype(np.int32)), pa.array(found.digest[:, 0].view(np.int64)), pa.array(found.digest[:, 1].view(np.int64)), sig], ["doc", "mark", "pos", "id", "check", "sig"])
+
+    return _documents(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(lines, "doc long, mark long, pos int, id long, check long, sig binary")
+
+
+def block_keys(signatures: np.ndarray) -> np.ndarray:
+    """A key for each block of each row."""
+    return mix(signatures.astype(np.uint64) | (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
 
 
 def _keys(signatures: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                sig = matrix(x.column("sig"), "<u4").astype(np.uint64)
-                keys = mix(sig | (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
+                keys = block_keys(matrix(x.column("sig"), "<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(x.column("id").to_numpy(), BLOCKS))], ["key", "id"])
 
     return signatures.mapInArrow(spread, "key long, id long")
 
 
-def _verifier(docs: DataFrame, lines: DataFrame, stage: Staging, percent: int):
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            ids, held = [], []
-            for text, wanted in zip(x.column("text"), x.column("wanted"), strict=True):
-                split = text.as_py().split("\n")
-                for w in wanted.as_py():
-                    ids.append(w["id"])
-                    held.append(normal(split[w["pos"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.string())], ["id", "form"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stage.put(pairs.select("a", "b"), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = keep_ids(lines, ids, "id").groupBy("first.doc", "first.mark").agg(F.collect_list(F.struct("id", F.col("first.pos").alias("pos"))).alias("wanted"))
-        wanted = stage.put(wanted, "wanted")
-        few = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-        held = _documents(docs).dropDuplicates(["doc", "mark"]) if few > BROADCAST_IDS else _documents(docs)
-        held = held.join(wanted if few > BROADCAST_IDS else F.broadcast(wanted), ["doc", "mark"])
-        held = stage.put(held.select("text", "wanted").mapInArrow(forms, "id long, form string").dropDuplicates(["id"]), "forms")
-        left, right = (held.select(F.col("id").alias(c), F.col("form").alias(f"f{c}")) for c in "ab")
-        both = pairs.join(left, "a").join(right, "b")
-        most = f"cast((100 - {int(percent)}) * greatest(length(fa), length(fb)) div 100 as int)"
-        near = F.expr(f"abs(length(fa) - length(fb)) <= {most}") & F.expr(f"levenshtein(fa, fb, {most}) >= 0")
-        links = stage.put(both.where(near).select("a", "b"), "verified")
-        stage.drop(held)
+def similar(a: bytes, b: bytes, percent: int) -> bool:
+    most = (100 - percent) * max(len(a), len(b)) // 100
+    return edit_distance(a, b, most) <= most
+
+
+class _Exact:
+    """Checks on normal forms, which are worked out anew from the texts that hold the lines in question."""
+
+    def __init__(self, docs: DataFrame, lines: DataFrame, stage: Staging, percent: int) -> None:
+        self.docs, self.lines, self.stage, self.percent = _documents(docs), lines, stage, percent
+
+    def forms(self, ids: DataFrame) -> DataFrame:
+        """(id, held) of the lines: the normal form."""
+
+        def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                ids, held = [], []
+                for text, wanted in zip(x.column("text"), x.column("wanted"), strict=True):
+                    split = text.as_py().split("\n")
+                    for w in wanted.as_py():
+                        ids.append(w["id"])
+                        held.append(normal(split[w["pos"]]).encode())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["id", "held"])
+
+        wanted = keep_ids(self.lines, ids, "id").groupBy("first.doc", "first.mark").agg(F.collect_list(F.struct("id", F.col("first.pos").alias("pos"))).alias("wanted"))
+        wanted = self.stage.put(wanted, "wanted")
+        few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_IDS
+        found = self.docs.join(F.broadcast(wanted) if few else wanted, ["doc", "mark"])
+        return self.stage.put(found.select("text", "wanted").mapInArrow(forms, "id long, held binary").dropDuplicates(["id"]), "forms")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        percent = self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                right = [i for i, (a, b) in enumerate(zip(x.column("ha"), x.column("hb"), strict=True)) if similar(a.as_buffer().to_pybytes(), b.as_buffer().to_pybytes(), percent)]
+                yield x.select(["a", "b"]).take(pa.array(right, pa.int64()))
+
+        pairs = self.stage.put(pairs.select("a", "b"), "pairs")
+        held = self.forms(pairs.select("a").union(pairs.select("b")).toDF("id").distinct())
+        left, right = (held.select(F.col("id").alias(c), F.col("held").alias(f"h{c}")) for c in "ab")
+        links = self.stage.put(pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "verified")
+        self.stage.drop(held)
         return links
 
-    return verify
+    def across(self, rows: DataFrame, signatures: DataFrame) -> DataFrame:
+        """The links of different components inside mixed buckets; a pair is compared in the first block that it shares only."""
+        percent = self.percent
+
+        def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+            sig = matrix(x.column("sig").combine_chunks(), "<u4")
+            block = int(np.flatnonzero(block_keys(sig[:1])[0].view(np.int64) == x.column("key")[0].as_py())[0])
+
+            def near(at: int, others: np.ndarray) -> np.ndarray:
+                return (distance(sig[at], sig[others]) <= FARTHEST) & (sig[others, :block] != sig[at, :block]).all(axis=1)
+
+            return near_in_block(x, near)
+
+        return links_across(rows, signatures, self.forms, nearby, lambda a, b: similar(a.to_pybytes(), b.to_pybytes(), percent), self.stage)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
@@ -132,7 +228,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
     lines = rows.groupBy("id", "check").agg(F.min(F.struct("doc", "mark", "pos")).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     lines = stage.put(lines, "distinct")
     signatures = lines.select("id", "sig")
-    found, _ = link(_keys(signatures), signatures, distance, "<u4", FARTHEST, _verifier(docs, lines, stage, percent), stage)
+    exact = _Exact(docs, lines, stage, percent)
+    found, _ = link(_keys(signatures), signatures, distance, "<u4", FARTHEST, exact.verify, lambda mixed: exact.across(mixed, signatures), stage)
     grouped = lines.select("id", "check", "first", "n").join(found, "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     grouped = stage.put(grouped, "grouped")
     firsts = grouped.groupBy("component").agg(F.min("first").alias("stays"))

@@ -8,8 +8,7 @@ exact check decide. The work goes in two passes:
 2. What one component holds needs no more checks. The other pairs from buckets of two whose ends lie in different
    components are verified, and so is each pair of different components inside a mixed bucket that passes the
    signature comparison. Buckets are compared in blocks of ``BLOCK`` members; each pair of blocks is a row group of its
-   own, so that a large bucket is spread over many tasks. Only pairs that pass leave the comparison, or only
-   links if the caller brings its own (``across``).
+   own, so that a large bucket is spread over many tasks. Only links leave the comparison.
 
 After both passes every pair that shares a key and passes the signature comparison is either verified or inside
 one component. There is no cap on buckets, partners or candidates.
@@ -129,26 +128,45 @@ def near_in_block(x: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) ->
             yield at, others
 
 
-def near_pairs(rows: DataFrame, distance: Distance, dtype: type, most: int) -> DataFrame:
-    """(a, b) of different components within the buckets of ``rows`` (key, n, id, component, sig)."""
+def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[bytes, bytes], bool], stage: Staging) -> DataFrame:
+    """The links (a, b) of different components inside the mixed buckets of ``rows`` (key, n, id, component).
 
-    def work(x: pa.Table) -> pa.RecordBatch | None:
-        sig, ids = matrix(x.column("sig").combine_chunks(), dtype), x.column("id").to_numpy()
-        found = [(np.full(len(o), ids[at]), ids[o]) for at, o in near_in_block(x, lambda at, o: distance(sig[at], sig[o]) <= most)]
+    First the members with a near partner are found by their signatures, ``light`` (id, sig) and ``nearby``; then what ``heavy`` gives for
+    their ids, (id, held), is compared by ``alike``. What gets linked in a block needs no more links there, so links are few.
+    """
+
+    def candidates(x: pa.Table) -> pa.RecordBatch | None:
+        wanted = np.zeros(x.num_rows, bool)
+        for at, others in nearby(x):
+            wanted[at] = True
+            wanted[others] = True
+        return x.select(["key", "i", "j", "own", "id", "component", "sig"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else None
+
+    def links(x: pa.Table) -> pa.RecordBatch | None:
+        ids, held = x.column("id").to_numpy(), [v.as_buffer() for v in x.column("held")]
+        names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
+        root = np.arange(len(names))
+        found = []
+        for at, others in nearby(x):
+            for other in others.tolist():
+                if root[group[at]] != root[group[other]] and alike(held[at], held[other]):
+                    root[root == root[group[other]]] = root[group[at]]
+                    found.append((ids[at], ids[other]))
         if not found:
             return None
-        a, b = (np.concatenate(z) for z in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        a, b = np.array(found).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return each_block_pair(in_blocks(rows), work, "a long, b long").distinct()
+    spread = in_blocks(rows.join(light, "id"))
+    found = stage.put(each_block_pair(spread, candidates, "key long, i int, j int, own int, id long, component long, sig binary"), "near")
+    return each_block_pair(found.join(heavy(found.select("id").distinct()), "id"), links, "a long, b long")
 
 
-def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type, most: int, verify: Callable[[DataFrame], DataFrame], stage: Staging, across: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type, most: int, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], stage: Staging) -> tuple[DataFrame, DataFrame]:
     """(components, verified links) of the items.
 
     keys: (key, id), each once. signatures: (id, sig). verify: from (a, b) those that are links. across: the links
-    inside mixed buckets (key, n, id, component); by default the near pairs, verified. Items without a link are in no row
-    of the components.
+    inside mixed buckets (key, n, id, component), by ``links_across``. Items without a link are in no row of the components.
     """
     buckets = stage.put(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi"), "buckets")
     large = buckets.where("n > 2").select("key", "lo", "n")
@@ -168,10 +186,6 @@ def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type
     labels = stage.put(labelled(members.select("key", "n", "id"), "id", "component"), "labels")
     mixed = labels.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     rows = labels.join(mixed, "key")
-    if across:
-        more = verify(apart.join(first, ["a", "b"], "left_anti")).union(across(rows))
-    else:
-        inside = near_pairs(rows.join(signatures, "id"), distance, dtype, most)
-        more = verify(stage.put(apart.union(inside).distinct().join(first, ["a", "b"], "left_anti"), "more"))
+    more = verify(apart.join(first, ["a", "b"], "left_anti")).union(across(rows))
     links = links.union(stage.put(more.distinct(), "links"))
     return connected_components(links, stage), links

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.common import Staging, keep_ids
-from sondage.llm.linking import each_block_pair, in_blocks, link, matrix, near_in_block
+from sondage.llm.linking import link, links_across, matrix, near_in_block
 from sondage.llm.words import mix, shingle_sets
 
 CHUNKS, WIDTH = 12, 5
@@ -155,15 +155,13 @@ class _Exact:
     def across(self, rows: DataFrame) -> DataFrame:
         """The links of different components inside mixed buckets.
 
-        First the members with a near partner are found by long signatures, then their sets are compared. A pair is
-        compared in the first bucket that it shares only. What gets linked in a block needs no more links there.
+        Partners are near by long signatures. A pair is compared in the first bucket that it shares only.
         """
-        percent = self.percent
         rows = self.stage.put(rows, "mixed")
         held = self.sets(rows.select("id").distinct())
 
         def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-            sig = matrix(x.column("long").combine_chunks(), np.uint8)
+            sig = matrix(x.column("sig").combine_chunks(), np.uint8)
             short, more = np.ascontiguousarray(sig[:, : 2 * POSITIONS]).view("<u2"), sig[:, 2 * POSITIONS :]
             which = int(np.flatnonzero(signature_keys(short[:1])[0].view(np.int64) == x.column("key")[0].as_py())[0])
             chunk, gone = divmod(which, WIDTH)
@@ -177,31 +175,9 @@ class _Exact:
 
             return near_in_block(x, near)
 
-        def candidates(x: pa.Table) -> pa.RecordBatch | None:
-            wanted = np.zeros(x.num_rows, bool)
-            for at, others in nearby(x):
-                wanted[at] = True
-                wanted[others] = True
-            return x.select(["key", "i", "j", "own", "id", "component", "long"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else None
-
-        def links(x: pa.Table) -> pa.RecordBatch | None:
-            ids, sets = x.column("id").to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in x.column("held")]
-            names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
-            root = np.arange(len(names))
-            found = []
-            for at, others in nearby(x):
-                for other in others.tolist():
-                    if root[group[at]] != root[group[other]] and alike(sets[at], sets[other], percent):
-                        root[root == root[group[other]]] = root[group[at]]
-                        found.append((ids[at], ids[other]))
-            if not found:
-                return None
-            a, b = np.array(found).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        spread = in_blocks(rows.join(held.select("id", "long"), "id"))
-        found = self.stage.put(each_block_pair(spread, candidates, "key long, i int, j int, own int, id long, component long, long binary"), "near")
-        return each_block_pair(found.join(held.select("id", "held"), "id"), links, "a long, b long")
+        percent = self.percent
+        held = held.select("id", "held", F.col("long").alias("sig"))
+        return links_across(rows, held.select("id", "sig"), lambda ids: held.select("id", "held"), nearby, lambda a, b: alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent), self.stage)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -214,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = stage.put(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")), "texts")
     signatures = texts.select("id", "sig")
     exact = _Exact(docs, stage, percent)
-    components, _ = link(_keys(signatures), signatures, distance, "<u2", FARTHEST, exact.verify, stage, exact.across)
+    components, _ = link(_keys(signatures), signatures, distance, "<u2", FARTHEST, exact.verify, exact.across, stage)
     # A doc_id whose rows hold different texts connects them, as its rows are one document.
     own = texts.select("digest", "id").join(components, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     rows = rows.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
