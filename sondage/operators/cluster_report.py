@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.operators.clustering import SEED, gaussian_mixture, kmeans
+from sondage.operators.clustering import SEED, kmeans, mixture_em
 from sondage.operators.types import clean, need, number
 
 #: Rows against which the exact silhouette of every row is worked out.
@@ -145,7 +145,7 @@ def information_criteria(rows: DataFrame, k_max: int) -> list[dict]:
     n, d = rows.count(), len(rows.first().features)
     out = []
     for k in range(1, min(k_max, max(2, n // 5)) + 1):
-        _, likely = gaussian_mixture(rows, k)
+        _, likely = mixture_em(rows, k, "full", SEED)
         free = k - 1 + k * d + k * d * (d + 1) // 2
         out.append({"k": k, "bic": round(free * math.log(n) - 2 * likely, 2), "aic": round(2 * free - 2 * likely, 2)})
     return out

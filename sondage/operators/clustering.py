@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondage.sources.staging import Staging
+
 SAMPLE, SEED = 2000, 42
 STARTS = 4
 #: Rows that the bandwidth of mean-shift is estimated on.
@@ -70,13 +72,13 @@ def gaussian_mixture(rows: DataFrame, k: int, covariance: str = "full", seed: in
     if covariance not in COVARIANCES:
         raise ValueError(f"covariance must be one of {COVARIANCES}")
     if k == 1 or covariance != "full":
-        return _mixture(rows, k, covariance, seed)
+        return mixture_em(rows, k, covariance, seed)
     models = [GaussianMixture(k=k, seed=seed + i, maxIter=100, predictionCol="cluster").fit(rows) for i in range(STARTS)]
     model = max(models, key=lambda m: m.summary.logLikelihood)
     return model.transform(rows).drop("probability"), float(model.summary.logLikelihood)
 
 
-def _mixture(rows: DataFrame, k: int, covariance: str, seed: int, rounds: int = 60, tolerance: float = 1e-3) -> tuple[DataFrame, float]:
+def mixture_em(rows: DataFrame, k: int, covariance: str, seed: int, rounds: int = 60, tolerance: float = 1e-3) -> tuple[DataFrame, float]:
     """EM; each round sums responsibilities and moments by partition, so the driver sees a few matrices a partition and nothing else."""
     x = rows.select(vector_to_array("features").alias("x"))
     d = len(x.first().x)
@@ -158,15 +160,17 @@ def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int = 5) -> DataF
     distance = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     near = x.join(around, [f"c{i}" for i in range(dims)]).where(distance <= eps * eps).select("id", "other")
     core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    near = near.join(core.withColumnRenamed("id", "other"), "other")  # towards cores
-    edges = near.join(core, "id").checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else near.join(core, "id").persist()
+    stage = Staging(rows.sparkSession, "dbscan")
+    core = stage.put(core, "core")
+    near = stage.put(near.join(core.withColumnRenamed("id", "other"), "other"), "near")  # towards cores
+    edges = stage.put(near.join(core, "id"), "edges")
     label = core.withColumn("cluster", F.col("id"))
     while True:
         low = edges.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("low"))
         jumped = label.join(low, "id", "left").select("id", F.least("cluster", "low").alias("cluster"))
         # Pointer jumping: the label of the label.
         jumped = jumped.join(jumped.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster"))
-        jumped = jumped.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else jumped.persist()
+        jumped = stage.put(jumped, "labels")
         moved = jumped.join(label.withColumnRenamed("cluster", "old"), "id").where("old <> cluster").isEmpty()
         label = jumped
         if moved:
@@ -263,6 +267,48 @@ def dendrogram(rows: DataFrame, most: int = 300, linkage: str = "ward") -> DataF
     return rows.sparkSession.createDataFrame([(i, int(a), int(b), float(h), int(s), bool(h > 0.7 * top)) for i, (a, b, h, s) in enumerate(tree)], "step int, a int, b int, height double, size int, above boolean")
 
 
+def tsne(rows: DataFrame, key: str, most: int = 3000, rounds: int = 500, seed: int = SEED) -> DataFrame:
+    """(key, x, y) of a sample of at most ``most`` rows by t-distributed neighbour embedding; equal rows share a place.
+
+    No rows with fewer than four distinct ones. The embedding is a picture of a bounded sample, so it is worked out in one place.
+    """
+    x = rows.select(F.col(key).alias("id"), vector_to_array("features").alias("x"))
+    found = x.select("id", "x", F.xxhash64("x", F.lit(seed)).alias("h")).orderBy("h", "id").limit(most).select("id", "x").collect()
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, x double, y double"
+    distinct = {tuple(r.x) for r in found}
+    if len(distinct) < 4:
+        return rows.sparkSession.createDataFrame([], schema)
+    points, back = np.unique(np.array([r.x for r in found], float), axis=0, return_inverse=True)
+    n = len(points)
+    perplexity = max(5, min(50, n // 5, n - 1))
+    d = np.maximum((points**2).sum(1)[:, None] - 2 * points @ points.T + (points**2).sum(1)[None, :], 0)
+    low, high, beta = np.zeros(n), np.full(n, np.inf), np.full(n, 1.0 / max(d.mean(), 1e-12))
+    for _ in range(60):  # the width of each row's kernel, by bisection on its entropy
+        p = np.exp(-(d - np.where(np.eye(n, dtype=bool), np.inf, d).min(1)[:, None]) * beta[:, None])
+        np.fill_diagonal(p, 0)
+        p /= p.sum(1, keepdims=True)
+        entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(1)
+        wide = entropy > np.log(min(perplexity, n - 1))
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    p = (p + p.T) / (2 * n)
+    centred = points - points.mean(0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    y = centred @ axes[:2].T if len(axes) > 1 else np.column_stack([centred @ axes[0], np.zeros(n)])
+    y = y / max(y[:, 0].std(), 1e-12) * 1e-4
+    step, rate = np.zeros_like(y), max(n / 48, 10.0)
+    for k in range(rounds):
+        near = 1 / (1 + np.maximum((y**2).sum(1)[:, None] - 2 * y @ y.T + (y**2).sum(1)[None, :], 0))
+        np.fill_diagonal(near, 0)
+        force = ((12.0 if k < 250 else 1.0) * p - near / near.sum()) * near
+        slope = 4 * (force.sum(1)[:, None] * y - force @ y)
+        step = (0.5 if k < 250 else 0.8) * step - rate * slope
+        y = y + step
+        y -= y.mean(0)
+    at = y[back.ravel()]
+    return rows.sparkSession.createDataFrame([(r.id, float(a), float(b)) for r, (a, b) in zip(found, at, strict=True)], schema)
+
+
 def bandwidth(x: np.ndarray, quantile: float = 0.2) -> float:
     """Mean distance to the neighbour at the quantile, on up to ``BANDWIDTH_ROWS`` rows; at least 0.01."""
     x = x[:BANDWIDTH_ROWS]

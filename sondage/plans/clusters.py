@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.operators import cluster_report, clustering, features
+from sondage.operators import cluster_report, clustering, features, jobs
 from sondage.plans.base import query, table
 
 COLUMNS = [f"e{i}" for i in range(4)]
@@ -158,6 +158,19 @@ def pca_2d(spark, sf_dir):
     return features.projection_2d(_plain(spark, sf_dir)).select("vec_id", F.round("pc_1", 6).alias("pc_1"), F.round("pc_2", 6).alias("pc_2"))
 
 
+@query("tsne_2d")
+def tsne_2d(spark, sf_dir):
+    found = clustering.tsne(_plain(spark, sf_dir), "vec_id")
+    return found.select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("clustering_job")
+def clustering_job(spark, sf_dir):
+    """The metrics of the whole job on a table with text and numbers."""
+    found = jobs.cluster(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "kmeans", k=3)
+    return spark.createDataFrame([(m, v) for m, v in found["metrics"].items()], "metric string, value double")
+
+
 @query("dendrogram")
 def dendrogram(spark, sf_dir):
     return clustering.dendrogram(_plain(spark, sf_dir))
