@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm.common import small_batches
+
 #: A longer text is cut at the first safe boundary after so many characters.
 PIECE_CHARS = 50_000
 RANKS = "byte_bpe_50k.tiktoken"
@@ -68,6 +70,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
                 ids = [encode(t.as_py() or "", bpe) for t in rows.column("text")]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([decode(i, bpe) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode_all, "doc_id long, ids binary, decoded binary")
 
 

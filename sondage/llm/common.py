@@ -1,50 +1,29 @@
-"""Shared helpers: staged tables in the shared folder, size-checked broadcasts and whole-table reads."""
+"""Shared helpers: size-checked broadcasts and whole-table reads."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most ids that an explicit broadcast may carry (16 bytes each, so 32 MB); above it, joins shuffle.
-BROADCAST_IDS = 2_000_000
+from sondage.sources.staging import Staging, shared_dir
 
+__all__ = ["BROADCAST_IDS", "Staging", "keep_ids", "shared_dir", "small_batches", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Most ids that an explicit broadcast may carry (16 bytes each, so 32 MB); above it, joins shuffle.
+BROADCAST_IDS = 2_000_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sondage.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="sondage-")
-        spark.conf.set("sondage.shared.dir", found)
-    return found.rstrip("/")
 
+#: Most bytes of a batch that is handed to Python; the usual 64 MB come several times over, as texts grow into sets and ids.
+BATCH_BYTES = 4 << 20
 
-class Staging:
-    """Tables written to the shared folder. They cut lineage: a lost executor costs no more than its running tasks."""
 
-    def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        self.count = 0
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches handed to Python by bytes, so that their memory doesn't depend on the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a staged table that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if self.root.split(":", 1)[-1].lstrip("/") in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm.common import small_batches
 from sondage.llm.words import SHINGLE, Words, mix, shingle_sets, slices
 
 #: Shingles in a block of items; as 8 bytes each, this bounds what is sent to a task.
@@ -98,6 +99,7 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) for each document row and each item found in it."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
     for block in blocks(items, percent):
@@ -120,6 +122,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFr
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """The document rows in which no item is found, with all columns."""
     spark, schema = docs.sparkSession, docs.schema
+    small_batches(spark)
     for block in blocks(items, percent):
         sent = spark.sparkContext.broadcast(block)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids
+from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids, small_batches
 from sondage.llm.linking import link, links_across, matrix, near_in_block
 from sondage.llm.words import Words, mix, slices
 
@@ -224,6 +224,7 @@ class _Exact:
 def duplicate_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
     """(doc, mark, gone): the line numbers that each document loses; documents that lose none are left out."""
     stage = Staging(docs.sparkSession, "lines")
+    small_batches(docs.sparkSession)
     rows = stage.put(occurrences(docs), "occurrences")
     lines = rows.groupBy("id", "check").agg(F.min(F.struct("doc", "mark", "pos")).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     lines = stage.put(lines, "distinct")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.common import Staging, keep_ids
+from sondage.llm.common import Staging, keep_ids, small_batches
 from sondage.llm.linking import link, links_across, matrix, near_in_block
 from sondage.llm.words import mix, shingle_sets
 
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ``percent`` is the least similarity, 75 or more: the signature thresholds are set for 75.
     """
     stage = Staging(docs.sparkSession, "near")
+    small_batches(docs.sparkSession)
     rows = stage.put(features(docs), "features")
     texts = stage.put(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")), "texts")
     signatures = texts.select("id", "sig")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondage.llm.common import Staging
+from sondage.llm.common import Staging, small_batches
 
 WINDOW = 8
 FEWEST_WORDS, MOST_REPEATED = 20, 30
@@ -74,6 +74,7 @@ def _measures(batch: pa.RecordBatch) -> list[tuple[int, int, int, int, int]]:
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, host, measures..., base_failed) of each row of ``docs`` (doc_id, text, source)."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("binary").alias("text"))
     schema = T.StructType([*source.drop("text").schema, *(T.StructField(x, T.LongType()) for x in MEASURES), T.StructField("base_failed", T.BooleanType())])
 
@@ -93,6 +94,7 @@ def passing(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not failing(x) for x in _measures(batch)], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 

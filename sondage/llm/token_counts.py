@@ -26,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm.common import small_batches
+
 MODEL = "piece_bpe_32k.model"
 WORD_MARK = "▁"
 MOST_NODES = 600_000
@@ -114,4 +116,5 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 tokens.append(model.count(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondage.llm.common import BROADCAST_IDS
+from sondage.llm.common import BROADCAST_IDS, small_batches
 from sondage.llm.words import Numbers, mix, prefix_sums
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -251,6 +251,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         if owners:
             yield made()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark")
     rows.select("doc_id", "text").mapInArrow(encode, schema).write.option("compression", "zstd").parquet(folder)
@@ -266,6 +267,7 @@ def _starts(blocks: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of each document in the files: ids as little-endian unsigned 32-bit integers."""
+    small_batches(spark)
     blocks = spark.read.parquet(folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

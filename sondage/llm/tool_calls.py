@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.llm.common import Staging
+from sondage.llm.common import Staging, small_batches
 
 STRETCH = 256
 _NOWHERE = 2**62
@@ -134,6 +134,7 @@ def _places(calls: DataFrame, stage: Staging) -> DataFrame:
 def linked(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """(conv_id, call_id, turn, name, topo_rank, cyclic, result_turn, content, canonical, errors) of each call."""
     stage = Staging(calls.sparkSession, "calls")
+    small_batches(calls.sparkSession)
     calls = calls.where("conv_id is not null and call_id is not null").withColumn("turn", F.coalesce(F.col("turn").cast("long"), F.lit(0)))
     calls = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select("conv_id", "call_id", "c.*")
     calls = stage.put(calls, "calls")

@@ -10,8 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Texts are taken in slices of about this many bytes, so that the arrays of a slice stay near 100 MB. One longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+#: Texts are taken in slices of about this many bytes, so that the arrays of a slice stay near 50 MB. One longer text is a slice of its own.
+SLICE_BYTES = 1_000_000
 SHINGLE = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
