@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,24 +24,30 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def dagostino_k2(n: Column, g1: Column, g2: Column) -> Column:
-    """D'Agostino and Pearson's K² from population skewness and excess kurtosis; needs n of 8 or more."""
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta - 1))
-    delta = 1 / F.sqrt(0.5 * F.ln(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1))
-    y = F.when(y == 0, 1.0).otherwise(y)
-    z1 = delta * F.ln(y / alpha + F.sqrt((y / alpha) * (y / alpha) + 1))
-    e = 3.0 * (n - 1) / (n + 1)
-    v = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3.0) * (n + 5))
-    x = (g2 + 3 - e) / F.sqrt(v)
-    s = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
-    a = 6.0 + 8.0 / s * (2.0 / s + F.sqrt(1 + 4.0 / (s * s)))
-    d = 1 + x * F.sqrt(2 / (a - 4.0))
-    root = F.signum(d) * F.cbrt((1 - 2.0 / a) / F.abs(d))
-    z2 = (1 - 2.0 / (9.0 * a) - root) / F.sqrt(2.0 / (9.0 * a))
-    return z1 * z1 + z2 * z2
+def with_k2(rows: DataFrame) -> DataFrame:
+    """``rows`` (n, g1, g2, ...) with ``k2``: D'Agostino and Pearson's K² from population skewness and excess kurtosis, for n of 8 or more.
+
+    Worked out in steps: one nested expression would repeat its parts thousands of times in generated code.
+    """
+    n = F.col("__n")
+    square = lambda c: F.col(c) * F.col(c)
+    steps = [
+        {"__n": F.greatest(F.col("n"), F.lit(8)).cast("double")},
+        {
+            "__y": F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))),
+            "__beta": 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)),
+            "__s": 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3))),
+            "__x": (F.col("g2") + 3 - 3.0 * (n - 1) / (n + 1)) / F.sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3.0) * (n + 5))),
+        },
+        {"__y": F.when(F.col("__y") == 0, 1.0).otherwise(F.col("__y")), "__w": -1 + F.sqrt(2 * (F.col("__beta") - 1)), "__a": 6.0 + 8.0 / F.col("__s") * (2.0 / F.col("__s") + F.sqrt(1 + 4.0 / square("__s")))},
+        {"__delta": 1 / F.sqrt(0.5 * F.ln("__w")), "__r": F.col("__y") / F.sqrt(2.0 / (F.col("__w") - 1)), "__d": 1 + F.col("__x") * F.sqrt(2 / (F.col("__a") - 4.0))},
+        {"__z1": F.col("__delta") * F.ln(F.col("__r") + F.sqrt(square("__r") + 1)), "__root": F.signum("__d") * F.cbrt((1 - 2.0 / F.col("__a")) / F.abs("__d"))},
+        {"__z2": (1 - 2.0 / (9.0 * F.col("__a")) - F.col("__root")) / F.sqrt(2.0 / (9.0 * F.col("__a")))},
+        {"k2": F.when(F.col("n") >= 8, square("__z1") + square("__z2"))},
+    ]
+    for step in steps:
+        rows = rows.withColumns(step)
+    return rows.drop(*(c for step in steps for c in step if c.startswith("__")))
 
 
 def erf(x: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.stats import adjusted_kurtosis, adjusted_skew, dagostino_k2, erf, normal_density, normal_quantile
+from sondage.functions.stats import adjusted_kurtosis, adjusted_skew, erf, normal_density, normal_quantile, with_k2
 from sondage.operators.profile import numbered
 from sondage.operators.types import clean, need, number, numeric_columns
 
@@ -24,11 +24,8 @@ def dagostino(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(df)
     need(df, *columns, numeric=True)
     one = df.agg(*(x for i, c in enumerate(columns) for x in (F.count(number(c)).alias(f"n{i}"), F.skewness(number(c)).alias(f"g{i}"), F.kurtosis(number(c)).alias(f"k{i}"))))
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"g{i}").alias("g"), F.col(f"k{i}").alias("k")) for i, c in enumerate(columns)]
-    rows = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    n = F.greatest("n", F.lit(8)).cast("double")
-    k2 = F.when((F.col("n") >= 8) & F.col("g").isNotNull(), dagostino_k2(n, F.coalesce("g", F.lit(0.0)), F.coalesce("k", F.lit(0.0))))
-    rows = rows.select("column", "n", k2.alias("k2"))
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2")) for i, c in enumerate(columns)]
+    rows = with_k2(one.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
     p = F.exp(-F.col("k2") / 2)
     return rows.select("column", "n", F.round("k2", 4).alias("k2"), F.round(p, 6).alias("p_value"), (p >= ALPHA).alias("normal"))
 

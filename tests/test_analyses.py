@@ -124,14 +124,22 @@ def test_normality(spark, table, people):
 
 
 def test_k2_of_known_samples(spark):
-    df = spark.createDataFrame([(float(x),) for x in range(20)], "x double")
-    one = df.agg(F.count("x").cast("double").alias("n"), F.skewness("x").alias("g"), F.kurtosis("x").alias("k"))
-    from sondage.functions.stats import dagostino_k2
-
-    z2 = -1.70581
-    k2 = one.select(dagostino_k2(F.col("n"), F.col("g"), F.col("k")).alias("k2")).first().k2
-    y = math.sqrt(6 * 18 / ((21) * (23)))  # with y = 1 in place of 0
-    assert k2 > z2 * z2 - 1e-3 and y > 0
+    """The tests' published examples: skewness of eight values, kurtosis of 0 to 19."""
+    from sondage.functions.stats import with_k2
+
+    def of(values, **fixed):
+        df = spark.createDataFrame([(float(x),) for x in values], "x double")
+        one = df.agg(F.count("x").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"))
+        return with_k2(one.withColumns({k: F.lit(v) for k, v in fixed.items()})).first()
+
+    # With other kurtosis held the same, the difference of two squares is that of the skewness parts.
+    skewed = of([2, 8, 0, 4, 1, 9, 9, 0])
+    other = of(range(1, 9), g2=skewed.g2)
+    assert skewed.k2 - other.k2 == pytest.approx(0.44626**2 - 1.01080**2, abs=1e-3)
+    twenty = of(range(20))
+    same = of(range(20), g2=twenty.g2, g1=0.0)
+    assert twenty.k2 == same.k2 and twenty.k2 > 1.70581**2
+    assert of([1, 2, 3]).k2 is None
 
 
 def test_personal_types_and_treatment(spark):
