@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line is what ``\\n`` separates. Its normal form has A-Z lower-cased and every run of ASCII characters that are neither letters
-nor digits as one space; lines with an empty normal form are never duplicates. Equal normal forms are collapsed first. The SimHash
-of a normal form has 160 bits over its words of four bytes or more (over all if there are none), in five blocks of 32 bits: two hashes at most 4 bits apart agree, by pigeonhole, in a
-block, and blocks are so long that few other lines share one. Pairs that share a block and lie at most 20 bits apart are verified:
-their Levenshtein distance may be 10 in 100 of the longer one's bytes.
+A line is what ``\\n`` separates. Its normal form is lower case with every run of characters that are neither letters nor digits as
+one space; lines with an empty normal form are never duplicates. Equal normal forms are collapsed first. The SimHash of a normal
+form has 384 bits, 192 over all its words and 192 over those of four bytes or more (over all if there are none), in twelve blocks of 32
+bits: two hashes at most 11 bits apart agree, by pigeonhole, in a block, and blocks are so long that few other lines share one. All pairs that share a block are verified: their Levenshtein distance may
+be 10 in 100 of the longer one's characters.
 Of each connected group the first occurrence by (doc_id, line number) stays; all other lines of the group are removed.
 
 Defined cases: null text stays null and has no lines; rows that share doc_id and text are one document; a null doc_id
@@ -14,6 +14,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,29 +26,38 @@ from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids, small_batches
 from sondage.llm.linking import link, links_across, matrix, near_in_block
 from sondage.llm.words import Words, mix, slices
 
-BLOCKS = 5
+BLOCKS = 12
 BITS = 32 * BLOCKS
-#: Shorter words, most of which are common ones, would make hashes of unrelated lines alike.
-FEATURE_BYTES = 4
-#: Pairs of hashes beyond here are not verified.
-FARTHEST = 20
+#: The words that the second half of the blocks is about: lines that differ in a shorter word agree there.
+LONG_BYTES = 4
+#: Pairs of hashes beyond here are not verified: there are none.
+FARTHEST = BITS
 
 _LANE = np.random.default_rng(20240608).integers(0, 2**63, (BITS + 63) // 64 + 1, dtype=np.uint64)
 #: Each byte's bits as the eight bytes of an integer, so that one addition counts eight bits.
 _BITS_AS_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 _NORMAL = bytes(c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: What ``_NORMAL`` leaves of the characters that are neither letters nor digits.
+_WIDE = re.compile(r"[^\w\x00-\x7F]+")
 _NO_ID = -(2**63)
 
 
+def _spaced(text: bytes) -> bytes:
+    """The text in lower case, each character but letters, digits and line ends as spaces."""
+    if not text.isascii():
+        text = _WIDE.sub(" ", text.decode(errors="replace").lower()).encode()
+    return text.translate(_NORMAL)
+
+
 def normal(line: str) -> str:
-    return b" ".join(line.encode().translate(_NORMAL).split()).decode()
+    return b" ".join(_spaced(line.encode()).split()).decode()
 
 
 class Lines:
     """The lines with a normal form of a slice of texts: text and line number, 128-bit hash, SimHash."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        words = Words([t.translate(_NORMAL) for t in texts])
+        words = Words([_spaced(t) for t in texts])
         ends = np.flatnonzero(words.raw == 10)
         line = np.searchsorted(ends, words.start)
         first = np.flatnonzero(np.diff(line, prepend=-1))
@@ -58,24 +68,24 @@ class Lines:
         self.text = owner[line[first]]
         self.pos = line[first] - before[self.text]
         self.digest = np.stack([words.joined_hash(first, count, lane) for lane in _LANE[:2]], axis=1)
-        # Features: the longer words, or all words of a line that has no longer one.
-        long = words.end - words.start >= FEATURE_BYTES
+        long = words.end - words.start >= LONG_BYTES
         counted = long | ~np.repeat(np.logical_or.reduceat(long, first) if len(first) else long, count)
-        count = np.add.reduceat(counted, first, dtype=np.int64) if len(first) else count
-        self.sig = _simhash(words.hash[counted], np.cumsum(count) - count, count)
+        n = np.add.reduceat(counted, first, dtype=np.int64) if len(first) else count
+        half = len(_LANE) // 2 + 1
+        self.sig = np.concatenate([_simhash(words.hash, first, count, _LANE[1:half]), _simhash(words.hash[counted], np.cumsum(n) - n, n, _LANE[half:])], axis=1)
 
 
-def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Rows of 32-bit blocks, of the words ``first[i]`` to ``first[i] + count[i]``."""
+def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit blocks, of the words ``first[i]`` to ``first[i] + count[i]``, with 64 bits by lane."""
     if not len(first):
-        return np.empty((0, BLOCKS), "<u4")
-    raw = np.concatenate([mix(hashes ^ lane).view(np.uint8).reshape(-1, 8) for lane in _LANE[1:]], axis=1)
+        return np.empty((0, 2 * len(lanes)), "<u4")
+    raw = np.concatenate([mix(hashes ^ lane).view(np.uint8).reshape(-1, 8) for lane in lanes], axis=1)
     # A byte counts up to 255 words: longer lines are added up in parts.
     parts = -(-count // 255)
     last = np.cumsum(parts)
     start = np.repeat(first, parts) + 255 * (np.arange(last[-1]) - np.repeat(last - parts, parts))
-    out = np.empty((len(first), BITS), bool)
-    for k in range(BITS // 8):
+    out = np.empty((len(first), 64 * len(lanes)), bool)
+    for k in range(8 * len(lanes)):
         ones = np.add.reduceat(_BITS_AS_BYTES[raw[:, k]], start).view(np.uint8).reshape(-1, 8)
         if len(start) > len(first):
             ones = np.add.reduceat(ones, last - parts, axis=0, dtype=np.int64)
@@ -92,20 +102,25 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
+def _letters(a: bytes) -> np.ndarray:
+    """The characters' numbers."""
+    return np.frombuffer(a, np.uint8) if a.isascii() else np.frombuffer(a.decode().encode("utf-32-le"), "<u4")
+
+
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
-    """The Levenshtein distance, or more than ``most`` where it is more. Columns of the table are bits of an integer."""
+    """The Levenshtein distance of characters, or more than ``most`` where it is more. Columns of the table are bits of an integer."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    x, y = _letters(a), _letters(b)
+    if abs(len(x) - len(y)) > most:
         return most + 1
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     n = min(len(x), len(y))
     same = x[:n] == y[:n]
     head = n if same.all() else int(same.argmin())
     n -= head
     same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
     tail = n if same.all() else int(same.argmin())
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    a, b = x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist()
     if not a or not b:
         return len(a) + len(b)
     at: dict[int, int] = {}
@@ -161,7 +176,7 @@ def _keys(signatures: DataFrame) -> DataFrame:
 
 
 def similar(a: bytes, b: bytes, percent: int) -> bool:
-    most = (100 - percent) * max(len(a), len(b)) // 100
+    most = (100 - percent) * max(len(_letters(a)), len(_letters(b))) // 100
     return edit_distance(a, b, most) <= most
 
 
