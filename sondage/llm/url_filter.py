@@ -5,8 +5,7 @@ The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 that fit a URL the longest decides. The other URLs are judged by trees trained on labelled URLs: length, depth, digit ratio,
 entropy, parameter counts, and counts and block rate of the host's last two labels among the labelled URLs.
 
-The trees are fitted on a sample of about ``SAMPLE`` labelled rows, chosen by a hash of the row, so that fitting costs the same at
-every size; all rows are judged.
+The counts and rates are taken over all labelled rows. Only the trees are fitted on a sample of about ``SAMPLE`` labelled rows, chosen by a hash of the row, so that fitting costs the same at every size; all rows are judged.
 
 Defined cases: a null URL has empty host and path, no rule and is judged by its features (length 0); without labelled URLs of
 both kinds the method allows all; repeated rows are each judged; extra columns are ignored; an empty table gives an empty result.
@@ -22,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.common import Staging
+from sondage.llm.common import BROADCAST_IDS, Staging
 
 #: Labelled rows that the trees are fitted on, about.
 SAMPLE = 20_000
@@ -95,37 +94,40 @@ def with_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffix(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-    # At most one row for each row of the bounded sample.
-    rows = rows.join(F.broadcast(suffixes), "suffix", "left")
-    return rows.withColumns({"suffix_count": F.coalesce("suffix_count", F.lit(0.0)), "suffix_rate": F.coalesce("suffix_rate", F.lit(0.5))})
-
-
 class UrlModel:
     """Trees and suffix statistics, fitted on labelled URLs (url, host, path, blocked)."""
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE) -> None:
-        spark = labelled.sparkSession
-        count, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
+        stage = Staging(labelled.sparkSession, "urls")
         self.model = None
+        sums = labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("k"))
+        sums = stage.put(sums, "suffixes")
+        suffixes, count, blocked = sums.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
         if not 0 < blocked < count:
             return
+        self.suffixes = sums.select("suffix", F.col("n").cast("double").alias("suffix_count"), ((F.col("k") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
+        self.few = suffixes <= BROADCAST_IDS
         part = F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / count) + 0.5)
-        rows = Staging(spark, "urls").put(with_features(labelled.where(part)), "sample")
+        rows = stage.put(with_features(labelled.where(part)), "sample")
         n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
         if not 0 < blocked < n:
             return
-        self.suffixes = rows.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_count"), ((F.sum(F.col("blocked").cast("int")) + 1) / (F.count("*") + 2)).alias("suffix_rate"))
+        rows = self._with_suffix(rows)
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        training = self.assembler.transform(_with_suffix(rows, self.suffixes)).select("features", F.col("blocked").cast("double").alias("label")).coalesce(2)
+        training = self.assembler.transform(rows).select("features", F.col("blocked").cast("double").alias("label")).coalesce(2)
         self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(training)
 
+    def _with_suffix(self, rows: DataFrame) -> DataFrame:
+        # One row for each suffix of a labelled host, counted before.
+        rows = rows.join(F.broadcast(self.suffixes) if self.few else self.suffixes, "suffix", "left")
+        return rows.withColumns({"suffix_count": F.coalesce("suffix_count", F.lit(0.0)), "suffix_rate": F.coalesce("suffix_rate", F.lit(0.5))})
+
     def blocked(self, pages: DataFrame) -> DataFrame:
         """``pages`` (url, host, path, ...) with ``blocked`` and its probability."""
         if self.model is None:
             return pages.withColumns({"blocked": F.lit(False), "p_blocked": F.lit(0.0)})
         names = pages.columns
-        rows = self.model.transform(self.assembler.transform(_with_suffix(with_features(pages), self.suffixes)))
+        rows = self.model.transform(self.assembler.transform(self._with_suffix(with_features(pages))))
         return rows.select(*names, (F.col("prediction") > 0.5).alias("blocked"), vector_to_array("probability")[1].alias("p_blocked"))
 
 
