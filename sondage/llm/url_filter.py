@@ -5,7 +5,8 @@ The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 that fit a URL the longest decides. The other URLs are judged by trees trained on labelled URLs: length, depth, digit ratio,
 entropy, parameter counts, and counts and block rate of the host's last two labels among the labelled URLs.
 
-The counts and rates are taken over all labelled rows. Only the trees are fitted on a sample of about ``SAMPLE`` labelled rows, chosen by a hash of the row, so that fitting costs the same at every size; all rows are judged.
+The counts and rates are taken over all labelled rows. Only the trees are fitted on a sample of about ``SAMPLE`` labelled rows, half of it at
+most of each verdict while both have more, chosen by a hash of the row, so that fitting costs the same at every size; all rows are judged.
 
 Defined cases: a null URL has empty host and path, no rule and is judged by its features (length 0); without labelled URLs of
 both kinds the method allows all; repeated rows are each judged; extra columns are ignored; an empty table gives an empty result.
@@ -94,8 +95,23 @@ def with_features(pages: DataFrame) -> DataFrame:
     )
 
 
+def _sample(labelled: DataFrame, allowed: int, blocked: int, sample: int) -> DataFrame:
+    """About ``sample`` rows (url, host, path, blocked), by a hash of page_id and URL, of each verdict up to half; what one verdict leaves free goes to the other.
+
+    A verdict of few rows is taken whole; of the other the row with the smallest hash is always in, so neither verdict is missing.
+    """
+    part = F.pmod(F.xxhash64(*(c for c in ("page_id", "url") if c in labelled.columns), F.lit(SEED)), F.lit(1_000_000_000))
+    rows = labelled.select("url", "host", "path", "blocked", part.alias("part"))
+    half = sample / 2
+    most = {True: max(half, sample - allowed), False: max(half, sample - blocked)}
+    share = {v: int(1_000_000_000 * min(1.0, most[v] / n) + 0.5) for v, n in ((True, blocked), (False, allowed))}
+    least = dict(rows.groupBy("blocked").agg(F.min("part")).collect())
+    bound = {v: max(share[v], least[v] + 1) for v in share}
+    return rows.where(F.col("part") < F.when(F.col("blocked"), bound[True]).otherwise(bound[False])).drop("part")
+
+
 class UrlModel:
-    """Trees and suffix statistics, fitted on labelled URLs (url, host, path, blocked)."""
+    """Trees and suffix statistics, fitted on labelled URLs (url, host, path, blocked, and page_id if there is one)."""
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE) -> None:
         stage = Staging(labelled.sparkSession, "urls")
@@ -107,12 +123,7 @@ class UrlModel:
             return
         self.suffixes = sums.select("suffix", F.col("n").cast("double").alias("suffix_count"), ((F.col("k") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
         self.few = suffixes <= BROADCAST_IDS
-        part = F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / count) + 0.5)
-        rows = stage.put(with_features(labelled.where(part)), "sample")
-        n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
-        if not 0 < blocked < n:
-            return
-        rows = self._with_suffix(rows)
+        rows = self._with_suffix(with_features(stage.put(_sample(labelled, count - blocked, blocked, sample), "sample")))
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         training = self.assembler.transform(rows).select("features", F.col("blocked").cast("double").alias("label")).coalesce(2)
         self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(training)
@@ -140,6 +151,6 @@ def judged(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> DataFra
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     text, verdict = rule_for(rules)
     rows = rows.withColumns({"rule": text, "by_rule": verdict})
-    model = UrlModel(rows.where("by_rule is not null").select("url", "host", "path", (F.col("by_rule") == "block").alias("blocked")), sample)
+    model = UrlModel(rows.where("by_rule is not null").select("page_id", "url", "host", "path", (F.col("by_rule") == "block").alias("blocked")), sample)
     method = F.when(F.col("blocked"), "block").otherwise("allow")
     return model.blocked(rows).select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "p_blocked")
