@@ -45,7 +45,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_BYTES)
+    folder = f"{Staging(spark, 'shards').root}/files"
+    return sharding.written_shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_BYTES, folder)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

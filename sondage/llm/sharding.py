@@ -10,7 +10,7 @@ A bucket of one key can't be split by its hash. If it exceeds the limit, its row
 within each input partition, so that no task gathers them all; a row larger than the limit has a page of its own.
 
 Defined cases: null text has no bytes; a null key is hashed as the empty string; repeated rows share a bucket; extra
-columns are ignored; an empty table gives an empty result.
+columns are written to the files; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from sondage.llm.common import Staging
+from sondage.llm.common import BROADCAST_IDS, Staging
 
 HASH_BITS = 60
 #: Bits beyond an even spread in the first aggregation, and in each refinement.
 MORE_BITS = 6
+#: Columns that name the folders of the files.
+FOLDERS = ("in_shard", "in_page")
 
 
 def hash_bits(key: Column) -> Column:
@@ -49,29 +52,44 @@ def _directory(rows: DataFrame, low: int, high: int, limit: int, stage: Staging)
     return stage.put(shards.select("prefix", "depth", "bucket", "bytes"), "shards"), sums.where((F.col("depth") == high) & ~F.col("fits")).select(F.col("bucket").alias("prefix"))
 
 
-def shards(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
-    """(key, n_bytes, depth, shard, page) of each row: ``shard`` is the bucket's bits as text."""
-    stage = Staging(df.sparkSession, "shards")
-    rows = df.select(F.col(key), hash_bits(F.col(key)).alias("hash"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("n_bytes"))
+def _measured(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(row, hash, n_bytes): ``row`` holds all columns."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), hash_bits(df[key]).alias("hash"), F.coalesce(F.octet_length(df[content]), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+def _directories(rows: DataFrame, limit: int, stage: Staging) -> list[tuple[int, DataFrame]]:
+    """(bits, shards by prefix of so many bits) of all rows (hash, n_bytes); each row is in one of them."""
     left = stage.put(rows, "rows")
     total = left.agg(F.sum("n_bytes")).first()[0] or 0
     low, high = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + MORE_BITS)
     done = []
     while True:
         found, over = _directory(left, low, high, limit, stage)
-        at = left.withColumn("prefix", F.shiftright("hash", HASH_BITS - high))
-        done.append(at.join(found, "prefix").select(key, "hash", "n_bytes", "depth", "bucket", "bytes"))
+        done.append((high, found))
         if high == HASH_BITS or over.isEmpty():
-            break
+            return done
+        at = left.withColumn("prefix", F.shiftright("hash", HASH_BITS - high))
         left = stage.put(at.join(over, "prefix", "left_semi").drop("prefix"), "rows")
         low, high = high + 1, min(HASH_BITS, high + MORE_BITS)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    shard = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(bucket), depth, '0')"))
-    out = out.withColumn("shard", shard).withColumn("over", F.col("bytes") > limit)
+
+
+def _placed(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
+    """(row, n_bytes, depth, shard, page) of each row, whatever its key."""
+    rows = _measured(df, key, content)
+    for high, found in _directories(rows.select("hash", "n_bytes"), limit, Staging(df.sparkSession, "shards")):
+        found = found.select(F.col("prefix").alias("at"), F.struct("depth", "bucket", "bytes").alias("now"))
+        few = found.count() <= BROADCAST_IDS
+        rows = rows.withColumn("at", F.shiftright("hash", HASH_BITS - high)).join(F.broadcast(found) if few else found, "at", "left").drop("at")
+        rows = rows.withColumn("found", F.coalesce("found", "now") if "found" in rows.columns else F.col("now")).drop("now")
+    out = rows.select("row", "n_bytes", F.col("found.depth").alias("depth"), F.col("found.bucket").alias("bucket"), (F.col("found.bytes") > limit).alias("over"))
+    out = out.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(bucket), depth, '0')")))
     fits = out.where("not over").withColumn("page", F.lit("0"))
-    return fits.unionByName(_pages(out.where("over"), limit)).select(key, "n_bytes", F.col("depth").cast("int").alias("depth"), "shard", "page")
+    return fits.unionByName(_pages(out.where("over"), limit)).select("row", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard", "page")
+
+
+def shards(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
+    """(key, n_bytes, depth, shard, page) of each row: ``shard`` is the bucket's bits as text."""
+    return _placed(df.select(key, content), key, content, limit).select(F.col("row")[key].alias(key), "n_bytes", "depth", "shard", "page")
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -87,6 +105,24 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, key: str, content: str, limit: int, path: str) -> None:
-    """Writes ``df`` with one folder for each shard. Rows are joined to their shard by a unique key."""
-    found = shards(df, key, content, limit).select(key, "shard", "page").dropDuplicates([key])
-    df.join(found, key).repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """Writes all rows and columns of ``df`` with one folder for each shard and page."""
+    # Letters before the names, as an empty name or digits alone would be read back as null or a number.
+    rows = _placed(df, key, content, limit).select("row.*", F.concat(F.lit("s"), "shard").alias(FOLDERS[0]), F.concat(F.lit("p"), "page").alias(FOLDERS[1]))
+    rows.repartition(*FOLDERS).write.partitionBy(*FOLDERS).parquet(path)
+
+
+def read_shards(df: DataFrame, path: str) -> DataFrame:
+    """The rows that ``write_shards`` has written of ``df``, with ``shard`` and ``page`` of their folders."""
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, *(StructField(x, StringType()) for x in FOLDERS)])).parquet(path)
+    return rows.select(*df.columns, *(F.expr(f"substring({x}, 2)").alias(name) for x, name in zip(FOLDERS, ("shard", "page"), strict=True)))
+
+
+def written_shards(df: DataFrame, key: str, content: str, limit: int, path: str) -> DataFrame:
+    """(key, n_bytes, depth, shard, page) as read back from the files, whose rows and byte sums are checked."""
+    write_shards(df, key, content, limit, path)
+    rows = read_shards(df, path).select(F.col(key), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("n_bytes"), F.length("shard").alias("depth"), "shard", "page")
+    held = rows.groupBy("shard", "page").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    n, over = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("n") > 1) & (F.col("bytes") > limit))).first()
+    if over or n != df.count():
+        raise ValueError(f"{n} rows written, {over} pages of several rows over the limit")
+    return rows
