@@ -1,39 +1,47 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
 A line is what ``\\n`` separates. Its normal form is lower case with every run of characters that are neither letters nor digits as
-one space; lines with an empty normal form are never duplicates. Equal normal forms are collapsed first. The SimHash of a normal
-form has 384 bits, 192 over all its words and 192 over those of four bytes or more (over all if there are none), in twelve blocks of 32
-bits: two hashes at most 11 bits apart agree, by pigeonhole, in a block, and blocks are so long that few other lines share one. All pairs that share a block are verified: their Levenshtein distance may
-be 10 in 100 of the longer one's characters.
+one space; lines with an empty normal form are never duplicates. Equal normal forms are collapsed first.
+
+The SimHash of a line is made in blocks, and each block takes the votes of its own share of the words, dealt by a hash of the word. A
+changed word changes two blocks at most, wherever it stands, so by pigeonhole two lines that differ in fewer than half as many words as
+there are blocks agree in a block. (Blocks over all the words would nearly all change with a single word of a short line.) Lines have 6 to 24
+blocks by their length; a line whose length is within a tenth of the next class has the blocks of both. A block with few letters is read together with
+those after it. In lines of fewer than ``SHORT`` characters each word is a block, and the errors are enumerated: such lines meet where they agree
+in all words but one. Below ``TINY`` characters only one edit is allowed, and the blocks are the two halves of the characters. All pairs that share a block are verified: their Levenshtein distance may be 10 in 100 of the longer
+one's characters. Lines that differ by a letter in most of their words don't meet.
 Of each connected group the first occurrence by (doc_id, line number) stays; all other lines of the group are removed.
 
 Defined cases: null text stays null and has no lines; rows that share doc_id and text are one document; a null doc_id
 comes before all others; repeated lines inside a document are duplicates as well; extra columns are carried along;
-an empty table gives an empty result.
+an empty table gives an empty result. ``doc_id`` is an integer.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids, small_batches
-from sondage.llm.linking import link, links_across, matrix, near_in_block
+from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids, small_batches, spread_join
+from sondage.llm.linking import Distance, link, links_across, matrix, near_in_block
 from sondage.llm.words import Words, mix, slices
 
-BLOCKS = 12
-BITS = 32 * BLOCKS
-#: The words that the second half of the blocks is about: lines that differ in a shorter word agree there.
-LONG_BYTES = 4
-#: Pairs of hashes beyond here are not verified: there are none.
-FARTHEST = BITS
+#: Lines of fewer characters have two halves as blocks, or a block for each word.
+TINY, SHORT = 20, 64
+#: Blocks of lines of ``SHORT`` characters and more, and of twice, four, eight and 16 times as many and more.
+BLOCKS = (6, 8, 9, 12, 24)
+#: Bytes of words that a block of a longer and of a short line needs.
+BLOCK_BYTES, LEFT_BYTES = 10, 8
+#: Least edit similarity, in percent, that the blocks are made for.
+PERCENT = 90
 
-_LANE = np.random.default_rng(20240608).integers(0, 2**63, (BITS + 63) // 64 + 1, dtype=np.uint64)
+_LANES = np.random.default_rng(20240608).integers(0, 2**63, 3, dtype=np.uint64)
 #: Each byte's bits as the eight bytes of an integer, so that one addition counts eight bits.
 _BITS_AS_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 _NORMAL = bytes(c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -53,53 +61,126 @@ def normal(line: str) -> str:
     return b" ".join(_spaced(line.encode()).split()).decode()
 
 
+def _forms(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(line number, normal form) of the lines that have one."""
+    for i, line in enumerate(_spaced(text).split(b"\n")):
+        if form := b" ".join(line.split()):
+            yield i, form
+
+
 class Lines:
-    """The lines with a normal form of a slice of texts: text and line number, 128-bit hash, SimHash."""
+    """The lines with a normal form of a slice of texts: text, line number, 128-bit hash, and signature.
+
+    A signature holds 64-bit integers: the SimHash over all words, the count of characters, and a key for each block.
+    """
 
     def __init__(self, texts: list[bytes]) -> None:
-        words = Words([_spaced(t) for t in texts])
-        ends = np.flatnonzero(words.raw == 10)
-        line = np.searchsorted(ends, words.start)
-        first = np.flatnonzero(np.diff(line, prepend=-1))
-        count = np.diff(first, append=len(line))
-        lines = [t.count(b"\n") + 1 for t in texts]
-        owner = np.repeat(np.arange(len(texts)), lines)
-        before = np.cumsum([0, *lines[:-1]])
-        self.text = owner[line[first]]
-        self.pos = line[first] - before[self.text]
-        self.digest = np.stack([words.joined_hash(first, count, lane) for lane in _LANE[:2]], axis=1)
-        long = words.end - words.start >= LONG_BYTES
-        counted = long | ~np.repeat(np.logical_or.reduceat(long, first) if len(first) else long, count)
-        n = np.add.reduceat(counted, first, dtype=np.int64) if len(first) else count
-        half = len(_LANE) // 2 + 1
-        self.sig = np.concatenate([_simhash(words.hash, first, count, _LANE[1:half]), _simhash(words.hash[counted], np.cumsum(n) - n, n, _LANE[half:])], axis=1)
-
-
-def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-    """Rows of 32-bit blocks, of the words ``first[i]`` to ``first[i] + count[i]``, with 64 bits by lane."""
-    if not len(first):
-        return np.empty((0, 2 * len(lanes)), "<u4")
-    raw = np.concatenate([mix(hashes ^ lane).view(np.uint8).reshape(-1, 8) for lane in lanes], axis=1)
+        found = [(i, k, form) for i, text in enumerate(texts) for k, form in _forms(text)]
+        self.text, self.pos = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        forms = [x[2] for x in found]
+        self.digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in forms), "<i8").reshape(-1, 2)
+        self.size = np.array([len(x) if x.isascii() else len(x.decode()) for x in forms], np.int64)
+        if forms:
+            self._sign(Words(forms), forms)
+        else:
+            self.sig = []
+
+    def _sign(self, words: Words, forms: list[bytes]) -> None:
+        count = np.diff(words.at)
+        line = np.repeat(np.arange(len(count)), count)
+        size = words.end - words.start
+        owner, keys = [np.arange(len(count))] * 2, [_simhash(words.hash, words.at[:-1], count, _LANES[0]), self.size.astype(np.uint64)]
+        for own, found in (self._halves(forms), self._left_out(words, line, size), *(self._shares(words, line, size, k) for k in range(1, len(BLOCKS) + 1))):
+            owner.append(own)
+            keys.append(found)
+        owner, keys = np.concatenate(owner), np.concatenate(keys)
+        keys = keys[np.argsort(owner, kind="stable")].astype("<u8").tobytes()
+        ends = 8 * np.cumsum(np.bincount(owner, minlength=len(count)))
+        self.sig = [keys[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _of_class(self, k: int) -> np.ndarray:
+        """Lines of class ``k`` of length, and those of the class below whose partners may be in it."""
+        low = SHORT << (k - 1) if k else TINY
+        high = SHORT << k if k < len(BLOCKS) else np.inf
+        return (100 * self.size >= PERCENT * low) & (self.size < high)
+
+    def _halves(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the halves of tiny lines, by the length of the shorter line of a pair. A pair of fewer than ten characters has no edit to spare."""
+        owner, keys = [], []
+        for i in np.flatnonzero((self.size >= 9) & (self.size < TINY)).tolist():
+            letters = forms[i].decode()
+            for shorter in (len(letters), len(letters) - 1):
+                for side, half in ((0, letters[: shorter // 2]), (1, letters[-(shorter - shorter // 2) :])):
+                    owner.append(i)
+                    keys.append(int.from_bytes(hashlib.blake2b(f"{shorter} {side} {half}".encode(), digest_size=8).digest(), "little"))
+        return np.array(owner, np.int64), np.array(keys, np.uint64)
+
+    def _left_out(self, words: Words, line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of short lines: all words, and all but one."""
+        short = self._of_class(0)
+        vote = mix(words.hash ^ _LANES[1])
+        total = np.add.reduceat(vote, words.at[:-1])
+        length = np.add.reduceat(size, words.at[:-1])
+        take = np.flatnonzero(short[line] & (length[line] - size >= LEFT_BYTES))
+        owner = np.concatenate([np.flatnonzero(short), line[take]])
+        keys = mix(np.concatenate([total[short], total[line[take]] - vote[take]]) ^ _LANES[2])
+        order = np.lexsort((keys, owner))
+        owner, keys = owner[order], keys[order]
+        fresh = np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))[: len(owner)]
+        return owner[fresh], keys[fresh]
+
+    def _shares(self, words: Words, line: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the lines of a class: the SimHash of each share of the words, with the next ones where it has few letters."""
+        own, blocks = self._of_class(k), BLOCKS[k - 1]
+        if not own.any():
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        take = np.flatnonzero(own[line])
+        at = (np.cumsum(own) - 1)[line[take]] * blocks + ((words.hash[take] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        count = np.diff(first, append=len(order))
+        share, length = np.zeros(own.sum() * blocks, np.uint64), np.zeros(own.sum() * blocks, np.int64)
+        share[at[order][first]] = _simhash(words.hash[take[order]], first, count, _LANES[1])
+        length[at[order][first]] = np.add.reduceat(size[take[order]], first)
+        share, length = share.reshape(-1, blocks), length.reshape(-1, blocks)
+        keys, held = mix(share ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(64 * k))), length.copy()
+        for step in range(1, blocks):
+            few = held < BLOCK_BYTES
+            if not few.any():
+                break
+            keys = np.where(few, mix(keys + np.roll(share, -step, axis=1) * _LANES[2]), keys)
+            held += np.where(few, np.roll(length, -step, axis=1), 0)
+        return np.repeat(np.flatnonzero(own), blocks), keys.ravel()
+
+
+def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, lane: np.uint64) -> np.ndarray:
+    """64 bits by majority of the words ``first[i]`` to ``first[i] + count[i]``."""
+    raw = mix(hashes ^ lane).view(np.uint8).reshape(-1, 8)
     # A byte counts up to 255 words: longer lines are added up in parts.
     parts = -(-count // 255)
     last = np.cumsum(parts)
     start = np.repeat(first, parts) + 255 * (np.arange(last[-1]) - np.repeat(last - parts, parts))
-    out = np.empty((len(first), 64 * len(lanes)), bool)
-    for k in range(8 * len(lanes)):
+    out = np.empty((len(first), 64), bool)
+    for k in range(8):
         ones = np.add.reduceat(_BITS_AS_BYTES[raw[:, k]], start).view(np.uint8).reshape(-1, 8)
         if len(start) > len(first):
             ones = np.add.reduceat(ones, last - parts, axis=0, dtype=np.int64)
         out[:, 8 * k : 8 * k + 8] = 2 * ones.astype(np.int64) > count[:, None]
-    return np.packbits(out, axis=1).view("<u4")
+    return np.packbits(out, axis=1).view("<u8").ravel()
+
 
+def distance(percent: int) -> Distance:
+    """Bits that differ of the SimHash over all words; over 64 for lines whose lengths are too far apart for the edit similarity."""
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """One row of 32-bit blocks for each line; each has a normal form."""
-    return np.concatenate([Lines(held).sig for _, held in slices(lines)]) if lines else np.empty((0, BLOCKS), "<u4")
+    def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.where(_same_size(a[..., 1], b[..., 1], percent), 0, 65)
 
+    return bits
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+def _same_size(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    return np.abs(a - b) <= (100 - percent) * np.maximum(a, b) // 100
 
 
 def _letters(a: bytes) -> np.ndarray:
@@ -154,23 +235,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for at, held in slices(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")):
                 found = Lines(held)
                 take = pa.array(at + found.text)
-                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCKS), len(take), [None, pa.py_buffer(found.sig.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("mark").take(take), pa.array(found.pos.astype(np.int32)), pa.array(found.digest[:, 0].view(np.int64)), pa.array(found.digest[:, 1].view(np.int64)), sig], ["doc", "mark", "pos", "id", "check", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("mark").take(take), pa.array(found.pos.astype(np.int32)), pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), pa.array(found.sig, pa.binary())], ["doc", "mark", "pos", "id", "check", "sig"])
 
     return _documents(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(lines, "doc long, mark long, pos int, id long, check long, sig binary")
 
 
-def block_keys(signatures: np.ndarray) -> np.ndarray:
-    """A key for each block of each row."""
-    return mix(signatures.astype(np.uint64) | (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
+def block_keys(signature: bytes) -> np.ndarray:
+    return np.frombuffer(signature, "<u8")[2:]
 
 
 def _keys(signatures: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                keys = block_keys(matrix(x.column("sig"), "<u4"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(x.column("id").to_numpy(), BLOCKS))], ["key", "id"])
+                keys = [block_keys(v) for v in x.column("sig").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(x.column("id").to_numpy(), [len(k) for k in keys]))], ["key", "id"])
 
     return signatures.mapInArrow(spread, "key long, id long")
 
@@ -180,6 +259,19 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def letter_sieve(held: list[bytes], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of the other forms may be similar to form ``at``: an edit changes the counts of letters by two at most."""
+    letters = [_letters(x) for x in held]
+    size = np.array([len(x) for x in letters])
+    counts = np.stack([np.bincount(x % 64, minlength=64) for x in letters]).astype(np.int32)
+
+    def sieve(at: int, others: np.ndarray) -> np.ndarray:
+        most = (100 - percent) * np.maximum(size[at], size[others]) // 100
+        return others[np.abs(counts[others] - counts[at]).sum(axis=1) <= 2 * most]
+
+    return sieve
+
+
 class _Exact:
     """Checks on normal forms, which are worked out anew from the texts that hold the lines in question."""
 
@@ -225,19 +317,29 @@ class _Exact:
         percent = self.percent
 
         def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-            sig = matrix(x.column("sig").combine_chunks(), "<u4")
-            block = int(np.flatnonzero(block_keys(sig[:1])[0].view(np.int64) == x.column("key")[0].as_py())[0])
+            sig = x.column("sig").to_pylist()
+            size, this = np.array([int.from_bytes(v[8:16], "little") for v in sig]), np.uint64(x.column("key")[0].as_py() & 2**64 - 1)
+            # The keys before this one, of all rows on end: a pair belongs to the first key that it shares.
+            before = [k[k < this] for k in map(block_keys, sig)]
+            owner, flat = np.repeat(np.arange(len(sig)), [len(k) for k in before]), np.concatenate(before)
 
             def near(at: int, others: np.ndarray) -> np.ndarray:
-                return (distance(sig[at], sig[others]) <= FARTHEST) & (sig[others, :block] != sig[at, :block]).all(axis=1)
+                fits = _same_size(size[at], size[others], percent)
+                if len(before[at]) and fits.any():
+                    met = np.zeros(len(sig), bool)
+                    met[owner[np.isin(flat, before[at])]] = True
+                    fits &= ~met[others]
+                return fits
 
             return near_in_block(x, near)
 
-        return links_across(rows, signatures, self.forms, nearby, lambda a, b: similar(a.to_pybytes(), b.to_pybytes(), percent), self.stage)
+        return links_across(rows, signatures, self.forms, nearby, lambda a, b: similar(a.to_pybytes(), b.to_pybytes(), percent), self.stage, lambda held: letter_sieve([x.to_pybytes() for x in held], percent))
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
-    """(doc, mark, gone): the line numbers that each document loses; documents that lose none are left out."""
+def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc, mark, gone): the line numbers that each document loses; documents that lose none are left out. ``percent`` is 90 or more."""
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {PERCENT} to 100: the blocks are made for {PERCENT}")
     stage = Staging(docs.sparkSession, "lines")
     small_batches(docs.sparkSession)
     rows = stage.put(occurrences(docs), "occurrences")
@@ -245,16 +347,17 @@ def duplicate_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
     lines = stage.put(lines, "distinct")
     signatures = lines.select("id", "sig")
     exact = _Exact(docs, lines, stage, percent)
-    found, _ = link(_keys(signatures), signatures, distance, "<u4", FARTHEST, exact.verify, lambda mixed: exact.across(mixed, signatures), stage)
+    heads = lines.select("id", F.substring("sig", 1, 16).alias("sig"))
+    found, _ = link(_keys(signatures), heads, distance(percent), "<u8", 64, exact.verify, lambda mixed: exact.across(mixed, signatures), stage)
     grouped = lines.select("id", "check", "first", "n").join(found, "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     grouped = stage.put(grouped, "grouped")
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("stays"))
-    grouped = grouped.join(firsts, "component").select("id", "check", "stays")
-    again = rows.select("doc", "mark", "pos", "id", "check").join(grouped, ["id", "check"]).where(F.struct("doc", "mark", "pos") != F.col("stays"))
+    firsts = stage.put(grouped.groupBy("component").agg(F.min("first").alias("stays")), "firsts")
+    grouped = stage.put(spread_join(grouped, firsts, ["component"]).select("id", "check", "stays"), "stays")
+    again = spread_join(rows.select("doc", "mark", "pos", "id", "check"), grouped, ["id", "check"]).where(F.struct("doc", "mark", "pos") != F.col("stays"))
     return stage.put(again.select("doc", "mark", "pos").distinct().groupBy("doc", "mark").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "gone")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the duplicate lines removed from ``text``, and n_lines, n_removed of each row.
 
     The two columns replace columns of these names.

@@ -128,11 +128,11 @@ def near_in_block(x: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) ->
             yield at, others
 
 
-def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[bytes, bytes], bool], stage: Staging) -> DataFrame:
+def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[bytes, bytes], bool], stage: Staging, sieve: Callable[[list], Callable[[int, np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """The links (a, b) of different components inside the mixed buckets of ``rows`` (key, n, id, component).
 
     First the members with a near partner are found by their signatures, ``light`` (id, sig) and ``nearby``; then what ``heavy`` gives for
-    their ids, (id, held), is compared by ``alike``. What gets linked in a block needs no more links there, so links are few.
+    their ids, (id, held), is compared by ``alike``, after ``sieve`` has left out partners that can't be alike. What gets linked in a block needs no more links there, so links are few.
     """
 
     def candidates(x: pa.Table) -> pa.RecordBatch | None:
@@ -147,8 +147,9 @@ def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame],
         names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
         root = np.arange(len(names))
         found = []
+        sift = sieve(held) if sieve else lambda _, others: others
         for at, others in nearby(x):
-            for other in others.tolist():
+            for other in sift(at, others[root[group[others]] != root[group[at]]]).tolist():
                 if root[group[at]] != root[group[other]] and alike(held[at], held[other]):
                     root[root == root[group[other]]] = root[group[at]]
                     found.append((ids[at], ids[other]))

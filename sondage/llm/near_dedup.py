@@ -185,6 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     ``percent`` is the least similarity, 75 or more: the signature thresholds are set for 75.
     """
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100: the signatures are made for 75")
     stage = Staging(docs.sparkSession, "near")
     small_batches(docs.sparkSession)
     rows = stage.put(features(docs), "features")

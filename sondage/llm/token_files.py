@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.llm.common import BROADCAST_IDS, small_batches
-from sondage.llm.words import Numbers, mix, prefix_sums
+from sondage.llm.words import Numbers, span_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -126,12 +126,13 @@ class Encoder:
 
     Texts are cut before spaces, line feeds, full stops and commas. The library splits a text there in any case if the character before
     isn't white space, or before a full stop or comma is a letter or digit; then a text's ids are those of its pieces. A text in which
-    a cut isn't of this kind is encoded whole. Pieces are known by a 64-bit hash.
+    a cut isn't of this kind is encoded whole, and so is one that holds a special token's string. Pieces are known by two 64-bit hashes.
     """
 
     def __init__(self, path: str, most_kept: int = MOST_KEPT) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Texts that hold such a token's string are encoded whole, as the library cuts them there first.
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         # The same merges for words that are known not to be split before them.
         self.merges = tokenizers.Tokenizer(self.tokenizer.model)
         vocabulary = self.tokenizer.get_vocab()
@@ -142,7 +143,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = Numbers()
+        self.known, self.check = Numbers(), np.empty(0, np.uint64)
         self.ids = np.empty(0, np.uint32)
         self.start, self.length, self.after = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int8)
 
@@ -194,13 +195,14 @@ class Encoder:
         first[begin] = True
         start = np.flatnonzero((kind > 0) | first[:-1])
         end = np.append(start[1:], len(raw)) if len(start) else start
-        sums, inverse = prefix_sums(raw)
-        hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+        hashes, check = span_hashes(raw, start, end, (1, 2))
+        hashes |= np.uint64(1)
         number = self.known.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
             new = missing[np.unique(hashes[missing], return_index=True)[1]]
             self.known.add(hashes[new])
+            self.check = np.concatenate([self.check, check[new]])
             held = raw.tobytes()
             self._learn([held[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
             number[missing] = self.known.find(hashes[missing])
@@ -211,7 +213,10 @@ class Encoder:
         flat = self.ids[np.repeat(self.start[number] - ends[:-1], length) + np.arange(ends[-1])]
         at = ends[np.searchsorted(start, begin)]
         out = [flat[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-        for i in np.unique(np.searchsorted(begin, start[wrong], "right") - 1).tolist():
+        wrong = np.concatenate([wrong, np.flatnonzero(self.check[number] != check)])
+        whole = set((np.searchsorted(begin, start[wrong], "right") - 1).tolist())
+        whole |= {i for i, x in enumerate(texts) if any(t in x for t in self.special)}
+        for i in whole:
             out[i] = self._whole(texts[i].decode())
         return out
 

@@ -6,6 +6,7 @@ bytes of a text can be split without being decoded.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,10 +15,9 @@ import numpy as np
 SLICE_BYTES = 1_000_000
 SHINGLE = 5
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEPS = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_powers: list[np.ndarray] = []
+#: Spans over so many bytes are hashed one by one, all others eight bytes at a time in arrays.
+_LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,21 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64. Those of an ordinary slice stay for later calls."""
-    if _powers and len(_powers[0]) >= n:
-        return _powers
-    size = max(n, SLICE_BYTES + 300_000)
-    made = []
-    for step in (_BASE, _INVERSE):
-        x = np.full(size, step)
-        x[0] = 1
-        made.append(np.multiply.accumulate(x))
-    if size <= 2 * SLICE_BYTES:
-        _powers[:] = made
-    return made
-
-
 def slices(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts) for consecutive slices; null counts as empty."""
     held: list[bytes] = []
@@ -57,12 +42,31 @@ def slices(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers): ``(sums[b] - sums[a]) * inverse[a]`` is a hash of ``raw[a:b]`` that doesn't depend on its place."""
-    power, inverse = _powers_to(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-    return sums, inverse
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """A hash of the bytes of each span for each seed.
+
+    Eight bytes at a time are taken up by a bijection after which every bit depends on all before, so spans of up to eight bytes and equal
+    length never share a hash, and no pattern in longer ones (as there is for sums of powers) makes them share one.
+    """
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    size = (end - start).astype(np.int64)
+    out = [mix(size.astype(np.uint64) * _STEPS[0] ^ np.uint64(seed)) for seed in seeds]
+    left = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        part = eight[start[left] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.maximum(8 - rest, 0).astype(np.uint64)))
+        for x, step in zip(out, _STEPS[1:]):
+            x[left] = mix((x[left] ^ part) * step)
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(size > _LONG_SPAN).tolist():
+        digest = hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8 * len(seeds)).digest()
+        for k, x in enumerate(out):
+            x[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return out
 
 
 class Numbers:
@@ -120,15 +124,7 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         ends = np.cumsum([len(x) + 1 for x in texts])
         self.at = np.concatenate(([0], np.searchsorted(self.start, ends)))
-        sums, inverse = prefix_sums(self.raw)
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64) * _STEPS[1])
-
-    def joined_hash(self, first: np.ndarray, count: np.ndarray, seed: np.uint64) -> np.ndarray:
-        """The hash of the words ``first[i]`` to ``first[i] + count[i]``, in order."""
-        power, inverse = _powers_to(len(self.hash) + 1)
-        sums = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(mix(self.hash ^ seed) * power[: len(self.hash)], out=sums[1:])
-        return mix((sums[first + count] - sums[first]) * inverse[first] + count.astype(np.uint64) * _STEPS[2])
+        self.hash = span_hashes(self.raw, self.start, self.end)[0]
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, at): the hash of the five words from each word on, where the text has so many; a shorter text's words are one shingle.

@@ -8,11 +8,13 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,7 +76,7 @@ def test_quality(spark):
 
 
 def brute_line_groups(docs, percent=90):
-    """Links by Levenshtein distance of all pairs of normal forms."""
+    """Links by Levenshtein distance of all pairs of normal forms; nothing of the operator is used."""
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -87,10 +89,9 @@ def brute_line_groups(docs, percent=90):
     forms = {}
     for d, t in docs:
         for k, line in enumerate((t or "").split("\n")):
-            if f := line_dedup.normal(line):
+            if f := " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split()):
                 forms.setdefault(f, []).append((d, k))
     names = sorted(forms)
-    sig = line_dedup.simhashes([n.encode() for n in names])
     parent = list(range(len(names)))
 
     def root(x):
@@ -101,8 +102,7 @@ def brute_line_groups(docs, percent=90):
     for i, a in enumerate(names):
         for j in range(i):
             most = (100 - percent) * max(len(a), len(names[j])) // 100
-            # The candidates that the method names: a shared block, and hashes that aren't far apart.
-            if (sig[i] == sig[j]).any() and line_dedup.distance(sig[i], sig[j]) <= line_dedup.FARTHEST and distance(a, names[j]) <= most:
+            if sum((Counter(a) - Counter(names[j])).values()) <= most and distance(a, names[j]) <= most:
                 parent[root(i)] = root(j)
     gone = set()
     groups = {}
@@ -139,7 +139,7 @@ def test_line_dedup_against_brute_force(spark):
 
 
 def test_close_long_lines_are_found(spark):
-    """One word changed of 200: the hashes are close, so almost all such lines are caught."""
+    """One word changed of 200: all such lines are caught."""
     rng = random.Random(9)
     docs = []
     for d in range(0, 200, 2):
@@ -148,7 +148,7 @@ def test_close_long_lines_are_found(spark):
         words[rng.randrange(200)] = "other"
         docs.append((d + 1, " ".join(words)))
     got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("n_removed = 1").collect()
-    assert all(r.doc_id % 2 for r in got) and len(got) >= 85
+    assert all(r.doc_id % 2 for r in got) and len(got) == 100
 
 
 def test_line_dedup_edges(spark):
@@ -230,26 +230,39 @@ def test_simple8b_density():
     assert len(token_files.pack(np.full(3, 2**61, np.uint64))) == 6
 
 
+@pytest.fixture(scope="module")
+def plain_tokenizer():
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+
+
 @given(st.text(alphabet=st.sampled_from("ab1. \n\t',é日!'s\u00a0\u2003\0_²"), max_size=200))
 @settings(max_examples=400, deadline=None)
-def test_chunked_encoding(text):
+def test_chunked_encoding(plain_tokenizer, text):
     coder = token_files.encoder(public_tokenizers.path(token_files.TOKENIZER))
     for got, x in zip(coder.encode([x.encode() for x in (text, "", text + ".")]), [text, "", text + "."], strict=True):
-        assert got.tolist() == coder.tokenizer.encode(x, add_special_tokens=False).ids
+        assert got.tolist() == plain_tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_patterned_pieces(plain_tokenizer):
+    """The library's own ids for special tokens in texts; pieces whose letters follow a pattern that defeats sums of powers stay apart."""
+    coder = token_files.Encoder(public_tokenizers.path(token_files.TOKENIZER))
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|>  b.<|endoftext|>,c", *("".join(pair[x] for x in bits[:n]) for n in (1024, 4096) for pair in ("ab", "ba"))]
+    for got, x in zip(coder.encode([x.encode() for x in texts]), texts, strict=True):
+        assert got.tolist() == plain_tokenizer.encode(x, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("block", [1, 50, 65_536])
-def test_token_files(spark, block):
+def test_token_files(spark, plain_tokenizer, block):
     texts = [*ODD, "long text, with words. " * 3000]
     rows = [(i * 7 % 31, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     folder = f"{Staging(spark, 't').root}/files"
     token_files.write(docs, folder, block_ids=block)
-    coder = token_files.encoder(public_tokenizers.path(token_files.TOKENIZER))
     got = {r.doc_id: r for r in token_files.digests(token_files.read(spark, folder)).collect()}
     start = 0
     for i, t in sorted(rows, key=lambda r: r[0]):
-        ids = coder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        ids = plain_tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert len(got) == len(rows)

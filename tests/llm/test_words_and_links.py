@@ -7,10 +7,10 @@ import random
 import numpy as np
 import pytest
 
-from sondage.llm import decontaminate, near_dedup
+from sondage.llm import decontaminate, line_dedup, near_dedup
 from sondage.llm.common import Staging
 from sondage.llm.linking import connected_components
-from sondage.llm.words import shingle_sets
+from sondage.llm.words import shingle_sets, span_hashes
 
 
 def brute_set(text):
@@ -63,6 +63,33 @@ def test_shingle_counts():
     assert (a != b).all()
 
 
+def test_patterned_texts_are_told_apart(spark):
+    """Sums of powers modulo 2**64 can't tell the Thue-Morse sequence from its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    words = ["".join(pair[x] for x in bits[:1024]) for pair in ("ab", "ba")]
+    texts = [" ".join([w, "one", "two", "three", "four"]) for w in words] + [" ".join(pair[x] for x in bits) for pair in (("foo", "bar"), ("bar", "foo"))]
+    assert len({h.tobytes() for h, _ in shingle_sets(t.encode() for t in texts[:2])}) == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.kept for r in near_dedup.near_duplicates(docs.where("doc_id < 2")).collect()] == [True, True]
+    near = line_dedup.Lines([t.encode() for t in texts])
+    assert len({x.tobytes() for x in near.digest}) == 4
+    items = spark.createDataFrame([(0, texts[0])], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(docs.where("doc_id < 2"), items).collect()] == [0]
+
+
+def test_span_hashes():
+    raw = np.frombuffer(b"abcdefghabcdefgh" + b"x" * 600 + b"y", np.uint8)
+    start, end = np.array([0, 8, 0, 0, 16, 17, 16, 3, 616]), np.array([8, 16, 16, 0, 616, 617, 615, 3, 617])
+    a, b = span_hashes(raw, start, end, (1, 2))
+    assert a[0] == a[1] and b[0] == b[1] and a[3] == a[7]
+    assert len(set(a.tolist())) == 7 and len(set(b.tolist())) == 7 and not set(a.tolist()) & set(b.tolist())
+
+
+def test_percent():
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(None, 60)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(50)]
