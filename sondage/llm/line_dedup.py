@@ -37,7 +37,7 @@ TINY, SHORT = 20, 64
 #: Blocks of lines of ``SHORT`` characters and more, and of twice, four, eight and 16 times as many and more.
 BLOCKS = (6, 8, 9, 12, 24)
 #: Bytes of words that a block of a longer and of a short line needs.
-BLOCK_BYTES, LEFT_BYTES = 10, 8
+BLOCK_BYTES, LEFT_BYTES = 12, 8
 #: Least edit similarity, in percent, that the blocks are made for.
 PERCENT = 90
 
@@ -89,8 +89,15 @@ class Lines:
         count = np.diff(words.at)
         line = np.repeat(np.arange(len(count)), count)
         size = words.end - words.start
-        owner, keys = [np.arange(len(count))] * 2, [_simhash(words.hash, words.at[:-1], count, _LANES[0]), self.size.astype(np.uint64)]
-        for own, found in (self._halves(forms), self._left_out(words, line, size), *(self._shares(words, line, size, k) for k in range(1, len(BLOCKS) + 1))):
+        left_out = self._left_out(words, line, size)
+        # Each word votes once a line, or else the shares of long lines would hang on the commonest words.
+        order = np.lexsort((words.hash, line))
+        hashes, line, size = words.hash[order], line[order], size[order]
+        fresh = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))
+        hashes, line, size = hashes[fresh], line[fresh], size[fresh]
+        count = np.bincount(line)
+        owner, keys = [np.arange(len(count))] * 2, [_simhash(hashes, np.cumsum(count) - count, count, _LANES[0]), self.size.astype(np.uint64)]
+        for own, found in (self._halves(forms), left_out, *(self._shares(hashes, line, size, k) for k in range(1, len(BLOCKS) + 1))):
             owner.append(own)
             keys.append(found)
         owner, keys = np.concatenate(owner), np.concatenate(keys)
@@ -129,18 +136,18 @@ class Lines:
         fresh = np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))[: len(owner)]
         return owner[fresh], keys[fresh]
 
-    def _shares(self, words: Words, line: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _shares(self, hashes: np.ndarray, line: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys of the lines of a class: the SimHash of each share of the words, with the next ones where it has few letters."""
         own, blocks = self._of_class(k), BLOCKS[k - 1]
         if not own.any():
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         take = np.flatnonzero(own[line])
-        at = (np.cumsum(own) - 1)[line[take]] * blocks + ((words.hash[take] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        at = (np.cumsum(own) - 1)[line[take]] * blocks + ((hashes[take] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
         count = np.diff(first, append=len(order))
         share, length = np.zeros(own.sum() * blocks, np.uint64), np.zeros(own.sum() * blocks, np.int64)
-        share[at[order][first]] = _simhash(words.hash[take[order]], first, count, _LANES[1])
+        share[at[order][first]] = _simhash(hashes[take[order]], first, count, _LANES[1])
         length[at[order][first]] = np.add.reduceat(size[take[order]], first)
         share, length = share.reshape(-1, blocks), length.reshape(-1, blocks)
         keys, held = mix(share ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(64 * k))), length.copy()
