@@ -45,7 +45,6 @@ def connected_components(edges: DataFrame, stage: Staging) -> DataFrame:
     Each round is a written table.
     """
     now = stage.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -54,17 +53,17 @@ def connected_components(edges: DataFrame, stage: Staging) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         after = stage.put(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         stage.drop(now)
         now = after
-        if mark == seen:
+        # Done when each node has one edge, and none to a node that has an edge itself: stars around the smallest ids.
+        role = now.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if role.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        seen = mark
-    return stage.put(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), "components")
+    return stage.put(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
 
 
 def with_distance(pairs: DataFrame, signatures: DataFrame, distance: Distance, dtype: type, most: int) -> DataFrame:
-    """(a, b, d) of the pairs whose signatures lie at most ``most`` apart."""
+    """(a, b, two, d) of the pairs whose signatures lie at most ``most`` apart."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -72,11 +71,11 @@ def with_distance(pairs: DataFrame, signatures: DataFrame, distance: Distance, d
                 continue
             d = distance(matrix(x.column("sa"), dtype), matrix(x.column("sb"), dtype))
             near = np.flatnonzero(d <= most)
-            yield pa.RecordBatch.from_arrays([x.column("a").take(near), x.column("b").take(near), pa.array(d[near].astype(np.int32))], ["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([*(x.column(c).take(near) for c in ("a", "b", "two")), pa.array(d[near].astype(np.int32))], ["a", "b", "two", "d"])
 
     left = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     right = signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, d int")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, two boolean, d int")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -174,7 +173,7 @@ def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type
     members = stage.put(keys.join(F.broadcast(large) if large.count() <= BROADCAST_IDS // 2 else large, "key"), "members")
     two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(True).alias("two"))
     star = two.union(members.where("id <> lo").select("lo", "id", F.lit(False))).groupBy("a", "b").agg(F.bool_or("two").alias("two"))
-    star = stage.put(with_distance(star, signatures, distance, dtype, most).join(star, ["a", "b"]), "star")
+    star = stage.put(with_distance(star, signatures, distance, dtype, most), "star")
     first = star.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = stage.put(verify(first).distinct(), "links")
     found = connected_components(links, stage)
@@ -188,5 +187,9 @@ def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type
     mixed = labels.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     rows = labels.join(mixed, "key")
     more = verify(apart.join(first, ["a", "b"], "left_anti")).union(across(rows))
-    links = links.union(stage.put(more.distinct(), "links"))
-    return connected_components(links, stage), links
+    more = stage.put(more.distinct(), "links")
+    # Only components are joined now, so the graph is that of the components.
+    between = labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = connected_components(between, stage)
+    moved = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return stage.put(moved.union(joined.join(found, "id", "left_anti")), "components"), links.union(more)
