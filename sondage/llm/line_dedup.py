@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +83,7 @@ class Lines:
         if forms:
             self._sign(Words(forms), forms)
         else:
-            self.sig = []
+            self.sig = pa.array([], pa.binary())
 
     def _sign(self, words: Words, forms: list[bytes]) -> None:
         count = np.diff(words.at)
@@ -91,7 +91,7 @@ class Lines:
         size = words.end - words.start
         left_out = self._left_out(words, line, size)
         # Each word votes once a line, or else the shares of long lines would hang on the commonest words.
-        order = np.lexsort((words.hash, line))
+        order = np.argsort(line.astype(np.uint64) << np.uint64(40) | words.hash >> np.uint64(24))
         hashes, line, size = words.hash[order], line[order], size[order]
         fresh = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))
         hashes, line, size = hashes[fresh], line[fresh], size[fresh]
@@ -101,9 +101,9 @@ class Lines:
             owner.append(own)
             keys.append(found)
         owner, keys = np.concatenate(owner), np.concatenate(keys)
-        keys = keys[np.argsort(owner, kind="stable")].astype("<u8").tobytes()
-        ends = 8 * np.cumsum(np.bincount(owner, minlength=len(count)))
-        self.sig = [keys[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        keys = keys[np.argsort(owner, kind="stable")].astype("<u8")
+        ends = np.concatenate(([0], 8 * np.cumsum(np.bincount(owner, minlength=len(count))))).astype(np.int32)
+        self.sig = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
 
     def _of_class(self, k: int) -> np.ndarray:
         """Lines of class ``k`` of length, and those of the class below whose partners may be in it."""
@@ -143,7 +143,7 @@ class Lines:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         take = np.flatnonzero(own[line])
         at = (np.cumsum(own) - 1)[line[take]] * blocks + ((hashes[take] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
         count = np.diff(first, append=len(order))
         share, length = np.zeros(own.sum() * blocks, np.uint64), np.zeros(own.sum() * blocks, np.int64)
@@ -242,7 +242,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for at, held in slices(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")):
                 found = Lines(held)
                 take = pa.array(at + found.text)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("mark").take(take), pa.array(found.pos.astype(np.int32)), pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), pa.array(found.sig, pa.binary())], ["doc", "mark", "pos", "id", "check", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("mark").take(take), pa.array(found.pos.astype(np.int32)), pa.array(found.digest[:, 0]), pa.array(found.digest[:, 1]), found.sig], ["doc", "mark", "pos", "id", "check", "sig"])
 
     return _documents(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(lines, "doc long, mark long, pos int, id long, check long, sig binary")
 
@@ -255,8 +255,9 @@ def _keys(signatures: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                keys = [block_keys(v) for v in x.column("sig").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(x.column("id").to_numpy(), [len(k) for k in keys]))], ["key", "id"])
+                sig = x.column("sig").to_pylist()
+                keys = np.frombuffer(b"".join(v[16:] for v in sig), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(x.column("id").to_numpy(), [len(v) // 8 - 2 for v in sig]))], ["key", "id"])
 
     return signatures.mapInArrow(spread, "key long, id long")
 
@@ -266,17 +267,113 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def letter_sieve(held: list[bytes], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Which of the other forms may be similar to form ``at``: an edit changes the counts of letters by two at most."""
-    letters = [_letters(x) for x in held]
-    size = np.array([len(x) for x in letters])
-    counts = np.stack([np.bincount(x % 64, minlength=64) for x in letters]).astype(np.int32)
-
-    def sieve(at: int, others: np.ndarray) -> np.ndarray:
-        most = (100 - percent) * np.maximum(size[at], size[others]) // 100
-        return others[np.abs(counts[others] - counts[at]).sum(axis=1) <= 2 * most]
-
-    return sieve
+class Forms:
+    """Normal forms whose pairs are compared many at a time: ``near`` tells which pairs have the edit similarity."""
+
+    #: Longer forms are compared pair by pair; and the pairs that are compared at once.
+    LONGEST, AT_ONCE = 1024, 4096
+    #: Integers that the masks of the pairs compared at once may take.
+    MASKS = 1 << 22
+
+    def __init__(self, held: list[bytes], percent: int) -> None:
+        self.held, self.percent = held, percent
+        letters = [_letters(x).astype(np.int32) for x in held]
+        self.size = np.array([len(x) for x in letters], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        flat = np.concatenate(letters) if letters else np.empty(0, np.int32)
+        seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        seen[flat] = True
+        self.codes = (np.cumsum(seen) - 1)[flat]
+        self.symbols = int(seen.sum())
+        self.counts = np.bincount(np.repeat(np.arange(len(held)), self.size) * 64 + self.codes % 64, minlength=64 * len(held)).reshape(-1, 64).astype(np.int32)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), self.AT_ONCE):
+            out[at : at + self.AT_ONCE] = self._near(a[at : at + self.AT_ONCE], b[at : at + self.AT_ONCE])
+        return out
+
+    def _near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = (100 - self.percent) * np.maximum(self.size[a], self.size[b]) // 100
+        # An edit changes the length by one at most, and the counts of letters by two.
+        out = (np.abs(self.size[a] - self.size[b]) <= most) & (np.abs(self.counts[a] - self.counts[b]).sum(axis=1) <= 2 * most)
+        long = np.maximum(self.size[a], self.size[b]) > self.LONGEST
+        for i in np.flatnonzero(out & long).tolist():
+            out[i] = edit_distance(self.held[a[i]], self.held[b[i]], int(most[i])) <= most[i]
+        left = np.flatnonzero(out & ~long)
+        head, tail = self._same_ends(a[left], b[left])
+        start_a, start_b = self.start[a[left]] + head, self.start[b[left]] + head
+        size_a, size_b = self.size[a[left]] - head - tail, self.size[b[left]] - head - tail
+        # Where the longer middle is no more than the edits allowed, the pair is near; the others' middles are measured.
+        open_ = np.flatnonzero(np.maximum(size_a, size_b) > most[left])
+        for own in self._groups(size_a[open_], size_b[open_], most[left[open_]]):
+            own = open_[own]
+            out[left[own]] = self._distances(start_a[own], size_a[own], start_b[own], size_b[own], int(most[left[own]].max())) <= most[left[own]]
+        return out
+
+    def _same_ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of the common beginnings, and of the common ends of what follows."""
+        head, tail = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for i, (x, y, nx, ny) in enumerate(zip(self.start[a].tolist(), self.start[b].tolist(), self.size[a].tolist(), self.size[b].tolist(), strict=True)):
+            n = min(nx, ny)
+            other = self.codes[x : x + n] != self.codes[y : y + n]
+            h = int(other.argmax()) if n else 0
+            if n and not other[h]:
+                h = n
+            n -= h
+            other = self.codes[x + nx - n : x + nx] != self.codes[y + ny - n : y + ny]
+            t = int(other[::-1].argmax()) if n else 0
+            if n and not other[n - 1 - t]:
+                t = n
+            head[i], tail[i] = h, t
+        return head, tail
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of as many machine words each, in order of falling length of ``b``, as many at once as their masks have room for."""
+        words = (a + 63) // 64
+        for n in np.unique(words[words > 0]).tolist():
+            own = np.flatnonzero(words == n)
+            own = own[np.argsort(-b[own], kind="stable")]
+            room = max(1, self.MASKS // (n * self.symbols))
+            for at in range(0, len(own), room):
+                yield own[at : at + room]
+
+    def _distances(self, start_a: np.ndarray, size_a: np.ndarray, start_b: np.ndarray, size_b: np.ndarray, most: int) -> np.ndarray:
+        """Levenshtein distances, right where they are at most ``most`` and else greater; longest ``b`` first.
+
+        The table's columns are bits of machine words, one of ``a`` for each 64 letters; a step takes a letter of every ``b``, and works out the words
+        that are within ``most`` of the diagonal.
+        """
+        one, top, words = np.uint64(1), np.uint64(63), int(size_a.max() + 63) // 64
+        owner = np.repeat(np.arange(len(size_a)), size_a)
+        pos = np.arange(len(owner)) - np.repeat(np.cumsum(size_a) - size_a, size_a)
+        masks = np.zeros((words, len(size_a), self.symbols), np.uint64)
+        np.add.at(masks, (pos >> 6, owner, self.codes[start_a[owner] + pos]), one << (pos & 63).astype(np.uint64))
+        last = ((size_a - 1) & 63).astype(np.uint64)
+        up, down = np.full((words, len(size_a)), ~np.uint64(0)), np.zeros((words, len(size_a)), np.uint64)
+        bottom = np.minimum(64 * np.arange(1, words + 1)[:, None], size_a[None, :])
+        entered = min(words, most // 64 + 1)
+        rows = np.arange(len(size_a))
+        for j, k in enumerate(np.searchsorted(-size_b, -np.arange(int(size_b[0])), "left").tolist()):
+            letter = self.codes[start_b[:k] + j]
+            while entered < words and 64 * entered <= j + most:
+                # All that is below the band counts up by one a letter.
+                bottom[entered] = bottom[entered - 1] + np.minimum(64, size_a - 64 * entered)
+                entered += 1
+            plus, minus = np.full(k, one), np.zeros(k, np.uint64)
+            for w in range(max(0, (j - most) // 64), entered):
+                eq, p, m = masks[w, rows[:k], letter], up[w, :k], down[w, :k]
+                vertical = eq | m
+                eq |= minus
+                horizontal = (((eq & p) + p) ^ p) | eq
+                more, less = m | ~(horizontal | p), p & horizontal
+                at = last[:k] if w == words - 1 else top
+                carry = (more >> at) & one, (less >> at) & one
+                bottom[w, :k] += carry[0].astype(np.int64) - carry[1].astype(np.int64)
+                more, less = (more << one) | plus, (less << one) | minus
+                plus, minus = carry
+                up[w, :k], down[w, :k] = less | ~(vertical | more), more & vertical
+        return bottom[-1]
 
 
 class _Exact:
@@ -309,8 +406,8 @@ class _Exact:
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                right = [i for i, (a, b) in enumerate(zip(x.column("ha"), x.column("hb"), strict=True)) if similar(a.as_buffer().to_pybytes(), b.as_buffer().to_pybytes(), percent)]
-                yield x.select(["a", "b"]).take(pa.array(right, pa.int64()))
+                forms, at = Forms(x.column("ha").to_pylist() + x.column("hb").to_pylist(), percent), np.arange(x.num_rows)
+                yield x.select(["a", "b"]).filter(pa.array(forms.near(at, at + x.num_rows)))
 
         pairs = self.stage.put(pairs.select("a", "b"), "pairs")
         held = self.forms(pairs.select("a").union(pairs.select("b")).toDF("id").distinct())
@@ -340,7 +437,7 @@ class _Exact:
 
             return near_in_block(x, near)
 
-        return links_across(rows, signatures, self.forms, nearby, lambda a, b: similar(a.to_pybytes(), b.to_pybytes(), percent), self.stage, lambda held: letter_sieve([x.to_pybytes() for x in held], percent))
+        return links_across(rows, signatures, self.forms, nearby, lambda held: Forms([x.to_pybytes() for x in held], percent).near, self.stage)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -27,6 +27,8 @@ from sondage.llm.common import BROADCAST_IDS, Staging
 
 #: Members of a bucket that are compared at once.
 BLOCK = 512
+#: Pairs of a block that are tested at once, after which what they link needs no more tests.
+AT_ONCE = 2048
 #: Distances of rows a[i] and b[i] of two arrays of signatures (broadcasting over leading axes).
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -127,11 +129,11 @@ def near_in_block(x: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) ->
             yield at, others
 
 
-def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[bytes, bytes], bool], stage: Staging, sieve: Callable[[list], Callable[[int, np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[list[pa.Buffer]], Callable[[np.ndarray, np.ndarray], np.ndarray]], stage: Staging) -> DataFrame:
     """The links (a, b) of different components inside the mixed buckets of ``rows`` (key, n, id, component).
 
     First the members with a near partner are found by their signatures, ``light`` (id, sig) and ``nearby``; then what ``heavy`` gives for
-    their ids, (id, held), is compared by ``alike``, after ``sieve`` has left out partners that can't be alike. What gets linked in a block needs no more links there, so links are few.
+    their ids, (id, held), is compared by ``alike``: of all that a block holds it makes a test of pairs, many at a time. What gets linked in a block needs no more links there, so links are few.
     """
 
     def candidates(x: pa.Table) -> pa.RecordBatch | None:
@@ -145,13 +147,29 @@ def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame],
         ids, held = x.column("id").to_numpy(), [v.as_buffer() for v in x.column("held")]
         names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
         root = np.arange(len(names))
-        found = []
-        sift = sieve(held) if sieve else lambda _, others: others
+        found, waiting, count = [], [], 0
+        test = alike(held)
+
+        def settle() -> None:
+            if not waiting:
+                return
+            a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            apart = root[group[a]] != root[group[b]]
+            a, b = a[apart], b[apart]
+            near = test(a, b)
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                if root[group[x]] != root[group[y]]:
+                    root[root == root[group[y]]] = root[group[x]]
+                    found.append((ids[x], ids[y]))
+
         for at, others in nearby(x):
-            for other in sift(at, others[root[group[others]] != root[group[at]]]).tolist():
-                if root[group[at]] != root[group[other]] and alike(held[at], held[other]):
-                    root[root == root[group[other]]] = root[group[at]]
-                    found.append((ids[at], ids[other]))
+            waiting.append((np.full(len(others), at), others))
+            count += len(others)
+            if count >= AT_ONCE:
+                settle()
+                count = 0
+        settle()
         if not found:
             return None
         a, b = np.array(found).T

@@ -23,7 +23,7 @@ a null component and is kept; extra columns are ignored; an empty table gives an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +177,12 @@ class _Exact:
 
         percent = self.percent
         held = held.select("id", "held", F.col("long").alias("sig"))
-        return links_across(rows, held.select("id", "sig"), lambda ids: held.select("id", "held"), nearby, lambda a, b: alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent), self.stage)
+
+        def test(found: list[pa.Buffer]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            sets = [np.frombuffer(x, np.uint64) for x in found]
+            return lambda a, b: np.array([alike(sets[x], sets[y], percent) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+
+        return links_across(rows, held.select("id", "sig"), lambda ids: held.select("id", "held"), nearby, test, self.stage)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -93,7 +93,7 @@ def test_lines_of_the_documents():
     forms = sorted({f for t in table for line in (t or "").split("\n") if (f := plain_normal(line))}, key=len)
     counts = np.array([np.bincount([ord(c) % 64 for c in f], minlength=64) for f in forms])
     sizes = np.array([len(f) for f in forms])
-    keys = [set(line_dedup.block_keys(x).tolist()) for x in line_dedup.Lines(["\n".join(forms).encode()]).sig]
+    keys = [set(line_dedup.block_keys(x).tolist()) for x in line_dedup.Lines(["\n".join(forms).encode()]).sig.to_pylist()]
     met = []
     for j in range(len(forms)):
         others = np.flatnonzero((sizes[:j] >= sizes[j] - sizes[j] // 10) & (np.abs(counts[:j] - counts[j]).sum(axis=1) <= 2 * (sizes[j] // 10)))
@@ -110,6 +110,23 @@ def test_edit_distance():
         assert min(line_dedup.edit_distance(a.encode(), b.encode(), most), most + 1) == min(plain_distance(a, b, most), most + 1)
 
 
+def test_pairs_at_once(monkeypatch):
+    """Forms of one to several machine words, all pairs, against plain distances."""
+    monkeypatch.setattr(line_dedup.Forms, "LONGEST", 300)
+    monkeypatch.setattr(line_dedup.Forms, "AT_ONCE", 100)
+    rng = random.Random(2)
+    forms = []
+    for n in (1, 9, 10, 30, 63, 64, 65, 128, 130, 200, 400):
+        base = "".join(rng.choice("abcdé 日") for _ in range(n))
+        forms += [base, *("".join(rng.choice(["", "x", c + "y"]) if rng.random() < share else c for c in base) or "z" for share in (0.03, 0.05, 0.08, 0.1, 0.13))]
+    a, b = np.array([(i, j) for i in range(len(forms)) for j in range(len(forms)) if abs(len(forms[i]) - len(forms[j])) < 40]).T
+    got = line_dedup.Forms([x.encode() for x in forms], 90).near(a, b)
+    for i, j, found in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        most = max(len(forms[i]), len(forms[j])) // 10
+        assert found == (plain_distance(forms[i], forms[j], most) <= most)
+    assert got.sum() > 2 * len(forms)
+
+
 def test_percent():
     with pytest.raises(ValueError):
         line_dedup.duplicate_lines(None, 80)
