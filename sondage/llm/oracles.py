@@ -15,7 +15,7 @@ def shingles(table: str, key: str) -> str:
 
 OP1 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
  w AS (SELECT doc_id, host, text, {_WORDS.format(t='text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
- g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM w, range(1, 100000) r(i) WHERE i <= len(w) - 7),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
  twice AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT doc_id, s FROM g GROUP BY doc_id, s HAVING count(*) > 1) t ON g.doc_id = t.doc_id AND g.s = t.s),
  rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
  m AS (SELECT w.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
@@ -24,9 +24,22 @@ OP1 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text,
  p AS (SELECT avg(k / n) AS mean, CASE WHEN coalesce(var_samp(k / n), 0) > 1e-12 THEN least(greatest(avg(k / n) * (1 - avg(k / n)) / var_samp(k / n) - 1, 1), 1000) ELSE 1000 END AS weight FROM h)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (k + mean * weight) / (n + weight) <= 0.5 AS kept FROM b JOIN h ON h.host = b.host, p"""
 
-OP2 = """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
- SELECT c.conv_id, c.turn, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS topo_rank, false AS cyclic, r.turn AS result_turn, sha256(r.text) AS content_sha256,
- sha256('{"prompt":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn || '}') AS canonical_sha256, 0::BIGINT AS n_errors FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1"""
+# Reachability over dependencies: a call is stuck if it reaches a call that reaches itself. A place is the largest turn among the calls reached, and
+# the step behind it the longest way to a call of that turn.
+OP2 = """WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'user'),
+ r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+ d AS (SELECT conv_id, turn, CASE WHEN n % 3 = 0 THEN turn + 2 ELSE turn - 2 END AS needs FROM c UNION SELECT conv_id, turn, turn + 4 FROM c WHERE n % 4 = 0),
+ e AS MATERIALIZED (SELECT d.* FROM d JOIN c ON c.conv_id = d.conv_id AND c.turn = d.needs),
+ w AS (SELECT conv_id, turn, needs, 1 AS steps FROM e UNION SELECT w.conv_id, w.turn, e.needs, steps + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.needs WHERE steps <= (SELECT max(turn) + 1 FROM conversations)),
+ loops AS (SELECT DISTINCT conv_id, turn FROM w WHERE needs = turn),
+ stuck AS (SELECT conv_id, turn FROM loops UNION SELECT w.conv_id, w.turn FROM w JOIN loops l ON l.conv_id = w.conv_id AND l.turn = w.needs),
+ p AS (SELECT c.conv_id, c.turn, greatest(c.turn, coalesce(max(w.needs), c.turn)) AS place FROM c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.turn GROUP BY 1, 2),
+ q AS (SELECT p.conv_id, p.turn, any_value(place) AS place, coalesce(max(w.steps) FILTER (w.needs = place AND place <> p.turn), 0) AS step, any_value(s.turn) IS NOT NULL AS cyclic
+  FROM p LEFT JOIN w ON w.conv_id = p.conv_id AND w.turn = p.turn LEFT JOIN stuck s ON s.conv_id = p.conv_id AND s.turn = p.turn GROUP BY 1, 2),
+ f AS (SELECT *, CASE WHEN n % 11 <> 0 THEN '{' || CASE WHEN n % 7 <> 0 THEN '"prompt":' || to_json(text)::VARCHAR || ',' ELSE '' END || '"turn":' || CASE WHEN n % 5 = 0 THEN '"' || turn || '"' ELSE turn::VARCHAR END || '}' END AS form FROM c)
+ SELECT f.conv_id, f.turn, row_number() OVER (PARTITION BY f.conv_id ORDER BY cyclic, CASE WHEN NOT cyclic THEN place END, CASE WHEN NOT cyclic THEN step END, f.turn, 't' || f.turn) AS topo_rank, cyclic, r.turn AS result_turn, sha256(r.text) AS content_sha256,
+ sha256(form) AS canonical_sha256, CASE WHEN n % 11 = 0 THEN 1 ELSE (n % 7 = 0)::INT + (n % 5 = 0)::INT END::BIGINT AS n_errors
+ FROM f JOIN q ON q.conv_id = f.conv_id AND q.turn = f.turn LEFT JOIN r ON r.conv_id = f.conv_id AND r.turn = f.turn + 1"""
 
 OP3 = f"""WITH d AS ({shingles('documents', 'doc_id')}), b AS ({shingles('benchmark', 'item_id')}), n AS (SELECT k, count(*) AS n FROM b GROUP BY k)
  SELECT d.k AS doc_id, b.k AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item FROM d JOIN b ON d.g = b.g JOIN n ON n.k = b.k GROUP BY d.k, b.k HAVING 100 * count(*) >= 75 * any_value(n.n)"""

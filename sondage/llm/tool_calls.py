@@ -6,15 +6,16 @@ share an identifier the first turn counts, of calls as well (ties: the smallest
 
 Order: a call comes after the calls whose identifiers it depends on. Its place is its own turn, or that of its latest
 dependency if that is later, and then one step behind it; ties keep turns in order. Only calls with a dependency that isn't
-earlier are relaxed step by step, and only those that changed go on. A call on a cycle, or behind one, has no
+earlier, and what depends on them, are placed step by step. A call on a cycle, or behind one, has no
 place: it comes last and is marked. Ranks are counted by stretches of ``STRETCH`` turns and then inside a stretch, so that no
 conversation is ranked in one task.
 
 Arguments are parsed as JSON and validated against the tool's schema: ``{"properties": {name: type}, "required": [name]}`` with the
-JSON types string, integer, number, boolean, array, object, null; unknown properties are errors. Canonical JSON has sorted keys
+JSON types string, integer, number, boolean, array, object, null; unknown properties are errors, and so is a type that
+isn't one of these; a schema without properties knows none. Canonical JSON has sorted keys
 (by UTF-16 code units), no spaces, integral numbers without a fraction, and minimal escapes.
 
-Defined cases: null or malformed arguments are the error ``malformed`` and have no canonical form; an unknown tool is the error
+Defined cases: null or malformed arguments (a lone surrogate, NaN and infinity among them) are the error ``malformed`` and have no canonical form; an unknown tool is the error
 ``unknown tool``; a call without a result has a null content; a dependency on an identifier that isn't there is ignored; calls with
 a null conversation or identifier are left out; extra columns are ignored; empty tables give an empty result.
 """
@@ -49,17 +50,37 @@ def canonical(x: object) -> str:
         return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in keys) + "}"
     if isinstance(x, list):
         return "[" + ",".join(map(canonical, x)) + "]"
-    if isinstance(x, float) and x.is_integer() and abs(x) < 1e21:
-        return str(int(x))
+    if isinstance(x, float):
+        return _number(x)
     return json.dumps(x, ensure_ascii=False, allow_nan=False)
 
 
+def _number(x: float) -> str:
+    """The shortest digits that give ``x``; exponents from 1e21 up and below 1e-6, without leading zeros."""
+    if x != x or x in (float("inf"), float("-inf")):
+        raise ValueError("not a JSON number")
+    sign = "-" if x < 0 else ""
+    mantissa, _, shift = repr(abs(x)).partition("e")
+    whole, _, part = mantissa.partition(".")
+    digits = (whole + part).strip("0") or "0"
+    if digits == "0":
+        return "0"
+    # The value is 0.digits * 10 ** point.
+    point = len(whole) + int(shift or 0) if whole != "0" else int(shift or 0) - (len(part) - len(part.lstrip("0")))
+    if -6 < point <= 21:
+        if point >= len(digits):
+            return sign + digits + "0" * (point - len(digits))
+        return sign + (digits[:point] + "." + digits[point:] if point > 0 else "0." + "0" * -point + digits)
+    return f"{sign}{digits[0]}{'.' + digits[1:] if len(digits) > 1 else ''}e{point - 1:+d}"
+
+
 def check_arguments(name: str | None, text: str | None, schemas: dict) -> tuple[str | None, list[str]]:
     """(canonical JSON, errors)."""
     try:
         value = json.loads(text) if text is not None else None
         form = canonical(value)
-    except (ValueError, RecursionError):
+        form.encode()
+    except (ValueError, RecursionError):  # a lone surrogate is no text either
         value = form = None
     if not isinstance(value, dict):
         return form if text is not None else None, ["malformed"]
@@ -68,9 +89,11 @@ def check_arguments(name: str | None, text: str | None, schemas: dict) -> tuple[
     schema = schemas[name]
     errors = [f"missing {x}" for x in schema.get("required", []) if x not in value]
     for key in sorted(value):
-        kind = schema["properties"].get(key)
+        kind = schema.get("properties", {}).get(key)
         if kind is None:
             errors.append(f"unknown {key}")
+        elif kind not in _TYPES:
+            errors.append(f"{key} has the unknown type {kind}")
         elif not _TYPES[kind](value[key]):
             errors.append(f"{key} is not {kind}")
     return form, errors
@@ -91,44 +114,61 @@ def parse_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def turns_as_calls(turns: DataFrame, tool: str) -> tuple[DataFrame, DataFrame]:
-    """Plain turns as calls of one tool: each user turn is a call that depends on the call two turns before, and the assistant turn after it is its result."""
+    """Plain turns as calls of one tool: each user turn is a call, and the assistant turn after it is its result.
+
+    The conversations hold no calls, so these are worked out from turn and length of the text, ``n``: the call depends on the next user turn's where n is a
+    multiple of three, else on the one before, and where n is a multiple of four on that after the next one as well, so that dependencies are
+    early, late, missing and circular. Arguments are {turn, prompt}; where n is a multiple of five, ``turn`` is a text, and of seven, ``prompt`` is
+    absent; where n is a multiple of eleven, what is written isn't JSON.
+    """
     call_id = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    n, turn = F.length(text), F.col("turn").cast("long")
     user = turns.where("role = 'user'")
-    arguments = F.to_json(F.struct("turn", F.coalesce("text", F.lit("")).alias("prompt")))
-    calls = user.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.lit(tool).alias("name"), arguments.alias("arguments"), F.array(call_id(F.col("turn") - 2)).alias("depends_on"))
+    own = F.when(n % 5 == 0, F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))).otherwise(turn.cast("string"))
+    prompt = F.when(n % 7 != 0, F.expr("substring(to_json(named_struct('prompt', coalesce(text, ''))), 2)"))  # without its brace
+    arguments = F.when(n % 11 == 0, F.lit("{turn")).otherwise(F.concat(F.lit('{"turn":'), own, F.coalesce(F.concat(F.lit(","), prompt), F.lit("}"))))
+    needs = F.array_compact(F.array(call_id(F.when(n % 3 == 0, turn + 2).otherwise(turn - 2)), F.when(n % 4 == 0, call_id(turn + 4))))
+    calls = user.select("conv_id", call_id(turn).alias("call_id"), turn.alias("turn"), F.lit(tool).alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
     answers = turns.where("role = 'assistant'")
-    return calls, answers.select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, answers.select("conv_id", call_id(F.col("turn").cast("long") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
 
 
 def _places(calls: DataFrame, stage: Staging) -> DataFrame:
-    """(conv_id, call_id, place, step): both null on or behind a cycle."""
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
+    """(conv_id, call_id, place, step): both null on or behind a cycle.
+
+    Calls are peeled: those without open dependencies get their place and no longer hold up others. A round is a few jobs over what is still
+    open, and there are as many as the longest chain of dependencies that aren't earlier is long; what a round can't peel hangs on a cycle.
+    """
+    at = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("place"), F.lit(0).cast("long").alias("step"))
+    edges = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("needs")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("before"))
     edges = stage.put(edges.join(known, ["conv_id", "needs"]), "edges")
-    late = edges.join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).where("before >= turn").select("conv_id", "call_id").distinct()
-    at = calls.select("conv_id", "call_id", "turn", F.col("turn").cast("long").alias("place"), F.lit(0).cast("long").alias("step"))
-    changed = stage.put(late, "changed")
-    if changed.isEmpty():
-        return at.select("conv_id", "call_id", "place", "step")
-    sizes = stage.put(calls.join(changed.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("size")), "sizes")
-    moving = stage.put(at.join(sizes, "conv_id"), "moving")
-    links = stage.put(edges.join(sizes.select("conv_id"), "conv_id", "left_semi").select("conv_id", "call_id", "needs"), "links")
-    while not changed.isEmpty():
-        # Each call that changed or that depends on one: after the latest of its dependencies.
-        after = links.join(moving.select("conv_id", F.col("call_id").alias("needs"), F.col("place").alias("p"), F.col("step").alias("s")), ["conv_id", "needs"])
-        after = after.join(changed.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi").groupBy("conv_id", "call_id").agg(F.max(F.struct("p", (F.col("s") + 1).alias("s"))).alias("m"))
-        moved = moving.join(after, ["conv_id", "call_id"]).where(F.col("step") <= F.col("size")).where(F.col("m") > F.struct(F.col("place").alias("p"), F.col("step").alias("s")))
-        # More steps than calls: on a cycle. What depends on such a call goes with it.
-        place = F.when(F.col("m.s") > F.col("size"), _NOWHERE).otherwise(F.col("m.p"))
-        moved = stage.put(moved.select("conv_id", "call_id", "turn", place.alias("place"), F.col("m.s").alias("step"), "size"), "moved")
-        if moved.isEmpty():
+    # Whatever depends, over any number of steps, on a call with a later dependency may have to move.
+    moving = stage.put(edges.where("before >= turn").select("conv_id", "call_id").distinct(), "moving")
+    fresh = moving
+    while not fresh.isEmpty():
+        behind = edges.join(fresh.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
+        fresh = stage.put(behind.join(moving, ["conv_id", "call_id"], "left_anti"), "behind")
+        moving = stage.put(moving.union(fresh), "moving")
+    if moving.isEmpty():
+        return at
+    links = stage.put(edges.join(moving, ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "needs"), "links")
+    done = stage.put(at.join(moving, ["conv_id", "call_id"], "left_anti"), "settled")
+    while True:
+        # The dependencies of an open call that have a place, against all of them.
+        placed = done.select("conv_id", F.col("call_id").alias("needs"), F.col("place").alias("p"), F.col("step").alias("s"))
+        ready = links.join(placed, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("k"), F.count("p").alias("have"), F.max(F.struct("p", (F.col("s") + 1).alias("s"))).alias("m"))
+        ready = ready.where("k = have").select("conv_id", "call_id", "m")
+        own = at.join(ready, ["conv_id", "call_id"])
+        later = F.col("m") > F.struct(F.col("place").alias("p"), F.col("step").alias("s"))
+        own = stage.put(own.select("conv_id", "call_id", F.when(later, F.col("m.p")).otherwise(F.col("place")).alias("place"), F.when(later, F.col("m.s")).otherwise(F.col("step")).alias("step")), "ready")
+        if own.isEmpty():
             break
-        moving = stage.put(moving.join(moved, ["conv_id", "call_id"], "left_anti").unionByName(moved), "moving")
-        changed = stage.put(links.join(moved.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct(), "changed")
-    cyclic = F.col("step") > F.col("size")
-    moving = moving.select("conv_id", "call_id", F.when(~cyclic, F.col("place")).alias("place"), F.when(~cyclic, F.col("step")).alias("step"))
-    rest = at.join(sizes, "conv_id", "left_anti").select("conv_id", "call_id", "place", "step")
-    return rest.unionByName(moving)
+        done = stage.put(done.union(own), "settled")
+        links = stage.put(links.join(own, ["conv_id", "call_id"], "left_anti"), "links")
+    stuck = links.select("conv_id", "call_id").distinct()
+    return done.union(stuck.select("conv_id", "call_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:

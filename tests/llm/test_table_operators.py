@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,39 @@ def test_pipeline_is_its_stages(spark, sf_dir):
     rows = {i: t for i, t in rows.items() if i not in bad}
     assert {i: r.decoded_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows.items()}
     assert 0 < len(got) < docs.count()
+
+
+def test_canonical_numbers_and_odd_schemas():
+    for x, want in ((1e-7, "1e-7"), (1.5e-9, "1.5e-9"), (1e21, "1e+21"), (123e20, "1.23e+22"), (1e20, "100000000000000000000"), (0.000001, "0.000001"), (-12.5, "-12.5"), (0.1, "0.1"), (100.0, "100"), (-0.0, "0"), (5e-324, "5e-324"), (1234.5678, "1234.5678")):
+        assert tool_calls.canonical(x) == want and float(want) == x
+    assert tool_calls.check_arguments("f", '{"x": "\\ud800"}', {"f": {}}) == (None, ["malformed"])
+    assert tool_calls.check_arguments("f", '{"x": NaN}', {"f": {}}) == (None, ["malformed"])
+    assert tool_calls.check_arguments("f", '{"x": 1}', {"f": {}}) == ('{"x":1}', ["unknown x"])
+    assert tool_calls.check_arguments("f", '{"x": 1}', {"f": {"properties": {"x": "date"}}})[1] == ["x has the unknown type date"]
+
+
+def test_a_long_circle_takes_few_jobs(spark):
+    """300 calls of which two need each other: rounds hang on the chain of late dependencies, not on the count of calls."""
+    calls = spark.createDataFrame([(1, f"t{i}", i, "f", "{}", ["t1"] if i == 0 else ["t0"] if i == 1 else ["t1"] if i == 2 else []) for i in range(300)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    spark.sparkContext.setJobGroup("circle", "")
+    rows = {r.turn: r for r in tool_calls.linked(calls, results, {"f": {}}).collect()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("circle")) < 120
+    spark.sparkContext.setJobGroup("", "")
+    assert [i for i, r in rows.items() if r.cyclic] == [0, 1, 2] and rows[3].topo_rank == 1 and rows[2].topo_rank == 300
+
+
+def test_sql_of_the_queries(spark, sf_dir):
+    """Each query of the subpackage with SQL against DuckDB."""
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    for name, sql in queries.ORACLES.items():
+        found = queries.QUERIES[name](spark, sf_dir)
+        columns = sorted(found.columns)
+        cursor = con.execute(sql)
+        names = [d[0] for d in cursor.description]
+        assert sorted(names) == columns
+        at = [names.index(c) for c in columns]
+        assert sorted(str([plain(r[c]) for c in columns]) for r in found.collect()) == sorted(str([plain(r[i]) for i in at]) for r in cursor.fetchall()), name
