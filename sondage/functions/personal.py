@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE = r"\+?\d[\d\s\-\.\(\)]{7,}\d"
 POSTCODE = r"\b\d{5}\b"
-NAME = r"\b[A-ZÉÈÊÀÂÙÔÎÏ][a-zéèêëàâùûüôîïç]{3,}(?: [A-ZÉÈÊÀÂÙÔÎÏ][a-zéèêëàâùûüôîïç]{3,})+\b"
+NAME = r"\b[A-ZÉÈÊÀÂÙÔÎÏ][a-zéèêëàâùûüôîïç]{3,}(?:\s+[A-ZÉÈÊÀÂÙÔÎÏ][a-zéèêëàâùûüôîïç]{3,})+\b"
 
 # Date formats, tried in this order.
 DATE_FORMATS = [
@@ -37,8 +37,9 @@ def mask(value: Column) -> Column:
 
 def generalise_address(value: Column) -> Column:
     """The first five-digit code with up to two words after it, else ``[ADDR_MASKED]``."""
-    code = F.regexp_extract(value, r"(\b\d{5}\b(?:\s+\S+){0,2})", 1)
-    return F.when(value.isNull(), None).when(code == "", "[ADDR_MASKED]").otherwise(F.concat(F.lit("CP "), F.regexp_replace(code, r"\s+", " ")))
+    code = F.regexp_extract(value, POSTCODE, 0)
+    words = F.filter(F.split(F.regexp_extract(value, rf"(?s){POSTCODE}(.*)", 1), r"\s+"), lambda x: x != "")
+    return F.when(value.isNull(), None).when(code == "", "[ADDR_MASKED]").otherwise(F.concat_ws(" ", F.lit("CP"), code, F.slice(words, 1, 2)))
 
 
 def round_position(value: Column, decimals: int = 2) -> Column:

@@ -18,12 +18,6 @@ def adjusted_kurtosis(n: Column, g2: Column, constant: Column) -> Column:
     return F.when(n >= 4, F.when(constant, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are present; null for zero variance."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def with_k2(rows: DataFrame) -> DataFrame:
     """``rows`` (n, g1, g2, ...) with ``k2``: D'Agostino and Pearson's K² from population skewness and excess kurtosis, for n of 8 or more.
 
@@ -57,6 +51,14 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
+def log_normal_tail(z: Column) -> Column:
+    """ln of the normal distribution function; below -5 by the asymptotic series of the tail, whose terms are under 1e-6 of it there."""
+    far = F.least(z, F.lit(-5.0))
+    q = 1 / (far * far)
+    tail = -far * far / 2 - F.ln(-far * math.sqrt(2 * math.pi)) + F.ln(1 - q + 3 * q * q - 15 * q * q * q + 105 * q * q * q * q)
+    return F.when(z < -5, tail).otherwise(F.ln(0.5 * (1 + erf(F.greatest(z, F.lit(-5.0)) / 2**0.5))))
+
+
 def normal_density(x: Column, mean: Column, sd: Column) -> Column:
     z = (x - mean) / sd
     return F.exp(-0.5 * z * z) / (sd * math.sqrt(2 * math.pi))

@@ -43,6 +43,7 @@ def fitness(measures: DataFrame) -> DataFrame:
     return rows.withColumns({"score": score, "status": status})
 
 
+# Points of each algorithm.
 def algorithm_scores(n: Column, features: Column, miss: Column) -> dict[str, Column]:
     when = lambda c, yes, no=0: F.when(c, yes).otherwise(no)
     return {
@@ -69,6 +70,7 @@ def encoding_plan(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([], "column string, n_distinct long, encoding string, priority string")
     counts = frequencies(df, columns).groupBy("column", F.lower("value").alias("value")).agg(F.count("*").alias("k"))
     rows = counts.groupBy("column").agg(F.sum("k").alias("n_distinct"), F.count_if(F.col("value").isin(ORDINAL_WORDS)).alias("words"))
+    rows = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(rows, "column", "left").fillna(0, ["n_distinct", "words"])
     d = F.col("n_distinct")
     encoding = F.when(d == 2, "label").when(F.col("words") >= 2, "ordinal").when(d <= 30, "one-hot").when(d <= 100, "frequency").otherwise("drop or group")
     priority = F.when(d == 2, "high").when(F.col("words") >= 2, "high").when(d <= 10, "high").when(d <= 100, "medium").otherwise("low")

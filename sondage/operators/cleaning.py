@@ -13,12 +13,10 @@ from sondage.operators.correlation import STRONG, correlations, ranked_pairs
 from sondage.operators.importance import WEAK, importance
 from sondage.operators.normality import ALPHA, dagostino
 from sondage.operators.profile import column_profile, missing_report, numeric_profile, table_profile
-from sondage.operators.types import clean, need, number, numeric_columns, scalar_columns, text_columns
+from sondage.operators.types import clean, need, nested_keys, number, numeric_columns, scalar_columns, text_columns
 
 #: Values of lambda that one pass of the Yeo-Johnson fit evaluates for each column.
 GRID = 21
-#: Distinct values up to which a text column can be one-hot encoded in a table.
-MOST_CODES = 1000
 
 
 @dataclass(frozen=True)
@@ -59,7 +57,9 @@ def context(df: DataFrame) -> Context:
 
 
 def drop_duplicates(df: DataFrame, found: Context | None = None) -> DataFrame:
-    return df.dropDuplicates(scalar_columns(df))
+    """One row of each set of rows that are equal in all columns, nested ones too."""
+    keys = {f"__k{i}": k for i, k in enumerate(nested_keys(df))}
+    return df.withColumns(keys).dropDuplicates([*scalar_columns(df), *keys]).drop(*keys) if keys else df.dropDuplicates()
 
 
 def drop_critical_missing(df: DataFrame, found: Context) -> DataFrame:
@@ -104,9 +104,15 @@ def log1p(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         return df
     need(df, *columns, numeric=True)
+    return df.withColumns({c: F.log1p(number(c) + s) for c, s in shifts(df, columns).items()})
+
+
+def shifts(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """What is added to a column so that it has no negative values; columns without values are left out."""
+    if not columns:
+        return {}
     low = df.agg(*(F.min(number(c)).alias(f"m{i}") for i, c in enumerate(columns))).first()
-    shift = {c: abs(low[f"m{i}"]) + 1 if low[f"m{i}"] is not None and low[f"m{i}"] < 0 else 0.0 for i, c in enumerate(columns)}
-    return df.withColumns({c: F.log1p(number(c) + s) for c, s in shift.items()})
+    return {c: abs(low[f"m{i}"]) + 1 if low[f"m{i}"] < 0 else 0.0 for i, c in enumerate(columns) if low[f"m{i}"] is not None}
 
 
 def transform_skewed(df: DataFrame, found: Context) -> DataFrame:
@@ -160,14 +166,12 @@ def normalise_yeo(df: DataFrame, found: Context) -> DataFrame:
     return standardise(clean(df).withColumns({c: yeo_johnson(number(c), p) for c, p in powers.items()}), columns)
 
 
-def one_hot(df: DataFrame, columns: list[str], most: int = MOST_CODES) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column replaced by a boolean column ``<column>_<value>`` a value, at the end; nulls are false in all."""
     need(df, *columns)
     out = df
     for c in columns:
-        values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(most + 1).collect()]
-        if len(values) > most:
-            raise ValueError(f"{c} has more than {most} values")
+        values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]  # as many as the columns asked for
         out = out.withColumns({f"{c}_{v}": F.coalesce(F.col(c) == F.lit(v), F.lit(False)) for v in values}).drop(c)
     return out
 
@@ -190,8 +194,8 @@ ACTIONS: dict[str, tuple[Callable[[DataFrame, Context], DataFrame], Callable[[Co
     "encode_categorical": (encode_categorical, lambda c: bool(c.text)),
     "standardize": (standardise_all, lambda c: bool(c.numeric)),
 }
-#: The order in which a table is best cleaned.
-SUGGESTED_ORDER = ["check the source", "drop_duplicates", "drop_critical_missing", "impute_moderate_missing", "transform_skewed", "encode_categorical", "standardize", "drop_low_importance"]
+#: The order in which a table is best prepared.
+SUGGESTED_ORDER = ["duplicates", "missing values", "outliers", "distributions", "encoding of text columns", "scaling", "fewer dimensions", "training and test rows"]
 
 
 def catalog(found: Context) -> list[tuple[str, bool]]:
@@ -199,23 +203,74 @@ def catalog(found: Context) -> list[tuple[str, bool]]:
     return [(name, needed(found)) for name, (_, needed) in ACTIONS.items()]
 
 
+def advice(found: Context, shown: int = 4) -> list[dict[str, str]]:
+    """The actions that the table needs, with priority, category, label, justification and impact."""
+    some = lambda columns: ", ".join(columns[:shown])
+    texts = {
+        "drop_duplicates": ("high", "quality", f"Drop {found.n_duplicates} duplicate rows", "Duplicates distort statistics and models.", "high"),
+        "drop_critical_missing": ("high", "missing values", f"Drop {len(found.critical)} columns with more than 50 % missing", f"Columns: {some(found.critical)}.", "high"),
+        "impute_moderate_missing": ("medium", "missing values", f"Fill {len(found.moderate)} columns with 20 to 50 % missing", f"Median of numbers, else the mode: {some(found.moderate)}.", "medium"),
+        "normalize_yeo": ("medium", "normality", f"Yeo-Johnson transformation of {len(found.not_normal)} columns that aren't normal", f"Columns: {some(found.not_normal)}.", "medium"),
+        "transform_skewed": ("medium", "distribution", f"ln(1 + x) of {len(found.skewed)} skewed columns", f"|skewness| > 1: {some(found.skewed)}.", "medium"),
+        "drop_low_importance": ("low", "selection", f"Drop {len(found.weak)} columns of low importance (score below {WEAK} %)", f"Columns: {some(found.weak)}.", "low"),
+        "encode_categorical": ("low", "encoding", f"One-hot encoding of {len(found.text)} text columns", "Models need numbers.", "low"),
+        "standardize": ("low", "scaling", f"z-scores of {len(found.numeric)} numeric columns", "Distances and penalised models need equal scales.", "low"),
+    }
+    return [{"id": a, **dict(zip(("priority", "category", "label", "justification", "impact"), texts[a], strict=True))} for a, needed in catalog(found) if needed]
+
+
 def indicators(df: DataFrame) -> DataFrame:
-    """One row: critical problems and columns to treat."""
-    rows = flags(df).agg(F.count_if("incomplete").alias("incomplete"), F.count_if("skewed").alias("skewed"), F.count_if("weak").alias("weak"), F.count_if(F.col("completeness") < 80).alias("missing"))
-    both = rows.join(table_profile(df).select("n_duplicates"))
-    some = lambda c: (F.col(c) > 0).cast("int")
-    return both.select((some("missing") + some("n_duplicates") + some("skewed")).alias("critical_problems"), (F.col("incomplete") + F.col("skewed") + F.col("weak")).alias("columns_to_treat"), "n_duplicates")
+    """One row: critical problems (over 20 % of all cells missing, duplicates, skewed columns), columns to treat (incomplete or weak ones), strongly
+    correlated pairs, and columns that aren't normal."""
+    rows = flags(df).agg(*(F.count_if(c).alias(c) for c in ("incomplete", "skewed", "weak", "not_normal")))
+    both = rows.join(table_profile(df).select("completeness", "n_duplicates"))
+    if len(numeric_columns(clean(df))) > 1:
+        both = both.join(correlations(df).agg(F.count_if(F.abs("r") >= STRONG).alias("redundant_pairs")))
+    else:
+        both = both.withColumn("redundant_pairs", F.lit(0).cast("long"))
+    some = lambda c: c.cast("int")
+    critical = some(100 - F.col("completeness") > 20) + some(F.col("n_duplicates") > 0) + some(F.col("skewed") > 0)
+    return both.select(critical.alias("critical_problems"), (F.col("incomplete") + F.col("weak")).alias("columns_to_treat"), "redundant_pairs", F.col("not_normal").alias("not_normal_columns"))
+
+
+def _entries(action: str, before: DataFrame, found: Context) -> list[str]:
+    """What an action does to ``before``, with the values that it uses."""
+    here = lambda columns: [c for c in columns if c in before.columns]
+    if action == "drop_duplicates":
+        n = table_profile(before).first().n_duplicates
+        return [f"duplicates dropped: {n} rows"]
+    if action == "drop_critical_missing":
+        return [f"columns with over 50 % missing dropped: {', '.join(here(found.critical))}"]
+    if action == "impute_moderate_missing":
+        numeric = numeric_columns(before)
+        return [f"{'median' if c in numeric else 'mode'} filled in: {c} ({v:.4f})" if c in numeric else f"mode filled in: {c} ({v})" for c, v in fill_values(before, here(found.moderate)).items()] if here(found.moderate) else []
+    if action == "normalize_yeo":
+        return [f"Yeo-Johnson: {', '.join(here(found.not_normal))}"] if here(found.not_normal) else []
+    if action == "transform_skewed":
+        return [f"ln(1 + x): {c}" if not s else f"ln(1 + x + {s:.2f}): {c}" for c, s in shifts(clean(before), here(found.skewed)).items()]
+    if action == "drop_low_importance":
+        return [f"columns of low importance dropped: {', '.join(here(found.weak))}"]
+    if action == "encode_categorical":
+        return [f"one-hot encoded: {', '.join(here(found.text))}"] if here(found.text) else []
+    return [f"standardised: {len(numeric_columns(before))} columns"] if numeric_columns(before) else []
 
 
 def apply_actions(df: DataFrame, actions: list[str], found: Context | None = None) -> tuple[DataFrame, list[str]]:
-    """``df`` after the actions in the caller's order, and those that were known. The context is that of the original table."""
+    """``df`` after the actions in the caller's order, and a journal of what was done. The context is that of the original table; unknown actions do nothing."""
     found = found or context(df)
-    journal = [a for a in actions if a in ACTIONS]
-    for a in journal:
-        df = ACTIONS[a][0](df, found)
+    journal: list[str] = []
+    for a in actions:
+        if a in ACTIONS:
+            journal += _entries(a, df, found)
+            df = ACTIONS[a][0](df, found)
     return df, journal
 
 
+def preview(df: DataFrame, rows: int = 10) -> list[dict]:
+    """The first rows as dictionaries."""
+    return [r.asDict() for r in clean(df).limit(rows).collect()]
+
+
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     """(measure, before, after, change) of the profiles of two tables."""
     names = ["n_rows", "n_columns", "n_missing", "completeness", "n_duplicates", "n_numeric", "n_text"]

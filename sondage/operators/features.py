@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,44 +92,65 @@ def prepare(df: DataFrame, columns: list[str] | None = None, categorical: list[s
     rows = VectorAssembler(inputCols=list(hidden.values()), outputCol="scaled").transform(rows).drop(*hidden.values(), *coded)
     explained: list[float] = []
     if variance is not None and len(names) > 2:
-        full = PCA(k=len(names), inputCol="scaled", outputCol="features").fit(rows)
-        explained = [float(x) for x in full.explainedVariance]
+        mean, axes, explained = principal(rows)
         k, total = len(names), 0.0
         for i, share in enumerate(explained, 1):
             total += share
             if total >= variance:
                 k = i
                 break
-        rows = projected(rows, k, "features")
+        rows = projected(rows, mean, axes[:k], "features")
     else:
         rows = rows.withColumn("features", F.col("scaled"))
     return Prepared(rows, names, explained[:])
 
 
-def projected(rows: DataFrame, k: int, output: str) -> DataFrame:
-    """The first ``k`` centred principal components of ``scaled``; the largest loading of each is positive."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
+def principal(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Mean, axes (a row each, the largest loading positive) and shares of variance of the principal components of ``scaled``.
 
-    model = PCA(k=k, inputCol="scaled", outputCol="__pc").fit(rows)
-    mean = rows.select(Summarizer.mean(F.col("scaled")).alias("m")).first().m.toArray()
-    axes = model.pc.toArray()
-    base = mean @ axes
-    signs = [1.0 if axes[abs(axes[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]
-    parts = vector_to_array("__pc")
-    return model.transform(rows).withColumn(output, array_to_vector(F.array(*((parts[i] - float(base[i])) * signs[i] for i in range(k))))).drop("__pc")
+    Every partition sums its rows, their count and their products; the driver only sees these sums, whose size depends on the features alone.
+    """
+
+    def sums(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy())])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    found = rows.select(vector_to_array("scaled").alias("x")).mapInPandas(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+    d = round(len(found) ** 0.5)
+    found = found.reshape(d, d)
+    n, mean = max(found[0, 0], 1.0) if d else 1.0, found[0, 1:] / max(found[0, 0], 1.0)
+    spread, axes = np.linalg.eigh((found[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1))
+    spread, axes = np.maximum(spread[::-1], 0), axes.T[::-1]
+    axes = axes * np.where(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+    return mean, axes, (spread / (spread.sum() or 1.0)).tolist()
+
+
+def projected(rows: DataFrame, mean: np.ndarray, axes: np.ndarray, output: str) -> DataFrame:
+    """``scaled`` on the axes, as the vector column ``output``."""
+    x = vector_to_array("scaled")
+    parts = [F.aggregate(F.zip_with(x, F.lit([float(v) for v in axis]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) - float(mean @ axis) for axis in axes]
+    return rows.withColumn(output, array_to_vector(F.array(*parts)))
+
+
+def reduced(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the first ``k`` principal components of ``scaled`` as ``features``."""
+    mean, axes, _ = principal(rows)
+    return projected(rows, mean, axes[:k], "features")
 
 
 def projection_2d(rows: DataFrame) -> DataFrame:
     """``rows`` with ``pc_1`` and ``pc_2`` of the scaled features; needs two of them."""
-    out = projected(rows, 2, "__xy")
+    mean, axes, _ = principal(rows)
     xy = vector_to_array("__xy")
-    return out.withColumns({"pc_1": xy[0], "pc_2": xy[1]}).drop("__xy")
+    return projected(rows, mean, axes[:2], "__xy").withColumns({"pc_1": xy[0], "pc_2": xy[1]}).drop("__xy")
 
 
 def from_array(df: DataFrame, column: str) -> DataFrame:
     """Rows whose array column becomes ``features`` and ``scaled``."""
-    from pyspark.ml.functions import array_to_vector
-
     vector = array_to_vector(F.col(column).cast("array<double>"))
     return df.withColumns({"features": vector, "scaled": vector})

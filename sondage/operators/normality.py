@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.stats import adjusted_kurtosis, adjusted_skew, erf, normal_density, normal_quantile, with_k2
+from sondage.functions.stats import adjusted_kurtosis, adjusted_skew, log_normal_tail, normal_density, normal_quantile, with_k2
 from sondage.operators.profile import numbered
 from sondage.operators.types import clean, need, number, numeric_columns
 
@@ -36,9 +36,9 @@ def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     x = numbered(df, column)
     spread = x.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     z = (F.col("x") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
-    cdf = F.least(F.greatest(0.5 * (1 + erf(z / 2**0.5)), F.lit(1e-15)), F.lit(1 - 1e-15))
+    lower, upper = log_normal_tail(z), log_normal_tail(-z)
     # In the sum of (2 i - 1) (ln F(x_i) + ln(1 - F(x_(n+1-i)))) each value has the weights of both its places.
-    term = (2 * F.col("i") - 1) * F.ln(cdf) + (2 * (F.col("n") + 1 - F.col("i")) - 1) * F.ln(1 - cdf)
+    term = (2 * F.col("i") - 1) * lower + (2 * (F.col("n") + 1 - F.col("i")) - 1) * upper
     one = x.join(F.broadcast(spread)).agg(F.first("n").alias("n"), F.sum(term / F.col("n")).alias("s"))
     critical = F.round(0.787 / (1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n"))), 3)
     return one.select(F.lit(column).alias("column"), "n", F.round(-F.col("n") - F.col("s"), 4).alias("statistic"), critical.alias("critical"), (-F.col("n") - F.col("s") < critical).alias("normal"))
@@ -155,7 +155,7 @@ def suggestion(skew: Column, kurtosis: Column, least: Column) -> Column:
 
 
 def suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, suggestion), null for columns that K² calls normal."""
+    """(column, suggestion), null for columns that the tests together call normal."""
     df = clean(df)
     columns = columns or numeric_columns(df)
     one = df.agg(*(x for i, c in enumerate(columns) for x in (F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}"), F.skewness(number(c)).alias(f"g{i}"), F.kurtosis(number(c)).alias(f"k{i}"))))
@@ -163,4 +163,4 @@ def suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     skew, kurtosis = adjusted_skew(F.col("n"), F.col("g")), adjusted_kurtosis(F.col("n"), F.col("k"), F.col("lo") == F.col("hi"))
     rows = rows.select("column", suggestion(skew, kurtosis, F.col("lo")).alias("suggestion"))
-    return rows.join(dagostino(df, columns).select("column", "normal"), "column").select("column", F.when(~F.coalesce("normal", F.lit(False)), F.col("suggestion")).alias("suggestion"))
+    return rows.join(verdicts(df, columns).select("column", "verdict"), "column").select("column", F.when(F.col("verdict") != "normal", F.col("suggestion")).alias("suggestion"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondage.functions import personal as P
+from sondage.operators.profile import frequencies
 from sondage.operators.types import clean, is_number, scalar_columns
 
 # Column-name patterns, tried in this order.
@@ -56,8 +57,8 @@ def _decide(x: dict, numeric: bool) -> str:
 def detect_types(df: DataFrame, forced: Mapping[str, str] | None = None) -> dict[str, str]:
     """The kind of personal data of each column, ``none`` where there is none.
 
-    Names decide first, then the first non-null values (``LOOKED_AT`` of them), then, for numbers, the share of distinct values over
-    all rows, which all columns in question share one aggregation for.
+    Names decide first, then the first non-null values (``LOOKED_AT`` of them), for numbers also decimals and range of all values, and last the
+    share of distinct values among all rows. The looks of all columns are one job, and so are the counts.
     """
     df, out, forced = clean(df), {}, forced or {}
     kinds = {f.name: f.dataType for f in df.schema}
@@ -68,20 +69,25 @@ def detect_types(df: DataFrame, forced: Mapping[str, str] | None = None) -> dict
             out[c] = kind
         else:
             open_columns.append(c)
-    unique = []
+    share = lambda cond: F.avg(cond.cast("int"))
+    heads = None
+    for i, c in enumerate(open_columns):
+        head = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).limit(LOOKED_AT)
+        head = head.agg(F.lit(i).alias("i"), F.count("v").alias("n"), share(F.col("v").rlike(P.EMAIL)).alias("email"), share(F.col("v").rlike(P.PHONE)).alias("phone"), share(F.col("v").rlike(r"^\d{5}$")).alias("postcode"))
+        heads = head if heads is None else heads.union(head)
+    found = {open_columns[r.i]: r.asDict() for r in heads.collect()} if heads is not None else {}
+    numeric = [c for c in open_columns if is_number(kinds[c])]
+    if numeric:
+        # Decimals and range of all values, and the exact count of distinct ones.
+        decimals = lambda c: F.length(F.regexp_extract(F.col(c).cast("double").cast("string"), r"\.(\d*?)0*$", 1))
+        one = df.agg(F.count("*").alias("rows"), *(x for i, c in enumerate(numeric) for x in (share(decimals(c) >= 4).alias(f"p{i}"), F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}")))).first()
+        distinct = {r["column"]: r.k for r in frequencies(df, numeric).groupBy("column").agg(F.count("*").alias("k")).collect()}
+        for i, c in enumerate(numeric):
+            found[c] |= {"precise": one[f"p{i}"] or 0.0, "most": one[f"m{i}"]}
     for c in open_columns:
-        text = F.col(c).cast("string")
-        head = df.where(F.col(c).isNotNull()).select(text.alias("v"), (F.col(c).cast("double") if is_number(kinds[c]) else F.lit(None).cast("double")).alias("x")).limit(LOOKED_AT)
-        share = lambda cond: F.avg(cond.cast("int"))
-        x = head.agg(F.count("v").alias("n"), share(F.col("v").rlike(P.EMAIL)).alias("email"), share(F.col("v").rlike(P.PHONE)).alias("phone"), share(F.col("v").rlike(r"^\d{5}$")).alias("postcode"), share(F.length(F.regexp_extract("v", r"\.(\d+)$", 1)) >= 4).alias("precise"), F.max(F.abs("x")).alias("most")).first().asDict()
-        out[c] = _decide(x, is_number(kinds[c]))
-        if out[c] == "none" and is_number(kinds[c]):
-            unique.append(c)
-    if unique:
-        counts = df.agg(*(a for c in unique for a in (F.count(c).alias(f"n_{c}"), F.approx_count_distinct(c, 0.01).alias(f"d_{c}")))).first()
-        for c in unique:
-            if counts[f"n_{c}"] >= 20 and counts[f"d_{c}"] / counts[f"n_{c}"] > 0.95:
-                out[c] = "numeric_id"
+        out[c] = _decide(found[c], c in numeric)
+        if out[c] == "none" and c in numeric and one["rows"] >= 20 and distinct.get(c, 0) / one["rows"] > 0.95:
+            out[c] = "numeric_id"
     return {c: out[c] for c in scalar_columns(df)}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondage.functions.stats import adjusted_kurtosis, adjusted_skew
-from sondage.operators.types import clean, is_stat_numeric, need, number, numeric_columns, scalar_columns, text_columns
+from sondage.operators.types import clean, is_stat_numeric, need, nested_keys, number, numeric_columns, scalar_columns, text_columns
 
 MOST_BINS, TOP_VALUES, MOST_OUTLIERS = 20, 20, 200
 FEW_CODES = 12
@@ -22,7 +22,7 @@ def table_profile(df: DataFrame) -> DataFrame:
     names = scalar_columns(df)
     missing = sum((F.col(c).isNull().cast("long") for c in names), F.lit(0).cast("long"))
     # Equal rows are counted together first, so that one pass gives both the totals and the duplicates.
-    rows = df.groupBy(*names).agg(F.count("*").alias("times")).select("times", (missing * F.col("times")).alias("missing"))
+    rows = df.groupBy(*names, *nested_keys(df)).agg(F.count("*").alias("times")).select("times", (missing * F.col("times")).alias("missing"))
     out = rows.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("missing"), F.lit(0)).alias("n_missing"), F.count("*").alias("n_distinct"))
     cells = F.col("n_rows") * len(names)
     completeness = F.round(100 * (1 - F.col("n_missing") / F.greatest(cells, F.lit(1))), 2)
@@ -39,13 +39,22 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, number, times) of all non-null values: number orders the values of numeric columns."""
+    """(column, value, number, times) of all non-null values: number orders the values of numeric columns.
+
+    The columns of a type are one aggregation over values as they are; only what is counted becomes text.
+    """
     df = clean(df)
-    kinds = {f.name: f.dataType for f in df.schema}
-    columns = columns or scalar_columns(df)
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (number(c) if is_stat_numeric(kinds[c]) else F.lit(None).cast("double")).alias("number")) for c in columns]
-    rows = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value is not null")
-    return rows.groupBy("column", "value", "number").agg(F.count("*").alias("times"))
+    kinds: dict[str, list[str]] = {}
+    for c in columns or scalar_columns(df):
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out = None
+    for names in kinds.values():
+        cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(names)))
+        counts = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null").groupBy("i", "v").agg(F.count("*").alias("times"))
+        number_ = F.col("v").cast("double") if is_stat_numeric(df.schema[names[0]].dataType) else F.lit(None).cast("double")
+        rows = counts.select(F.lit(names)[F.col("i")].alias("column"), F.col("v").cast("string").alias("value"), number_.alias("number"), "times")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def missing_report(df: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def text_features(df: DataFrame, column: str, keep: list[str] | None = None) ->
     """has_response, char_count, word_count and the cleaned text of a free-text cell."""
     need(df, column)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.col(column), r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
-    has = F.coalesce((text != "") & ~F.lower(text).rlike(REFUSAL), F.lit(False))
+    has = F.coalesce(~F.col(column).isin(_NULL_TEXT) & (text != "") & ~F.lower(text).rlike(REFUSAL), F.lit(False))
     return df.select(*(keep or df.columns), has.alias("has_response"), F.coalesce(F.when(has, F.length(text)), F.lit(0)).alias("char_count"), F.coalesce(F.when(has, F.size(F.split(text, " "))), F.lit(0)).alias("word_count"), F.when(has, text).alias("cleaned"))
 
 
@@ -161,7 +161,7 @@ def response_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     df = clean(df)
     columns = columns or scalar_columns(df)
     kinds = {f.name: f.dataType for f in df.schema}
-    refused = lambda c: F.count_if(F.lower(F.trim(F.col(c))).rlike(REFUSAL) | (F.trim(F.col(c)) == "")) if not is_number(kinds[c]) else F.lit(0).cast("long")
+    refused = lambda c: F.count_if(F.lower(F.trim(F.col(c))).rlike(REFUSAL)) if not is_number(kinds[c]) else F.lit(0).cast("long")
     text = df.select(*(F.col(c).cast("string").alias(c) if not is_number(kinds[c]) else F.col(c) for c in columns))
     one = text.agg(F.count("*").alias("n"), *(x for i, c in enumerate(columns) for x in (F.count(c).alias(f"c{i}"), refused(c).alias(f"r{i}"))))
     rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"c{i}").alias("present"), F.col(f"r{i}").alias("n_refused"), F.lit(is_filter(c)).alias("is_filter")) for i, c in enumerate(columns)]

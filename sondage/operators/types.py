@@ -38,6 +38,12 @@ def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
+def nested_keys(df: DataFrame) -> list[Column]:
+    """What tells the values of nested columns apart; maps, which can't be compared, as their sorted entries."""
+    nested = [f for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    return [F.array_sort(F.map_entries(f.name)).alias(f"__{f.name}") if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in nested]
+
+
 def need(df: DataFrame, *columns: str, numeric: bool = False) -> None:
     for name in columns:
         if name not in df.columns:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from sondage.operators import advice, cleaning
@@ -71,12 +73,19 @@ def recommendation_flags(spark, sf_dir):
     return cleaning.flags(holes(table(spark, sf_dir, "lineitem")))
 
 
-@query("recommendation_catalog")
+@query("recommendation_catalog", f"""WITH f AS ({_FLAGS}), c AS (SELECT count(*) FILTER (critical) AS critical, count(*) FILTER (moderate) AS moderate, count(*) FILTER (skewed) AS skewed, count(*) FILTER (weak) AS weak, count(*) FILTER (not_normal) AS not_normal FROM f), t AS ({_table_sql(HOLES, ALL, 8, 2)})
+ SELECT 'drop_duplicates' AS action, n_duplicates > 0 AS applicable FROM t UNION ALL SELECT 'drop_critical_missing', critical > 0 FROM c UNION ALL SELECT 'impute_moderate_missing', moderate > 0 FROM c UNION ALL SELECT 'normalize_yeo', not_normal > 0 FROM c
+ UNION ALL SELECT 'transform_skewed', skewed > 0 FROM c UNION ALL SELECT 'drop_low_importance', weak > 0 FROM c UNION ALL SELECT 'encode_categorical', true UNION ALL SELECT 'standardize', true""")
 def recommendation_catalog(spark, sf_dir):
     return spark.createDataFrame(cleaning.catalog(cleaning.context(holes(table(spark, sf_dir, "lineitem")))), "action string, applicable boolean")
 
 
-@query("recommendation_indicators", f"SELECT (count(*) FILTER (incomplete) > 0)::INT + (count(*) FILTER (skewed) > 0)::INT + ((SELECT count(*) FROM {HOLES}) > (SELECT count(*) FROM (SELECT DISTINCT * FROM {HOLES})))::INT AS critical_problems, count(*) FILTER (incomplete) + count(*) FILTER (skewed) + count(*) FILTER (weak) AS columns_to_treat, (SELECT count(*) FROM {HOLES}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {HOLES})) AS n_duplicates FROM ({_FLAGS})")
+_PAIRS = " UNION ALL ".join(f"SELECT corr({a}, {b}) AS r FROM {HOLES}" for a, b in combinations(NUMBERS, 2))
+
+
+@query("recommendation_indicators", f"""WITH t AS ({_table_sql(HOLES, ALL, 8, 2)}), f AS ({_FLAGS})
+ SELECT (100 - any_value(completeness_all) > 20)::INT + (any_value(n_duplicates) > 0)::INT + (count(*) FILTER (skewed) > 0)::INT AS critical_problems, count(*) FILTER (incomplete) + count(*) FILTER (weak) AS columns_to_treat,
+ (SELECT count(*) FILTER (NOT isnan(r) AND abs(r) >= 0.7) FROM ({_PAIRS})) AS redundant_pairs, count(*) FILTER (not_normal) AS not_normal_columns FROM f, (SELECT completeness AS completeness_all, n_duplicates FROM t)""")
 def recommendation_indicators(spark, sf_dir):
     return cleaning.indicators(holes(table(spark, sf_dir, "lineitem")))
 

@@ -129,17 +129,17 @@ def kmeans(spark, sf_dir):
 
 @query("gmm")
 def gmm(spark, sf_dir):
-    return _labels(clustering.gaussian_mixture(features.projected(_plain(spark, sf_dir).drop("features"), 3, "features"), 4)[0])
+    return _labels(clustering.gaussian_mixture(features.reduced(_plain(spark, sf_dir), 3), 4)[0])
 
 
 @query("gmm_diag")
 def gmm_diag(spark, sf_dir):
-    return _labels(clustering.gaussian_mixture(features.projected(_plain(spark, sf_dir).drop("features"), 3, "features"), 4, "diag")[0])
+    return _labels(clustering.gaussian_mixture(features.reduced(_plain(spark, sf_dir), 3), 4, "diag")[0])
 
 
 @query("dbscan")
 def dbscan(spark, sf_dir):
-    rows = features.projected(_plain(spark, sf_dir).drop("features"), 2, "features")
+    rows = features.reduced(_plain(spark, sf_dir), 2)
     return _labels(clustering.dbscan(rows, "vec_id", 0.25, 5))
 
 
@@ -150,7 +150,7 @@ def agglomerative(spark, sf_dir):
 
 @query("meanshift")
 def meanshift(spark, sf_dir):
-    return _labels(clustering.mean_shift(features.projected(_plain(spark, sf_dir).drop("features"), 2, "features")))
+    return _labels(clustering.mean_shift(features.reduced(_plain(spark, sf_dir), 2)))
 
 
 @query("pca_2d")
@@ -183,7 +183,7 @@ def elbow(spark, sf_dir):
 
 @query("information_criteria")
 def information_criteria(spark, sf_dir):
-    rows = features.projected(_plain(spark, sf_dir).drop("features"), 2, "features")
+    rows = features.reduced(_plain(spark, sf_dir), 2)
     return spark.createDataFrame([tuple(r.values()) for r in cluster_report.information_criteria(rows, 4)], "k int, bic double, aic double")
 
 

@@ -207,7 +207,8 @@ def test_cleaning(spark, table, people):
     same, journal = cleaning.apply_actions(table, ["nothing"], found)
     assert journal == [] and same is table
     out, journal = cleaning.apply_actions(table, ["drop_duplicates", "impute_moderate_missing", "transform_skewed", "encode_categorical"], found)
-    assert journal == ["drop_duplicates", "impute_moderate_missing", "transform_skewed", "encode_categorical"]
+    kinds = [x.split(":")[0].split(" (")[0] for x in journal]
+    assert kinds[:2] == ["duplicates dropped", "mode filled in"] and kinds[-1] == "one-hot encoded" and set(kinds[2:-1]) == {"ln(1 + x)"}
     after = profile.table_profile(out).first()
     assert after.n_rows == 200 and after.n_duplicates == 0 and after.n_missing == 16
     assert {"categorie_A", "categorie_B", "categorie_C", "ville_Paris"} <= set(out.columns) and "ville" not in out.columns
@@ -223,7 +224,13 @@ def test_cleaning(spark, table, people):
     assert abs(yj) < 0.2
     assert [a for a, _ in cleaning.catalog(found)] == ["drop_duplicates", "drop_critical_missing", "impute_moderate_missing", "normalize_yeo", "transform_skewed", "drop_low_importance", "encode_categorical", "standardize"]
     assert cleaning.fill_values(spark.createDataFrame([(None, None), (None, None)], "a string, b double"), ["a", "b"]) == {"a": "INCONNU"}
-    assert cleaning.indicators(table).first().critical_problems == 3
+    row = cleaning.indicators(table).first()
+    # 20 % of the cells aren't missing here: duplicates and skewed columns are the problems.
+    assert (row.critical_problems, row.columns_to_treat) == (2, len(found.incomplete) + len(found.weak))
+    assert (row.redundant_pairs, row.not_normal_columns) == (len(found.strong_pairs), len(found.not_normal))
+    assert [x["id"] for x in cleaning.advice(found)] == [a for a, needed in cleaning.catalog(found) if needed]
+    assert "5 duplicate" in cleaning.advice(found)[0]["label"] and len(cleaning.SUGGESTED_ORDER) == 8
+    assert len(cleaning.preview(table)) == 10
 
 
 def test_advice(spark, table):
@@ -237,3 +244,46 @@ def test_advice(spark, table):
     scale = spark.createDataFrame([("Low",), ("HIGH",), ("medium",)], "s string")
     assert advice.encoding_plan(scale).first().encoding == "ordinal"
     assert advice.encoding_plan(spark.createDataFrame([(1,)], "x int")).collect() == []
+
+
+def test_nested_columns_tell_rows_apart(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, array(1), map('a', 1)), (1, array(2), map('a', 1)), (1, array(2), map('a', 2)), (1, array(2), map('a', 2)) AS t(x, y, z)")
+    assert profile.table_profile(df).first().n_duplicates == 1
+    assert cleaning.drop_duplicates(df).count() == 3 and cleaning.drop_duplicates(df).columns == ["x", "y", "z"]
+
+
+def test_personal_data_at_line_ends_and_without_blanks(spark):
+    one = lambda f, text: spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
+    for text in ("vu Jean Dupont ici", "vu Jean  Dupont ici", "vu Jean\nDupont ici"):
+        assert one(P.scrub, text) == "vu [NAME] ici"
+    for text, want in (("3 rue, 75001,Paris", "CP 75001 ,Paris"), ("75001  Paris 01 Nord", "CP 75001 Paris 01"), ("75001", "CP 75001"), ("rue", "[ADDR_MASKED]")):
+        assert one(P.generalise_address, text) == want
+    rows = spark.createDataFrame([(t,) for t in ("nan", "None", "", "rien", "bonne idée")], "t string")
+    assert [r.has_response for r in questionnaire.text_features(rows, "t").collect()] == [False, False, False, False, True]
+    assert questionnaire.response_rates(rows).first().n_refused == 2  # rien, None
+    plan = advice.encoding_plan(spark.createDataFrame([(None, "a"), (None, "b")], "empty string, two string")).collect()
+    assert {r["column"]: (r.n_distinct, r.encoding) for r in plan} == {"empty": (0, "one-hot"), "two": (2, "label")}
+
+
+def test_exact_share_of_distinct_numbers(spark):
+    df = spark.range(1000).selectExpr("id AS unique", "id % 940 AS often", "if(id < 960, id, null) AS most")
+    assert personal.detect_types(df) == {"unique": "numeric_id", "often": "none", "most": "numeric_id"}
+
+
+def test_anderson_darling_far_out(spark):
+    """A heavy tail counts by the logarithm of its tail probability, not by a least value."""
+    values = [float(i % 7) for i in range(200)] + [3000.0]
+    x = np.sort(values)
+    z = (x - x.mean()) / x.std(ddof=1)
+    log = lambda t: math.log(0.5 * math.erfc(-t / 2**0.5)) if t > -37 else -t * t / 2 - math.log(-t * math.sqrt(2 * math.pi))
+    n = len(x)
+    want = -n - sum((2 * i - 1) * (log(z[i - 1]) + log(-z[n - i])) for i in range(1, n + 1)) / n
+    got = normality.anderson_darling(spark.createDataFrame([(v,) for v in values], "v double"), "v").first().statistic
+    assert got == pytest.approx(want, rel=1e-3)
+
+
+def test_wide_table(spark):
+    """360 columns: correlations are one pass of sums."""
+    df = spark.range(300).select(*(F.xxhash64("id", F.lit(i)).cast("double").alias(f"c{i}") for i in range(359)), F.xxhash64("id", F.lit(7)).cast("double").alias("twin"))
+    best = correlation.ranked_pairs(correlation.correlations(df)).first()
+    assert (best.a, best.b, best.strength) == ("c7", "twin", 1.0)
