@@ -196,7 +196,7 @@ def _letters(a: bytes) -> np.ndarray:
 
 
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
-    """The Levenshtein distance of characters, or more than ``most`` where it is more. Columns of the table are bits of an integer."""
+    """The Levenshtein distance of characters, or more than ``most`` where it is more."""
     if a == b:
         return 0
     x, y = _letters(a), _letters(b)
@@ -208,24 +208,46 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     n -= head
     same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
     tail = n if same.all() else int(same.argmin())
-    a, b = x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist()
-    if not a or not b:
-        return len(a) + len(b)
+    return _banded(x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist(), most)
+
+
+def _banded(a: list[int], b: list[int], most: int) -> int:
+    """The distance of two sequences of numbers, or more than ``most``.
+
+    The table's cells within ``most`` of the diagonal are bits of integers that move down with it; the distance is followed along the band's lower edge, where
+    it can only grow, and then along the last row, where it can fall by one a letter.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    most = min(most, len(a))
+    if len(a) - len(b) > most:
+        return most + 1
+    width = 2 * most + 1
+    full, edge = (1 << width) - 1, 1 << width - 1
     at: dict[int, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score, left = full, 0, len(a), len(b)
-    for c in b:
+    up, down, score = ((1 << most + 1) - 1) << most & full, 0, most
+    last = 2 * most + len(b) - len(a)
+    turn, shift = len(a) - most, -most
+    row = edge >> 1
+    for j, c in enumerate(b):
         eq = at.get(c, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        more, less = down | ~(diagonal | up) & full, up & diagonal
-        score += bool(more & top) - bool(less & top)
-        left -= 1
-        if score - left > most:
+        eq = (eq >> shift if shift > 0 else eq << -shift) & full
+        shift += 1
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
+        more, less = down | full & ~(diagonal | up), diagonal & up
+        if j < turn:
+            score += not diagonal & edge
+        else:
+            score += bool(more & row) - bool(less & row)
+            row >>= 1
+        if score > last:
             return most + 1
-        more, less = (more << 1 | 1) & full, less << 1 & full
-        up, down = less | ~(diagonal | more) & full, more & diagonal
+        diagonal >>= 1
+        up, down = less | full & ~(diagonal | more), diagonal & more
     return score
 
 
@@ -270,13 +292,13 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
 class Forms:
     """Normal forms whose pairs are compared many at a time: ``near`` tells which pairs have the edit similarity."""
 
-    #: Longer forms are compared pair by pair; and the pairs that are compared at once.
-    LONGEST, AT_ONCE = 1024, 4096
+    #: Pairs that are compared at once.
+    AT_ONCE = 4096
     #: Integers that the masks of the pairs compared at once may take.
     MASKS = 1 << 22
 
     def __init__(self, held: list[bytes], percent: int) -> None:
-        self.held, self.percent = held, percent
+        self.percent = percent
         letters = [_letters(x).astype(np.int32) for x in held]
         self.size = np.array([len(x) for x in letters], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -297,17 +319,20 @@ class Forms:
         most = (100 - self.percent) * np.maximum(self.size[a], self.size[b]) // 100
         # An edit changes the length by one at most, and the counts of letters by two.
         out = (np.abs(self.size[a] - self.size[b]) <= most) & (np.abs(self.counts[a] - self.counts[b]).sum(axis=1) <= 2 * most)
-        long = np.maximum(self.size[a], self.size[b]) > self.LONGEST
-        for i in np.flatnonzero(out & long).tolist():
-            out[i] = edit_distance(self.held[a[i]], self.held[b[i]], int(most[i])) <= most[i]
-        left = np.flatnonzero(out & ~long)
+        left = np.flatnonzero(out)
         head, tail = self._same_ends(a[left], b[left])
         start_a, start_b = self.start[a[left]] + head, self.start[b[left]] + head
         size_a, size_b = self.size[a[left]] - head - tail, self.size[b[left]] - head - tail
         # Where the longer middle is no more than the edits allowed, the pair is near; the others' middles are measured.
         open_ = np.flatnonzero(np.maximum(size_a, size_b) > most[left])
-        for own in self._groups(size_a[open_], size_b[open_], most[left[open_]]):
+        for own in self._groups(size_a[open_], size_b[open_]):
             own = open_[own]
+            # A step over all pairs costs as much as some 25 steps of one pair for each word of the band.
+            if len(own) < 25 * (2 + int(most[left[own]].max()) // 32):
+                for i in own.tolist():
+                    a, b = (self.codes[start[i] : start[i] + size[i]].tolist() for start, size in ((start_a, size_a), (start_b, size_b)))
+                    out[left[i]] = _banded(a, b, int(most[left[i]])) <= most[left[i]]
+                continue
             out[left[own]] = self._distances(start_a[own], size_a[own], start_b[own], size_b[own], int(most[left[own]].max())) <= most[left[own]]
         return out
 
@@ -328,7 +353,7 @@ class Forms:
             head[i], tail[i] = h, t
         return head, tail
 
-    def _groups(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> Iterator[np.ndarray]:
+    def _groups(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         """Pairs of as many machine words each, in order of falling length of ``b``, as many at once as their masks have room for."""
         words = (a + 63) // 64
         for n in np.unique(words[words > 0]).tolist():
