@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept and returns those that it keeps, with the columns of
 ``documents``; the last returns each document's token digests. Between the stages the documents are written and read again.
+
+Defined cases, in all stages: a null text has no words, so quality rules drop it, and every other stage keeps it as it is; an empty text is
+treated alike; repeated rows stay or go together, save for copies of lines, of which the first by (doc_id, line number) stays, and copies of documents, of
+which the smallest doc_id stays with all its rows; columns beyond those of ``documents`` are carried along, whatever their names; an empty table gives an
+empty result. ``doc_id`` is an integer.
 """
 
 from __future__ import annotations

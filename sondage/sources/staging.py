@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset in a local session, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sondage.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="sondage-")
         spark.conf.set("sondage.shared.dir", found)
     return found.rstrip("/")
