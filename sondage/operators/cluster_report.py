@@ -13,11 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondage.operators import silhouettes
 from sondage.operators.clustering import SEED, kmeans, mixture_em
 from sondage.operators.types import clean, need, number
 
-#: Rows against which the exact silhouette of every row is worked out.
-SILHOUETTE_ROWS = 2000
 PROFILE_FEATURES, TOP_FEATURES = 12, 10
 
 
@@ -76,8 +75,11 @@ def centres(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, float]:
     return ids, np.stack([m[m.cluster == c]["mean"].to_numpy() for c in ids]), np.array([m[m.cluster == c]["n"].iloc[0] for c in ids]), float(m["within"].sum())
 
 
-def metrics(rows: DataFrame) -> dict[str, float | None]:
-    """Silhouette, Calinski-Harabasz and Davies-Bouldin without noise; all null with fewer than two clusters."""
+def metrics(rows: DataFrame, kind: str = "euclidean") -> dict[str, float | None]:
+    """Silhouette, Calinski-Harabasz and Davies-Bouldin without noise; all null with fewer than two clusters.
+
+    ``kind`` is that of ``silhouettes.KINDS``: the work of "euclidean" grows with the square of the distinct rows, that of "squared" with the rows.
+    """
     ids, means, n, within = centres(rows)
     k, total = len(ids), n.sum() if len(n) else 0
     if k < 2 or total < k + 1:
@@ -92,51 +94,24 @@ def metrics(rows: DataFrame) -> dict[str, float | None]:
     d = np.sqrt(((means[:, None, :] - means[None, :, :]) ** 2).sum(2))
     ratio = (s[:, None] + s[None, :]) / np.where(d > 0, d, np.inf)
     np.fill_diagonal(ratio, -np.inf)
-    values = silhouette(rows)
-    score = values.agg(F.avg("silhouette")).first()[0]
+    score = silhouettes.KINDS[kind](rows).agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]
     return {"silhouette": round(score, 4), "calinski_harabasz": round(float(ch), 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
 
 
-def silhouette(rows: DataFrame, most: int = SILHOUETTE_ROWS) -> DataFrame:
-    """(cluster, silhouette) of the rows without noise, against at most ``most`` rows with the smallest hashes: exact up to this size."""
-    found = rows.where("cluster >= 0").select("cluster", vector_to_array("features").alias("x"))
-    base = found.select("cluster", "x", F.xxhash64("x", F.lit(SEED)).alias("h")).orderBy("h", "x").limit(most).select("cluster", "x").collect()
-    points, labels = np.array([r.x for r in base], float), np.array([r.cluster for r in base])
-    ids = np.unique(labels)
-    member = (labels[:, None] == ids[None, :]).astype(float)
-    held = member.sum(0)
-
-    def work(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, own = np.stack(pdf["x"].to_numpy()), np.searchsorted(ids, pdf["cluster"].to_numpy()).clip(max=len(ids) - 1)
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)[None, :], 0))
-            d[d < 1e-7] = 0.0
-            mean = d @ member
-            at = np.arange(len(x))
-            a = mean[at, own] / np.maximum(held[own] - 1, 1)
-            other = mean / np.maximum(held, 1)
-            other[at, own] = np.inf
-            b = other.min(1)
-            s = np.where(held[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pd.DataFrame({"cluster": pdf["cluster"], "silhouette": np.where(np.isfinite(s), s, 0.0)})
-
-    return found.mapInPandas(work, "cluster int, silhouette double")
-
-
-def silhouette_summary(rows: DataFrame) -> DataFrame:
-    """(cluster, n, mean, values sorted from the greatest down)."""
-    return silhouette(rows).groupBy("cluster").agg(F.count("*").alias("n"), F.avg("silhouette").alias("mean"), F.percentile("silhouette", F.array(*(F.lit(k / 20) for k in range(21)))).alias("quantiles"))
-
-
-def elbow(rows: DataFrame, k_max: int) -> list[dict]:
+def silhouette_summary(rows: DataFrame, kind: str = "euclidean") -> DataFrame:
+    """(cluster, n, mean, least, q1, median, q3, greatest) of the silhouettes of a kind of ``silhouettes.KINDS``."""
+    q = F.percentile("silhouette", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))), F.col("n"))
+    found = silhouettes.KINDS[kind](rows).groupBy("cluster").agg(F.sum("n").alias("n"), (F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("mean"), q.alias("q"))
+    return found.select("cluster", "n", F.round("mean", 4).alias("mean"), *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("least", "q1", "median", "q3", "greatest"))))
+
+
+def elbow(rows: DataFrame, k_max: int, kind: str = "euclidean") -> list[dict]:
     """Inertia and metrics of k-means for k from 2 on."""
     n = rows.count()
     out = []
     for k in range(2, min(k_max, n // 2) + 1):
         found, inertia = kmeans(rows, k)
-        out.append({"k": k, "inertia": round(inertia, 4)} | metrics(found))
+        out.append({"k": k, "inertia": round(inertia, 4)} | metrics(found, kind))
     return out
 
 
@@ -151,12 +126,12 @@ def information_criteria(rows: DataFrame, k_max: int) -> list[dict]:
     return out
 
 
-def best_k(rows: DataFrame, algorithm: str, k_max: int) -> tuple[int | None, list[dict]]:
+def best_k(rows: DataFrame, algorithm: str, k_max: int, kind: str = "euclidean") -> tuple[int | None, list[dict]]:
     """The k of least BIC for mixtures, of greatest k-means silhouette for all others."""
     if algorithm == "gmm":
         table = information_criteria(rows, k_max)
         return min(table, key=lambda r: r["bic"])["k"] if table else None, table
-    table = elbow(rows, k_max)
+    table = elbow(rows, k_max, kind)
     scored = [r for r in table if r["silhouette"] is not None]
     return max(scored, key=lambda r: r["silhouette"])["k"] if scored else None, table
 

@@ -25,12 +25,12 @@ def fit(rows: DataFrame, algorithm: str, **options) -> DataFrame:
     raise ValueError(f"algorithm must be one of {ALGORITHMS}")
 
 
-def cluster(df: DataFrame, columns: list[str], categorical: list[str], algorithm: str, scaler: str = "standard", variance: float | None = None, **options) -> dict[str, object]:
+def cluster(df: DataFrame, columns: list[str], categorical: list[str], algorithm: str, scaler: str = "standard", variance: float | None = None, silhouette: str = "euclidean", **options) -> dict[str, object]:
     """Prepares, fits and reports: rows with ``cluster``, names of the features, metrics, projection, sizes, profiles, statistics,
-    discriminant features, silhouettes and an interpretation."""
+    discriminant features, silhouettes (of the kind ``silhouette``) and an interpretation."""
     prepared = features.prepare(df, columns, categorical, scaler, variance)
     rows = fit(prepared.rows, algorithm, **options).persist()
-    metrics = cluster_report.metrics(rows)
+    metrics = cluster_report.metrics(rows, silhouette)
     out: dict[str, object] = {
         "rows": rows,
         "features": prepared.names,
@@ -46,7 +46,7 @@ def cluster(df: DataFrame, columns: list[str], categorical: list[str], algorithm
     if len(prepared.names) >= 2:
         out["projection"] = features.projection_2d(rows)
     if metrics["silhouette"] is not None:
-        out["silhouettes"] = cluster_report.silhouette_summary(rows)
+        out["silhouettes"] = cluster_report.silhouette_summary(rows, silhouette)
     return out
 
 

@@ -73,11 +73,28 @@ def notable_features(spark, sf_dir):
     return cluster_report.notable_features(embedded(spark, sf_dir), COLUMNS)
 
 
-@query("silhouette")
+#: (cluster, s) of each row from ``m``: a row's mean distance to its own cluster and to the nearest other one.
+_SUMMARY = """v AS (SELECT own AS cluster, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM m)
+ SELECT cluster, count(*) AS n, round(avg(s), 4) AS mean, round(min(s), 4) AS least, round(quantile_cont(s, 0.25), 4) AS q1, round(quantile_cont(s, 0.5), 4) AS median, round(quantile_cont(s, 0.75), 4) AS q3, round(max(s), 4) AS greatest FROM v GROUP BY cluster"""
+
+
+def _silhouette_sql(distance: str) -> str:
+    """By the definition: all pairs of rows."""
+    return f"""WITH p AS (SELECT vec_id, label AS cluster, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT cluster, count(*) AS size FROM p GROUP BY 1),
+ d AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS c, sum({distance}) AS total FROM p a, p b GROUP BY 1, 2, 3),
+ m AS (SELECT vec_id, own, max(CASE WHEN c = own AND size > 1 THEN total / (size - 1) END) AS a, min(CASE WHEN c <> own THEN total / size END) AS b FROM d JOIN s ON s.cluster = d.c GROUP BY 1, 2), """ + _SUMMARY
+
+
+@query("silhouette", _silhouette_sql("list_distance(a.x, b.x)"))
 def silhouette(spark, sf_dir):
     return cluster_report.silhouette_summary(vectors(spark, sf_dir))
 
 
+@query("silhouette_squared", _silhouette_sql("power(list_distance(a.x, b.x), 2)"))
+def silhouette_squared(spark, sf_dir):
+    return cluster_report.silhouette_summary(vectors(spark, sf_dir), "squared")
+
+
 @query("interpretation")
 def interpretation(spark, sf_dir):
     rows = features.from_array(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"), "embedding", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4))), "embedding")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import cluster_report, clustering, features
+from sondage.operators import cluster_report, clustering, features, silhouettes
 from sondage.sources import catalog, delimited
 from sondage.streaming.profile import windowed_profile
 
@@ -121,6 +121,27 @@ def test_metrics_and_choice(prepared):
     assert cluster_report.silhouette_summary(truth).count() == 4
 
 
+@pytest.mark.parametrize("kind", ["euclidean", "squared"])
+def test_silhouettes_of_all_rows(spark, kind, monkeypatch):
+    """Against all pairs, over several blocks, with repeated rows, noise and a row alone in its cluster."""
+    monkeypatch.setattr(silhouettes, "BLOCK", 7)
+    x = np.random.default_rng(5).integers(0, 6, (90, 2)).astype(float)
+    c = np.array([-1, 7] + [i % 3 for i in range(88)])
+    rows = features.from_array(spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(c, x)], "cluster int, v array<double>"), "v")
+    x, c = x[c >= 0], c[c >= 0]
+    d = ((x[:, None] - x[None]) ** 2).sum(2) ** (0.5 if kind == "euclidean" else 1)
+    wanted = []
+    for i, k in enumerate(c):
+        a = d[i][c == k].sum() / max((c == k).sum() - 1, 1)
+        b = min(d[i][c == o].mean() for o in set(c.tolist()) - {k})
+        wanted.append((b - a) / max(a, b) if (c == k).sum() > 1 else 0.0)
+    found = silhouettes.KINDS[kind](rows).collect()
+    got = sorted(v for r in found for v in [round(r.silhouette, 6)] * r.n)
+    assert got == pytest.approx(sorted(wanted), abs=1e-5)
+    assert silhouettes.KINDS[kind](rows.where("cluster = 7")).first().silhouette == 0.0
+    assert silhouettes.KINDS[kind](rows.where("cluster < -1")).count() == 0
+
+
 def test_preparation(spark, blobs):
     found = features.prepare(blobs, ["num_0", "num_1"], ["categorie"], "minmax")
     assert found.names == ["num_0", "num_1", "categorie_A", "categorie_B", "categorie_C"]
