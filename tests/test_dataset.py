@@ -28,7 +28,7 @@ def test_dataset(data):
     assert data.importance(2).count() == 2 and data.variable("a").count() == 4
     assert data.fitness().first().status == "ok" and data.algorithms().count() == 5 and data.encoding_plan().count() == 2
     after = data.apply(["impute_moderate_missing", "standardize"])
-    assert after.journal == ["impute_moderate_missing", "standardize"] and after.overview().first().n_missing == 0
+    assert after.journal == ["mode filled in: hole (x)", "standardised: 3 columns"] and after.overview().first().n_missing == 0
     assert {r.measure: r.change for r in data.compare(after).collect()}["n_missing"] == "-30.00"
     hidden, log = data.anonymised("s", {"kind": "name"})
     assert hidden.df.first().kind.startswith("ID_") and log.count() == 5
