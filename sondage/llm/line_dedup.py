@@ -20,8 +20,10 @@ an empty table gives an empty result. ``doc_id`` is an integer.
 from __future__ import annotations
 
 import hashlib
-import re
+import sys
 from collections.abc import Iterator
+from functools import cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ TINY, SHORT = 20, 64
 BLOCKS = (6, 8, 9, 12, 24)
 #: Bytes of words that a block of a longer and of a short line needs.
 BLOCK_BYTES, LEFT_BYTES = 12, 8
+#: Pairs of a block that are compared before what they link is left out of the next ones.
+PAIRS_AT_ONCE = 32
 #: Least edit similarity, in percent, that the blocks are made for.
 PERCENT = 90
 
@@ -45,15 +49,20 @@ _LANES = np.random.default_rng(20240608).integers(0, 2**63, 3, dtype=np.uint64)
 #: Each byte's bits as the eight bytes of an integer, so that one addition counts eight bits.
 _BITS_AS_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 _NORMAL = bytes(c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: What ``_NORMAL`` leaves of the characters that are neither letters nor digits.
-_WIDE = re.compile(r"[^\w\x00-\x7F]+")
 _NO_ID = -(2**63)
 
 
+@cache
+def _stays() -> np.ndarray:
+    """By character number: whether it is ASCII, which ``_NORMAL`` sees to, a letter, a digit or ``_``."""
+    return np.array([i < 128 or chr(i).isalnum() for i in range(sys.maxunicode + 1)])
+
+
 def _spaced(text: bytes) -> bytes:
     """The text in lower case, each character but letters, digits and line ends as spaces."""
     if not text.isascii():
-        text = _WIDE.sub(" ", text.decode(errors="replace").lower()).encode()
+        letters = np.frombuffer(text.decode(errors="replace").lower().encode("utf-32-le"), "<u4")
+        text = np.where(_stays()[letters], letters, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").encode()
     return text.translate(_NORMAL)
 
 
@@ -289,6 +298,22 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def most_edits(a: list[str], b: list[str]) -> int:
+    """A distance that two texts of these words don't exceed: of words that differ one is left out, if that makes the next ones equal, or both change places."""
+    i = j = edits = 0
+    while i < len(a) and j < len(b):
+        x, y = a[i], b[j]
+        if x == y:
+            i, j = i + 1, j + 1
+        elif i + 1 < len(a) and a[i + 1] == y:
+            i, edits = i + 1, edits + len(x) + 1
+        elif j + 1 < len(b) and x == b[j + 1]:
+            j, edits = j + 1, edits + len(y) + 1
+        else:
+            i, j, edits = i + 1, j + 1, edits + (sum(map(ne, x, y)) if len(x) == len(y) else max(len(x), len(y)))
+    return edits + sum(len(x) + 1 for x in a[i:]) + sum(len(x) + 1 for x in b[j:])
+
+
 class Forms:
     """Normal forms whose pairs are compared many at a time: ``near`` tells which pairs have the edit similarity."""
 
@@ -299,6 +324,7 @@ class Forms:
 
     def __init__(self, held: list[bytes], percent: int) -> None:
         self.percent = percent
+        self.held, self.words = held, {}
         letters = [_letters(x).astype(np.int32) for x in held]
         self.size = np.array([len(x) for x in letters], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -309,6 +335,11 @@ class Forms:
         self.symbols = int(seen.sum())
         self.counts = np.bincount(np.repeat(np.arange(len(held)), self.size) * 64 + self.codes % 64, minlength=64 * len(held)).reshape(-1, 64).astype(np.int32)
 
+    def _words(self, i: int) -> list[str]:
+        if i not in self.words:
+            self.words[i] = self.held[i].decode().split(" ")
+        return self.words[i]
+
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), bool)
         for at in range(0, len(a), self.AT_ONCE):
@@ -323,8 +354,9 @@ class Forms:
         head, tail = self._same_ends(a[left], b[left])
         start_a, start_b = self.start[a[left]] + head, self.start[b[left]] + head
         size_a, size_b = self.size[a[left]] - head - tail, self.size[b[left]] - head - tail
-        # Where the longer middle is no more than the edits allowed, the pair is near; the others' middles are measured.
+        # Where the longer middle is no more than the edits allowed, or changes of whole words are, the pair is near; the others' middles are measured.
         open_ = np.flatnonzero(np.maximum(size_a, size_b) > most[left])
+        open_ = open_[[most_edits(self._words(a[i]), self._words(b[i])) > most[i] for i in left[open_].tolist()]] if len(open_) else open_
         for own in self._groups(size_a[open_], size_b[open_]):
             own = open_[own]
             # A step over all pairs costs as much as some 25 steps of one pair for each word of the band.
@@ -462,7 +494,7 @@ class _Exact:
 
             return near_in_block(x, near)
 
-        return links_across(rows, signatures, self.forms, nearby, lambda held: Forms([x.to_pybytes() for x in held], percent).near, self.stage)
+        return links_across(rows, signatures, self.forms, nearby, lambda held: Forms([x.to_pybytes() for x in held], percent).near, self.stage, PAIRS_AT_ONCE)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -129,7 +129,7 @@ def near_in_block(x: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) ->
             yield at, others
 
 
-def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[list[pa.Buffer]], Callable[[np.ndarray, np.ndarray], np.ndarray]], stage: Staging) -> DataFrame:
+def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[list[pa.Buffer]], Callable[[np.ndarray, np.ndarray], np.ndarray]], stage: Staging, at_once: int = AT_ONCE) -> DataFrame:
     """The links (a, b) of different components inside the mixed buckets of ``rows`` (key, n, id, component).
 
     First the members with a near partner are found by their signatures, ``light`` (id, sig) and ``nearby``; then what ``heavy`` gives for
@@ -166,7 +166,7 @@ def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame],
         for at, others in nearby(x):
             waiting.append((np.full(len(others), at), others))
             count += len(others)
-            if count >= AT_ONCE:
+            if count >= at_once:
                 settle()
                 count = 0
         settle()
