@@ -138,3 +138,16 @@ def test_normal_form_and_characters(spark):
     assert line_dedup.edit_distance("été".encode(), b"ete", 9) == 2 and line_dedup.similar(("é" + "x" * 9).encode(), b"ex" + b"x" * 8, 90)
     docs = spark.createDataFrame([(1, "L’ÉTÉ – à Orléans"), (2, "l'été à orléans!")], "doc_id long, text string")
     assert [r.n_removed for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_most_edits_is_a_bound():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 6)))
+    for _ in range(2000):
+        a = [word() for _ in range(rng.randint(1, 12))]
+        b = [word() if rng.random() < 0.15 else x for x in a if rng.random() > 0.1] or ["b"]
+        if rng.random() < 0.5:
+            b.insert(rng.randrange(len(b) + 1), word())
+        x, y = " ".join(a).encode(), " ".join(b).encode()
+        assert line_dedup.edit_distance(x, y, 1000) <= line_dedup.most_edits(a, b)
+        assert line_dedup.Forms([x, y], 90).near(np.array([0]), np.array([1]))[0] == line_dedup.similar(x, y, 90)
