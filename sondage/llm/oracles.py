@@ -50,6 +50,21 @@ OP4 = f"""WITH RECURSIVE s AS MATERIALIZED ({shingles('documents', 'doc_id')}),
  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.b AS component_id, d.doc_id = c.b AS kept FROM documents d JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id LEFT JOIN n ON n.k = d.doc_id"""
 
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS p FROM w" for k in (1, 2, 3))
+_PIECES = f"SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents"
+
+OP13 = f"""WITH w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM ({_PIECES})),
+ f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= 10),
+ n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+ c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS v FROM f WHERE k > 1),
+ x AS (SELECT lang, k, p, a, i, array_to_string(v[1:i], ' ') AS lp, array_to_string(v[i + 1:], ' ') AS rp FROM c, range(1, 3) t(i) WHERE i < k),
+ s AS (SELECT x.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score FROM x JOIN f l ON l.lang = x.lang AND l.p = lp JOIN f r ON r.lang = x.lang AND r.p = rp),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, i) = 1),
+ o AS (SELECT lang, array_to_string(v[1:2], ' ') AS p, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(v[2:3], ' '), a FROM c WHERE k = 3),
+ m AS (SELECT lang, p, max(a) AS by FROM o GROUP BY lang, p),
+ h AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.p = b.p WHERE m.by IS NULL OR 100 * m.by < 50 * b.a)
+ SELECT h.lang, row_number() OVER (PARTITION BY h.lang ORDER BY score DESC, a DESC, h.p) AS rank, h.p AS phrase, a, l, r, n.n, score FROM h JOIN n ON n.lang = h.lang QUALIFY rank <= 2000"""
+
 
 def op8(limit: int) -> str:
     return f"""WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),

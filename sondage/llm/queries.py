@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import byte_bpe, decontaminate, line_dedup, near_dedup, oracles, quality, sharding, token_counts, token_files, tool_calls, url_filter
+from sondage.llm import byte_bpe, collocations, decontaminate, line_dedup, near_dedup, oracles, quality, sharding, token_counts, token_files, tool_calls, url_filter
 from sondage.llm.common import Staging, table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -59,6 +59,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, folder))
 
 
-_ALL = (op1_quality_rules, op2_tool_calls, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_byte_bpe, op6_line_dedup, op7_token_counts, op8_sharding, op9_url_filter, op10_token_files)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_quality_rules, op2_tool_calls, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_byte_bpe, op6_line_dedup, op7_token_counts, op8_sharding, op9_url_filter, op10_token_files, op13_phrase_collocations)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_quality_rules": oracles.OP1, "op2_tool_calls": oracles.OP2, "op3_benchmark_decontamination": oracles.OP3, "op4_minhash_near_dedup": oracles.OP4, "op8_sharding": oracles.op8(SHARD_BYTES)}
+ORACLES = {"op1_quality_rules": oracles.OP1, "op2_tool_calls": oracles.OP2, "op3_benchmark_decontamination": oracles.OP3, "op4_minhash_near_dedup": oracles.OP4, "op8_sharding": oracles.op8(SHARD_BYTES), "op13_phrase_collocations": oracles.OP13}
