@@ -50,6 +50,47 @@ OP4 = f"""WITH RECURSIVE s AS MATERIALIZED ({shingles('documents', 'doc_id')}),
  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.b AS component_id, d.doc_id = c.b AS kept FROM documents d JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id LEFT JOIN n ON n.k = d.doc_id"""
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _levels(name: str, count: int) -> str:
+    """Of nodes {name}0 (key, pos, h, total): the nodes of the levels above them, and in {name}_0, {name}_1, ... what stands before and after each in its run."""
+    out = ""
+    for i in range(count):
+        out += f", {name}_{i} AS (SELECT key, pos, total > 1 AS up, coalesce(string_agg(h, '') OVER (PARTITION BY key, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef, coalesce(string_agg(h, '') OVER (PARTITION BY key, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft FROM {name}{i})"
+        out += f", {name}{i + 1} AS MATERIALIZED (SELECT key, pos // 16 AS pos, CASE WHEN any_value(total) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h, (any_value(total) + 15) // 16 AS total FROM {name}{i} GROUP BY key, pos // 16)"
+    return out
+
+
+def _folds(name: str, count: int, start: str, place: str, key: str) -> str:
+    """From (key, pos, h, proof) of {start} on, a table a level."""
+    out, before = "", start
+    for i in range(count):
+        out += f", {start}{name}{i} AS (SELECT x.* EXCLUDE (h, proof), CASE WHEN m.up THEN sha256(m.bef || x.h || m.aft) ELSE x.h END AS h, x.proof || m.bef || m.aft AS proof FROM {before} x JOIN {name}_{i} m ON m.key = {key} AND m.pos = x.{place} // {16 ** i})"
+        before = f"{start}{name}{i}"
+    return out
+
+
+#: CRC-32 of the digits of doc_id, bit by bit: -1 stands for a shift.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT)"
+_LOW_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OWN, _ALL = 6, 4
+
+OP11 = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '') AS key, {_leaf('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(_LOW_TEXT)} END AS tampered FROM documents),
+ a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS total FROM d),
+ n0 AS (SELECT key, pos, leaf AS h, total FROM a){_levels('n', _OWN)},
+ s AS (SELECT key AS source, h, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () AS total FROM n{_OWN}),
+ s0 AS (SELECT '' AS key, place AS pos, h, total FROM s){_levels('s', _ALL)},
+ f AS (SELECT a.doc_id, a.leaf, a.key, a.pos, s.place, s.h AS subroot, coalesce(a.tampered, a.leaf) AS h, '' AS proof FROM a JOIN s ON s.source = a.key){_folds('n', _OWN, 'f', 'pos', 'x.key')},
+ g AS (SELECT * FROM fn{_OWN - 1}){_folds('s', _ALL, 'g', 'place', "''")}
+ SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, x.h AS folded_root, x.h = r.h AS verified FROM gs{_ALL - 1} x, s{_ALL} r"""
+
+
 _GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS p FROM w" for k in (1, 2, 3))
 _PIECES = f"SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents"
 
