@@ -7,10 +7,10 @@ _WORDS = f"list_filter(string_split_regex({{t}}, '{_SPACE}'), lambda x: x <> '')
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def shingles(table: str, key: str) -> str:
-    """(key, g) rows of distinct five-word shingles, or the words of shorter texts."""
+def shingles(table: str, key: str, width: int = 5) -> str:
+    """(key, g) rows of distinct shingles, or the words of shorter texts."""
     words = f"SELECT {key} AS k, {_WORDS.format(t=_LOWER)} AS w FROM {table}"
-    return f"SELECT DISTINCT k, g FROM (SELECT k, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM ({words}))"
+    return f"SELECT DISTINCT k, g FROM (SELECT k, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM ({words}))"
 
 
 OP1 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
@@ -49,6 +49,12 @@ OP4 = f"""WITH RECURSIVE s AS MATERIALIZED ({shingles('documents', 'doc_id')}),
  e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.b AS component_id, d.doc_id = c.b AS kept FROM documents d JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id LEFT JOIN n ON n.k = d.doc_id"""
+OP12 = f"""WITH RECURSIVE s AS MATERIALIZED ({shingles('documents', 'doc_id', 4)}), n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k),
+ p AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.g = b.g AND a.k < b.k JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY a.k, b.k HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+ e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.b AS component_id FROM documents d JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id LEFT JOIN n ON n.k = d.doc_id"""
+
 
 def _field(value: str) -> str:
     return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"

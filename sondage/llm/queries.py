@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import byte_bpe, collocations, decontaminate, line_dedup, merkle, near_dedup, oracles, quality, sharding, token_counts, token_files, tool_calls, url_filter
+from sondage.llm import byte_bpe, collocations, decontaminate, jaccard_join, line_dedup, merkle, near_dedup, oracles, quality, sharding, token_counts, token_files, tool_calls, url_filter
 from sondage.llm.common import Staging, table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -63,10 +63,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_rules, op2_tool_calls, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_byte_bpe, op6_line_dedup, op7_token_counts, op8_sharding, op9_url_filter, op10_token_files, op11_merkle_manifest, op13_phrase_collocations)
+_ALL = (op1_quality_rules, op2_tool_calls, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_byte_bpe, op6_line_dedup, op7_token_counts, op8_sharding, op9_url_filter, op10_token_files, op11_merkle_manifest, op12_jaccard_join, op13_phrase_collocations)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_quality_rules": oracles.OP1, "op2_tool_calls": oracles.OP2, "op3_benchmark_decontamination": oracles.OP3, "op4_minhash_near_dedup": oracles.OP4, "op8_sharding": oracles.op8(SHARD_BYTES), "op11_merkle_manifest": oracles.OP11, "op13_phrase_collocations": oracles.OP13}
+ORACLES = {"op1_quality_rules": oracles.OP1, "op2_tool_calls": oracles.OP2, "op3_benchmark_decontamination": oracles.OP3, "op4_minhash_near_dedup": oracles.OP4, "op8_sharding": oracles.op8(SHARD_BYTES), "op11_merkle_manifest": oracles.OP11, "op12_jaccard_join": oracles.OP12, "op13_phrase_collocations": oracles.OP13}

@@ -126,20 +126,20 @@ class Words:
         self.at = np.concatenate(([0], np.searchsorted(self.start, ends)))
         self.hash = span_hashes(self.raw, self.start, self.end)[0]
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, at): the hash of the five words from each word on, where the text has so many; a shorter text's words are one shingle.
+    def shingles(self, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, at): the hash of the ``width`` words (five at most) from each word on, where the text has so many; a shorter text's words are one shingle.
 
         ``hashes[at[i]:at[i + 1]]`` are those of text ``i``, in order of position, with repeats.
         """
         n = np.diff(self.at)
         total = len(self.hash)
-        summed = np.zeros(max(total - SHINGLE + 1, 0), np.uint64)
-        for j, step in enumerate(_STEPS):
-            summed += self.hash[j : total - SHINGLE + 1 + j] * step
-        count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
+        summed = np.zeros(max(total - width + 1, 0), np.uint64)
+        for j, step in enumerate(_STEPS[:width]):
+            summed += self.hash[j : total - width + 1 + j] * step
+        count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
         at = np.concatenate(([0], np.cumsum(count)))
         out = np.empty(at[-1], np.uint64)
-        long = n >= SHINGLE
+        long = n >= width
         if long.any():
             size = count[long]
             put = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -150,11 +150,11 @@ class Words:
         return out, at
 
 
-def shingle_sets(texts: Iterable[bytes | None], lower: bool = True) -> Iterator[tuple[np.ndarray, int]]:
+def shingle_sets(texts: Iterable[bytes | None], lower: bool = True, width: int = SHINGLE) -> Iterator[tuple[np.ndarray, int]]:
     """(sorted distinct shingle hashes, count of words) of each text, in order."""
     for _, held in slices(texts):
         words = Words(held, lower)
-        hashes, at = words.shingles()
+        hashes, at = words.shingles(width)
         n = np.diff(words.at)
         for i in range(len(held)):
             yield np.unique(hashes[at[i] : at[i + 1]]), int(n[i])
