@@ -37,7 +37,9 @@ COVERED = 50
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
 #: Hashes of phrases that a task holds before it adds them up.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Rows that are handed on at once.
+AT_ONCE = 65_536
 
 _COUNT = "decimal(14,0)"
 #: What each byte is: 0 in a word, 1 between words, 2 between pieces.
@@ -98,7 +100,8 @@ def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
+            for at in range(0, len(found), AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + AT_ONCE].view(np.int64)), pa.array(n[at : at + AT_ONCE], pa.int64())], ["hash", "n"])
 
         for phrases, _ in _each_slice(batches):
             held += [phrases.hashes(k, phrases.places(k)) for k in range(1, longest + 1)]
