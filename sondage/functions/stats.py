@@ -64,12 +64,15 @@ def normal_density(x: Column, mean: Column, sd: Column) -> Column:
     return F.exp(-0.5 * z * z) / (sd * math.sqrt(2 * math.pi))
 
 
+# Acklam's rational approximation of the inverse normal distribution function, in the middle and in the tails.
+MIDDLE = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+MIDDLE_UNDER = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
+TAIL = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+TAIL_UNDER = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+
+
 def normal_quantile(p: Column) -> Column:
-    """Inverse normal distribution function (Acklam's rational approximation, relative error 1.2e-9)."""
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+    """Inverse normal distribution function (relative error 1.2e-9)."""
 
     def poly(x: Column, terms: list[float]) -> Column:
         out = F.lit(terms[0])
@@ -78,11 +81,11 @@ def normal_quantile(p: Column) -> Column:
         return out
 
     def tail(q: Column) -> Column:
-        return poly(q, c) / (poly(q, d) * q + 1)
+        return poly(q, TAIL) / (poly(q, TAIL_UNDER) * q + 1)
 
     q = p - 0.5
     r = q * q
-    middle = poly(r, a) * q / (poly(r, b) * r + 1)
+    middle = poly(r, MIDDLE) * q / (poly(r, MIDDLE_UNDER) * r + 1)
     low = F.sqrt(-2 * F.ln(F.least(p, F.lit(0.02425))))
     high = F.sqrt(-2 * F.ln(F.least(1 - p, F.lit(0.02425))))
     return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(middle)

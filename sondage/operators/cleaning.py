@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.operators import summary
 from sondage.operators.correlation import STRONG, correlations, ranked_pairs
 from sondage.operators.importance import WEAK, importance
 from sondage.operators.normality import ALPHA, dagostino
-from sondage.operators.profile import column_profile, missing_report, numeric_profile, table_profile
+from sondage.operators.profile import column_profile, missing_report, shape, table_profile
 from sondage.operators.types import clean, need, nested_keys, number, numeric_columns, scalar_columns, text_columns
 
 #: Values of lambda that one pass of the Yeo-Johnson fit evaluates for each column.
@@ -38,9 +39,12 @@ class Context:
 def flags(df: DataFrame) -> DataFrame:
     """(column, completeness, skewness, score, p_value, and the flags incomplete, critical, moderate, skewed, weak, not_normal)."""
     df = clean(df)
-    rows = missing_report(df).select("column", "completeness").join(importance(df).select("column", "score"), "column", "left")
-    if numeric_columns(df):
-        rows = rows.join(numeric_profile(df, numeric_columns(df)).select("column", "skewness"), "column", "left").join(dagostino(df).select("column", "p_value"), "column", "left")
+    numeric = numeric_columns(df)
+    found = summary.column_ranges(df, numeric) if numeric else None
+    rows = missing_report(df).select("column", "completeness").join(importance(df, found).select("column", "score"), "column", "left")
+    if numeric:
+        skew = shape(found, numeric).select("column", F.round("skewness", 4).alias("skewness"))
+        rows = rows.join(skew, "column", "left").join(dagostino(df, numeric, found).select("column", "p_value"), "column", "left")
     else:
         rows = rows.withColumns({"skewness": F.lit(None).cast("double"), "p_value": F.lit(None).cast("double")})
     c = F.col("completeness")
@@ -78,8 +82,7 @@ def fill_values(df: DataFrame, columns: list[str]) -> dict[str, object]:
     other = [c for c in columns if c not in numeric]
     out: dict[str, object] = {}
     if numeric:
-        one = df.agg(*(F.percentile(number(c), 0.5).alias(f"m{i}") for i, c in enumerate(numeric))).first()
-        out |= {c: one[f"m{i}"] for i, c in enumerate(numeric) if one[f"m{i}"] is not None}
+        out |= {c: values[0.5] for c, values in summary.column_quantiles(df, numeric, [0.5]).items()}
     if other:
         out |= {r["column"]: r["mode"] if r["mode"] is not None else "INCONNU" for r in column_profile(df, other).collect()}
     return out

@@ -13,9 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.operators import silhouettes
+from sondage.operators import silhouettes, summary
 from sondage.operators.clustering import SEED, kmeans, mixture_em
 from sondage.operators.types import clean, need, number
+from sondage.sources.staging import Staging
 
 PROFILE_FEATURES, TOP_FEATURES = 12, 10
 
@@ -33,10 +34,18 @@ def _long(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(cluster, feature, n, mean, std, min, q1, median, q3, max); nulls where a cluster has no values."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = _long(rows, columns).groupBy("cluster", "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
-    r = lambda c: F.round(c, 4)
-    return out.select("cluster", "feature", "n", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min"), r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), r(F.col("max")).alias("max"))
+    keys = ["cluster", "feature"]
+    long = _long(rows, columns)
+    found = Staging(rows.sparkSession, "clusters").put(summary.ranges(long, keys), "ranges")
+    out = found.select(*keys).distinct().join(summary.moments(found, keys), keys, "left").join(_quantiles(long, keys, {0.25: "q1", 0.5: "median", 0.75: "q3"}, found), keys, "left")
+    r = lambda c, name: F.round(c, 4).alias(name)
+    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), r("mean", "mean"), r("std", "std"), r("lo", "min"), r("q1", "q1"), r("median", "median"), r("q3", "q3"), r("hi", "max"))
+
+
+def _quantiles(rows: DataFrame, keys: list[str], names: dict[float, str], found: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """(keys..., names...): a column for each probability."""
+    values = summary.quantiles(rows, keys, list(names), found, weight)
+    return values.groupBy(*keys).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(name) for p, name in names.items()))
 
 
 def profiles(rows: DataFrame, columns: list[str], most: int = PROFILE_FEATURES) -> DataFrame:
@@ -100,9 +109,10 @@ def metrics(rows: DataFrame, kind: str = "euclidean") -> dict[str, float | None]
 
 def silhouette_summary(rows: DataFrame, kind: str = "euclidean") -> DataFrame:
     """(cluster, n, mean, least, q1, median, q3, greatest) of the silhouettes of a kind of ``silhouettes.KINDS``."""
-    q = F.percentile("silhouette", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))), F.col("n"))
-    found = silhouettes.KINDS[kind](rows).groupBy("cluster").agg(F.sum("n").alias("n"), (F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("mean"), q.alias("q"))
-    return found.select("cluster", "n", F.round("mean", 4).alias("mean"), *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("least", "q1", "median", "q3", "greatest"))))
+    values = Staging(rows.sparkSession, "clusters").put(silhouettes.KINDS[kind](rows).select("cluster", "n", F.col("silhouette").alias("x")), "silhouettes")
+    found = values.groupBy("cluster").agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.min("x").alias("least"), F.max("x").alias("greatest"))
+    found = found.join(_quantiles(values, ["cluster"], {0.25: "q1", 0.5: "median", 0.75: "q3"}, weight="n"), "cluster")
+    return found.select("cluster", "n", *(F.round(c, 4).alias(c) for c in ("mean", "least", "q1", "median", "q3", "greatest")))
 
 
 def elbow(rows: DataFrame, k_max: int, kind: str = "euclidean") -> list[dict]:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.operators import summary
 from sondage.operators.types import clean, need, number, numeric_columns
 
 #: Values of a column that get a code of their own; from one more on, the rest share one.
@@ -53,15 +54,15 @@ def scaled(df: DataFrame, columns: list[str], scaler: str = "standard") -> DataF
     if scaler not in SCALERS:
         raise ValueError(f"scaler must be one of {SCALERS}")
     df = clean(df)
-    quartiles = df.agg(*(F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns))).first()
-    middle = {c: (quartiles[f"q{i}"] or [0.0, 0.0, 0.0])[1] or 0.0 for i, c in enumerate(columns)}
+    medians = summary.column_quantiles(df, columns, [0.5])
+    middle = {c: medians[c][0.5] if c in medians else 0.0 for c in columns}
     df = df.withColumns({c: F.coalesce(number(c), F.lit(middle[c])) for c in columns})
     if scaler == "standard":
         one = df.agg(*(x for i, c in enumerate(columns) for x in (F.avg(c).alias(f"a{i}"), F.stddev_pop(c).alias(f"b{i}")))).first()
         shift = {c: (one[f"a{i}"], one[f"b{i}"]) for i, c in enumerate(columns)}
     elif scaler == "robust":
-        one = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns))).first()
-        shift = {c: (one[f"q{i}"][1], one[f"q{i}"][2] - one[f"q{i}"][0]) if one[f"q{i}"] else (0.0, 1.0) for i, c in enumerate(columns)}
+        quartiles = summary.column_quantiles(df, columns, [0.25, 0.5, 0.75])
+        shift = {c: (quartiles[c][0.5], quartiles[c][0.75] - quartiles[c][0.25]) if c in quartiles else (0.0, 1.0) for c in columns}
     else:
         one = df.agg(*(x for i, c in enumerate(columns) for x in (F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")))).first()
         shift = {c: (one[f"a{i}"], (one[f"b{i}"] or 0.0) - (one[f"a{i}"] or 0.0)) for i, c in enumerate(columns)}

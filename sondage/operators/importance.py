@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondage.operators import summary
 from sondage.operators.correlation import correlations, strongest
 from sondage.operators.profile import frequencies
-from sondage.operators.types import clean, number, numeric_columns, scalar_columns
+from sondage.operators.types import clean, numeric_columns, scalar_columns
 
 # The weights of the score.
 WEIGHTS = {"completeness": 0.30, "variability": 0.35, "corr_max": 0.20, "uniqueness": 0.15}
@@ -15,11 +16,11 @@ EPSILON = 1e-9
 WEAK = 25
 
 
-def importance(df: DataFrame) -> DataFrame:
+def importance(df: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(column, completeness, variability, corr_max, uniqueness, score, rank): the components in percent with one decimal.
 
     Variability is the coefficient of variation of a numeric column, clipped to 1, and else the entropy of the values against its
-    greatest possible value.
+    greatest possible value. ``found`` are the rows of ``summary.column_ranges`` of the numeric columns if they are at hand.
     """
     df = clean(df)
     names, numeric = scalar_columns(df), numeric_columns(df)
@@ -28,13 +29,14 @@ def importance(df: DataFrame) -> DataFrame:
     entropy = counts.join(F.broadcast(by_column), "column")  # one row a column
     p = F.col("times") / F.col("n")
     entropy = entropy.groupBy("column").agg((-F.sum(p * F.log2(p + EPSILON))).alias("entropy"))
-    spread = df.agg(F.count("*").alias("rows"), *(x for i, c in enumerate(numeric) for x in (F.avg(number(c)).alias(f"m{i}"), F.stddev_samp(number(c)).alias(f"s{i}"))))
-    ratio = [F.struct(F.lit(c).alias("column"), F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"s{i}") / (F.abs(f"m{i}") + EPSILON))), F.lit(0.0)).alias("cv")) for i, c in enumerate(numeric)]
-    rows = spread.select("rows")
+    rows = df.agg(F.count("*").alias("rows"))
     base = df.sparkSession.createDataFrame([(c,) for c in names], "column string").join(F.broadcast(rows))
     base = base.join(by_column, "column", "left").join(entropy, "column", "left")
     if numeric:
-        base = base.join(spread.select(F.explode(F.array(*ratio)).alias("x")).select("x.*"), "column", "left")
+        spread = summary.moments(summary.column_ranges(df, numeric) if found is None else found, ["column"])
+        ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("std") / (F.abs("mean") + EPSILON)))
+        spread = spread.select("column", F.coalesce(ratio, F.lit(0.0)).alias("cv"))
+        base = base.join(spread, "column", "left").withColumn("cv", F.when(F.col("column").isin(numeric), F.coalesce("cv", F.lit(0.0))))
     else:
         base = base.withColumn("cv", F.lit(None).cast("double"))
     if len(numeric) > 1:

@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.stats import adjusted_kurtosis, adjusted_skew, log_normal_tail, normal_density, normal_quantile, with_k2
-from sondage.operators.profile import numbered
+from sondage.functions.stats import log_normal_tail, normal_density, normal_quantile, with_k2
+from sondage.operators import ranks
+from sondage.operators import summary as sums
+from sondage.operators.profile import numbered, shape
 from sondage.operators.types import clean, need, number, numeric_columns
+from sondage.sources.staging import Staging
 
 ALPHA = 0.05
 #: Values that the Shapiro-Wilk test takes: its approximation holds up to here.
@@ -18,14 +21,15 @@ SHAPIRO_VALUES = 5000
 CURVE_POINTS = 200
 
 
-def dagostino(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, n, k2, p_value, normal) for columns of at least eight values that aren't constant; else nulls. All in one aggregation."""
-    df = clean(df)
+def dagostino(df: DataFrame, columns: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(column, n, k2, p_value, normal) for columns of at least eight values that aren't constant; else nulls.
+
+    ``found`` are the rows of ``summary.column_ranges`` if they are at hand, else they are one pass.
+    """
     columns = columns or numeric_columns(df)
     need(df, *columns, numeric=True)
-    one = df.agg(*(x for i, c in enumerate(columns) for x in (F.count(number(c)).alias(f"n{i}"), F.skewness(number(c)).alias(f"g{i}"), F.kurtosis(number(c)).alias(f"k{i}"))))
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2")) for i, c in enumerate(columns)]
-    rows = with_k2(one.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    found = sums.column_ranges(df, columns) if found is None else found
+    rows = with_k2(shape(found, columns).select("column", "n", "g1", "g2"))
     p = F.exp(-F.col("k2") / 2)
     return rows.select("column", "n", F.round("k2", 4).alias("k2"), F.round(p, 6).alias("p_value"), (p >= ALPHA).alias("normal"))
 
@@ -33,13 +37,15 @@ def dagostino(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     """(column, n, statistic, critical, normal) at five percent, for mean and deviation taken from the data."""
     need(df, column, numeric=True)
-    x = numbered(df, column)
-    spread = x.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    x = ranks.places(ranks.distinct_values(df, column), Staging(df.sparkSession, "anderson"))
+    spread = sums.moments(sums.column_ranges(df, [column]), ["column"]).select("mean", F.col("std").alias("sd"))  # one row
     z = (F.col("x") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
     lower, upper = log_normal_tail(z), log_normal_tail(-z)
-    # In the sum of (2 i - 1) (ln F(x_i) + ln(1 - F(x_(n+1-i)))) each value has the weights of both its places.
-    term = (2 * F.col("i") - 1) * lower + (2 * (F.col("n") + 1 - F.col("i")) - 1) * upper
-    one = x.join(F.broadcast(spread)).agg(F.first("n").alias("n"), F.sum(term / F.col("n")).alias("s"))
+    # In the sum of (2 i - 1) (ln F(x_i) + ln(1 - F(x_(n+1-i)))) each value has the weights of both its places; over equal values, in the places from before + 1 to
+    # before + times, these add up to differences of squares.
+    n, times, before = (F.col(c).cast("double") for c in ("n", "times", "before"))
+    term = times * (2 * before + times) * lower + times * (2 * (n - before) - times) * upper
+    one = x.join(F.broadcast(spread)).agg(F.first("n").alias("n"), F.sum(term / n).alias("s"))
     critical = F.round(0.787 / (1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n"))), 3)
     return one.select(F.lit(column).alias("column"), "n", F.round(-F.col("n") - F.col("s"), 4).alias("statistic"), critical.alias("critical"), (-F.col("n") - F.col("s") < critical).alias("normal"))
 
@@ -105,11 +111,11 @@ def shapiro_wilk(df: DataFrame, columns: list[str] | None = None, seed: int = 42
     return rows.select("column", "n_used", F.round("statistic", 4).alias("statistic"), F.round("p_value", 6).alias("p_value"), (F.col("p_value") >= ALPHA).alias("normal"))
 
 
-def verdicts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def verdicts(df: DataFrame, columns: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
     """(column, n, votes, votes_normal, verdict): normal if at least half the tests that apply say so; insufficient below three values."""
     df = clean(df)
     columns = columns or numeric_columns(df)
-    k2, sw = dagostino(df, columns), shapiro_wilk(df, columns)
+    k2, sw = dagostino(df, columns, found), shapiro_wilk(df, columns)
     ad = None
     for c in columns:
         one = anderson_darling(df, c).select("column", F.col("normal").alias("ad"))
@@ -158,9 +164,6 @@ def suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, suggestion), null for columns that the tests together call normal."""
     df = clean(df)
     columns = columns or numeric_columns(df)
-    one = df.agg(*(x for i, c in enumerate(columns) for x in (F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}"), F.skewness(number(c)).alias(f"g{i}"), F.kurtosis(number(c)).alias(f"k{i}"))))
-    rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"{x}{i}").alias(x) for x in ("n", "lo", "hi", "g", "k"))) for i, c in enumerate(columns)]
-    rows = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    skew, kurtosis = adjusted_skew(F.col("n"), F.col("g")), adjusted_kurtosis(F.col("n"), F.col("k"), F.col("lo") == F.col("hi"))
-    rows = rows.select("column", suggestion(skew, kurtosis, F.col("lo")).alias("suggestion"))
-    return rows.join(verdicts(df, columns).select("column", "verdict"), "column").select("column", F.when(F.col("verdict") != "normal", F.col("suggestion")).alias("suggestion"))
+    found = sums.column_ranges(df, columns)
+    rows = shape(found, columns).select("column", suggestion(F.col("skewness"), F.col("kurtosis"), F.col("min")).alias("suggestion"))
+    return rows.join(verdicts(df, columns, found).select("column", "verdict"), "column").select("column", F.when(F.col("verdict") != "normal", F.col("suggestion")).alias("suggestion"))

@@ -6,11 +6,13 @@ tidy DataFrame. Nothing depends on the number of rows but the pass itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.stats import adjusted_kurtosis, adjusted_skew
+from sondage.operators import ranks, summary
 from sondage.operators.types import clean, is_stat_numeric, need, nested_keys, number, numeric_columns, scalar_columns, text_columns
+from sondage.sources.staging import Staging
 
 MOST_BINS, TOP_VALUES, MOST_OUTLIERS = 20, 20, 200
 FEW_CODES = 12
@@ -75,33 +77,25 @@ def missing_status(completeness: Column) -> Column:
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row a numeric or boolean column: counts, range, mean, median, standard deviation, adjusted skewness and kurtosis.
 
-    All columns are one aggregation without expansion of rows.
+    All columns are counted and summed by ranges of values in one pass; the medians then look into the ranges that hold them.
     """
-    df = clean(df)
     columns = columns or [f.name for f in df.schema if is_stat_numeric(f.dataType)]
     need(df, *columns)
-    aggregates = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        x = number(c) if df.schema[c].dataType.typeName() != "boolean" else F.col(c).cast("int").cast("double")
-        aggregates += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"avg{i}"), F.percentile(x, 0.5).alias(f"med{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")]
-    one = df.agg(*aggregates)
-
-    def row(i: int, c: str) -> Column:
-        n, constant = F.col(f"n{i}"), F.col(f"lo{i}") == F.col(f"hi{i}")
-        out = {
-            "n": n,
-            "n_missing": F.col("rows") - n,
-            "min": F.round(f"lo{i}", 4),
-            "max": F.round(f"hi{i}", 4),
-            "mean": F.round(f"avg{i}", 4),
-            "median": F.round(f"med{i}", 4),
-            "std": F.round(f"sd{i}", 4),
-            "skewness": F.round(F.when(constant & (n >= 3), 0.0).otherwise(adjusted_skew(n, F.col(f"g{i}"))), 4),
-            "kurtosis": F.round(adjusted_kurtosis(n, F.col(f"k{i}"), constant), 4),
-        }
-        return F.struct(F.lit(c).alias("column"), *(v.alias(k) for k, v in out.items()))
-
-    return one.select(F.explode(F.array(*(row(i, c) for i, c in enumerate(columns)))).alias("x")).select("x.*")
+    found = summary.column_ranges(df, columns)
+    medians = summary.quantiles(summary.long_form(df, columns), ["column"], [0.5], found).select("column", F.col("value").alias("median"))
+    out = shape(found, columns).join(medians, "column", "left")
+    r = lambda c: F.round(c, 4).alias(c)
+    return out.select("column", "n", "n_missing", *(r(c) for c in ("min", "max", "mean", "median", "std", "skewness", "kurtosis")))
+
+
+def shape(found: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, n_missing, min, max, mean, std, skewness, kurtosis, g1, g2) of ``columns`` from the rows of ``summary.column_ranges``. The tables have one row a column."""
+    names = found.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    missing = found.where("range is null").select("column", F.col("n").alias("n_missing"))
+    rows = names.join(summary.moments(found, ["column"]), "column", "left").join(missing, "column", "left")
+    n = F.coalesce("n", F.lit(0))
+    skew, kurtosis = adjusted_skew(n, F.col("g1")), adjusted_kurtosis(n, F.col("g2"), F.col("lo") == F.col("hi"))
+    return rows.select("column", n.alias("n"), F.coalesce("n_missing", F.lit(0)).alias("n_missing"), F.col("lo").alias("min"), F.col("hi").alias("max"), "mean", "std", skew.alias("skewness"), kurtosis.alias("kurtosis"), "g1", "g2")
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -144,10 +138,11 @@ def histogram(df: DataFrame, column: str, most: int = MOST_BINS) -> DataFrame:
 
 
 def fences(df: DataFrame, column: str) -> DataFrame:
-    """One row: quartiles and Tukey's fences."""
-    x = clean(df).select(number(column).alias("x"))
-    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"))
-    q = q.select("min", "max", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """One row: least and greatest value, mean, quartiles and Tukey's fences; nulls without values."""
+    found = summary.column_ranges(df, [column])
+    values = summary.quantiles(summary.long_form(df, [column]), ["column"], [0.25, 0.5, 0.75], found)
+    q = values.groupBy("column").agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    q = shape(found, [column]).join(q, "column", "left").select("min", "max", "mean", "q1", "median", "q3")
     return q.withColumns({"low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
 
 
@@ -175,17 +170,6 @@ def distribution_alerts(profile: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
-    """``x`` and its 1-based rank ``i`` of the non-null values of a column, with the count ``n``.
-
-    Ranks are counted by stretches of the range first and then inside a stretch, so that no task sorts the whole column.
-    """
-    x = clean(df).select(number(column).alias("x")).where("x is not null")
-    span = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-    step = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    x = x.groupBy("x").agg(F.count("*").alias("times")).join(F.broadcast(span)).withColumn("stretch", F.floor(4096 * (F.col("x") - F.col("lo")) / step).cast("int"))
-    sizes = x.groupBy("stretch").agg(F.sum("times").alias("size"))
-    before = sizes.select("stretch", (F.sum("size").over(Window.orderBy("stretch")) - F.col("size")).alias("before"))  # at most 4,097 rows
-    inside = F.sum("times").over(Window.partitionBy("stretch").orderBy("x")) - F.col("times")
-    x = x.withColumn("inside", inside).join(F.broadcast(before), "stretch")
-    first = F.col("before") + F.col("inside") + 1
-    return x.select("x", "n", F.explode(F.sequence(first, first + F.col("times") - 1)).alias("i"))
+    """(x, n, i): the non-null values of a column with their 1-based rank ``i`` and count ``n``; ranks are those of ``ranks.places``."""
+    stage = Staging(df.sparkSession, "ranks")
+    return ranks.one_by_one(ranks.places(ranks.distinct_values(df, column), stage), stage)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.functions import stats
 from sondage.operators import correlation, importance, normality, profile
 from sondage.plans.base import each, query, table
 
@@ -227,7 +229,31 @@ def transform_suggestion(spark, sf_dir):
     return normality.suggestions(table(spark, sf_dir, "lineitem"), _K2_COLUMNS)
 
 
-@query("normality_anderson")
+def _tail_sql(z: str) -> str:
+    """ln of the normal distribution function of ``z``, a column: by the error function, far below by the series of the tail."""
+    t = f"(1 / (1 + 0.3275911 * abs({z} / sqrt(2))))"
+    erf = f"sign({z}) * (1 - {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z} / 2))"
+    return f"CASE WHEN {z} < -5 THEN -{z} * {z} / 2 - ln(-{z} * sqrt(2 * pi())) + ln(1 - 1 / power({z}, 2) + 3 / power({z}, 4) - 15 / power({z}, 6) + 105 / power({z}, 8)) ELSE ln(0.5 * (1 + {erf})) END"
+
+
+_ANDERSON = f"""WITH r AS (SELECT {{c}}::DOUBLE AS x, row_number() OVER (ORDER BY {{c}}) AS i, count(*) OVER () AS n, avg({{c}}) OVER () AS m, stddev_samp({{c}}) OVER () AS s FROM FROM_ WHERE {{c}} IS NOT NULL),
+ z AS (SELECT *, (x - m) / s AS z, -(x - m) / s AS y FROM r), a AS (SELECT any_value(n) AS n, -any_value(n) - sum(((2 * i - 1) * {_tail_sql('z')} + (2 * (n + 1 - i) - 1) * {_tail_sql('y')}) / n) AS a FROM z)
+ SELECT '{{c}}' AS "column", n, round(a, 4) AS statistic, round(0.787 / (1 + 4 / n - 25 / (n * n)), 3) AS critical, a < round(0.787 / (1 + 4 / n - 25 / (n * n)), 3) AS normal FROM a"""
+
+
+def _quantile_sql(p: str) -> str:
+    """The inverse normal distribution function of ``p``, a column, by the same rational approximation."""
+    poly = lambda x, terms: functools.reduce(lambda out, t: f"({out} * {x} + {t!r})", terms[1:], repr(terms[0]))
+    low, high, q = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    tail = lambda x: f"{poly(x, stats.TAIL)} / ({poly(x, stats.TAIL_UNDER)} * {x} + 1)"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 1 - 0.02425 THEN -({tail(high)}) ELSE {poly(f'({q} * {q})', stats.MIDDLE)} * {q} / ({poly(f'({q} * {q})', stats.MIDDLE_UNDER)} * {q} * {q} + 1) END"
+
+
+_POINTS = f"""WITH r AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) AS i, count(*) OVER () AS n FROM customer),
+ m AS (SELECT *, CASE WHEN i = n THEN power(0.5, 1 / n) WHEN i = 1 THEN 1 - power(0.5, 1 / n) ELSE (i - 0.3175) / (n + 0.365) END AS p FROM r), q AS (SELECT i, {_quantile_sql('p')} AS theoretical, x AS observed FROM m)"""
+
+
+@query("normality_anderson", _ANDERSON.replace("{c}", "c_acctbal").replace("FROM_", "customer"))
 def normality_anderson(spark, sf_dir):
     return normality.anderson_darling(table(spark, sf_dir, "customer"), "c_acctbal")
 
@@ -247,14 +273,25 @@ def normality_summary(spark, sf_dir):
     return normality.summary(normality.verdicts(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"]))
 
 
-@query("qq_points")
+# Ties, nulls and values far from the others.
+_ODD = "(SELECT CASE WHEN l_linenumber = 7 THEN NULL WHEN l_orderkey % 97 = 0 THEN 1e12 ELSE l_quantity END AS x FROM lineitem)"
+
+
+@query("anderson_ties", _ANDERSON.replace("{c}", "x").replace("FROM_", _ODD))
+def anderson_ties(spark, sf_dir):
+    x = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_orderkey") % 97 == 0, 1e12).otherwise(F.col("l_quantity"))
+    return normality.anderson_darling(table(spark, sf_dir, "lineitem").select(x.alias("x")), "x")
+
+
+@query("qq_points", _POINTS + " SELECT i, round(theoretical, 6) AS theoretical, observed FROM q")
 def qq_points(spark, sf_dir):
     return normality.qq_points(table(spark, sf_dir, "customer"), "c_acctbal").select("i", F.round("theoretical", 6).alias("theoretical"), "observed")
 
 
-@query("qq_line")
+@query("qq_line", _POINTS + " SELECT round(regr_slope(observed, theoretical), 4) AS slope, round(regr_intercept(observed, theoretical), 4) AS intercept, round(corr(observed, theoretical), 6) AS r FROM q")
 def qq_line(spark, sf_dir):
-    return normality.qq_line(normality.qq_points(table(spark, sf_dir, "customer"), "c_acctbal"))
+    line = normality.qq_line(normality.qq_points(table(spark, sf_dir, "customer"), "c_acctbal"))
+    return line.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r", 6).alias("r"))
 
 
 @query("normal_curve", "WITH s AS (SELECT min(c_acctbal) lo, max(c_acctbal) hi, avg(c_acctbal) m, stddev_samp(c_acctbal) sd FROM customer) SELECT i::INT AS k, round(lo + (hi - lo) * i / 199, 4) AS x, round(exp(-0.5 * power((lo + (hi - lo) * i / 199 - m) / sd, 2)) / (sd * sqrt(2 * pi())), 10) AS density FROM s, range(200) t(i)")
