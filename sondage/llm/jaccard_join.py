@@ -189,7 +189,7 @@ def frequent(docs: DataFrame, stage: Staging) -> Frequent:
 
     sent = _texts(docs).mapInArrow(count, "part long, low binary, n binary")
     found = stage.put(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "key long, n long"), "frequent")
-    held = {r.size: r.count for r in found.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("count")).collect()}
+    held = dict(found.groupBy(F.floor(F.log2("n"))).count().collect())
     least, total = 62, 0
     for size in sorted(held, reverse=True):
         total += held[size]
