@@ -1,7 +1,7 @@
 """Clustering of rows with a vector column ``features``: k-means, Gaussian mixtures, DBSCAN, agglomerative, mean-shift.
 
-K-means and full-covariance mixtures are MLlib's. The other covariance types are an EM whose sums are aggregations. DBSCAN meets neighbours through
-grid cells. Agglomerative clustering and mean-shift are quadratic: they are fitted on a sample of at most ``SAMPLE`` rows with the smallest
+K-means and full-covariance mixtures are MLlib's. The other covariance types are an EM whose sums are aggregations. DBSCAN is in ``dbscan``.
+Agglomerative clustering and mean-shift are quadratic: they are fitted on a sample of at most ``SAMPLE`` rows with the smallest
 hashes, and every row is then assigned to the nearest centre. Noise has the label -1.
 """
 
@@ -16,7 +16,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.sources.staging import Staging
+from sondage.operators.dbscan import dbscan
+
+__all__ = ["agglomerative", "bandwidth", "cut", "dbscan", "dendrogram", "gaussian_mixture", "kmeans", "mean_shift", "merges", "mixture_em", "nearest", "relabelled", "sample", "tsne"]
 
 SAMPLE, SEED = 2000, 42
 STARTS = 4
@@ -142,46 +144,6 @@ def mixture_em(rows: DataFrame, k: int, covariance: str, seed: int, rounds: int
     return rows.withColumn("cluster", label(vector_to_array("features"))), float(before)
 
 
-def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int = 5) -> DataFrame:
-    """``rows`` with ``cluster`` of DBSCAN: a point counts among its own neighbours; a border point joins its neighbouring core of the smallest key.
-
-    Points meet in the grid cells of side ``eps`` of their first two features, and are compared with those of the nine cells around. Neighbours
-    are counted first; only core pairs are kept as edges, and components come from repeated minima. ``key`` is a unique long.
-    """
-    if eps <= 0 or min_samples < 2:
-        raise ValueError("eps must be positive and min_samples at least 2")
-    x = rows.select(F.col(key).cast("long").alias("id"), vector_to_array("features").alias("x"))
-    dims = min(2, len(rows.first().features)) if not rows.isEmpty() else 1
-    cell = [F.floor(F.col("x")[i] / eps).cast("long").alias(f"c{i}") for i in range(dims)]
-    x = x.select("id", "x", *cell)
-    around = x.select(F.col("id").alias("other"), F.col("x").alias("y"), *(F.explode(F.sequence(F.col("c0") - 1, F.col("c0") + 1)).alias("c0") if i == 0 else F.col(f"c{i}") for i in range(dims)))
-    if dims > 1:
-        around = around.withColumn("c1", F.explode(F.sequence(F.col("c1") - 1, F.col("c1") + 1)))
-    distance = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = x.join(around, [f"c{i}" for i in range(dims)]).where(distance <= eps * eps).select("id", "other")
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    stage = Staging(rows.sparkSession, "dbscan")
-    core = stage.put(core, "core")
-    near = stage.put(near.join(core.withColumnRenamed("id", "other"), "other"), "near")  # towards cores
-    edges = stage.put(near.join(core, "id"), "edges")
-    label = core.withColumn("cluster", F.col("id"))
-    while True:
-        low = edges.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("low"))
-        jumped = label.join(low, "id", "left").select("id", F.least("cluster", "low").alias("cluster"))
-        # Pointer jumping: the label of the label.
-        jumped = jumped.join(jumped.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster"))
-        jumped = stage.put(jumped, "labels")
-        moved = jumped.join(label.withColumnRenamed("cluster", "old"), "id").where("old <> cluster").isEmpty()
-        label = jumped
-        if moved:
-            break
-    border = near.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min_by("cluster", "other").alias("border"))
-    own = border.join(label, "id", "left").select("id", F.coalesce("cluster", "border").alias("cluster"))
-    numbered = own.select("cluster").distinct().select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("int").alias("number"))
-    found = own.join(numbered, "cluster").select(F.col("id").alias(key), F.col("number").alias("cluster"))
-    return rows.join(found, key, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-
-
 def merges(x: np.ndarray, linkage: str = "ward") -> np.ndarray:
     """Rows (a, b, height, size) of the hierarchy of the points, by nearest-neighbour chains of Lance-Williams distances.
 

@@ -154,10 +154,30 @@ def gmm_diag(spark, sf_dir):
     return _labels(clustering.gaussian_mixture(features.reduced(_plain(spark, sf_dir), 3), 4, "diag")[0])
 
 
-@query("dbscan")
+def _dbscan_sql(points: str, key: str, eps: float, least: int) -> str:
+    """By the definition, from points (id, x): neighbours of all pairs, components of core points by reachability, border points with their core neighbour of the smallest id."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({points}),
+ near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_distance(a.x, b.x) <= {eps}),
+ core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {least}),
+ e AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+ r AS (SELECT id, id AS root FROM core UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.root),
+ l AS (SELECT id, min(root) AS label FROM r GROUP BY id),
+ o AS (SELECT near.a AS id, min(near.b) AS core FROM near JOIN core ON core.id = near.b WHERE near.a NOT IN (SELECT id FROM core) GROUP BY near.a),
+ f AS (SELECT id, label FROM l UNION ALL SELECT o.id, l.label FROM o JOIN l ON l.id = o.core),
+ n AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, avg(p.x[1])) - 1 AS number FROM f JOIN p ON p.id = f.id GROUP BY label)
+ SELECT p.id AS {key}, coalesce(n.number, -1)::INT AS cluster FROM p LEFT JOIN f ON f.id = p.id LEFT JOIN n ON n.label = f.label"""
+
+
+@query("dbscan", _dbscan_sql("SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings", "vec_id", 1.2, 5))
 def dbscan(spark, sf_dir):
-    rows = features.reduced(_plain(spark, sf_dir), 2)
-    return _labels(clustering.dbscan(rows, "vec_id", 0.25, 5))
+    return _labels(clustering.dbscan(_plain(spark, sf_dir), "vec_id", 1.2, 5))
+
+
+# Balances in steps of 200 and the nation: dense and sparse cells, copies and border points.
+@query("dbscan_customers", _dbscan_sql("SELECT c_custkey AS id, [round(c_acctbal / 200, 0), 2.0 * c_nationkey] AS x FROM customer", "c_custkey", 1.5, 5))
+def dbscan_customers(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.round(F.col("c_acctbal") / 200), 2.0 * F.col("c_nationkey")).alias("x"))
+    return clustering.relabelled(clustering.dbscan(features.from_array(rows, "x"), "c_custkey", 1.5, 5)).select("c_custkey", "cluster")
 
 
 @query("agglomerative")
