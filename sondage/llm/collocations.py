@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ COVERED = 50
 PARTS = 64
 #: Hashes of phrases that a task holds before it adds them up.
 HELD = 1_000_000
-#: Rows that are handed on at once.
-AT_ONCE = 65_536
+#: A task hands on what it holds after so many phrases, or so many different ones; rows that are handed on at once.
+MOST_MET, MOST_NAMES, AT_ONCE = 3_000_000, 250_000, 65_536
 
 _COUNT = "decimal(14,0)"
 #: What each byte is: 0 in a word, 1 between words, 2 between pieces.
@@ -113,42 +114,98 @@ def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> DataFrame:
     return _read(docs).mapInArrow(add, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= fewest).select("hash")
 
 
+class Counts:
+    """Counts of phrases that a task has met: those of known hashes by the hash's number, others by their text."""
+
+    def __init__(self, only: np.ndarray | None) -> None:
+        self.only = only
+        self.texts: dict[tuple[str, str, int], int] = {}
+        size = 0 if only is None else len(only)
+        self.count, self.check, self.seen = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, bool)
+        self.names: list[tuple[int, str, str, int]] = []
+        self.held: list[np.ndarray] = []
+        self.met = 0
+
+    def add(self, phrases: Phrases, langs: list[str], longest: int) -> None:
+        for i, n in enumerate(np.bincount(phrases.text, minlength=len(langs)).tolist()):
+            self._by_text(langs[i], "", 0, n)
+        for k in range(1, longest + 1):
+            places = phrases.places(k)
+            hashes = phrases.hashes(k, places)
+            self.met += len(places)
+            if self.only is None:
+                other = phrases.hashes(k, places, 1)
+                order = np.lexsort((other, hashes))
+                first = np.flatnonzero(np.append(True, (np.diff(hashes[order]) != 0) | (np.diff(other[order]) != 0))) if len(order) else order
+                for at, n in zip(places[order[first]].tolist(), np.diff(first, append=len(order)).tolist(), strict=True):
+                    self._by_text(langs[phrases.text[at]], phrases.phrase(at, k), k, n)
+            elif len(self.only):
+                at = np.searchsorted(self.only, hashes)
+                at[at == len(self.only)] = 0
+                take = self.only[at] == hashes
+                self._known(phrases, langs, k, places[take], at[take])
+
+    def _known(self, phrases: Phrases, langs: list[str], k: int, places: np.ndarray, at: np.ndarray) -> None:
+        other = phrases.hashes(k, places, 1)
+        new = np.flatnonzero(~self.seen[at])
+        fresh, first = np.unique(at[new], return_index=True)
+        first = new[first]
+        self.seen[fresh], self.check[fresh] = True, other[first]
+        self.names += [(i, langs[phrases.text[p]], phrases.phrase(p, k), k) for i, p in zip(fresh.tolist(), places[first].tolist(), strict=True)]
+        # Phrases that share the hash of another are told by a second one.
+        odd = self.check[at] != other
+        if odd.any():
+            for p in places[odd].tolist():
+                self._by_text(langs[phrases.text[p]], phrases.phrase(p, k), k, 1)
+            at = at[~odd]
+        self.held.append(at)
+        if sum(map(len, self.held)) >= HELD:
+            self._settle()
+
+    def _by_text(self, lang: str, phrase: str, k: int, n: int) -> None:
+        self.texts[lang, phrase, k] = self.texts.get((lang, phrase, k), 0) + n
+
+    def _settle(self) -> None:
+        if self.held:
+            self.count += np.bincount(np.concatenate(self.held), minlength=len(self.count))
+            self.held.clear()
+
+    def full(self) -> bool:
+        return self.met >= MOST_MET or len(self.names) + len(self.texts) >= MOST_NAMES
+
+    def rows(self) -> Iterator[tuple[str, str, int, int]]:
+        """(lang, phrase, k, n) of all that was met; nothing is left."""
+        self._settle()
+        for i, lang, phrase, k in self.names:
+            yield lang, phrase, k, int(self.count[i])
+        for (lang, phrase, k), n in self.texts.items():
+            yield lang, phrase, k, n
+        self.names.clear()
+        self.texts.clear()
+        self.count[:] = 0
+        self.seen[:] = False
+        self.met = 0
+
+
 def phrase_rows(docs: DataFrame, longest: int, only: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, k, n): phrases of k words with parts of their counts, those whose hash is in ``only`` (sorted); k = 0 counts all words."""
     sent = docs.sparkSession.sparkContext.broadcast(only)
     names = ["lang", "phrase", "k", "n"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = sent.value
-        held: dict[tuple[str, str, int], int] = {}
+        counts = Counts(sent.value)
 
         def out() -> Iterator[pa.RecordBatch]:
-            lang, phrase, k = zip(*held, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(k, pa.int32()), pa.array(held.values(), pa.int64())], names)
-            held.clear()
+            found = counts.rows()
+            while part := list(islice(found, AT_ONCE)):
+                lang, phrase, k, n = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], names)
 
         for phrases, langs in _each_slice(batches):
-            for i, n in enumerate(np.bincount(phrases.text, minlength=len(langs)).tolist()):
-                held[langs[i], "", 0] = held.get((langs[i], "", 0), 0) + n
-            for k in range(1, longest + 1):
-                places = phrases.places(k)
-                hashes = phrases.hashes(k, places)
-                if only is not None:
-                    at = np.searchsorted(only, hashes)
-                    at[at == len(only)] = 0
-                    take = only[at] == hashes if len(only) else np.zeros(len(hashes), bool)
-                    places, hashes = places[take], hashes[take]
-                # Two hashes of 64 bits tell phrases apart.
-                other = phrases.hashes(k, places, 1)
-                order = np.lexsort((other, hashes))
-                first = np.flatnonzero(np.append(True, (np.diff(hashes[order]) != 0) | (np.diff(other[order]) != 0))) if len(order) else order
-                for at, n in zip(places[order[first]].tolist(), np.diff(first, append=len(order)).tolist(), strict=True):
-                    key = langs[phrases.text[at]], phrases.phrase(at, k), k
-                    held[key] = held.get(key, 0) + n
-            if len(held) >= HELD // 16:
+            counts.add(phrases, langs, longest)
+            if counts.full():
                 yield from out()
-        if held:
-            yield from out()
+        yield from out()
 
     return _read(docs).mapInArrow(rows, "lang string, phrase string, k int, n long")
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sondage.llm import collocations
@@ -66,12 +67,25 @@ def test_without_broadcast(spark, monkeypatch):
 def test_small_holds_and_ties(spark, monkeypatch):
     """Rows handed on in many parts give the same counts; equal scores and counts are in byte order."""
     monkeypatch.setattr(collocations, "HELD", 64)
+    monkeypatch.setattr(collocations, "MOST_NAMES", 5)
     rows = [(f"{a} {b}.", "en") for a, b in [("b", "c"), ("B", "ä"), ("é", "a"), ("z", "z")] for _ in range(12)]
     found = rows_of(collocations.collocations(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)))
     assert found == plain(rows, 10, 3, 2000)
     assert [r[2] for r in found] == ["é a", "b c", "b ä", "z z"]
 
 
+def test_phrases_of_one_hash_are_told_apart():
+    """What shares a hash with a known phrase is counted by its text."""
+    langs = np.array([7], np.uint64)
+    a, b = (collocations.Phrases([x], langs) for x in (b"aa aa bb", b"cc"))
+    b.words[0][:] = a.words[0][0]
+    counts = collocations.Counts(np.unique(a.words[0]))
+    for x in (a, b, a):
+        counts.add(x, ["en"], 1)
+    assert sorted(counts.rows()) == [("en", "", 0, 7), ("en", "aa", 1, 4), ("en", "bb", 1, 2), ("en", "cc", 1, 1)]
+    assert list(counts.rows()) == []
+
+
 def test_products_past_64_bits(spark, monkeypatch):
     """A phrase as frequent as its parts scores a million, however frequent."""
     big = 3_000_000_000_000
