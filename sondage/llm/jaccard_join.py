@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm import near_dedup
 from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids, small_batches, spread_join
-from sondage.llm.linking import link, links_across, matrix, near_in_block
+from sondage.llm.linking import each_block_pair, in_blocks, link, links_across, matrix, near_in_block
 from sondage.llm.words import mix, shingle_sets
 
 WIDTH, PERCENT = 4, 85
@@ -290,10 +290,24 @@ class _Exact(near_dedup._Exact):
         return self.stage.put(keep_ids(self.texts, ids, "id").mapInArrow(sets, "id long, held binary"), "sets")
 
     def between(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        """The links of different components inside mixed buckets. A pair is compared under the first key only that it shares."""
+        """The links of different components inside mixed buckets. A pair is compared under the first key only that it shares.
+
+        Members without a near partner by size and parity go first, as the keys that tell which is the first one are many times longer.
+        """
         rows, differ, percent = self.stage.put(rows, "mixed"), bound(self.percent), self.percent
         size = 8 + BITMAP // 8
 
+        def screen(x: pa.Table) -> pa.RecordBatch | None:
+            head, wanted = matrix(x.column("head").combine_chunks(), "<u8"), np.zeros(x.num_rows, bool)
+            for at, others in near_in_block(x, lambda at, others: differ(head[at], head[others]) < _FAR):
+                wanted[at] = True
+                wanted[others] = True
+            return x.select(["key", "id", "component"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else None
+
+        left = each_block_pair(in_blocks(rows.join(sets.select("id", "head"), "id")), screen, "key long, id long, component long").distinct()
+        left = self.stage.put(left, "screened")
+        rows = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+
         def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
             sig = x.column("sig").to_pylist()
             head, this = np.frombuffer(b"".join(v[:size] for v in sig), "<u8").reshape(len(sig), -1), np.uint64(x.column("key")[0].as_py() & 2**64 - 1)
