@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.plans import anonymising, cleaning, clusters, profiling, questionnaires, streams  # noqa: F401
+from sondage.plans import anonymising, cleaning, clusters, profiling, questionnaires, sources, streams  # noqa: F401
 from sondage.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

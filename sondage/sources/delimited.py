@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sondage.sources.records import records
 
 # Candidates in order of preference.
 DELIMITERS = [";", ",", "\t", "|"]
@@ -53,30 +54,45 @@ def gate(spark: SparkSession, path: str, most_bytes: int | None = MOST_BYTES) ->
         raise Rejected(f"the file is larger than {most_bytes} bytes")
 
 
-def scan(spark: SparkSession, path: str, delimiter: str | None = None, infer: bool = True) -> Scan:
-    """Rows with a header; short rows are padded with nulls, rows with too many fields are set apart with their raw text.
+def scan(spark: SparkSession, path: str, delimiter: str | None = None, infer: bool = True, most_bytes: int | None = None) -> Scan:
+    """Rows with a header; short rows are padded with nulls, records with too many fields are set apart with the number of their first line and their raw text.
 
-    Bytes that aren't UTF-8 are replaced. Types are inferred from the rows that are kept.
+    Rows, rejects and line numbers come from one reader, so each record is in exactly one of the two; quoted fields may hold line feeds. Bytes that aren't UTF-8 are replaced. Types are inferred from
+    the rows that are kept. A file without text, and one without a row that can be kept, are rejected. ``most_bytes`` is the limit of ``gate``.
     """
-    gate(spark, path, None)
+    gate(spark, path, most_bytes)
     delimiter = delimiter or detect_delimiter(spark, path)
-    head = spark.read.text(path).where("trim(value) <> ''").first()
-    names = next(csv.reader([head.value], delimiter=delimiter))
-    names = [n.strip().lstrip("﻿") or f"column_{i}" for i, n in enumerate(names, 1)]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("__extra", T.StringType()), T.StructField("__raw", T.StringType())])
-    read = spark.read.option("sep", delimiter).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__raw").option("multiLine", False).option("quote", '"').option("escape", '"')
-    # With one field more than the header, a row that fills it is too long; a still longer one is malformed and keeps its text.
-    rows = read.schema(schema).csv(path)
-    # A row with fewer fields than the schema is malformed as well: that the text is kept doesn't tell the two apart, the extra field does.
-    extra = F.col("__extra").isNotNull()
-    kept = rows.where(~extra).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
-    text = spark.read.text(path).withColumn("__line", F.monotonically_increasing_id())
-    # In a quoted field a delimiter is no separator: quoted parts are taken out before counting.
-    fields = F.size(F.split(F.regexp_replace("value", '"(?:[^"]|"")*"', ""), rf"\Q{delimiter}\E", -1))
-    rejected = text.where(fields > len(names)).select(F.col("__line").alias("line"), F.col("value").alias("raw"), fields.alias("n_fields"), F.lit(len(names)).alias("n_expected"))
+    found = records(spark, path, delimiter)
+    heads = found.groupBy("file").agg(F.min("line").alias("line"), F.min_by("fields", "line").alias("names"))
+    first = heads.orderBy("file").first()
+    if first is None:
+        raise Rejected("the file is empty")
+    names = unique([n.strip() or f"column_{i}" for i, n in enumerate(first.names, 1)])
+    # Each file has a header, which is its first record; one row a file.
+    rows = found.join(F.broadcast(heads.select("file", "line")), ["file", "line"], "left_anti")
+    over = F.size("fields") > len(names)
+    cells = [F.nullif(F.get("fields", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
+    kept = rows.where(~over).select(*cells)
+    if kept.isEmpty():
+        raise Rejected(f"no valid row with the delimiter {delimiter!r}")
+    rejected = rows.where(over).select("line", "raw", F.size("fields").alias("n_fields"), F.lit(len(names)).alias("n_expected"))
     return Scan(inferred(kept) if infer else kept, rejected, delimiter)
 
 
+def unique(names: list[str]) -> list[str]:
+    """Repeated names with a number: a, a_1, a_2. Letter case doesn't tell names apart."""
+    seen: set[str] = set()
+    out = []
+    for name in names:
+        own, k = name, 0
+        while own.lower() in seen:
+            k += 1
+            own = f"{name}_{k}"
+        seen.add(own.lower())
+        out.append(own)
+    return out
+
+
 def inferred(df: DataFrame) -> DataFrame:
     """Text columns as long, double or boolean where all non-null values are such. One aggregation."""
     tests = {"bigint": r"^\s*[+-]?\d{1,18}\s*$", "double": r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Infinity|NaN|nan)\s*$", "boolean": r"^(True|False|true|false|TRUE|FALSE)$"}
