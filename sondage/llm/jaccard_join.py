@@ -306,12 +306,15 @@ class _Exact(near_dedup._Exact):
 
         left = each_block_pair(in_blocks(rows.join(sets.select("id", "head"), "id")), screen, "key long, id long, component long").distinct()
         left = self.stage.put(left, "screened")
+        # A pair that is near by its heads is left under each key that it shares, so the first of these is the first of all.
+        own = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("id", "head"), "id")
+        own = self.stage.put(own, "left-keys")
         rows = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
 
         def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
             sig = x.column("sig").to_pylist()
-            head, this = np.frombuffer(b"".join(v[:size] for v in sig), "<u8").reshape(len(sig), -1), np.uint64(x.column("key")[0].as_py() & 2**64 - 1)
-            before = [np.sort(k[k < this]) for k in (np.frombuffer(v, "<u8", offset=size) for v in sig)]
+            head, this = np.frombuffer(b"".join(v[:size] for v in sig), "<u8").reshape(len(sig), -1), x.column("key")[0].as_py()
+            before = [k[k < this] for k in (np.frombuffer(v, ">i8", offset=size) for v in sig)]
             count = np.array([len(k) for k in before])
 
             def near(at: int, others: np.ndarray) -> np.ndarray:
@@ -331,22 +334,28 @@ class _Exact(near_dedup._Exact):
             held = [np.frombuffer(x, np.uint64) for x in found]
             return lambda a, b: np.array([near_dedup.alike(held[x], held[y], percent) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
 
-        return links_across(rows, sets.select("id", F.concat("head", "keys").alias("sig")), self.sets, nearby, test, self.stage)
+        keys = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
+        return links_across(rows, own.select("id", F.concat("head", keys).alias("sig")), self.sets, nearby, test, self.stage)
 
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(components, classes): (id, component) of the sets with a link, and (doc_id, n_shingles, digest, id) of each row with the smallest doc_id of its equal sets."""
     stage = Staging(docs.sparkSession, "jaccard")
     small_batches(docs.sparkSession)
-    rows = stage.put(features(docs, frequent(docs, stage), percent), "features")
-    held = F.struct("doc_id", F.col("n_shingles").alias("n"), "head", "rarest", "light")
-    texts = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(held).alias("x"))
-    texts = stage.put(texts.select("digest", F.col("x.doc_id").alias("id"), "x.n", "x.head", "x.rarest", "x.light"), "texts")
+    measured = stage.put(features(docs, frequent(docs, stage), percent).withColumn("row", F.monotonically_increasing_id()), "features")
+    rows = stage.put(measured.select("doc_id", "n_shingles", "digest"), "rows")
+    # One row of each group of equal sets, found by its number, so that keys aren't shuffled.
+    firsts = measured.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+    firsts = stage.put(firsts.select("digest", F.col("x.doc_id").alias("id"), "x.row"), "firsts")
+    texts = keep_ids(measured, firsts, "row").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "head", "rarest", "light")
+    texts = stage.put(texts, "texts")
+    stage.drop(measured)
     sets = stage.put(with_keys(texts, boundary(texts, stage, percent), percent), "keys")
+    stage.drop(texts)
     exact = _Exact(docs, stage, percent)
     signatures = sets.select("id", F.col("head").alias("sig"))
     components, _ = link(_rows_of_keys(sets), signatures, bound(percent), "<u8", _FAR - 1, exact.verify, lambda mixed: exact.between(mixed, sets), stage)
-    return components, spread_join(rows.select("doc_id", "n_shingles", "digest"), stage.put(texts.select("digest", "id"), "classes"), ["digest"], "left")
+    return components, spread_join(rows, firsts.select("digest", "id"), ["digest"], "left")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
