@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sondage.operators import advice, cleaning, cluster_report, clustering, correlation, features, importance, jobs, normality, personal, profile, questionnaire
-from sondage.operators.types import numeric_columns, text_columns
+from sondage.operators.types import numeric_columns, scalar_columns, text_columns
 
 
 class Dataset:
@@ -34,7 +35,7 @@ class Dataset:
 
     def numeric(self, column: str) -> dict[str, DataFrame]:
         found = profile.numeric_profile(self.df, [column])
-        return {"statistics": found, "histogram": profile.histogram(self.df, column), "box": profile.box_plot(self.df, column), "outliers": profile.outliers(self.df, column).limit(profile.MOST_OUTLIERS), "alerts": profile.distribution_alerts(found)}
+        return {"statistics": found, "histogram": profile.histogram(self.df, column), "box": profile.box_plot(self.df, column), "outliers": profile.outliers(self.df, column).orderBy(column, F.xxhash64(*scalar_columns(self.df))).limit(profile.MOST_OUTLIERS), "alerts": profile.distribution_alerts(found)}
 
     def categorical(self, column: str) -> DataFrame:
         return profile.top_values(self.df, column)
@@ -62,6 +63,10 @@ class Dataset:
     def recommendations(self) -> list[tuple[str, bool]]:
         return cleaning.catalog(self.context)
 
+    def advice(self) -> list[dict[str, str]]:
+        """The actions that the table needs, with priority, category, label, justification and impact."""
+        return cleaning.advice(self.context)
+
     def apply(self, actions: list[str]) -> Dataset:
         """A derived dataset; this one stays as it is."""
         rows, done = cleaning.apply_actions(self.df, actions, self.context)

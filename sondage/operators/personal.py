@@ -25,7 +25,7 @@ NAME_PATTERNS = {
     "free_text": r"commentaire|comment|note|texte|text|description|observation|remarque",
     "postcode": r"postal|postcode|zip|code.?postal|cp",
     "city": r"ville|city|commune|municipality|localite",
-    "id_direct": r"^(id|identifiant|identifier|uuid|ref|numero|num)[_\-\s]?",
+    "id_direct": r"^(id|identifiant|identifier|uuid|ref|numero|num)[\s_-]?",
 }
 #: Values looked at for the type of a column: the feature is a bounded look.
 LOOKED_AT = 100
