@@ -51,7 +51,7 @@ RANGE_BITS, RANGE_SHINGLES = 22, 1_000_000
 #: Hashes that a task holds before it sends their counts.
 HELD = 1_000_000
 #: Bits of the parity bitmap.
-BITMAP = 512
+BITMAP = 2048
 _FAR = 1 << 30
 
 
