@@ -13,8 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.operators import silhouettes, summary
-from sondage.operators.clustering import SEED, kmeans, mixture_em
+from sondage.operators import fits, silhouettes, summary
+from sondage.operators.clustering import nearest
 from sondage.operators.types import clean, need, number
 from sondage.sources.staging import Staging
 
@@ -84,10 +84,14 @@ def centres(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, float]:
     return ids, np.stack([m[m.cluster == c]["mean"].to_numpy() for c in ids]), np.array([m[m.cluster == c]["n"].iloc[0] for c in ids]), float(m["within"].sum())
 
 
-def metrics(rows: DataFrame, kind: str = "euclidean") -> dict[str, float | None]:
+def _silhouette(rows: DataFrame, kind: str) -> float:
+    return silhouettes.KINDS[kind](rows).agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]
+
+
+def metrics(rows: DataFrame, kind: str | None = "euclidean") -> dict[str, float | None]:
     """Silhouette, Calinski-Harabasz and Davies-Bouldin without noise; all null with fewer than two clusters.
 
-    ``kind`` is that of ``silhouettes.KINDS``: the work of "euclidean" grows with the square of the distinct rows, that of "squared" with the rows.
+    ``kind`` is that of ``silhouettes.KINDS``: the work of "euclidean" grows with the square of the distinct rows, that of "squared" with the rows. Null gives no silhouette.
     """
     ids, means, n, within = centres(rows)
     k, total = len(ids), n.sum() if len(n) else 0
@@ -103,8 +107,7 @@ def metrics(rows: DataFrame, kind: str = "euclidean") -> dict[str, float | None]
     d = np.sqrt(((means[:, None, :] - means[None, :, :]) ** 2).sum(2))
     ratio = (s[:, None] + s[None, :]) / np.where(d > 0, d, np.inf)
     np.fill_diagonal(ratio, -np.inf)
-    score = silhouettes.KINDS[kind](rows).agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]
-    return {"silhouette": round(score, 4), "calinski_harabasz": round(float(ch), 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
+    return {"silhouette": round(_silhouette(rows, kind), 4) if kind else None, "calinski_harabasz": round(float(ch), 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
 
 
 def silhouette_summary(rows: DataFrame, kind: str = "euclidean") -> DataFrame:
@@ -115,28 +118,38 @@ def silhouette_summary(rows: DataFrame, kind: str = "euclidean") -> DataFrame:
     return found.select("cluster", "n", *(F.round(c, 4).alias(c) for c in ("mean", "least", "q1", "median", "q3", "greatest")))
 
 
-def elbow(rows: DataFrame, k_max: int, kind: str = "euclidean") -> list[dict]:
-    """Inertia and metrics of k-means for k from 2 on."""
-    n = rows.count()
+def elbow(rows: DataFrame, k_max: int, kind: str | None = "squared") -> list[dict]:
+    """Inertia and metrics of k-means for k from 2 on; all k are fitted and measured in the same passes.
+
+    ``kind`` is that of ``silhouettes.KINDS``: "squared" needs no pass of its own, "euclidean" compares all distinct rows for each k, null gives no silhouettes.
+    """
+    points = fits.Points(rows)
+    ks = range(2, min(k_max, points.n // 2) + 1)
+    models = fits.best_starts(fits.kmeans_starts(points, ks)) if ks else {}
     out = []
-    for k in range(2, min(k_max, n // 2) + 1):
-        found, inertia = kmeans(rows, k)
-        out.append({"k": k, "inertia": round(inertia, 4)} | metrics(found, kind))
+    for k, m in (fits.measures(points, models) if ks else {}).items():
+        score = m.silhouette
+        if score is not None and kind != "squared":
+            score = round(_silhouette(nearest(rows, models[k] + points.shift), kind), 4) if kind else None
+        out.append({"k": k, "inertia": round(m.inertia, 4), "silhouette": score, "calinski_harabasz": m.calinski_harabasz, "davies_bouldin": m.davies_bouldin})
+    points.drop()
     return out
 
 
 def information_criteria(rows: DataFrame, k_max: int) -> list[dict]:
-    """BIC and AIC of full Gaussian mixtures for k from 1 on."""
-    n, d = rows.count(), len(rows.first().features)
+    """BIC and AIC of full Gaussian mixtures for k from 1 on, fitted in the same passes."""
+    points = fits.Points(rows)
+    n, d = points.n, points.width
+    models = fits.mixtures(points, range(1, min(k_max, max(2, n // 5)) + 1))
+    points.drop()
     out = []
-    for k in range(1, min(k_max, max(2, n // 5)) + 1):
-        _, likely = mixture_em(rows, k, "full", SEED)
+    for k, model in models.items():
         free = k - 1 + k * d + k * d * (d + 1) // 2
-        out.append({"k": k, "bic": round(free * math.log(n) - 2 * likely, 2), "aic": round(2 * free - 2 * likely, 2)})
+        out.append({"k": k, "bic": round(free * math.log(n) - 2 * model.likely, 2), "aic": round(2 * free - 2 * model.likely, 2)})
     return out
 
 
-def best_k(rows: DataFrame, algorithm: str, k_max: int, kind: str = "euclidean") -> tuple[int | None, list[dict]]:
+def best_k(rows: DataFrame, algorithm: str, k_max: int, kind: str = "squared") -> tuple[int | None, list[dict]]:
     """The k of least BIC for mixtures, of greatest k-means silhouette for all others."""
     if algorithm == "gmm":
         table = information_criteria(rows, k_max)

@@ -1,31 +1,28 @@
 """Clustering of rows with a vector column ``features``: k-means, Gaussian mixtures, DBSCAN, agglomerative, mean-shift.
 
-K-means and full-covariance mixtures are MLlib's. The other covariance types are an EM whose sums are aggregations. DBSCAN is in ``dbscan``.
+The models of k-means and mixtures are fitted together in ``fits``. DBSCAN is in ``dbscan``.
 Agglomerative clustering and mean-shift are quadratic: they are fitted on a sample of at most ``SAMPLE`` rows with the smallest
 hashes, and every row is then assigned to the nearest centre. Noise has the label -1.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondage.operators import fits
 from sondage.operators.dbscan import dbscan
+from sondage.operators.fits import SEED
 
-__all__ = ["agglomerative", "bandwidth", "cut", "dbscan", "dendrogram", "gaussian_mixture", "kmeans", "mean_shift", "merges", "mixture_em", "nearest", "relabelled", "sample", "tsne"]
+__all__ = ["agglomerative", "bandwidth", "cut", "dbscan", "dendrogram", "gaussian_mixture", "kmeans", "mean_shift", "merges", "nearest", "relabelled", "sample", "tsne"]
 
-SAMPLE, SEED = 2000, 42
-STARTS = 4
+SAMPLE = 2000
 #: Rows that the bandwidth of mean-shift is estimated on.
 BANDWIDTH_ROWS = 500
 LINKAGES = ("ward", "complete", "average", "single")
-COVARIANCES = ("full", "tied", "diag", "spherical")
 
 
 def sample(rows: DataFrame, most: int = SAMPLE, seed: int = SEED) -> np.ndarray:
@@ -63,85 +60,25 @@ def kmeans(rows: DataFrame, k: int, seed: int = SEED) -> tuple[DataFrame, float]
     """Rows with ``cluster``, and the sum of squared distances."""
     if k < 2:
         raise ValueError("k must be at least 2")
+    points = fits.Points(rows)
     # The best of a few starts, as a single one may end in a poor optimum.
-    models = [KMeans(k=k, seed=seed + i, maxIter=50, predictionCol="cluster").fit(rows) for i in range(STARTS)]
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    return model.transform(rows), float(model.summary.trainingCost)
+    centres = fits.best_starts(fits.kmeans_starts(points, [k], seed))[k]
+    cost = float(points.sums(lambda v: np.array([fits.distances(v, centres).min(1).sum()]))[0])
+    points.drop()
+    return nearest(rows, centres + points.shift), cost
 
 
 def gaussian_mixture(rows: DataFrame, k: int, covariance: str = "full", seed: int = SEED) -> tuple[DataFrame, float]:
     """Rows with ``cluster``, and the log likelihood."""
-    if covariance not in COVARIANCES:
-        raise ValueError(f"covariance must be one of {COVARIANCES}")
-    if k == 1 or covariance != "full":
-        return mixture_em(rows, k, covariance, seed)
-    models = [GaussianMixture(k=k, seed=seed + i, maxIter=100, predictionCol="cluster").fit(rows) for i in range(STARTS)]
-    model = max(models, key=lambda m: m.summary.logLikelihood)
-    return model.transform(rows).drop("probability"), float(model.summary.logLikelihood)
-
-
-def mixture_em(rows: DataFrame, k: int, covariance: str, seed: int, rounds: int = 60, tolerance: float = 1e-3) -> tuple[DataFrame, float]:
-    """EM; each round sums responsibilities and moments by partition, so the driver sees a few matrices a partition and nothing else."""
-    x = rows.select(vector_to_array("features").alias("x"))
-    d = len(x.first().x)
-    if k > 1:
-        models = [KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(STARTS)]
-        means = np.array(min(models, key=lambda m: m.summary.trainingCost).clusterCenters())
-    else:
-        means = sample(rows, 1, seed)
-    weights, covs = np.full(k, 1 / k), np.stack([np.eye(d)] * k)
-    before = -np.inf
-
-    def densities(v: np.ndarray) -> np.ndarray:
-        out = np.empty((len(v), k))
-        for j in range(k):
-            root = np.linalg.cholesky(covs[j])
-            z = np.linalg.solve(root, (v - means[j]).T)
-            out[:, j] = np.log(weights[j] + 1e-300) - 0.5 * (z**2).sum(0) - np.log(np.diag(root)).sum() - 0.5 * d * math.log(2 * math.pi)
-        return out
-
-    for _ in range(rounds):
-
-        def sums(batches):
-            n, first, second, likely = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["x"].to_numpy())
-                logs = densities(v)
-                top = logs.max(1, keepdims=True)
-                total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-                r = np.exp(logs - total[:, None])
-                n += r.sum(0)
-                first += r.T @ v
-                second += np.einsum("ij,ia,ib->jab", r, v, v)
-                likely += total.sum()
-            yield pd.DataFrame({"s": [np.concatenate([[likely], n, first.ravel(), second.ravel()]).tolist()]})
-
-        flat = x.mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        s = np.array([r.v for r in flat])
-        likely, n = s[0], np.maximum(s[1 : 1 + k], 1e-12)
-        first, second = s[1 + k : 1 + k + k * d].reshape(k, d), s[1 + k + k * d :].reshape(k, d, d)
-        if likely - before < tolerance * max(1.0, abs(likely)) * 1e-3 and np.isfinite(before):
-            before = likely
-            break
-        before = likely
-        means = first / n[:, None]
-        weights = n / n.sum()
-        full = second / n[:, None, None] - np.einsum("ja,jb->jab", means, means)
-        if covariance == "tied":
-            full = np.stack([np.einsum("j,jab->ab", weights, full)] * k)
-        elif covariance == "diag":
-            full = np.stack([np.diag(np.diag(c)) for c in full])
-        elif covariance == "spherical":
-            full = np.stack([np.eye(d) * np.trace(c) / d for c in full])
-        covs = full + 1e-6 * np.eye(d)
+    points = fits.Points(rows)
+    model = fits.mixtures(points, [k], covariance, seed)[k]
+    points.drop()
 
     @F.pandas_udf("int")
-    def label(v: pd.Series) -> pd.Series:
-        return pd.Series(densities(np.stack(v.to_numpy())).argmax(1).astype("int32")) if len(v) else pd.Series([], dtype="int32")
+    def label(x: pd.Series) -> pd.Series:
+        return pd.Series(model.densities(np.stack(x.to_numpy()) - model.shift).argmax(1).astype("int32")) if len(x) else pd.Series([], dtype="int32")
 
-    return rows.withColumn("cluster", label(vector_to_array("features"))), float(before)
+    return rows.withColumn("cluster", label(vector_to_array("features"))), model.likely
 
 
 def merges(x: np.ndarray, linkage: str = "ward") -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from sondage.operators import cluster_report, clustering, correlation, features, importance, profile
 from sondage.operators.types import numeric_columns
+from sondage.sources.staging import Staging
 
 ALGORITHMS = ("kmeans", "dbscan", "agglomerative", "gmm", "meanshift")
 
@@ -29,7 +30,7 @@ def cluster(df: DataFrame, columns: list[str], categorical: list[str], algorithm
     """Prepares, fits and reports: rows with ``cluster``, names of the features, metrics, projection, sizes, profiles, statistics,
     discriminant features, silhouettes (of the kind ``silhouette``) and an interpretation."""
     prepared = features.prepare(df, columns, categorical, scaler, variance)
-    rows = fit(prepared.rows, algorithm, **options).persist()
+    rows = Staging(df.sparkSession, "job").put(fit(prepared.rows, algorithm, **options), "rows")
     metrics = cluster_report.metrics(rows, silhouette)
     out: dict[str, object] = {
         "rows": rows,

@@ -61,7 +61,7 @@ _CENTRES = f"(SELECT cluster, i, avg(x) AS c, count(*) AS n, var_pop(x) * count(
  r AS (SELECT a, max((x.s + y.s) / d) AS r FROM p JOIN s x ON x.cluster = a JOIN s y ON y.cluster = b GROUP BY a)
  SELECT round((SELECT ch FROM ch), 2) AS calinski_harabasz, round((SELECT avg(r) FROM r), 4) AS davies_bouldin""")
 def calinski_davies(spark, sf_dir):
-    found = cluster_report.metrics(vectors(spark, sf_dir))
+    found = cluster_report.metrics(vectors(spark, sf_dir), None)
     return spark.createDataFrame([(found["calinski_harabasz"], found["davies_bouldin"])], "calinski_harabasz double, davies_bouldin double")
 
 
