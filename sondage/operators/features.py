@@ -152,6 +152,6 @@ def projection_2d(rows: DataFrame) -> DataFrame:
 
 
 def from_array(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose array column becomes ``features`` and ``scaled``."""
-    vector = array_to_vector(F.col(column).cast("array<double>"))
+    """Rows whose array column becomes ``features`` and ``scaled``; a null stays null."""
+    vector = F.when(F.col(column).isNotNull(), array_to_vector(F.col(column).cast("array<double>")))
     return df.withColumns({"features": vector, "scaled": vector})
