@@ -7,10 +7,10 @@ an even spread would need; the sums of all shorter prefixes follow from these fe
 exceed the limit there are refined by more bits, and only their rows are read for that.
 
 A bucket of one key can't be split by its hash. If it exceeds the limit, its rows are dealt into pages of at most the limit
-within each input partition, so that no task gathers them all; a row larger than the limit has a page of its own.
+within each partition of a written table, so that no task gathers them all and a task that runs again numbers them alike; a row larger than the limit has a page of its own.
 
 Defined cases: null text has no bytes; a null key is hashed as the empty string; repeated rows share a bucket; extra
-columns are written to the files; an empty table gives an empty result.
+columns are written to the files, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,19 @@ from sondage.llm.common import BROADCAST_IDS, Staging
 HASH_BITS = 60
 #: Bits beyond an even spread in the first aggregation, and in each refinement.
 MORE_BITS = 6
-#: Columns that name the folders of the files.
-FOLDERS = ("in_shard", "in_page")
+#: Columns that name the folders of the files, and those that give the shard and page of a row read back.
+FOLDERS, READ = ("in_shard", "in_page"), ("shard", "page")
+
+
+def _free(df: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
+    """The names, each with as many underscores after it as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return tuple(found)
 
 
 def hash_bits(key: Column) -> Column:
@@ -54,7 +65,7 @@ def _directory(rows: DataFrame, low: int, high: int, limit: int, stage: Staging)
 
 def _measured(df: DataFrame, key: str, content: str) -> DataFrame:
     """(row, hash, n_bytes): ``row`` holds all columns."""
-    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), hash_bits(df[key]).alias("hash"), F.coalesce(F.octet_length(df[content]), F.lit(0)).cast("long").alias("n_bytes"))
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), hash_bits(df[key]).alias("hash"), F.coalesce(F.octet_length(df[content]), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def _directories(rows: DataFrame, limit: int, stage: Staging) -> list[tuple[int, DataFrame]]:
@@ -75,8 +86,9 @@ def _directories(rows: DataFrame, limit: int, stage: Staging) -> list[tuple[int,
 
 def _placed(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
     """(row, n_bytes, depth, shard, page) of each row, whatever its key."""
-    rows = _measured(df, key, content)
-    for high, found in _directories(rows.select("hash", "n_bytes"), limit, Staging(df.sparkSession, "shards")):
+    rows, stage, crowded = _measured(df, key, content), Staging(df.sparkSession, "shards"), False
+    for high, found in _directories(rows.select("hash", "n_bytes"), limit, stage):
+        crowded = crowded or not found.where(F.col("bytes") > limit).isEmpty()
         found = found.select(F.col("prefix").alias("at"), F.struct("depth", "bucket", "bytes").alias("now"))
         few = found.count() <= BROADCAST_IDS
         rows = rows.withColumn("at", F.shiftright("hash", HASH_BITS - high)).join(F.broadcast(found) if few else found, "at", "left").drop("at")
@@ -84,7 +96,9 @@ def _placed(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
     out = rows.select("row", "n_bytes", F.col("found.depth").alias("depth"), F.col("found.bucket").alias("bucket"), (F.col("found.bytes") > limit).alias("over"))
     out = out.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(bucket), depth, '0')")))
     fits = out.where("not over").withColumn("page", F.lit("0"))
-    return fits.unionByName(_pages(out.where("over"), limit)).select("row", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard", "page")
+    if crowded:
+        fits = fits.unionByName(_pages(stage.put(out.where("over"), "over"), limit))
+    return fits.select("row", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard", "page")
 
 
 def shards(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
@@ -93,7 +107,7 @@ def shards(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of buckets of one key over the limit, dealt into pages within each input partition.
+    """Rows of buckets of one key over the limit, a written table, dealt into pages within each of its partitions.
 
     A page of small rows takes those that start in the same half of the limit; each row over half the limit is a page.
     """
@@ -105,22 +119,25 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, key: str, content: str, limit: int, path: str) -> None:
-    """Writes all rows and columns of ``df`` with one folder for each shard and page."""
+    """Writes all rows and columns of ``df`` with one folder for each shard and page. The folders' columns are ``FOLDERS``, with underscores after them where ``df`` has such columns."""
+    folders = _free(df, FOLDERS)
     # Letters before the names, as an empty name or digits alone would be read back as null or a number.
-    rows = _placed(df, key, content, limit).select("row.*", F.concat(F.lit("s"), "shard").alias(FOLDERS[0]), F.concat(F.lit("p"), "page").alias(FOLDERS[1]))
-    rows.repartition(*FOLDERS).write.partitionBy(*FOLDERS).parquet(path)
+    rows = _placed(df, key, content, limit).select("row.*", F.concat(F.lit("s"), "shard").alias(folders[0]), F.concat(F.lit("p"), "page").alias(folders[1]))
+    rows.repartition(*folders).write.partitionBy(*folders).parquet(path)
 
 
 def read_shards(df: DataFrame, path: str) -> DataFrame:
-    """The rows that ``write_shards`` has written of ``df``, with ``shard`` and ``page`` of their folders."""
-    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, *(StructField(x, StringType()) for x in FOLDERS)])).parquet(path)
-    return rows.select(*df.columns, *(F.expr(f"substring({x}, 2)").alias(name) for x, name in zip(FOLDERS, ("shard", "page"), strict=True)))
+    """The rows that ``write_shards`` has written of ``df``, with ``shard`` and ``page`` of their folders; ``df``'s own columns of such names stay, and those of the folders get underscores."""
+    folders, read = _free(df, FOLDERS), _free(df, READ)
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, *(StructField(x, StringType()) for x in folders)])).parquet(path)
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), *(F.expr(f"substring({x}, 2)").alias(name) for x, name in zip(folders, read, strict=True)))
 
 
 def written_shards(df: DataFrame, key: str, content: str, limit: int, path: str) -> DataFrame:
     """(key, n_bytes, depth, shard, page) as read back from the files, whose rows and byte sums are checked."""
     write_shards(df, key, content, limit, path)
-    rows = read_shards(df, path).select(F.col(key), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("n_bytes"), F.length("shard").alias("depth"), "shard", "page")
+    shard, page = _free(df, READ)
+    rows = read_shards(df, path).select(F.col(key), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("n_bytes"), F.length(shard).alias("depth"), F.col(shard).alias("shard"), F.col(page).alias("page"))
     held = rows.groupBy("shard", "page").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     n, over = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("n") > 1) & (F.col("bytes") > limit))).first()
     if over or n != df.count():
