@@ -50,9 +50,10 @@ def nearest(rows: DataFrame, centres: np.ndarray, within: float | None = None) -
 
 
 def relabelled(rows: DataFrame) -> DataFrame:
-    """Clusters numbered by size, largest first, ties by the mean of the first feature; noise stays -1."""
-    sizes = rows.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n"), F.avg(vector_to_array("features")[0]).alias("x"))
-    order = sizes.select("cluster", (F.row_number().over(Window.orderBy(F.desc("n"), "x")) - 1).cast("int").alias("__new"))  # one row a cluster
+    """Clusters numbered by size, largest first, ties by the mean of the first feature, then by the least vector; noise stays -1."""
+    x = vector_to_array("features")
+    sizes = rows.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n"), F.avg(x[0]).alias("x"), F.min(x).alias("least"))
+    order = sizes.select("cluster", (F.row_number().over(Window.orderBy(F.desc("n"), "x", "least")) - 1).cast("int").alias("__new"))  # one row a cluster
     return rows.join(F.broadcast(order), "cluster", "left").withColumn("cluster", F.coalesce("__new", F.lit(-1))).drop("__new")
 
 

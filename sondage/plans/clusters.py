@@ -164,7 +164,7 @@ def _dbscan_sql(points: str, key: str, eps: float, least: int) -> str:
  l AS (SELECT id, min(root) AS label FROM r GROUP BY id),
  o AS (SELECT near.a AS id, min(near.b) AS core FROM near JOIN core ON core.id = near.b WHERE near.a NOT IN (SELECT id FROM core) GROUP BY near.a),
  f AS (SELECT id, label FROM l UNION ALL SELECT o.id, l.label FROM o JOIN l ON l.id = o.core),
- n AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, avg(p.x[1])) - 1 AS number FROM f JOIN p ON p.id = f.id GROUP BY label)
+ n AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, avg(p.x[1]), min(p.x)) - 1 AS number FROM f JOIN p ON p.id = f.id GROUP BY label)
  SELECT p.id AS {key}, coalesce(n.number, -1)::INT AS cluster FROM p LEFT JOIN f ON f.id = p.id LEFT JOIN n ON n.label = f.label"""
 
 
