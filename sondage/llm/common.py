@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.sources.staging import Staging, shared_dir
+from sondage.sources.staging import Staging, shared_dir, small_batches
 
 __all__ = ["BROADCAST_IDS", "Staging", "keep_ids", "shared_dir", "small_batches", "spread_join", "table"]
 
@@ -13,15 +13,6 @@ __all__ = ["BROADCAST_IDS", "Staging", "keep_ids", "shared_dir", "small_batches"
 BROADCAST_IDS = 2_000_000
 
 
-#: Most bytes of a batch that is handed to Python; the usual 64 MB come several times over, as texts grow into sets and ids.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches handed to Python by bytes, so that their memory doesn't depend on the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -84,14 +84,15 @@ def centres(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, float]:
     return ids, np.stack([m[m.cluster == c]["mean"].to_numpy() for c in ids]), np.array([m[m.cluster == c]["n"].iloc[0] for c in ids]), float(m["within"].sum())
 
 
-def _silhouette(rows: DataFrame, kind: str) -> float:
-    return silhouettes.KINDS[kind](rows).agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]
+def _silhouette(values: DataFrame) -> float:
+    return values.agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]
 
 
-def metrics(rows: DataFrame, kind: str | None = "euclidean") -> dict[str, float | None]:
+def metrics(rows: DataFrame, kind: str | None = "euclidean", values: DataFrame | None = None) -> dict[str, float | None]:
     """Silhouette, Calinski-Harabasz and Davies-Bouldin without noise; all null with fewer than two clusters.
 
     ``kind`` is that of ``silhouettes.KINDS``: the work of "euclidean" grows with the square of the distinct rows, that of "squared" with the rows. Null gives no silhouette.
+    ``values`` are the silhouettes where they are known already.
     """
     ids, means, n, within = centres(rows)
     k, total = len(ids), n.sum() if len(n) else 0
@@ -107,12 +108,17 @@ def metrics(rows: DataFrame, kind: str | None = "euclidean") -> dict[str, float
     d = np.sqrt(((means[:, None, :] - means[None, :, :]) ** 2).sum(2))
     ratio = (s[:, None] + s[None, :]) / np.where(d > 0, d, np.inf)
     np.fill_diagonal(ratio, -np.inf)
-    return {"silhouette": round(_silhouette(rows, kind), 4) if kind else None, "calinski_harabasz": round(float(ch), 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
+    return {"silhouette": round(_silhouette(silhouettes.KINDS[kind](rows) if values is None else values), 4) if kind else None, "calinski_harabasz": round(float(ch), 2), "davies_bouldin": round(float(ratio.max(1).mean()), 4)}
 
 
-def silhouette_summary(rows: DataFrame, kind: str = "euclidean") -> DataFrame:
-    """(cluster, n, mean, least, q1, median, q3, greatest) of the silhouettes of a kind of ``silhouettes.KINDS``."""
-    values = Staging(rows.sparkSession, "clusters").put(silhouettes.KINDS[kind](rows).select("cluster", "n", F.col("silhouette").alias("x")), "silhouettes")
+def silhouette_table(rows: DataFrame, kind: str = "euclidean") -> DataFrame:
+    """(cluster, n, silhouette) of a kind of ``silhouettes.KINDS``, written, so that metrics and summary share one comparison."""
+    return Staging(rows.sparkSession, "clusters").put(silhouettes.KINDS[kind](rows), "silhouettes")
+
+
+def silhouette_summary(rows: DataFrame, kind: str = "euclidean", values: DataFrame | None = None) -> DataFrame:
+    """(cluster, n, mean, least, q1, median, q3, greatest) of the silhouettes of a kind of ``silhouettes.KINDS``; ``values`` are the silhouettes where they are known already."""
+    values = (silhouette_table(rows, kind) if values is None else values).select("cluster", "n", F.col("silhouette").alias("x"))
     found = values.groupBy("cluster").agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.min("x").alias("least"), F.max("x").alias("greatest"))
     found = found.join(_quantiles(values, ["cluster"], {0.25: "q1", 0.5: "median", 0.75: "q3"}, weight="n"), "cluster")
     return found.select("cluster", "n", *(F.round(c, 4).alias(c) for c in ("mean", "least", "q1", "median", "q3", "greatest")))
@@ -130,7 +136,7 @@ def elbow(rows: DataFrame, k_max: int, kind: str | None = "squared") -> list[dic
     for k, m in (fits.measures(points, models) if ks else {}).items():
         score = m.silhouette
         if score is not None and kind != "squared":
-            score = round(_silhouette(nearest(rows, models[k] + points.shift), kind), 4) if kind else None
+            score = round(_silhouette(silhouettes.KINDS[kind](nearest(rows, models[k] + points.shift))), 4) if kind else None
         out.append({"k": k, "inertia": round(m.inertia, 4), "silhouette": score, "calinski_harabasz": m.calinski_harabasz, "davies_bouldin": m.davies_bouldin})
     points.drop()
     return out

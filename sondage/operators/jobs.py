@@ -31,7 +31,8 @@ def cluster(df: DataFrame, columns: list[str], categorical: list[str], algorithm
     discriminant features, silhouettes (of the kind ``silhouette``) and an interpretation."""
     prepared = features.prepare(df, columns, categorical, scaler, variance)
     rows = Staging(df.sparkSession, "job").put(fit(prepared.rows, algorithm, **options), "rows")
-    metrics = cluster_report.metrics(rows, silhouette)
+    values = cluster_report.silhouette_table(rows, silhouette)
+    metrics = cluster_report.metrics(rows, silhouette, values)
     out: dict[str, object] = {
         "rows": rows,
         "features": prepared.names,
@@ -47,7 +48,7 @@ def cluster(df: DataFrame, columns: list[str], categorical: list[str], algorithm
     if len(prepared.names) >= 2:
         out["projection"] = features.projection_2d(rows)
     if metrics["silhouette"] is not None:
-        out["silhouettes"] = cluster_report.silhouette_summary(rows, silhouette)
+        out["silhouettes"] = cluster_report.silhouette_summary(rows, silhouette, values)
     return out
 
 

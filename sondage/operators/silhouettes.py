@@ -1,7 +1,7 @@
 """Silhouettes of all rows with ``cluster`` and ``features``; noise (-1) is left out.
 
-``euclidean`` is the common definition: a row's mean distances to all rows of each cluster, so its work grows with the square of the distinct
-rows. ``squared`` takes squared distances, whose means follow from each cluster's size, mean and scatter: one pass, the form for large tables.
+``euclidean`` is the common definition: a row's mean distances to all rows of each cluster, so its arithmetic grows with the square of the distinct
+rows; what it shuffles and writes grows with the rows. ``squared`` takes squared distances, whose means follow from each cluster's size, mean and scatter: one pass, the form for large tables.
 Both give (cluster, n, silhouette), in which ``n`` equal rows of a cluster are one, so that copies cost nothing. A row alone in its cluster has 0.
 """
 
@@ -15,10 +15,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.operators import pairs
 from sondage.sources.staging import Staging
 
-#: Points of a block; a task holds two blocks at a time, besides a batch.
-BLOCK = 1024
+#: Most points of a block, and most sums of distances by point and cluster that a task keeps for it, as long as it has 64 points.
+BLOCK, SUMS = 8192, 1 << 20
 
 
 def _points(rows: DataFrame) -> DataFrame:
@@ -26,43 +27,37 @@ def _points(rows: DataFrame) -> DataFrame:
 
 
 def euclidean(rows: DataFrame) -> DataFrame:
-    """Each block of points meets every block, in a row of its own; only sums by point and cluster leave the comparison."""
+    """Each task sums the distances of its own points to all others by cluster, so that only a row a point leaves the comparison."""
     stage = Staging(rows.sparkSession, "silhouettes")
-    points = stage.put(_points(rows), "points")
-    blocks = max(1, -(-points.count() // BLOCK))
-    block = F.pmod(F.xxhash64("cluster", "x"), F.lit(blocks)).cast("int").alias("block")
-    # Written, so that a point keeps its place in its block.
-    packed = stage.put(points.groupBy(block).agg(F.collect_list(F.struct("cluster", "x", "n")).alias("held")), "blocks")
-    others = packed.select(F.col("block").alias("other"), F.col("held").alias("others"))
-    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(others, "other")
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for number, held, other in zip(pdf["block"], pdf["held"], pdf["others"], strict=True):
-                x, y = (np.array([p["x"] for p in side], float) for side in (held, other))
-                names, group = np.unique([p["cluster"] for p in other], return_inverse=True)
-                member = np.zeros((len(y), len(names)))
-                member[np.arange(len(y)), group] = [p["n"] for p in other]
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :], 0))
-                d[d < 1e-7] = 0.0
-                wide = len(names)
-                yield pd.DataFrame({
-                    "block": number,
-                    "at": np.repeat(np.arange(len(x), dtype=np.int32), wide),
-                    "own": np.repeat([p["cluster"] for p in held], wide),
-                    "n": np.repeat([p["n"] for p in held], wide),
-                    "c": np.tile(names, len(x)),
-                    "total": (d @ member).ravel(),
-                })
-
-    found = met.mapInPandas(sums, "block int, at int, own int, n long, c int, total double").groupBy("block", "at", "own", "n", "c").agg(F.sum("total").alias("total"))
-    sizes = points.groupBy(F.col("cluster").alias("c")).agg(F.sum("n").alias("size"))
-    mine = F.col("c") == F.col("own")
-    means = found.join(sizes, "c").groupBy("block", "at", "own", "n").agg(
-        F.max(F.when(mine & (F.col("size") > 1), F.col("total") / F.nullif(F.col("size") - 1, F.lit(0)))).alias("a"),
-        F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"),
-    )
-    return means.select(F.col("own").alias("cluster"), "n", _score(F.col("a"), F.col("b")).alias("silhouette"))
+    points = stage.put(_points(rows).select("cluster", "n", "x"), "points")
+    sizes = points.groupBy("cluster").agg(F.sum("n").alias("size")).orderBy("cluster").toPandas()
+    ids, size = sizes["cluster"].to_numpy(np.int64), sizes["size"].to_numpy(float)
+    if len(ids) < 2:
+        return points.select("cluster", "n", F.lit(0.0).alias("silhouette"))
+    blocks = pairs.packed(points, stage, ["cluster", "n"], min(BLOCK, max(64, SUMS // len(ids))))
+
+    def start(own: pairs.Block) -> np.ndarray:
+        return np.zeros((len(own["x"]), len(ids)))
+
+    def meet(total: np.ndarray, own: pairs.Block, other: pairs.Block) -> None:
+        # In order of cluster, so that a tile has few of them.
+        order = np.argsort(other["cluster"], kind="stable")
+        group, weight = np.searchsorted(ids, other["cluster"][order]), other["n"][order]
+        for at, columns, d, _ in pairs.tiles(own["x"], other["x"][order]):
+            low, high = group[columns.start], group[columns.stop - 1] + 1
+            member = np.zeros((columns.stop - columns.start, high - low))
+            member[np.arange(len(member)), group[columns] - low] = weight[columns]
+            total[at, low:high] += np.sqrt(d, out=d) @ member
+
+    def give(total: np.ndarray, own: pairs.Block) -> pd.DataFrame:
+        group, at = np.searchsorted(ids, own["cluster"]), np.arange(len(total))
+        a = np.where(size[group] > 1, total[at, group] / np.maximum(size[group] - 1, 1), np.nan)
+        means = total / size
+        means[at, group] = np.inf
+        return pd.DataFrame({"cluster": own["cluster"], "n": own["n"], "a": a, "b": means.min(1)})
+
+    found = pairs.compare(blocks, blocks, start, meet, give, "cluster int, n long, a double, b double")
+    return found.select("cluster", "n", _score(F.nanvl("a", F.lit(None)), F.col("b")).alias("silhouette"))
 
 
 def squared(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import cluster_report, clustering, features, silhouettes
+from sondage.operators import cluster_report, clustering, features, jobs, silhouettes
 from sondage.sources import catalog, delimited
 from sondage.streaming.profile import windowed_profile
 
@@ -142,6 +142,34 @@ def test_silhouettes_of_all_rows(spark, kind, monkeypatch):
     assert silhouettes.KINDS[kind](rows.where("cluster < -1")).count() == 0
 
 
+def shuffled(spark, work):
+    """Rows that ``work`` writes to shuffles."""
+    store, to_java = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    rows = lambda: sum(s.shuffleWriteRecords() for s in to_java(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = rows()
+    work()
+    return rows() - before
+
+
+def test_silhouettes_shuffle_points_not_pairs(spark, monkeypatch):
+    """Four times the points are at most five times the rows in shuffles; blocks are small, so that pairs of blocks would be many more."""
+    monkeypatch.setattr(silhouettes, "BLOCK", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = lambda n: features.from_array(spark.range(n).selectExpr("cast(id % 3 as int) AS cluster", "array(cast(id as double), cast(id % 7 as double)) AS v"), "v")
+        few, many = (shuffled(spark, lambda n=n: silhouettes.euclidean(points(n)).count()) for n in (400, 1600))
+        assert many <= 5 * few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_job_compares_its_rows_once(blobs, monkeypatch):
+    calls = []
+    monkeypatch.setitem(silhouettes.KINDS, "euclidean", lambda rows: calls.append(1) or silhouettes.euclidean(rows))
+    found = jobs.cluster(blobs, NUMBERS[:2], [], "kmeans", k=3)
+    assert calls == [1] and found["metrics"]["silhouette"] is not None and found["silhouettes"].count() == 3
+
+
 def test_preparation(spark, blobs):
     found = features.prepare(blobs, ["num_0", "num_1"], ["categorie"], "minmax")
     assert found.names == ["num_0", "num_1", "categorie_A", "categorie_B", "categorie_C"]
