@@ -52,6 +52,8 @@ RANGE_BITS, RANGE_SHINGLES = 22, 1_000_000
 HELD = 1_000_000
 #: Bits of the parity bitmap.
 BITMAP = 2048
+#: Least sets that have a second bitmap, as the bits of the first one can't tell them apart, and its least bits.
+LONG, LONG_BITMAP = 4096, 8192
 _FAR = 1 << 30
 
 
@@ -86,9 +88,9 @@ def subset_keys(hashes: np.ndarray, boundary: int, percent: int) -> np.ndarray:
     return np.concatenate([mix(total - own[_left_out(len(own), len(own) - c)].sum(axis=1, dtype=np.uint64) + np.uint64(c)) for c in subset_sizes(len(own), boundary, percent)])
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
+def parity(hashes: np.ndarray, bits: int = BITMAP) -> np.ndarray:
     """Bits that count the hashes of each residue, modulo two; the bits that differ between two sets are at most as many as their members that differ."""
-    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & BITMAP - 1, minlength=BITMAP) & 1).astype(bool)).view("<u8")
+    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & bits - 1, minlength=bits) & 1).astype(bool)).view("<u8")
 
 
 def bound(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -103,6 +105,37 @@ def bound(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return differ
 
 
+def long_bits(n: int) -> int:
+    """The bits of the second bitmap of a set of n, 0 for those without one: a link needs that fewer than 0.17 n of them differ, and of unrelated sets about half do."""
+    return max(LONG_BITMAP, 1 << n.bit_length() - 1) if n >= LONG else 0
+
+
+class Heads:
+    """Heads (size, parity) of a block with the second bitmaps of its long sets: ``near`` tells which pairs may be linked by both."""
+
+    def __init__(self, heads: np.ndarray, bitmaps: list[bytes | None], percent: int) -> None:
+        self.heads, self.percent, self.differ = heads, percent, bound(percent)
+        self.bits = np.array([8 * len(x or b"") for x in bitmaps], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for bits in np.unique(self.bits[self.bits > 0]).tolist():
+            # A wider bitmap folds to this one: the parity of a residue is that of all those that fall on it.
+            own = np.flatnonzero(self.bits >= bits)
+            row = np.full(len(bitmaps), -1)
+            row[own] = np.arange(len(own))
+            self.folded[bits] = row, np.stack([np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], "<u8").reshape(-1, bits // 64), axis=0) for i in own.tolist()])
+
+    def near(self, at: int, others: np.ndarray) -> np.ndarray:
+        out = self.differ(self.heads[at], self.heads[others]) < _FAR
+        common = np.where(out, np.minimum(self.bits[at], self.bits[others]), 0)
+        for bits in np.unique(common[common > 0]).tolist():
+            own = np.flatnonzero(common == bits)
+            row, held = self.folded[bits]
+            least = np.bitwise_count(held[row[at]] ^ held[row[others[own]]]).sum(axis=-1, dtype=np.int64)
+            n, m = self.heads[at, 0].astype(np.int64), self.heads[others[own], 0].astype(np.int64)
+            out[own] = least <= n + m - 2 * least_shared(n, m, self.percent)
+        return out
+
+
 class Frequent:
     """Counts of the frequent shingles by the first bits of their hashes."""
 
@@ -203,9 +236,9 @@ def frequent(docs: DataFrame, stage: Staging) -> Frequent:
 
 
 def features(docs: DataFrame, order: Frequent, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, head, rarest, light) of each row; all but the first two are null for an empty set, ``light`` for a large one as well."""
+    """(doc_id, n_shingles, digest, head, bitmap, rarest, light) of each row; all but the first two are null for an empty set, ``light`` for a large one and the second ``bitmap`` for one that isn't long as well."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
-    names = ["doc_id", "n_shingles", "digest", "head", "rarest", "light"]
+    names = ["doc_id", "n_shingles", "digest", "head", "bitmap", "rarest", "light"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sent.value
@@ -215,13 +248,13 @@ def features(docs: DataFrame, order: Frequent, percent: int) -> DataFrame:
                 n = len(hashes)
                 if n:
                     head = np.concatenate((np.array([n], "<u8"), parity(hashes)))
-                    rows.append((n, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), head.tobytes(), order.rarest(hashes, list_entries(n, percent)).tobytes(), hashes.tobytes() if n <= LIGHT else None))
+                    rows.append((n, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), head.tobytes(), parity(hashes, bits).tobytes() if (bits := long_bits(n)) else None, order.rarest(hashes, list_entries(n, percent)).tobytes(), hashes.tobytes() if n <= LIGHT else None))
                 else:
-                    rows.append((0, None, None, None, None))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                    rows.append((0, None, None, None, None, None))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], names)
 
-    return _texts(docs).mapInArrow(measure, "doc_id long, n_shingles long, digest binary, head binary, rarest binary, light binary")
+    return _texts(docs).mapInArrow(measure, "doc_id long, n_shingles long, digest binary, head binary, bitmap binary, rarest binary, light binary")
 
 
 def _entries(texts: DataFrame) -> DataFrame:
@@ -255,7 +288,7 @@ def boundary(texts: DataFrame, stage: Staging, percent: int) -> int:
 
 
 def with_keys(texts: DataFrame, edge: int, percent: int) -> DataFrame:
-    """(id, head, keys) of the sets: subsets of the light ones, lists of those whose partners can be larger than ``edge``."""
+    """(id, head, bitmap, keys) of the sets: subsets of the light ones, lists of those whose partners can be larger than ``edge``."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -263,9 +296,9 @@ def with_keys(texts: DataFrame, edge: int, percent: int) -> DataFrame:
             for n, rarest, light in zip(x.column("n").to_pylist(), x.column("rarest").to_pylist(), x.column("light").to_pylist(), strict=True):
                 listed = rarest if 100 * n >= percent * (edge + 1) else b""
                 out.append(listed + subset_keys(np.frombuffer(light, np.uint64), edge, percent).tobytes() if n <= edge else listed)
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("head"), pa.array(out, pa.binary())], ["id", "head", "keys"])
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("head"), x.column("bitmap"), pa.array(out, pa.binary())], ["id", "head", "bitmap", "keys"])
 
-    return texts.select("id", "n", "head", "rarest", "light").mapInArrow(keys, "id long, head binary, keys binary")
+    return texts.select("id", "n", "head", "bitmap", "rarest", "light").mapInArrow(keys, "id long, head binary, bitmap binary, keys binary")
 
 
 def _rows_of_keys(sets: DataFrame) -> DataFrame:
@@ -294,31 +327,33 @@ class _Exact(near_dedup._Exact):
 
         Members without a near partner by size and parity go first, as the keys that tell which is the first one are many times longer.
         """
-        rows, differ, percent = self.stage.put(rows, "mixed"), bound(self.percent), self.percent
+        rows, percent = self.stage.put(rows, "mixed"), self.percent
         size = 8 + BITMAP // 8
 
         def screen(x: pa.Table) -> pa.RecordBatch | None:
-            head, wanted = matrix(x.column("head").combine_chunks(), "<u8"), np.zeros(x.num_rows, bool)
-            for at, others in near_in_block(x, lambda at, others: differ(head[at], head[others]) < _FAR):
+            heads, wanted = Heads(matrix(x.column("head").combine_chunks(), "<u8"), x.column("bitmap").to_pylist(), percent), np.zeros(x.num_rows, bool)
+            for at, others in near_in_block(x, heads.near):
                 wanted[at] = True
                 wanted[others] = True
             return x.select(["key", "id", "component"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else None
 
-        left = each_block_pair(in_blocks(rows.join(sets.select("id", "head"), "id")), screen, "key long, id long, component long").distinct()
+        left = each_block_pair(in_blocks(rows.join(sets.select("id", "head", "bitmap"), "id")), screen, "key long, id long, component long").distinct()
         left = self.stage.put(left, "screened")
         # A pair that is near by its heads is left under each key that it shares, so the first of these is the first of all.
-        own = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("id", "head"), "id")
+        own = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("id", "head", "bitmap"), "id")
         own = self.stage.put(own, "left-keys")
         rows = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
 
         def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
             sig = x.column("sig").to_pylist()
             head, this = np.frombuffer(b"".join(v[:size] for v in sig), "<u8").reshape(len(sig), -1), x.column("key")[0].as_py()
-            before = [k[k < this] for k in (np.frombuffer(v, ">i8", offset=size) for v in sig)]
+            ends = [size + long_bits(n) // 8 for n in head[:, 0].tolist()]
+            heads = Heads(head, [v[size:end] for v, end in zip(sig, ends, strict=True)], percent)
+            before = [k[k < this] for k in (np.frombuffer(v, ">i8", offset=end) for v, end in zip(sig, ends, strict=True))]
             count = np.array([len(k) for k in before])
 
             def near(at: int, others: np.ndarray) -> np.ndarray:
-                out = differ(head[at], head[others]) < _FAR
+                out = heads.near(at, others)
                 left = np.flatnonzero(out & (count[others] > 0))
                 if len(left) and count[at]:
                     flat = np.concatenate([before[i] for i in others[left].tolist()])
@@ -335,7 +370,7 @@ class _Exact(near_dedup._Exact):
             return lambda a, b: np.array([near_dedup.alike(held[x], held[y], percent) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
 
         keys = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
-        return links_across(rows, own.select("id", F.concat("head", keys).alias("sig")), self.sets, nearby, test, self.stage)
+        return links_across(rows, own.select("id", F.concat("head", F.coalesce("bitmap", F.lit(b"")), keys).alias("sig")), self.sets, nearby, test, self.stage)
 
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -347,7 +382,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     # One row of each group of equal sets, found by its number, so that keys aren't shuffled.
     firsts = measured.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"))
     firsts = stage.put(firsts.select("digest", F.col("x.doc_id").alias("id"), "x.row"), "firsts")
-    texts = keep_ids(measured, firsts, "row").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "head", "rarest", "light")
+    texts = keep_ids(measured, firsts, "row").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "head", "bitmap", "rarest", "light")
     texts = stage.put(texts, "texts")
     stage.drop(measured)
     sets = stage.put(with_keys(texts, boundary(texts, stage, percent), percent), "keys")

@@ -172,6 +172,42 @@ def test_bound_is_below_the_difference():
         assert least <= len(np.setxor1d(a, b)) or not linked
 
 
+def test_long_sets_are_told_apart_by_their_second_bitmap():
+    """Sets of more than 6,000 fill the first bitmap; the second one still drops all unrelated pairs, over different widths, and no linked one."""
+    rng = np.random.default_rng(2)
+    sizes = [3000, 4096, 5000, 7000, 8000, 8192, 9000, 16000, 16384, 18000, 20000, 33000]
+    sets = []
+    for n in sizes:
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        sets += [base, np.unique(np.concatenate((base[: int(0.93 * n)], rng.integers(0, 2**63, n // 20, dtype=np.uint64)))), np.unique(np.concatenate((base[: n // 2], rng.integers(0, 2**63, n // 2, dtype=np.uint64))))]
+    head = np.stack([np.concatenate((np.array([len(x)], np.uint64), jaccard_join.parity(x))) for x in sets])
+    heads = jaccard_join.Heads(head, [jaccard_join.parity(x, bits).tobytes() if (bits := jaccard_join.long_bits(len(x))) else None for x in sets], 85)
+    every, found, linked = np.arange(len(sets)), [], []
+    for i, x in enumerate(sets):
+        found += [(i, j) for j in every[heads.near(i, every)].tolist()]
+        linked += [(i, j) for j, y in enumerate(sets) if 100 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= 85 * (len(x) + len(y) - both)]
+    assert found == linked and len(linked) > len(sets)
+    first = jaccard_join.bound(85)
+    assert sum(int((first(head[i], head) < jaccard_join._FAR).sum()) for i in every) > len(linked)
+
+
+def test_long_texts_across_components(spark):
+    """Long texts that share passages and miss the threshold, near copies in different stars, against all pairs."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(1500)]
+    rows = []
+    for k in range(4):
+        base = [f"u{rng.randrange(10**7)}" for _ in range((3500, 5200, 7400, 15500)[k])] + passage
+        rows.append(base)
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(1, len(own) // 70)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**7)}"
+            rows.append(own)
+    rows = list(enumerate(" ".join(x) for x in rows))
+    assert found(spark, rows) == plain(rows)
+
+
 def test_whole_table_in_sql(spark, sf_dir):
     import duckdb
 
