@@ -4,7 +4,7 @@ A text's pre-tokens are its words (runs other than space and 0x09-0x0D), each wi
 segmentation of a pre-token into pieces of the vocabulary has the greatest sum of log probabilities, and of equals
 the fewest pieces. Distinct pre-tokens are inserted in a trie with a node for each character; a node holds the best score and
 piece count of the prefix that it ends, computed once from its ancestors and shared by all pre-tokens that go on
-from there. The counts of complete pre-tokens are stored by pre-token. Each task has its own trie, which is emptied
+from there. The counts of complete pre-tokens are stored by word. Each task has its own trie, which is emptied
 beyond ``MOST_NODES`` nodes: what it holds is recomputed, never dropped. Documents aren't shuffled.
 
 Piece probabilities follow Zipf's law by rank in the vocabulary file. A character that is no piece costs one token for each
@@ -42,7 +42,9 @@ class Unigram:
         self.score: dict[str, float] = {}
         for r, piece in enumerate(pieces, 1):
             self.score.setdefault(piece, -math.log(r) - norm)
-        self.longest = max(map(len, self.score), default=0)
+        # All ends of pieces, those that are no piece with null: from a character back, the first string that is none ends the search.
+        self.ends: dict[str, float | None] = dict.fromkeys(piece[i:] for piece in self.score for i in range(1, len(piece)))
+        self.ends |= self.score
         self.byte = -math.log(2 * len(pieces) + 2) - norm
         self.clear()
 
@@ -53,12 +55,15 @@ class Unigram:
 
     def _next(self, text: str, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         """Best (score, pieces) of ``text[:end]`` from those of its prefixes; ``path[i]`` belongs to ``text[:i]``."""
-        size = len(text[end - 1].encode("utf-8", "surrogatepass"))
+        size = 1 if text[end - 1] < "\x80" else len(text[end - 1].encode("utf-8", "surrogatepass"))
         score, count = path[end - 1]
         top, fewest = score + size * self.byte, count + size
-        get = self.score.get
-        for start in range(max(0, end - self.longest), end):
-            own = get(text[start:end])
+        ends = self.ends
+        for start in range(end - 1, -1, -1):
+            part = text[start:end]
+            if part not in ends:
+                break
+            own = ends[part]
             if own is not None:
                 score, count = path[start]
                 score += own
@@ -75,26 +80,33 @@ class Unigram:
             return path[-1][1]
         if len(self.best) > MOST_NODES:
             self.clear()
-        node = 0
-        for end, letter in enumerate(token, 1):
-            key = node * 0x110000 + ord(letter)
-            node = self.child.get(key, 0)
-            if not node:
-                node = self.child[key] = len(self.best)
-                self.best.append(self._next(token, end, path))
-            path.append(self.best[node])
-        self.terminal[token] = path[-1][1]
+        node, child, best, at = 0, self.child, self.best, 0
+        for letter in token:
+            key = node << 21 | ord(letter)
+            if key not in child:
+                break
+            node = child[key]
+            path.append(best[node])
+            at += 1
+        # What follows a new node is new.
+        for end in range(at + 1, len(token) + 1):
+            child[node << 21 | ord(token[end - 1])] = node = len(best)
+            best.append(self._next(token, end, path))
+            path.append(best[node])
+        self.terminal[token[len(WORD_MARK) :]] = path[-1][1]
         return path[-1][1]
 
     def count(self, words: list[str]) -> int:
-        get = self.terminal.get
-        total = 0
-        for word in words:
-            known = get(WORD_MARK + word)
-            total += known if known is not None else self.add(WORD_MARK + word)
-            if known is None:
-                get = self.terminal.get
-        return total
+        found = list(map(self.terminal.get, words))
+        if None in found:
+            # A word that occurs again has been added by then, unless the trie was emptied since.
+            get = self.terminal.get
+            for i, known in enumerate(found):
+                if known is None and (known := get(words[i])) is None:
+                    known = self.add(WORD_MARK + words[i])
+                    get = self.terminal.get
+                found[i] = known
+        return sum(found)
 
 
 @lru_cache(maxsize=2)

@@ -216,6 +216,25 @@ def test_token_counts(spark, monkeypatch):
     assert not math.isnan(small.byte)
 
 
+def test_token_counts_look_no_further_back_than_pieces_go():
+    """A piece of 200 letters makes no search of words without its end longer; words that occur twice in a text and in emptied tries are counted alike."""
+
+    class Looked(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Looked.asked += 1
+            return super().__contains__(key)
+
+    model = token_counts.Unigram(["ab", "b", "cd" * 100])
+    model.ends = Looked(model.ends)
+    words = ["ab" * 40, "xyz", "ab" * 40, "cd" * 60]
+    assert model.count(words) == sum(brute_count(model, "▁" + w) for w in words)
+    assert Looked.asked < 120 * 121 // 2 + 400
+    model.clear()
+    assert model.count(words) == sum(map(brute_count, [model] * 4, ["▁" + w for w in words]))
+
+
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=400))
 @settings(max_examples=200, deadline=None)
 def test_simple8b_round_trip(ids):
