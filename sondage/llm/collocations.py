@@ -6,7 +6,7 @@ first k words, its score is floor(1000000 a a / (l r)), with a, l and r the coun
 score counts, of several the shortest first part. A candidate goes if a longer one holds its words, in order and without a gap, and
 occurs at least half as often. Of each language the ``most`` best stay.
 
-Counting goes in two passes, as most phrases are rare and their texts would be most of what is shuffled: the first sums 64-bit hashes of phrases,
+Counting goes in two passes, as most phrases are rare and their texts would be most of what is shuffled: the first sums hashes of phrases, cut to 32 bits and more the more text there is,
 the second counts the phrases themselves whose hash is frequent. A shared hash lets a rare phrase into the second pass, where it is counted as it is, so all counts are
 exact. In both a task adds up what it has read before it hands on rows. If too many hashes are frequent to be sent to all tasks, all phrases are counted by their texts. A longer candidate
 that holds a shorter one is found by one-word extensions: what lies between the two occurs at least as often as the longer.
@@ -39,6 +39,8 @@ COVERED = 50
 PARTS = 64
 #: Hashes of phrases that a task holds before it adds them up.
 HELD = 1_000_000
+#: Bits of a hash inside a range of hashes, and about how many phrases a range holds.
+RANGE_BITS, RANGE_PHRASES = 32, 1_000_000
 #: A task hands on what it holds after so many phrases, or so many different ones; rows that are handed on at once.
 MOST_MET, MOST_NAMES, AT_ONCE = 3_000_000, 250_000, 65_536
 
@@ -92,33 +94,85 @@ def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, li
             yield Phrases(held, np.array([known[x] for x in own], np.uint64)), own
 
 
-def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> DataFrame:
-    """(hash) of the phrases that occur ``fewest`` times or more; rare phrases that share a hash may be among them."""
+def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> tuple[DataFrame, int]:
+    """(hash) of the phrases that occur ``fewest`` times or more, and how many of the last bits of hashes are left out; rare phrases that share a hash may be among them.
+
+    Tasks send packed counts by range of hashes: a row holds those of a range, of which only the last ``RANGE_BITS`` bits differ.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    ranges = max(0, int(size * longest / 6 / RANGE_PHRASES).bit_length())
+    shift, low, parts = np.uint64(64 - ranges - RANGE_BITS), np.uint64((1 << RANGE_BITS) - 1), docs.sparkSession.sparkContext.defaultParallelism
+    names = ["part", "low", "n"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found, n = _summed(np.concatenate(held))
             held.clear()
-            for at in range(0, len(found), AT_ONCE):
-                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + AT_ONCE].view(np.int64)), pa.array(n[at : at + AT_ONCE], pa.int64())], ["hash", "n"])
+            part = (found >> np.uint64(RANGE_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            short, n = (found & low).astype("<u4"), n.astype("<u4")
+            ends = list(zip(first.tolist(), [*first[1:].tolist(), len(found)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in (short, n))], names)
 
         for phrases, _ in _each_slice(batches):
-            held += [phrases.hashes(k, phrases.places(k)) for k in range(1, longest + 1)]
+            held += [phrases.hashes(k, phrases.places(k)) >> shift for k in range(1, longest + 1)]
             if sum(map(len, held)) >= HELD:
                 yield from out()
-        if held:
+        if any(map(len, held)):
+            yield from out()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts, size = None, [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate(keys), np.concatenate(counts))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found, n = merged()
+            often = found[n >= fewest].astype(np.int64)
+            if len(often):
+                yield pa.RecordBatch.from_arrays([pa.array(now << RANGE_BITS | often)], ["hash"])
+
+        for batch in batches:
+            for part, short, n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from out()
+                    now, keys, counts, size = part, [], [], 0
+                keys.append(np.frombuffer(short, "<u4"))
+                counts.append(np.frombuffer(n, "<u4").astype(np.int64))
+                size += len(keys[-1])
+                # What is held grows with the different hashes of a range, not with the messages.
+                if size > 2 * HELD and size > 2 * len(keys[0]):
+                    found, n = merged()
+                    keys, counts, size = [found], [n], len(found)
+        if now is not None:
             yield from out()
 
-    return _read(docs).mapInArrow(add, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= fewest).select("hash")
+    sent = _read(docs).mapInArrow(add, "part long, low binary, n binary")
+    sent = sent.repartition(max(parts, 1 << max(0, ranges - 3)), "part").sortWithinPartitions("part")
+    return sent.mapInArrow(total, "hash long"), int(shift)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each is there, or the sums of its counts."""
+    if counts is None:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        return keys[first], np.diff(first, append=len(keys))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 class Counts:
     """Counts of phrases that a task has met: those of known hashes by the hash's number, others by their text."""
 
-    def __init__(self, only: np.ndarray | None) -> None:
-        self.only = only
+    def __init__(self, only: np.ndarray | None, shift: int = 0) -> None:
+        self.only, self.shift = only, np.uint64(shift)
         self.texts: dict[tuple[str, str, int], int] = {}
         size = 0 if only is None else len(only)
         self.count, self.check, self.seen = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, bool)
@@ -140,9 +194,13 @@ class Counts:
                 for at, n in zip(places[order[first]].tolist(), np.diff(first, append=len(order)).tolist(), strict=True):
                     self._by_text(langs[phrases.text[at]], phrases.phrase(at, k), k, n)
             elif len(self.only):
-                at = np.searchsorted(self.only, hashes)
+                short = hashes >> self.shift
+                # In order, as a search then finds what it needs next in the cache.
+                order = np.argsort(short)
+                short, places = short[order], places[order]
+                at = np.searchsorted(self.only, short)
                 at[at == len(self.only)] = 0
-                take = self.only[at] == hashes
+                take = self.only[at] == short
                 self._known(phrases, langs, k, places[take], at[take])
 
     def _known(self, phrases: Phrases, langs: list[str], k: int, places: np.ndarray, at: np.ndarray) -> None:
@@ -187,13 +245,13 @@ class Counts:
         self.met = 0
 
 
-def phrase_rows(docs: DataFrame, longest: int, only: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, k, n): phrases of k words with parts of their counts, those whose hash is in ``only`` (sorted); k = 0 counts all words."""
+def phrase_rows(docs: DataFrame, longest: int, only: np.ndarray | None = None, shift: int = 0) -> DataFrame:
+    """(lang, phrase, k, n): phrases of k words with parts of their counts, those whose hash without its last ``shift`` bits is in ``only`` (sorted); k = 0 counts all words."""
     sent = docs.sparkSession.sparkContext.broadcast(only)
     names = ["lang", "phrase", "k", "n"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(sent.value)
+        counts = Counts(sent.value, shift)
 
         def out() -> Iterator[pa.RecordBatch]:
             found = counts.rows()
@@ -213,9 +271,10 @@ def phrase_rows(docs: DataFrame, longest: int, only: np.ndarray | None = None) -
 def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, k, n) of the phrases of k words that occur ``fewest`` times or more, and of all words (k = 0), as a written table."""
     stage = Staging(docs.sparkSession, "phrases")
-    frequent = stage.put(frequent_hashes(docs, fewest, longest), "hashes")
+    hashes, shift = frequent_hashes(docs, fewest, longest)
+    frequent = stage.put(hashes, "hashes")
     only = np.sort(frequent.toArrow().column(0).to_numpy().view(np.uint64)) if frequent.count() <= BROADCAST_IDS else None
-    counts = phrase_rows(docs, longest, only).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    counts = phrase_rows(docs, longest, only, shift).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
     return stage.put(counts.where((F.col("n") >= fewest) | (F.col("k") == 0)), "counts")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -114,3 +115,25 @@ def test_whole_table_in_sql(spark, sf_dir):
     want = c.execute(ORACLES["op13_phrase_collocations"])
     names = [x[0] for x in want.description]
     assert sorted(tuple(r) for r in QUERIES["op13_phrase_collocations"](spark, sf_dir).select(*names).collect()) == sorted(want.fetchall())
+
+
+def test_hashes_are_sent_packed(spark):
+    """Some 40,000 different phrases are a few rows of the shuffle; the hashes found are those of the frequent phrases."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 120)) + ", the same end" for _ in range(150)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    docs = docs.localCheckpoint()
+    before = shuffled()
+    hashes, shift = collocations.frequent_hashes(docs, 10, 3)
+    found = {r.hash for r in hashes.collect()}
+    assert shuffled() - before < 1000
+    phrases = collocations.Phrases([t.encode() for t in texts], np.full(len(texts), int.from_bytes(hashlib.blake2b(b"en", digest_size=8).digest(), "little"), np.uint64))
+    every = np.concatenate([phrases.hashes(k, phrases.places(k)) for k in (1, 2, 3)]) >> np.uint64(shift)
+    own, n = np.unique(every, return_counts=True)
+    assert found == set(own[n >= 10].tolist()) and len(own) > 30_000
