@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.common import BROADCAST_IDS, Staging, keep_ids, small_batches, spread_join
-from sondage.llm.linking import Distance, link, links_across, matrix, near_in_block
-from sondage.llm.words import Words, mix, slices
+from sondage.llm.linking import Distance, link, links_across
+from sondage.llm.words import mix, slices, span_hashes
 
 #: Lines of fewer characters have two halves as blocks, or a block for each word.
 TINY, SHORT = 20, 64
@@ -42,12 +42,18 @@ BLOCKS = (6, 8, 9, 12, 24)
 BLOCK_BYTES, LEFT_BYTES = 12, 8
 #: Pairs of a block that are compared before what they link is left out of the next ones.
 PAIRS_AT_ONCE = 32
+#: About how many keys a range of keys holds.
+RANGE_KEYS = 1 << 19
+#: Bytes of buckets whose pairs are compared at once.
+TOGETHER = 8 << 20
 #: Least edit similarity, in percent, that the blocks are made for.
 PERCENT = 90
 
 _LANES = np.random.default_rng(20240608).integers(0, 2**63, 3, dtype=np.uint64)
 #: Each byte's bits as the eight bytes of an integer, so that one addition counts eight bits.
 _BITS_AS_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
+#: Binary digits of the counts of votes that are taken for all bits at once.
+_PLANES = 5
 _NORMAL = bytes(c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _NO_ID = -(2**63)
 
@@ -70,42 +76,55 @@ def normal(line: str) -> str:
     return b" ".join(_spaced(line.encode()).split()).decode()
 
 
-def _forms(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """(line number, normal form) of the lines that have one."""
-    for i, line in enumerate(_spaced(text).split(b"\n")):
-        if form := b" ".join(line.split()):
-            yield i, form
-
-
 class Lines:
     """The lines with a normal form of a slice of texts: text, line number, 128-bit hash, and signature.
 
-    A signature holds 64-bit integers: the SimHash over all words, the count of characters, and a key for each block.
+    A signature holds 64-bit integers: the parities of the words by six bits of their hashes, the count of characters, and a key for each block.
     """
 
     def __init__(self, texts: list[bytes]) -> None:
-        found = [(i, k, form) for i, text in enumerate(texts) for k, form in _forms(text)]
-        self.text, self.pos = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        forms = [x[2] for x in found]
+        spaced = [_spaced(x) for x in texts]
+        raw = np.frombuffer(b"\n".join(spaced) + b"\n", np.uint8)
+        ends, space = np.flatnonzero(raw == 10), raw <= 32
+        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        if len(raw) and not space[0]:
+            start = np.append(0, start)
+        at = np.searchsorted(start, ends)
+        filled = np.flatnonzero(np.diff(at, prepend=0))
+        text_ends = np.cumsum([len(x) + 1 for x in spaced]) - 1
+        self.text = np.searchsorted(text_ends, ends[filled])
+        self.pos = filled - np.append(0, np.searchsorted(ends, text_ends) + 1)[self.text]
+        # One space stays before each word but the first of a line, and the ends of the lines that have words.
+        stays = ~space
+        stays[np.delete(start, np.append(0, at)[filled]) - 1] = True
+        stays[ends[filled]] = True
+        raw = raw[stays]
+        forms = raw.tobytes().split(b"\n")[:-1]
         self.digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in forms), "<i8").reshape(-1, 2)
-        self.size = np.array([len(x) if x.isascii() else len(x.decode()) for x in forms], np.int64)
         if forms:
-            self._sign(Words(forms), forms)
+            # Bytes that begin a character, but for the line's end.
+            first = np.cumsum([0] + [len(x) + 1 for x in forms[:-1]])
+            self.size = np.add.reduceat((raw & 0xC0) != 0x80, first, dtype=np.int64) - 1
+            self._sign(raw, forms)
         else:
-            self.sig = pa.array([], pa.binary())
-
-    def _sign(self, words: Words, forms: list[bytes]) -> None:
-        count = np.diff(words.at)
+            self.size, self.sig = np.empty(0, np.int64), pa.array([], pa.binary())
+
+    def _sign(self, raw: np.ndarray, forms: list[bytes]) -> None:
+        end = np.flatnonzero(raw <= 32)
+        start = np.append(0, end[:-1] + 1)
+        hashes, size = span_hashes(raw, start, end)[0], end - start
+        at = np.append(0, np.flatnonzero(raw[end] == 10) + 1)
+        count = np.diff(at)
         line = np.repeat(np.arange(len(count)), count)
-        size = words.end - words.start
-        left_out = self._left_out(words, line, size)
+        left_out = self._left_out(hashes, at[:-1], line, size)
         # Each word votes once a line, or else the shares of long lines would hang on the commonest words.
-        order = np.argsort(line.astype(np.uint64) << np.uint64(40) | words.hash >> np.uint64(24))
-        hashes, line, size = words.hash[order], line[order], size[order]
+        order = np.argsort(line.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
+        hashes, line, size = hashes[order], line[order], size[order]
         fresh = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))
         hashes, line, size = hashes[fresh], line[fresh], size[fresh]
         count = np.bincount(line)
-        owner, keys = [np.arange(len(count))] * 2, [_simhash(hashes, np.cumsum(count) - count, count, _LANES[0]), self.size.astype(np.uint64)]
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), np.cumsum(count) - count)
+        owner, keys = [np.arange(len(count))] * 2, [parity, self.size.astype(np.uint64)]
         for own, found in (self._halves(forms), left_out, *(self._shares(hashes, line, size, k) for k in range(1, len(BLOCKS) + 1))):
             owner.append(own)
             keys.append(found)
@@ -131,12 +150,12 @@ class Lines:
                     keys.append(int.from_bytes(hashlib.blake2b(f"{shorter} {side} {half}".encode(), digest_size=8).digest(), "little"))
         return np.array(owner, np.int64), np.array(keys, np.uint64)
 
-    def _left_out(self, words: Words, line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _left_out(self, hashes: np.ndarray, at: np.ndarray, line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The keys of short lines: all words, and all but one."""
         short = self._of_class(0)
-        vote = mix(words.hash ^ _LANES[1])
-        total = np.add.reduceat(vote, words.at[:-1])
-        length = np.add.reduceat(size, words.at[:-1])
+        vote = mix(hashes ^ _LANES[1])
+        total = np.add.reduceat(vote, at)
+        length = np.add.reduceat(size, at)
         take = np.flatnonzero(short[line] & (length[line] - size >= LEFT_BYTES))
         owner = np.concatenate([np.flatnonzero(short), line[take]])
         keys = mix(np.concatenate([total[short], total[line[take]] - vote[take]]) ^ _LANES[2])
@@ -152,30 +171,65 @@ class Lines:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         take = np.flatnonzero(own[line])
         at = (np.cumsum(own) - 1)[line[take]] * blocks + ((hashes[take] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(at)
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        count = np.diff(first, append=len(order))
+        # The words of a line are in order of their hashes, so its shares are too.
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        count = np.diff(first, append=len(at))
         share, length = np.zeros(own.sum() * blocks, np.uint64), np.zeros(own.sum() * blocks, np.int64)
-        share[at[order][first]] = _simhash(hashes[take[order]], first, count, _LANES[1])
-        length[at[order][first]] = np.add.reduceat(size[take[order]], first)
+        share[at[first]] = _simhash(hashes[take], first, count, _LANES[1])
+        length[at[first]] = np.add.reduceat(size[take], first)
         share, length = share.reshape(-1, blocks), length.reshape(-1, blocks)
-        keys, held = mix(share ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(64 * k))), length.copy()
+        keys = mix(share ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(64 * k)))
+        sparse = np.flatnonzero((length < BLOCK_BYTES).any(axis=1))
+        share, length, joined = share[sparse], length[sparse], keys[sparse]
+        held = length.copy()
         for step in range(1, blocks):
             few = held < BLOCK_BYTES
             if not few.any():
                 break
-            keys = np.where(few, mix(keys + np.roll(share, -step, axis=1) * _LANES[2]), keys)
+            joined = np.where(few, mix(joined + np.roll(share, -step, axis=1) * _LANES[2]), joined)
             held += np.where(few, np.roll(length, -step, axis=1), 0)
+        keys[sparse] = joined
         return np.repeat(np.flatnonzero(own), blocks), keys.ravel()
 
 
 def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, lane: np.uint64) -> np.ndarray:
     """64 bits by majority of the words ``first[i]`` to ``first[i] + count[i]``."""
-    raw = mix(hashes ^ lane).view(np.uint8).reshape(-1, 8)
+    votes, out = mix(hashes ^ lane), np.empty(len(first), np.uint64)
+    few = count < 1 << _PLANES
+    out[few] = _majority(votes, first[few], count[few])
+    if not few.all():
+        out[~few] = _majority_of_many(votes.view(np.uint8).reshape(-1, 8), first[~few], count[~few])
+    return out
+
+
+def _majority(votes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the votes have, where they are less than 2 ** ``_PLANES``: all bits of a vote are counted at once, in binary numbers whose digits are the bits of ``planes``."""
+    order = np.argsort(-count.astype(np.int8), kind="stable")
+    first, count = first[order], count[order]
+    planes = np.zeros((_PLANES, len(first)), np.uint64)
+    for r, k in enumerate(np.searchsorted(-count, -np.arange(int(count[0]) if len(count) else 0), "left").tolist()):
+        carry = votes[first[:k] + r]
+        for plane in planes[: (r + 1).bit_length(), :k]:
+            plane ^= carry
+            carry &= ~plane
+    # Less than half: where count // 2 + 1 can't be taken away without a borrow.
+    borrow = np.zeros(len(first), np.uint64)
+    for i, plane in enumerate(planes):
+        wanted = -((count // 2 + 1) >> i & 1).astype(np.uint64)
+        borrow = (~plane & wanted) | (~(plane ^ wanted) & borrow)
+    out = np.empty(len(first), np.uint64)
+    out[order] = ~borrow
+    return out
+
+
+def _majority_of_many(raw: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     # A byte counts up to 255 words: longer lines are added up in parts.
     parts = -(-count // 255)
     last = np.cumsum(parts)
+    size = np.minimum(255, np.repeat(count, parts) - 255 * (np.arange(last[-1]) - np.repeat(last - parts, parts)))
     start = np.repeat(first, parts) + 255 * (np.arange(last[-1]) - np.repeat(last - parts, parts))
+    raw = raw[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    start = np.cumsum(size) - size
     out = np.empty((len(first), 64), bool)
     for k in range(8):
         ones = np.add.reduceat(_BITS_AS_BYTES[raw[:, k]], start).view(np.uint8).reshape(-1, 8)
@@ -186,7 +240,7 @@ def _simhash(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, lane: np.
 
 
 def distance(percent: int) -> Distance:
-    """Bits that differ of the SimHash over all words; over 64 for lines whose lengths are too far apart for the edit similarity."""
+    """Bits that differ of the parities of the words; over 64 for lines whose lengths are too far apart for the edit similarity."""
 
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.where(_same_size(a[..., 1], b[..., 1], percent), 0, 65)
@@ -282,15 +336,84 @@ def block_keys(signature: bytes) -> np.ndarray:
     return np.frombuffer(signature, "<u8")[2:]
 
 
-def _keys(signatures: DataFrame) -> DataFrame:
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys_and_ids(batch: pa.RecordBatch) -> np.ndarray:
+    """A row (key, id) for each block of each line of ``batch`` (id, sig)."""
+    sig = batch.column("sig").to_pylist()
+    flat, count = np.frombuffer(b"".join(sig), "<u8"), np.array([len(v) // 8 for v in sig])
+    stays, first = np.ones(len(flat), bool), np.cumsum(count) - count
+    stays[first] = stays[first + 1] = False
+    return np.column_stack([flat[stays], np.repeat(batch.column("id").to_numpy(), count - 2).view("<u8")])
+
+
+class Shared:
+    """The pairs (key, id) of a range of keys that have several ids, each as soon as it is known, so that no more than one pair a key and ``most`` others are held."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.held: list[np.ndarray] = []
+        self.count, self.known = 0, np.empty(0, np.uint64)
+
+    def add(self, pairs: np.ndarray) -> np.ndarray | None:
+        self.held.append(pairs)
+        self.count += len(pairs)
+        return self.found() if self.count > self.most else None
+
+    def found(self) -> np.ndarray | None:
+        """The pairs of such keys among those held, without repeats; the others stay."""
+        if not self.held:
+            return None
+        pairs = np.concatenate(self.held)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        same = pairs[1:, 0] == pairs[:-1, 0]
+        again = np.append(False, same) | np.append(same, False)
+        several, single = pairs[again], pairs[~again]
+        several = several[np.lexsort((several[:, 1], several[:, 0]))]
+        several = several[np.append(True, (several[1:] != several[:-1]).any(axis=1))[: len(several)]]
+        same = several[1:, 0] == several[:-1, 0]
+        again = (np.append(False, same) | np.append(same, False))[: len(several)]
+        out, single = several[again], np.concatenate([single, several[~again]])
+        if len(self.known):
+            met = np.isin(single[:, 0], self.known)
+            out, single = np.concatenate([out, single[met]]), single[~met]
+        self.known = np.union1d(self.known, out[:, 0])
+        self.held, self.count = [single], 0
+        return out
+
+
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """(key, id), each once, of the keys that different lines have, from ``lines`` (id, sig), a written table that may hold a line several times.
+
+    Tasks send packed pairs by range of keys, as nearly all keys are of one line only.
+    """
+    bits = min(15, (12 * lines.count() // RANGE_KEYS).bit_length())
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                sig = x.column("sig").to_pylist()
-                keys = np.frombuffer(b"".join(v[16:] for v in sig), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(x.column("id").to_numpy(), [len(v) // 8 - 2 for v in sig]))], ["key", "id"])
+                pairs = _keys_and_ids(x)
+                part = (pairs[:, 0] >> np.uint64(48)).astype(np.uint16) >> np.uint16(16 - bits) if bits else np.zeros(len(pairs), np.uint16)
+                pairs, count = pairs[np.argsort(part, kind="stable")], np.bincount(part, minlength=1 << bits)
+                ends = np.concatenate(([0], 16 * np.cumsum(count))).astype(np.int32)
+                sent = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(pairs.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count), dtype=np.int32)), sent], ["part", "pairs"]).filter(pa.array(count > 0))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            if found is not None and len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)], schema=schema)
+
+        now, held = -1, Shared(2 * RANGE_KEYS)
+        for x in batches:
+            for part, sent in zip(x.column("part").to_pylist(), x.column("pairs"), strict=True):
+                if part != now:
+                    yield from rows(held.found())
+                    now, held = part, Shared(2 * RANGE_KEYS)
+                yield from rows(held.add(np.frombuffer(sent.as_buffer(), "<u8").reshape(-1, 2)))
+        yield from rows(held.found())
 
-    return signatures.mapInArrow(spread, "key long, id long")
+    sent = lines.select("id", "sig").mapInArrow(send, "part int, pairs binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, id long").distinct()
 
 
 def similar(a: bytes, b: bytes, percent: int) -> bool:
@@ -319,8 +442,10 @@ class Forms:
 
     #: Pairs that are compared at once.
     AT_ONCE = 4096
-    #: Integers that the masks of the pairs compared at once may take.
-    MASKS = 1 << 22
+    #: Integers that the masks of the pairs measured at once may take, all of them and those of 64 steps.
+    MASKS, STEP_MASKS = 1 << 21, 1 << 17
+    #: Bands of up to so many machine words are measured for many pairs at once.
+    BANDS = (1, 3, 8, 16, 32)
 
     def __init__(self, held: list[bytes], percent: int) -> None:
         self.percent = percent
@@ -352,20 +477,20 @@ class Forms:
         out = (np.abs(self.size[a] - self.size[b]) <= most) & (np.abs(self.counts[a] - self.counts[b]).sum(axis=1) <= 2 * most)
         left = np.flatnonzero(out)
         head, tail = self._same_ends(a[left], b[left])
-        start_a, start_b = self.start[a[left]] + head, self.start[b[left]] + head
+        most, start_a, start_b = most[left], self.start[a[left]] + head, self.start[b[left]] + head
         size_a, size_b = self.size[a[left]] - head - tail, self.size[b[left]] - head - tail
         # Where the longer middle is no more than the edits allowed, or changes of whole words are, the pair is near; the others' middles are measured.
-        open_ = np.flatnonzero(np.maximum(size_a, size_b) > most[left])
-        open_ = open_[[most_edits(self._words(a[i]), self._words(b[i])) > most[i] for i in left[open_].tolist()]] if len(open_) else open_
-        for own in self._groups(size_a[open_], size_b[open_]):
+        open_ = np.flatnonzero(np.maximum(size_a, size_b) > most)
+        open_ = open_[[most_edits(self._words(a[left[i]]), self._words(b[left[i]])) > most[i] for i in open_.tolist()]] if len(open_) else open_
+        for words, own in self._groups(most[open_], size_a[open_], size_b[open_]):
             own = open_[own]
-            # A step over all pairs costs as much as some 25 steps of one pair for each word of the band.
-            if len(own) < 25 * (2 + int(most[left[own]].max()) // 32):
+            # A step over all pairs costs as much as some 15 steps of one pair.
+            if not words or len(own) < 15:
                 for i in own.tolist():
-                    a, b = (self.codes[start[i] : start[i] + size[i]].tolist() for start, size in ((start_a, size_a), (start_b, size_b)))
-                    out[left[i]] = _banded(a, b, int(most[left[i]])) <= most[left[i]]
+                    x, y = (self.codes[start[i] : start[i] + size[i]].tolist() for start, size in ((start_a, size_a), (start_b, size_b)))
+                    out[left[i]] = _banded(x, y, int(most[i])) <= most[i]
                 continue
-            out[left[own]] = self._distances(start_a[own], size_a[own], start_b[own], size_b[own], int(most[left[own]].max())) <= most[left[own]]
+            out[left[own]] = self._distances(start_a[own], size_a[own], start_b[own], size_b[own], most[own], words) <= most[own]
         return out
 
     def _same_ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,59 +510,85 @@ class Forms:
             head[i], tail[i] = h, t
         return head, tail
 
-    def _groups(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
-        """Pairs of as many machine words each, in order of falling length of ``b``, as many at once as their masks have room for."""
-        words = (a + 63) // 64
-        for n in np.unique(words[words > 0]).tolist():
-            own = np.flatnonzero(words == n)
+    def _groups(self, most: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(machine words of the band, pairs) in order of falling length of ``b``, as many at once as their masks have room for; 0 for wider bands."""
+        band = np.searchsorted(32 * np.array(self.BANDS) - 1, most)
+        for k in np.unique(band).tolist():
+            own = np.flatnonzero(band == k)
             own = own[np.argsort(-b[own], kind="stable")]
-            room = max(1, self.MASKS // (n * self.symbols))
+            words = self.BANDS[k] if k < len(self.BANDS) else 0
+            planes = int(np.maximum(a[own], b[own]).max()) // 64 + words + 2
+            room = max(15, min(self.MASKS // planes, self.STEP_MASKS) // self.symbols)
             for at in range(0, len(own), room):
-                yield own[at : at + room]
+                yield words, own[at : at + room]
 
-    def _distances(self, start_a: np.ndarray, size_a: np.ndarray, start_b: np.ndarray, size_b: np.ndarray, most: int) -> np.ndarray:
+    def _distances(self, start_a: np.ndarray, size_a: np.ndarray, start_b: np.ndarray, size_b: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
         """Levenshtein distances, right where they are at most ``most`` and else greater; longest ``b`` first.
 
-        The table's columns are bits of machine words, one of ``a`` for each 64 letters; a step takes a letter of every ``b``, and works out the words
-        that are within ``most`` of the diagonal.
+        As in ``_banded`` the cells next to the diagonal are bits, here of ``words`` machine words a pair, and a step takes a letter of every ``b``. The distance
+        is followed along the diagonal that ends in the last cell, where it never falls, so that pairs beyond ``most`` are dropped on the way.
         """
-        one, top, words = np.uint64(1), np.uint64(63), int(size_a.max() + 63) // 64
-        owner = np.repeat(np.arange(len(size_a)), size_a)
+        one, n, half = np.uint64(1), len(size_a), 32 * words - 1
+        planes = max(half + int(size_a.max()), int(size_b[0])) // 64 + words + 2
+        owner = np.repeat(np.arange(n), size_a)
         pos = np.arange(len(owner)) - np.repeat(np.cumsum(size_a) - size_a, size_a)
-        masks = np.zeros((words, len(size_a), self.symbols), np.uint64)
-        np.add.at(masks, (pos >> 6, owner, self.codes[start_a[owner] + pos]), one << (pos & 63).astype(np.uint64))
-        last = ((size_a - 1) & 63).astype(np.uint64)
-        up, down = np.full((words, len(size_a)), ~np.uint64(0)), np.zeros((words, len(size_a)), np.uint64)
-        bottom = np.minimum(64 * np.arange(1, words + 1)[:, None], size_a[None, :])
-        entered = min(words, most // 64 + 1)
-        rows = np.arange(len(size_a))
-        for j, k in enumerate(np.searchsorted(-size_b, -np.arange(int(size_b[0])), "left").tolist()):
-            letter = self.codes[start_b[:k] + j]
-            while entered < words and 64 * entered <= j + most:
-                # All that is below the band counts up by one a letter.
-                bottom[entered] = bottom[entered - 1] + np.minimum(64, size_a - 64 * entered)
-                entered += 1
-            plus, minus = np.full(k, one), np.zeros(k, np.uint64)
-            for w in range(max(0, (j - most) // 64), entered):
-                eq, p, m = masks[w, rows[:k], letter], up[w, :k], down[w, :k]
-                vertical = eq | m
-                eq |= minus
-                horizontal = (((eq & p) + p) ^ p) | eq
-                more, less = m | ~(horizontal | p), p & horizontal
-                at = last[:k] if w == words - 1 else top
-                carry = (more >> at) & one, (less >> at) & one
-                bottom[w, :k] += carry[0].astype(np.int64) - carry[1].astype(np.int64)
-                more, less = (more << one) | plus, (less << one) | minus
-                plus, minus = carry
-                up[w, :k], down[w, :k] = less | ~(vertical | more), more & vertical
-        return bottom[-1]
+        at = owner * self.symbols + self.codes[start_a[owner] + pos]
+        pos += half
+        masks = np.zeros((planes, n * self.symbols), np.uint64)
+        np.add.at(masks.reshape(-1), (pos >> 6) * masks.shape[1] + at, one << (pos & 63).astype(np.uint64))
+        up, down = np.zeros((words, n), np.uint64), np.zeros((words, n), np.uint64)
+        up[half >> 6] = ~np.uint64(0) << np.uint64(half & 63)
+        up[(half >> 6) + 1 :] = ~np.uint64(0)
+        last = size_a - size_b + half
+        word, bit = last >> 6, (last & 63).astype(np.uint64)
+        out, ids, row = most + 1, np.arange(n), np.arange(n) * self.symbols
+        score, k = np.maximum(size_a - size_b, 0), n
+        for j in range(int(size_b[0])):
+            while k and size_b[k - 1] <= j:
+                k -= 1
+            if j and j % 64 == 0:
+                out[ids[k:]] = score[k:]
+                alive = np.flatnonzero(score[:k] <= most[:k])
+                ids, row, start_b, size_b, most, word, bit, score = (x[alive] for x in (ids, row, start_b, size_b, most, word, bit, score))
+                up, down, k = up[:, alive], down[:, alive], len(alive)
+            if not k:
+                break
+            found = masks[j >> 6 : (j >> 6) + words + 1].take(row[:k] + self.codes[start_b[:k] + j], axis=1)
+            shift = np.uint64(j & 63)
+            eq = found[:-1] >> shift | found[1:] << (np.uint64(64) - shift) if shift else found[:-1]
+            p, m = up[:, :k], down[:, :k]
+            total = eq & p
+            total += p
+            if words > 1:
+                over = total < p
+                carry = over[0]
+                for w in range(1, words):
+                    total[w] += carry
+                    carry = over[w] | (carry & (total[w] == 0))
+            total ^= p
+            total |= eq
+            total |= m
+            score[:k] += ~((total[0] if words == 1 else total[word[:k], np.arange(k)]) >> bit[:k]).astype(np.int64) & 1
+            more = total | p
+            np.invert(more, out=more)
+            more |= m
+            less = total & p
+            moved = total >> one
+            if words > 1:
+                moved[:-1] |= total[1:] << np.uint64(63)
+            np.bitwise_and(moved, more, out=m)
+            moved |= more
+            np.invert(moved, out=moved)
+            np.bitwise_or(less, moved, out=p)
+        out[ids] = score
+        return out
 
 
 class _Exact:
     """Checks on normal forms, which are worked out anew from the texts that hold the lines in question."""
 
-    def __init__(self, docs: DataFrame, lines: DataFrame, stage: Staging, percent: int) -> None:
-        self.docs, self.lines, self.stage, self.percent = _documents(docs), lines, stage, percent
+    def __init__(self, docs: DataFrame, rows: DataFrame, stage: Staging, percent: int) -> None:
+        self.docs, self.rows, self.stage, self.percent = _documents(docs), rows, stage, percent
 
     def forms(self, ids: DataFrame) -> DataFrame:
         """(id, held) of the lines: the normal form."""
@@ -452,7 +603,8 @@ class _Exact:
                         held.append(normal(split[w["pos"]]).encode())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["id", "held"])
 
-        wanted = keep_ids(self.lines, ids, "id").groupBy("first.doc", "first.mark").agg(F.collect_list(F.struct("id", F.col("first.pos").alias("pos"))).alias("wanted"))
+        places = keep_ids(self.rows.select("id", "doc", "mark", "pos"), ids, "id").dropDuplicates(["id"])
+        wanted = places.groupBy("doc", "mark").agg(F.collect_list(F.struct("id", "pos")).alias("wanted"))
         wanted = self.stage.put(wanted, "wanted")
         few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_IDS
         found = self.docs.join(F.broadcast(wanted) if few else wanted, ["doc", "mark"])
@@ -478,23 +630,31 @@ class _Exact:
         percent = self.percent
 
         def nearby(x: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-            sig = x.column("sig").to_pylist()
-            size, this = np.array([int.from_bytes(v[8:16], "little") for v in sig]), np.uint64(x.column("key")[0].as_py() & 2**64 - 1)
-            # The keys before this one, of all rows on end: a pair belongs to the first key that it shares.
-            before = [k[k < this] for k in map(block_keys, sig)]
-            owner, flat = np.repeat(np.arange(len(sig)), [len(k) for k in before]), np.concatenate(before)
-
-            def near(at: int, others: np.ndarray) -> np.ndarray:
-                fits = _same_size(size[at], size[others], percent)
-                if len(before[at]) and fits.any():
-                    met = np.zeros(len(sig), bool)
-                    met[owner[np.isin(flat, before[at])]] = True
-                    fits &= ~met[others]
-                return fits
-
-            return near_in_block(x, near)
-
-        return links_across(rows, signatures, self.forms, nearby, lambda held: Forms([x.to_pybytes() for x in held], percent).near, self.stage, PAIRS_AT_ONCE)
+            sig, group, own = x.column("sig").to_pylist(), x.column("component").to_numpy(), x.column("own").to_numpy()
+            i, j, n = x.column("i")[0].as_py(), x.column("j")[0].as_py(), x.num_rows
+            flat, count = np.frombuffer(b"".join(sig), "<u8"), np.array([len(v) // 8 for v in sig])
+            first = np.cumsum(count) - count
+            size = flat[first + 1]
+            fits = (group[:, None] != group) & _same_size(size[:, None], size, percent)
+            fits = np.triu(fits, 1) if i == j else fits & (own == i)[:, None] & (own == j)
+            if not fits.any():
+                return
+            # The keys before this one: a pair belongs to the first key that it shares.
+            is_key = np.ones(len(flat), bool)
+            is_key[first] = is_key[first + 1] = False
+            before = np.flatnonzero(is_key & (flat < np.uint64(x.column("key")[0].as_py() & 2**64 - 1)))
+            owner, keys = np.repeat(np.arange(n), count)[before], flat[before]
+            order = np.argsort(keys, kind="stable")
+            owner, keys = owner[order], keys[order]
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if hi - lo > 1:
+                    met = owner[lo:hi]
+                    fits[met[:, None], met] = False
+            for at in np.flatnonzero(fits.any(axis=1)).tolist():
+                yield at, np.flatnonzero(fits[at])
+
+        return links_across(rows, signatures, self.forms, nearby, lambda held: Forms([x.to_pybytes() for x in held], percent).near, self.stage, PAIRS_AT_ONCE, TOGETHER)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -504,17 +664,17 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stage = Staging(docs.sparkSession, "lines")
     small_batches(docs.sparkSession)
     rows = stage.put(occurrences(docs), "occurrences")
-    lines = rows.groupBy("id", "check").agg(F.min(F.struct("doc", "mark", "pos")).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig"))
-    lines = stage.put(lines, "distinct")
-    signatures = lines.select("id", "sig")
-    exact = _Exact(docs, lines, stage, percent)
-    heads = lines.select("id", F.substring("sig", 1, 16).alias("sig"))
-    found, _ = link(_keys(signatures), heads, distance(percent), "<u8", 64, exact.verify, lambda mixed: exact.across(mixed, signatures), stage)
-    grouped = lines.select("id", "check", "first", "n").join(found, "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
-    grouped = stage.put(grouped, "grouped")
-    firsts = stage.put(grouped.groupBy("component").agg(F.min("first").alias("stays")), "firsts")
-    grouped = stage.put(spread_join(grouped, firsts, ["component"]).select("id", "check", "stays"), "stays")
-    again = spread_join(rows.select("doc", "mark", "pos", "id", "check"), grouped, ["id", "check"]).where(F.struct("doc", "mark", "pos") != F.col("stays"))
+    keys = stage.put(shared_keys(rows), "keys")
+    signatures = stage.put(keep_ids(rows.select("id", "sig"), keys.select("id").distinct(), "id").dropDuplicates(["id"]), "signatures")
+    exact = _Exact(docs, rows, stage, percent)
+    heads = signatures.select("id", F.substring("sig", 1, 16).alias("sig"))
+    found, _ = link(keys, heads, distance(percent), "<u8", 64, exact.verify, lambda mixed: exact.across(mixed, signatures), stage)
+    places = rows.select("doc", "mark", "pos", "id", "check")
+    repeated = stage.put(places.groupBy("id", "check").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    grouped = spread_join(spread_join(places, repeated, ["id", "check"], "left"), found, ["id"], "left").where("n > 1 or component is not null")
+    grouped = stage.put(grouped.select("doc", "mark", "pos", F.coalesce("component", "id").alias("component")), "grouped")
+    firsts = stage.put(grouped.groupBy("component").agg(F.min(F.struct("doc", "mark", "pos")).alias("stays")), "firsts")
+    again = spread_join(grouped, firsts, ["component"]).where(F.struct("doc", "mark", "pos") != F.col("stays"))
     return stage.put(again.select("doc", "mark", "pos").distinct().groupBy("doc", "mark").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "gone")
 
 

@@ -16,7 +16,7 @@ one component. There is no cap on buckets, partners or candidates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,27 +92,37 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 def each_block_pair(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``work`` on all rows of each (key, i, j). A task holds one such group at a time, besides a batch."""
+    return all_block_pairs(rows, lambda groups: map(work, groups), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def all_block_pairs(rows: DataFrame, work: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch | None]], schema: str) -> DataFrame:
+    """``work`` on the groups of a task, each with all rows of its (key, i, j)."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
 
         def cuts(x: pa.Table) -> list[int]:
             key, i, j = (x.column(c).to_numpy() for c in ("key", "i", "j"))
             return (np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
 
-        def out(x: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+        def parts(x: pa.Table, at: list[int]) -> Iterator[pa.Table]:
             for lo, hi in zip(at, at[1:], strict=False):
-                if hi - lo > 1 and (got := work(x.slice(lo, hi - lo).combine_chunks())) is not None and got.num_rows:
-                    yield got
+                if hi - lo > 1:
+                    yield x.slice(lo, hi - lo).combine_chunks()
 
         for batch in batches:
             held.append(batch)
             x = pa.Table.from_batches(held)
             if at := cuts(x):
-                yield from out(x, [0, *at])
+                yield from parts(x, [0, *at])
                 held = x.slice(at[-1]).combine_chunks().to_batches()
         if held and (x := pa.Table.from_batches(held)).num_rows:
-            yield from out(x, [0, *cuts(x), x.num_rows])
+            yield from parts(x, [0, *cuts(x), x.num_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in work(groups(batches)):
+            if got is not None and got.num_rows:
+                yield got
 
     return rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
@@ -129,11 +139,16 @@ def near_in_block(x: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) ->
             yield at, others
 
 
-def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]], alike: Callable[[list[pa.Buffer]], Callable[[np.ndarray, np.ndarray], np.ndarray]], stage: Staging, at_once: int = AT_ONCE) -> DataFrame:
+Nearby = Callable[[pa.Table], Iterator[tuple[int, np.ndarray]]]
+Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame], DataFrame], nearby: Nearby, alike: Callable[[list[pa.Buffer]], Test], stage: Staging, at_once: int = AT_ONCE, together: int = 0) -> DataFrame:
     """The links (a, b) of different components inside the mixed buckets of ``rows`` (key, n, id, component).
 
     First the members with a near partner are found by their signatures, ``light`` (id, sig) and ``nearby``; then what ``heavy`` gives for
     their ids, (id, held), is compared by ``alike``: of all that a block holds it makes a test of pairs, many at a time. What gets linked in a block needs no more links there, so links are few.
+    With ``together``, blocks that hold so many bytes have their next pairs compared at once, for tests that cost less a pair when they have many.
     """
 
     def candidates(x: pa.Table) -> pa.RecordBatch | None:
@@ -143,41 +158,98 @@ def links_across(rows: DataFrame, light: DataFrame, heavy: Callable[[DataFrame],
             wanted[others] = True
         return x.select(["key", "i", "j", "own", "id", "component", "sig"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else None
 
-    def links(x: pa.Table) -> pa.RecordBatch | None:
-        ids, held = x.column("id").to_numpy(), [v.as_buffer() for v in x.column("held")]
-        names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
-        root = np.arange(len(names))
-        found, waiting, count = [], [], 0
-        test = alike(held)
-
-        def settle() -> None:
-            if not waiting:
-                return
-            a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            waiting.clear()
-            apart = root[group[a]] != root[group[b]]
-            a, b = a[apart], b[apart]
-            near = test(a, b)
-            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                if root[group[x]] != root[group[y]]:
-                    root[root == root[group[y]]] = root[group[x]]
-                    found.append((ids[x], ids[y]))
-
-        for at, others in nearby(x):
-            waiting.append((np.full(len(others), at), others))
-            count += len(others)
-            if count >= at_once:
-                settle()
-                count = 0
-        settle()
-        if not found:
-            return None
-        a, b = np.array(found).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
     spread = in_blocks(rows.join(light, "id"))
     found = stage.put(each_block_pair(spread, candidates, "key long, i int, j int, own int, id long, component long, sig binary"), "near")
-    return each_block_pair(found.join(heavy(found.select("id").distinct()), "id"), links, "a long, b long")
+    held = found.join(heavy(found.select("id").distinct()), "id")
+    if together:
+        return all_block_pairs(held, lambda blocks: linked(blocks, nearby, alike, at_once, together), "a long, b long")
+    return each_block_pair(held, lambda x: _linked_alone(x, nearby, alike, at_once), "a long, b long")
+
+
+def _linked_alone(x: pa.Table, nearby: Nearby, alike: Callable[[list[pa.Buffer]], Test], at_once: int) -> pa.RecordBatch | None:
+    """The links inside a block, by one test of all that it holds."""
+    work, test = _steps(x, nearby, at_once), alike([v.as_buffer() for v in x.column("held")])
+    try:
+        pairs = next(work)
+        while True:
+            pairs = work.send(test(*pairs))
+    except StopIteration as end:
+        return end.value
+
+
+def linked(blocks: Iterator[pa.Table], nearby: Nearby, alike: Callable[[list[pa.Buffer]], Test], at_once: int, together: int) -> Iterator[pa.RecordBatch | None]:
+    """The links inside each block (id, component, held), by tests of the next pairs of several blocks. A block is begun while those under way hold less than ``together`` bytes."""
+    # Of each block under way: its steps, what its rows hold, its bytes, and the pairs that wait.
+    running: list[tuple] = []
+    size, ended = 0, False
+    while running or not ended:
+        while not ended and (not running or size < together):
+            if (x := next(blocks, None)) is None:
+                ended = True
+                break
+            work, held = _steps(x, nearby, at_once), [v.as_buffer() for v in x.column("held")]
+            try:
+                running.append((work, held, x.nbytes, next(work)))
+                size += x.nbytes
+            except StopIteration as end:
+                yield end.value
+        if not running:
+            continue
+        left = []
+        for (work, held, own, _), near in zip(running, _tested(alike, [(held, *pairs) for _, held, _, pairs in running]), strict=True):
+            try:
+                left.append((work, held, own, work.send(near)))
+            except StopIteration as end:
+                size -= own
+                yield end.value
+        running = left
+
+
+def _steps(x: pa.Table, nearby: Nearby, at_once: int) -> Generator[tuple[np.ndarray, np.ndarray], np.ndarray, pa.RecordBatch | None]:
+    """Gives pairs of rows of a block and takes which of them are links; ends with the links found."""
+    ids = x.column("id").to_numpy()
+    names, group = np.unique(x.column("component").to_numpy(), return_inverse=True)
+    root = np.arange(len(names))
+    found, waiting, count = [], [], 0
+
+    def settle() -> Generator[tuple[np.ndarray, np.ndarray], np.ndarray, None]:
+        if not waiting:
+            return
+        a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        apart = root[group[a]] != root[group[b]]
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        near = yield a, b
+        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            if root[group[x]] != root[group[y]]:
+                root[root == root[group[y]]] = root[group[x]]
+                found.append((ids[x], ids[y]))
+
+    for at, others in nearby(x):
+        waiting.append((np.full(len(others), at), others))
+        count += len(others)
+        if count >= at_once:
+            yield from settle()
+            count = 0
+    yield from settle()
+    if not found:
+        return None
+    a, b = np.array(found).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _tested(alike: Callable[[list[pa.Buffer]], Test], asked: list[tuple[list[pa.Buffer], np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Which pairs are links, for each (held, a, b), by one test of what all these pairs hold."""
+    used, left, right = [], [], []
+    for held, a, b in asked:
+        rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left.append(len(used) + place[: len(a)])
+        right.append(len(used) + place[len(a) :])
+        used += [held[i] for i in rows.tolist()]
+    near = alike(used)(np.concatenate(left), np.concatenate(right))
+    return iter(np.split(near, np.cumsum([len(x) for x in left])[:-1]))
 
 
 def link(keys: DataFrame, signatures: DataFrame, distance: Distance, dtype: type, most: int, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], stage: Staging) -> tuple[DataFrame, DataFrame]:
