@@ -6,9 +6,11 @@ first k words, its score is floor(1000000 a a / (l r)), with a, l and r the coun
 score counts, of several the shortest first part. A candidate goes if a longer one holds its words, in order and without a gap, and
 occurs at least half as often. Of each language the ``most`` best stay.
 
-Counting goes in two passes, as most phrases are rare and their texts would be most of what is shuffled: the first sums hashes of phrases, cut to 32 bits and more the more text there is,
-the second counts the phrases themselves whose hash is frequent. A shared hash lets a rare phrase into the second pass, where it is counted as it is, so all counts are
-exact. In both a task adds up what it has read before it hands on rows. If too many hashes are frequent to be sent to all tasks, all phrases are counted by their texts. A longer candidate
+Counting goes in two passes, as most phrases are rare and their texts would be most of what is shuffled. The first counts words by their texts. A frequent phrase has frequent words only, so these are numbered and sent
+to all tasks, and the second pass counts phrases as the numbers of their words in one integer: exact, and a text is made for frequent phrases only. In both a task adds up what it has read before it hands on rows.
+Languages whose frequent words are too many to be sent together are counted in passes of their own. Where the words of a single language are too many, or the numbers of a phrase exceed an integer, its phrases are found by
+hash: the first pass sums hashes, cut to 32 bits and more the more text there is, the second counts the phrases themselves whose hash is frequent. A shared hash lets a rare phrase into the second pass, where it is counted as it is, so these
+counts are exact too. If too many hashes are frequent to be sent to all tasks, all phrases are counted by their texts. A longer candidate
 that holds a shorter one is found by one-word extensions: what lies between the two occurs at least as often as the longer.
 
 Products are decimals of 38 digits: exact for counts below ten to the power of 14. Ranks are taken in parts of a language first, so that no task sorts all candidates of a language.
@@ -20,11 +22,13 @@ by phrase in byte order; extra columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import islice
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ PARTS = 64
 HELD = 1_000_000
 #: Bits of a hash inside a range of hashes, and about how many phrases a range holds.
 RANGE_BITS, RANGE_PHRASES = 32, 1_000_000
+#: Bits of an integer that holds the numbers of a phrase's words.
+KEY_BITS = 63
 #: A task hands on what it holds after so many phrases, or so many different ones; rows that are handed on at once.
 MOST_MET, MOST_NAMES, AT_ONCE = 3_000_000, 250_000, 65_536
 
@@ -49,6 +55,8 @@ _COUNT = "decimal(14,0)"
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
 _KIND[[*b".,;:!?", *range(10, 14)]] = 2
+#: Small letters, and a full stop between pieces.
+_PLAIN = bytes(46 if _KIND[x] == 2 else x for x in bytes(range(256)).lower())
 
 
 class Phrases:
@@ -94,14 +102,17 @@ def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, li
             yield Phrases(held, np.array([known[x] for x in own], np.uint64)), own
 
 
-def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> tuple[DataFrame, int]:
-    """(hash) of the phrases that occur ``fewest`` times or more, and how many of the last bits of hashes are left out; rare phrases that share a hash may be among them.
+def _ranges(phrases: float) -> int:
+    """Bits that tell ranges of about ``RANGE_PHRASES`` phrases each."""
+    return int(phrases / RANGE_PHRASES).bit_length()
+
+
+def _counted(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], bits: int, ranges: int, fewest: int, give: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``give`` makes of the keys, of ``bits`` bits spread evenly, that are met ``fewest`` times or more, and of their counts; ``keys`` yields those of each slice of the texts.
 
-    Tasks send packed counts by range of hashes: a row holds those of a range, of which only the last ``RANGE_BITS`` bits differ.
+    Tasks send packed counts by range of keys: a row holds those of a range, as differences in order.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    ranges = max(0, int(size * longest / 6 / RANGE_PHRASES).bit_length())
-    shift, low, parts = np.uint64(64 - ranges - RANGE_BITS), np.uint64((1 << RANGE_BITS) - 1), docs.sparkSession.sparkContext.defaultParallelism
+    below, parts = np.uint64(bits - ranges), docs.sparkSession.sparkContext.defaultParallelism
     names = ["part", "low", "n"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,50 +121,77 @@ def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> tuple[DataFra
         def out() -> Iterator[pa.RecordBatch]:
             found, n = _summed(np.concatenate(held))
             held.clear()
-            part = (found >> np.uint64(RANGE_BITS)).astype(np.int64)
+            part = (found >> below).astype(np.int64)
             first = np.flatnonzero(np.diff(part, prepend=-1))
-            short, n = (found & low).astype("<u4"), n.astype("<u4")
+            low, n = np.diff(found, prepend=np.uint64(0)), n.astype("<u4")
+            low[first] = found[first]
             ends = list(zip(first.tolist(), [*first[1:].tolist(), len(found)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in (short, n))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([_planes(x[a:b]) for a, b in ends], pa.binary()) for x in (low, n))], names)
 
-        for phrases, _ in _each_slice(batches):
-            held += [phrases.hashes(k, phrases.places(k)) >> shift for k in range(1, longest + 1)]
+        for found in keys(batches):
+            held += found
             if sum(map(len, held)) >= HELD:
                 yield from out()
         if any(map(len, held)):
             yield from out()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts, size = None, [], [], 0
+        now, held, counts, size = None, [], [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            return _summed(np.concatenate(keys), np.concatenate(counts))
+            return _summed(np.concatenate(held), np.concatenate(counts))
 
         def out() -> Iterator[pa.RecordBatch]:
             found, n = merged()
-            often = found[n >= fewest].astype(np.int64)
-            if len(often):
-                yield pa.RecordBatch.from_arrays([pa.array(now << RANGE_BITS | often)], ["hash"])
+            often = n >= fewest
+            if often.any():
+                yield give(found[often], n[often])
 
         for batch in batches:
-            for part, short, n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for part, low, n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if part != now:
                     if now is not None:
                         yield from out()
-                    now, keys, counts, size = part, [], [], 0
-                keys.append(np.frombuffer(short, "<u4"))
-                counts.append(np.frombuffer(n, "<u4").astype(np.int64))
-                size += len(keys[-1])
-                # What is held grows with the different hashes of a range, not with the messages.
-                if size > 2 * HELD and size > 2 * len(keys[0]):
+                    now, held, counts, size = part, [], [], 0
+                held.append(np.cumsum(_from_planes(low, "<u8"), dtype=np.uint64))
+                counts.append(_from_planes(n, "<u4").astype(np.int64))
+                size += len(held[-1])
+                # What is held grows with the different keys of a range, not with the messages.
+                if size > 2 * HELD and size > 2 * len(held[0]):
                     found, n = merged()
-                    keys, counts, size = [found], [n], len(found)
+                    held, counts, size = [found], [n], len(found)
         if now is not None:
             yield from out()
 
     sent = _read(docs).mapInArrow(add, "part long, low binary, n binary")
     sent = sent.repartition(max(parts, 1 << max(0, ranges - 3)), "part").sortWithinPartitions("part")
-    return sent.mapInArrow(total, "hash long"), int(shift)
+    return sent.mapInArrow(total, schema)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: small numbers leave zeros, which the shuffle compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(x: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def frequent_hashes(docs: DataFrame, fewest: int, longest: int) -> tuple[DataFrame, int]:
+    """(hash) of the phrases that occur ``fewest`` times or more, and how many of the last bits of hashes are left out; rare phrases that share a hash may be among them."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    ranges = _ranges(size * longest / 6)
+    shift = np.uint64(64 - ranges - RANGE_BITS)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for phrases, _ in _each_slice(batches):
+            yield [phrases.hashes(k, phrases.places(k)) >> shift for k in range(1, longest + 1)]
+
+    def give(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+
+    return _counted(docs, keys, RANGE_BITS + ranges, ranges, fewest, give, "hash long"), int(shift)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -268,14 +306,138 @@ def phrase_rows(docs: DataFrame, longest: int, only: np.ndarray | None = None, s
     return _read(docs).mapInArrow(rows, "lang string, phrase string, k int, n long")
 
 
-def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, k, n) of the phrases of k words that occur ``fewest`` times or more, and of all words (k = 0), as a written table."""
-    stage = Staging(docs.sparkSession, "phrases")
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(language, texts in small letters with full stops between pieces) of the slices of the batches."""
+    for batch in batches:
+        for first, held in slices(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")):
+            found: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column("lang").slice(first, len(held)).to_pylist(), held, strict=True):
+                found.setdefault(lang, []).append(text)
+            for lang, texts in found.items():
+                yield lang, b".".join(texts).translate(_PLAIN)
+
+
+def word_counts(docs: DataFrame, fewest: int) -> DataFrame:
+    """(lang, word, n) of the words that occur ``fewest`` times or more, and of all words of a language (word is empty)."""
+    names = ["lang", "word", "n"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                counts[b""] = sum(counts.values())
+                found = iter(counts.items())
+                while part := list(islice(found, AT_ONCE)):
+                    word, n = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names)
+            held.clear()
+
+        for lang, text in _by_language(batches):
+            held.setdefault(lang, Counter()).update(text.replace(b".", b" ").split())
+            if sum(map(len, held.values())) >= MOST_NAMES:
+                yield from out()
+        yield from out()
+
+    found = _read(docs).mapInArrow(rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return found.where((F.col("n") >= fewest) | (F.col("word") == ""))
+
+
+class Vocabulary:
+    """Words by number, from 1 on. A worker keeps what it has looked up for its next tasks."""
+
+    def __init__(self, langs: pa.Array, words: pa.Array) -> None:
+        self.langs, self.words = langs, words
+        self.numbers: dict[str, dict[bytes, int]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"numbers": None}
+
+    def of(self, lang: str) -> dict[bytes, int]:
+        """The numbers of the words of a language."""
+        if self.numbers is None:
+            found: dict[str, dict[bytes, int]] = {}
+            for i, (own, word) in enumerate(zip(self.langs.to_pylist(), self.words.cast(pa.binary()).to_pylist(), strict=True), 1):
+                found.setdefault(own, {})[word] = i
+            self.numbers = found
+        return self.numbers.get(lang, {})
+
+
+def numbered_counts(docs: DataFrame, words: pa.Table, met: int, fewest: int, longest: int) -> DataFrame:
+    """(lang, phrase, k, n) of the phrases of 2 to ``longest`` words, all of them in ``words`` (lang, word), that occur ``fewest`` times or more. ``met`` tells how many words there are in all."""
+    width = words.num_rows.bit_length()
+    bits = width * longest
+    ranges, mask = min(_ranges(met * (longest - 1)), bits), np.uint64((1 << bits) - 1)
+    # A bijection that spreads the keys over all ranges, and its inverse.
+    step, half = 0x9E3779B97F4A7C15, np.uint64((bits + 1) // 2)
+    forth, back = np.uint64(step), np.uint64(pow(step, -1, 1 << 64))
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(*(words[c].combine_chunks() for c in ("lang", "word"))))
+    at_word = [np.uint64(width * (longest - 1 - j)) for j in range(longest)]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for lang, text in _by_language(batches):
+            found = text.replace(b".", b" . ").split()
+            # What is rare, as what lies between pieces, has no number: no frequent phrase goes past it.
+            numbers = np.fromiter(chain(map(sent.value.of(lang).get, found, repeat(0)), repeat(0, longest)), np.uint64, len(found) + longest)
+            places, found = np.flatnonzero(numbers), []
+            key = numbers[places] << at_word[0]
+            for j in range(1, longest):
+                more = numbers[places + j]
+                keep = more != 0
+                places, key = places[keep], key[keep] | more[keep] << at_word[j]
+                mixed = key * forth & mask
+                found.append((mixed ^ mixed >> half) * forth & mask)
+            yield found
+
+    def give(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        known = sent.value
+        mixed = found * back & mask
+        key = (mixed ^ mixed >> half) * back & mask
+        numbers = [(key >> x & np.uint64((1 << width) - 1)).astype(np.int64) - 1 for x in at_word]
+        parts = [known.words.take(pa.array(x, mask=x < 0)) for x in numbers]
+        phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+        k = sum((x >= 0).astype(np.int32) for x in numbers)
+        return pa.RecordBatch.from_arrays([known.langs.take(pa.array(numbers[0])), phrase, pa.array(k), pa.array(n)], ["lang", "phrase", "k", "n"])
+
+    return _counted(docs, keys, bits, ranges, fewest, give, "lang string, phrase string, k int, n long")
+
+
+def hashed_counts(docs: DataFrame, stage: Staging, fewest: int, longest: int) -> DataFrame:
+    """(lang, phrase, k, n) of the phrases of 2 to ``longest`` words that occur ``fewest`` times or more, whatever their words."""
     hashes, shift = frequent_hashes(docs, fewest, longest)
     frequent = stage.put(hashes, "hashes")
     only = np.sort(frequent.toArrow().column(0).to_numpy().view(np.uint64)) if frequent.count() <= BROADCAST_IDS else None
-    counts = phrase_rows(docs, longest, only, shift).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
-    return stage.put(counts.where((F.col("n") >= fewest) | (F.col("k") == 0)), "counts")
+    counts = phrase_rows(docs, longest, only, shift).where("k > 1").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= fewest)
+
+
+def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, k, n) of the phrases of k words that occur ``fewest`` times or more, and of all words (k = 0), as a written table."""
+    stage = Staging(docs.sparkSession, "phrases")
+    words = stage.put(word_counts(docs, fewest), "words")
+    found = words.select("lang", F.col("word").alias("phrase"), F.when(F.col("word") == "", 0).otherwise(1).alias("k"), "n")
+    own = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
+    for langs in _together(words.where("word <> ''").groupBy("lang").count().orderBy("lang").collect()):
+        part, known = docs.where(own.isin(langs)), words.where((F.col("word") != "") & F.col("lang").isin(langs)).select("lang", "word")
+        size, met = known.count(), words.where((F.col("word") == "") & F.col("lang").isin(langs)).agg(F.sum("n")).first()[0]
+        if size <= BROADCAST_IDS and size.bit_length() * longest <= KEY_BITS:
+            counts = numbered_counts(part, known.toArrow(), met, fewest, longest)
+        else:
+            counts = hashed_counts(part, stage, fewest, longest)
+        found = found.union(stage.put(counts, "counts").select(*found.columns))
+    return found
+
+
+def _together(sizes: Iterable[tuple[str, int]]) -> list[list[str]]:
+    """Languages in groups whose words can be sent together, as long as those of one can."""
+    groups, left = [], 0
+    for lang, n in sizes:
+        if n > left:
+            groups.append([])
+            left = BROADCAST_IDS
+        groups[-1].append(lang)
+        left -= n
+    return groups
 
 
 def _part(start: int, size: Column | int) -> Column:

@@ -137,3 +137,37 @@ def test_hashes_are_sent_packed(spark):
     every = np.concatenate([phrases.hashes(k, phrases.places(k)) for k in (1, 2, 3)]) >> np.uint64(shift)
     own, n = np.unique(every, return_counts=True)
     assert found == set(own[n >= 10].tolist()) and len(own) > 30_000
+
+
+def test_many_frequent_phrases_of_few_words(spark, monkeypatch):
+    """Frequent phrases past the limit of a broadcast are still counted by numbers of words: their texts aren't shuffled."""
+    monkeypatch.setattr(collocations, "BROADCAST_IDS", 100)
+    rng = np.random.default_rng(6)
+    rows = [(" ".join(f"w{i}" for i in rng.integers(0, 40, 120)), "en") for _ in range(200)]
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA).repartition(3).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = shuffled()
+    counts = collocations.phrase_counts(docs)
+    assert counts.where("k > 1").count() > 500
+    assert shuffled() - before < 1000
+    assert rows_of(collocations.collocations(docs)) == plain(rows, 10, 3, 2000)
+
+
+@pytest.mark.parametrize(("name", "value"), [("KEY_BITS", 0), ("BROADCAST_IDS", 14), ("BROADCAST_IDS", 11)])
+def test_phrases_that_numbers_do_not_fit(spark, monkeypatch, name, value):
+    """By hash where integers are too short; languages in passes of their own, or by text, where their words are too many."""
+    monkeypatch.setattr(collocations, name, value)
+    rows = texts(100)
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA).repartition(3)
+    assert rows_of(collocations.collocations(docs)) == plain(rows, 10, 3, 2000)
+
+
+def test_languages_are_sent_together(monkeypatch):
+    monkeypatch.setattr(collocations, "BROADCAST_IDS", 10)
+    assert collocations._together([("a", 4), ("b", 6), ("c", 11), ("d", 3), ("e", 7), ("f", 1)]) == [["a", "b"], ["c"], ["d", "e"], ["f"]]
+    assert collocations._together([]) == []
