@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.operators import pairs
+from sondage.operators import lines, pairs
 from sondage.sources.staging import Staging
 
 #: Most points of a block, and most sums of distances by point and cluster that a task keeps for it, as long as it has 64 points.
@@ -34,8 +34,6 @@ def euclidean(rows: DataFrame) -> DataFrame:
     ids, size = sizes["cluster"].to_numpy(np.int64), sizes["size"].to_numpy(float)
     if len(ids) < 2:
         return points.select("cluster", "n", F.lit(0.0).alias("silhouette"))
-    blocks = pairs.packed(points, stage, ["cluster", "n"], min(BLOCK, max(64, SUMS // len(ids))))
-
     def start(own: pairs.Block) -> np.ndarray:
         return np.zeros((len(own["x"]), len(ids)))
 
@@ -56,7 +54,11 @@ def euclidean(rows: DataFrame) -> DataFrame:
         means[at, group] = np.inf
         return pd.DataFrame({"cluster": own["cluster"], "n": own["n"], "a": a, "b": means.min(1)})
 
-    found = pairs.compare(blocks, blocks, start, meet, give, "cluster int, n long, a double, b double")
+    schema = "cluster int, n long, a double, b double"
+    found = lines.compare(points, stage, ids, give, schema)
+    if found is None:
+        blocks = pairs.packed(points, stage, ["cluster", "n"], min(BLOCK, max(64, SUMS // len(ids))))
+        found = pairs.compare(blocks, blocks, start, meet, give, schema)
     return found.select("cluster", "n", _score(F.nanvl("a", F.lit(None)), F.col("b")).alias("silhouette"))
 
 
