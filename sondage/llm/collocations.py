@@ -22,9 +22,8 @@ by phrase in byte order; extra columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,8 @@ PARTS = 64
 HELD = 1_000_000
 #: Bits of a hash inside a range of hashes, and about how many phrases a range holds.
 RANGE_BITS, RANGE_PHRASES = 32, 1_000_000
+#: Texts whose words are numbered at once.
+TEXT_BYTES = 8 << 20
 #: Bits of an integer that holds the numbers of a phrase's words.
 KEY_BITS = 63
 #: A task hands on what it holds after so many phrases, or so many different ones; rows that are handed on at once.
@@ -307,60 +308,63 @@ def phrase_rows(docs: DataFrame, longest: int, only: np.ndarray | None = None, s
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """(language, texts in small letters with full stops between pieces) of the slices of the batches."""
+    """(language, texts in small letters with full stops between pieces), about ``TEXT_BYTES`` of all languages at a time."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+
+    def out() -> Iterator[tuple[str, bytes]]:
+        for lang, texts in held.items():
+            yield lang, b".".join(texts).translate(_PLAIN)
+        held.clear()
+
     for batch in batches:
-        for first, held in slices(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")):
-            found: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").slice(first, len(held)).to_pylist(), held, strict=True):
-                found.setdefault(lang, []).append(text)
-            for lang, texts in found.items():
-                yield lang, b".".join(texts).translate(_PLAIN)
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            held.setdefault(lang, []).append(text.as_buffer().to_pybytes() if text.is_valid else b"")
+            size += len(held[lang][-1])
+            if size >= TEXT_BYTES:
+                yield from out()
+                size = 0
+    yield from out()
+
+
+def _words(text: bytes) -> pa.DictionaryArray:
+    """What stands between spaces and tabs; the first and the last one may be empty."""
+    whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text))
+    return pc.ascii_split_whitespace(whole).flatten().dictionary_encode()
 
 
 def word_counts(docs: DataFrame, fewest: int) -> DataFrame:
     """(lang, word, n) of the words that occur ``fewest`` times or more, and of all words of a language (word is empty)."""
-    names = ["lang", "word", "n"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                counts[b""] = sum(counts.values())
-                found = iter(counts.items())
-                while part := list(islice(found, AT_ONCE)):
-                    word, n = zip(*part, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names)
-            held.clear()
-
         for lang, text in _by_language(batches):
-            held.setdefault(lang, Counter()).update(text.replace(b".", b" ").split())
-            if sum(map(len, held.values())) >= MOST_NAMES:
-                yield from out()
-        yield from out()
+            found = _words(text.replace(b".", b" "))
+            n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+            words = found.dictionary.cast(pa.string())
+            empty = pc.equal(words, "").to_numpy(zero_copy_only=False)
+            n[empty] = 0
+            words, n = pa.concat_arrays([words, pa.array([""])]), np.append(n, n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), words, pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     found = _read(docs).mapInArrow(rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return found.where((F.col("n") >= fewest) | (F.col("word") == ""))
 
 
 class Vocabulary:
-    """Words by number, from 1 on. A worker keeps what it has looked up for its next tasks."""
-
-    def __init__(self, langs: pa.Array, words: pa.Array) -> None:
-        self.langs, self.words = langs, words
-        self.numbers: dict[str, dict[bytes, int]] | None = None
+    """The words of each language, numbered from 1 on over all languages."""
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"numbers": None}
+    def __init__(self, words: pa.Table) -> None:
+        words = words.sort_by("lang")
+        self.langs, self.words = (words[c].combine_chunks().cast(pa.large_string()) for c in ("lang", "word"))
+        found = self.langs.value_counts()
+        n = found.field("counts").to_numpy()
+        self.range = {lang: (int(end - k), int(end)) for lang, k, end in zip(found.field("values").to_pylist(), n, np.cumsum(n), strict=True)}
 
-    def of(self, lang: str) -> dict[bytes, int]:
-        """The numbers of the words of a language."""
-        if self.numbers is None:
-            found: dict[str, dict[bytes, int]] = {}
-            for i, (own, word) in enumerate(zip(self.langs.to_pylist(), self.words.cast(pa.binary()).to_pylist(), strict=True), 1):
-                found.setdefault(own, {})[word] = i
-            self.numbers = found
-        return self.numbers.get(lang, {})
+    def numbers(self, lang: str, words: pa.Array) -> np.ndarray:
+        """The number of each word, 0 where it has none."""
+        a, b = self.range.get(lang, (0, 0))
+        found = pc.index_in(words, self.words.slice(a, b - a))
+        return pc.fill_null(pc.add(found.cast(pa.int64()), a + 1), 0).to_numpy(zero_copy_only=False).astype(np.uint64)
 
 
 def numbered_counts(docs: DataFrame, words: pa.Table, met: int, fewest: int, longest: int) -> DataFrame:
@@ -371,14 +375,14 @@ def numbered_counts(docs: DataFrame, words: pa.Table, met: int, fewest: int, lon
     # A bijection that spreads the keys over all ranges, and its inverse.
     step, half = 0x9E3779B97F4A7C15, np.uint64((bits + 1) // 2)
     forth, back = np.uint64(step), np.uint64(pow(step, -1, 1 << 64))
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(*(words[c].combine_chunks() for c in ("lang", "word"))))
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(words))
     at_word = [np.uint64(width * (longest - 1 - j)) for j in range(longest)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for lang, text in _by_language(batches):
-            found = text.replace(b".", b" . ").split()
+            words = _words(text.replace(b".", b" . "))
             # What is rare, as what lies between pieces, has no number: no frequent phrase goes past it.
-            numbers = np.fromiter(chain(map(sent.value.of(lang).get, found, repeat(0)), repeat(0, longest)), np.uint64, len(found) + longest)
+            numbers = np.append(sent.value.numbers(lang, words.dictionary)[words.indices.to_numpy()], np.zeros(longest, np.uint64))
             places, found = np.flatnonzero(numbers), []
             key = numbers[places] << at_word[0]
             for j in range(1, longest):
@@ -395,9 +399,9 @@ def numbered_counts(docs: DataFrame, words: pa.Table, met: int, fewest: int, lon
         key = (mixed ^ mixed >> half) * back & mask
         numbers = [(key >> x & np.uint64((1 << width) - 1)).astype(np.int64) - 1 for x in at_word]
         parts = [known.words.take(pa.array(x, mask=x < 0)) for x in numbers]
-        phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
         k = sum((x >= 0).astype(np.int32) for x in numbers)
-        return pa.RecordBatch.from_arrays([known.langs.take(pa.array(numbers[0])), phrase, pa.array(k), pa.array(n)], ["lang", "phrase", "k", "n"])
+        return pa.RecordBatch.from_arrays([known.langs.take(pa.array(numbers[0])).cast(pa.string()), phrase.cast(pa.string()), pa.array(k), pa.array(n)], ["lang", "phrase", "k", "n"])
 
     return _counted(docs, keys, bits, ranges, fewest, give, "lang string, phrase string, k int, n long")
 
