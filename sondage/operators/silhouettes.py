@@ -1,7 +1,7 @@
 """Silhouettes of all rows with ``cluster`` and ``features``; noise (-1) is left out.
 
-``euclidean`` is the common definition: a row's mean distances to all rows of each cluster, so its arithmetic grows with the square of the distinct
-rows; what it shuffles and writes grows with the rows. ``squared`` takes squared distances, whose means follow from each cluster's size, mean and scatter: one pass, the form for large tables.
+``euclidean`` is the common definition: a row's mean distances to all rows of each cluster. Points on few parallel lines are summed along them (``lines``); elsewhere the arithmetic grows with the square of the distinct
+rows, while what is shuffled and written grows with the rows. ``squared`` takes squared distances, whose means follow from each cluster's size, mean and scatter: one pass, the form for large tables.
 Both give (cluster, n, silhouette), in which ``n`` equal rows of a cluster are one, so that copies cost nothing. A row alone in its cluster has 0.
 """
 
